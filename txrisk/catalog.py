@@ -12,7 +12,6 @@ from txrisk import proxy
 from txrisk.functions import presentation as show
 from txrisk.functions import scalars as x
 from txrisk.functions import scores
-from txrisk.operators import features as feat
 from txrisk.operators import history as hist
 from txrisk.operators import incidence as inc
 from txrisk.operators import metrics, prep
@@ -36,10 +35,15 @@ def _history(spark: SparkSession, d: str) -> DataFrame:
     return inc.history_for(proxy.accounts(spark, d), proxy.transactions(spark, d))
 
 
+def _recent(spark: SparkSession, d: str) -> DataFrame:
+    """The newest 100 transactions of every registered account."""
+    rows = inc.history_split(proxy.accounts(spark, d), proxy.transactions(spark, d))
+    return hist.recent(rows, 100)
+
+
 def _features(spark: SparkSession, d: str) -> DataFrame:
     """Features of the newest 100 transactions for every registered account."""
-    found = feat.account_features(hist.recent(_history(spark, d), 100))
-    return feat.features_for(proxy.accounts(spark, d), found)
+    return scan.behaviour(proxy.accounts(spark, d), proxy.transactions(spark, d))
 
 
 def _flagged(spark: SparkSession, d: str) -> DataFrame:
@@ -57,8 +61,8 @@ def account_features(spark: SparkSession, d: str) -> DataFrame:
 
 def account_features_full(spark: SparkSession, d: str) -> DataFrame:
     """A1-A13 over whole histories of all accounts, oldest-first gaps, failed ones out."""
-    history = inc.history_for(None, proxy.transactions(spark, d))
-    return feat.account_features(history, gap_order="asc", exclude_failed=True)
+    tx = proxy.transactions(spark, d)
+    return scan.behaviour(None, tx, k=None, gap_order="asc", exclude_failed=True)
 
 
 def align_features(spark: SparkSession, d: str) -> DataFrame:
@@ -95,7 +99,7 @@ def history_roles(spark: SparkSession, d: str) -> DataFrame:
         "sent",
         "received",
         x.is_created_contract("sent", "to_address").alias("created_contract"),
-        x.is_contract_call("sent", "to_address", "input").alias("contract_call"),
+        x.is_contract_call("sent", "to_address", x.hex_nonzero("input")).alias("contract_call"),
     )
 
 
@@ -127,7 +131,7 @@ def select_existing(spark: SparkSession, d: str) -> DataFrame:
 
 def recent_k(spark: SparkSession, d: str) -> DataFrame:
     """The newest 100 transactions of every listed account."""
-    return hist.recent(_history(spark, d), 100).select("address", "rank", "hash", "time_stamp")
+    return _recent(spark, d).select("address", "rank", "hash", "time_stamp")
 
 
 def page_history(spark: SparkSession, d: str) -> DataFrame:
@@ -194,7 +198,7 @@ def pooled_sequence(spark: SparkSession, d: str) -> DataFrame:
 
 def nest_transactions(spark: SparkSession, d: str) -> DataFrame:
     """Used transactions as a list per account."""
-    ranked = hist.recent(_history(spark, d), 100)
+    ranked = _recent(spark, d)
     nested = scan.nest_transactions(proxy.accounts(spark, d).select("address"), ranked)
     used = F.col("transactions_used")
     return nested.select(
@@ -423,9 +427,9 @@ def predicted_confusion(spark: SparkSession, d: str) -> DataFrame:
     return metrics.confusion_matrix(_scored(spark, d))
 
 
-def _results(spark: SparkSession, d: str, k: int = 100) -> DataFrame:
+def _results(spark: SparkSession, d: str) -> DataFrame:
     """Scan results with the fixed formula as the model."""
-    ranked = hist.recent(_history(spark, d), k)
+    ranked = _recent(spark, d)
     rows = _scored(spark, d).withColumn(
         "prediction",
         model.prediction_struct()
@@ -509,7 +513,7 @@ def explorer_records(spark: SparkSession, d: str) -> DataFrame:
     an explorer answers; an account without any gets an error response.
     """
     names = {column: f for f, column in EXPLORER_FIELDS.items()}
-    ranked = hist.recent(_history(spark, d), 100)
+    ranked = _recent(spark, d)
     nested = scan.nest_transactions(proxy.accounts(spark, d).select("address"), ranked)
     record = lambda t: F.struct(
         *[t[c].alias(names[c]) for c in ("hash", "from_address", "to_address", "value", "time_stamp")]

@@ -87,9 +87,9 @@ def is_created_contract(sent: Col, to_address: Col) -> Column:
     return _c(sent) & (F.coalesce(_c(to_address), F.lit("")) == "")
 
 
-def is_contract_call(sent: Col, to_address: Col, call_data: Col) -> Column:
-    """sent to somebody with call data that is not zero."""
-    return _c(sent) & (F.coalesce(_c(to_address), F.lit("")) != "") & hex_nonzero(call_data)
+def is_contract_call(sent: Col, to_address: Col, has_data: Col) -> Column:
+    """sent to somebody with call data that is not zero (``hex_nonzero``)."""
+    return _c(sent) & (F.coalesce(_c(to_address), F.lit("")) != "") & _c(has_data)
 
 
 def readable(column: Col, as_type: str = "bigint") -> Column:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from txrisk.functions.scalars import (
+    hex_nonzero,
     is_contract_call,
     is_created_contract,
     safe_int,
@@ -26,8 +27,29 @@ from txrisk.schemas import COMPUTED_FEATURES
 _GROUPS = ("sent", "received", "contract")
 
 
+def narrow(tx: DataFrame) -> DataFrame:
+    """What features and rankings need of a transaction, as numbers.
+
+    Done before the first shuffle: call data is long, and text numbers would be
+    parsed again in every step.
+    """
+    return tx.select(
+        "pos",
+        "hash",
+        "from_address",
+        "to_address",
+        wei("value").alias("value"),
+        *[
+            safe_int(c).alias(c)
+            for c in ("time_stamp", "block_number", "transaction_index", "is_error")
+        ],
+        hex_nonzero("input").alias("has_data"),
+    )
+
+
 def _level_one(history: DataFrame) -> DataFrame:
     """Column preparation for the first aggregate."""
+    call = "has_data" if "has_data" in history.columns else hex_nonzero("input")
     return history.select(
         "address",
         # For a transfer to oneself this is the account itself, in both roles.
@@ -37,7 +59,7 @@ def _level_one(history: DataFrame) -> DataFrame:
         .alias("other"),
         F.col("sent").alias("is_sent"),
         F.col("received").alias("is_received"),
-        is_contract_call("sent", "to_address", "input").alias("is_contract"),
+        is_contract_call("sent", "to_address", call).alias("is_contract"),
         is_created_contract("sent", "to_address").alias("is_created"),
         wei("value").alias("wei"),
         valid_ts(safe_int("time_stamp")).alias("ts"),
@@ -172,7 +194,7 @@ def features_for(addresses: DataFrame, features: DataFrame) -> DataFrame:
     requested = addresses.withColumn("requested", F.col("address")).withColumn(
         "address", F.lower("address")
     )
-    joined = join_on_key(requested, features, "address", max_broadcast=0, how="left")
+    joined = join_on_key(requested, features, "address", how="left")
     kinds = dict(features.dtypes)
     own = [F.col("requested").alias("address") if c == "address" else F.col(c) for c in addresses.columns]
     return joined.select(

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from txrisk.functions.scalars import safe_int
-from txrisk.operators.skew import top_k
+from txrisk.operators.skew import Split, hot_keys, top_k
 
 
 def newest_first() -> list[Column]:
@@ -31,14 +31,16 @@ def oldest_first() -> list[Column]:
     ]
 
 
-def recent(history: DataFrame, k: int | None = 100, hot: DataFrame | None = None) -> DataFrame:
+def recent(
+    history: DataFrame | Split, k: int | None = 100, hot: DataFrame | None = None
+) -> DataFrame:
     """The newest ``k`` transactions of every account, position in ``rank``.
 
     ``k=None`` keeps the whole history and adds no ``rank``, for that would
     mean to sort a hub account in one task.
     """
     if k is None:
-        return history
+        return history.union() if isinstance(history, Split) else history
     return top_k(history, "address", newest_first(), k, hot=hot)
 
 
@@ -55,13 +57,14 @@ def page(
     if sort not in ("asc", "desc"):
         raise ValueError(f"sort must be 'asc' or 'desc', not {sort!r}")
     order = newest_first() if sort == "desc" else oldest_first()
+    hot = hot_keys(history, "address") if hot is None else hot
     in_range = history.where(safe_int("block_number").between(start_block, end_block))
     return top_k(in_range, "address", order, page * offset, hot=hot).where(
         F.col("rank") > (page - 1) * offset
     )
 
 
-def tx_gaps(history: DataFrame, slice_seconds: int = 86_400) -> DataFrame:
+def tx_gaps(history: DataFrame, slice_seconds: int = 3_600) -> DataFrame:
     """Minutes between consecutive transactions of an account, per role.
 
     Rows without a valid time stamp are left out; the first row of an account

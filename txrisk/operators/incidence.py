@@ -7,11 +7,19 @@ into one row per distinct party, which turns the condition into an equality.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from txrisk.functions.scalars import lower_address
-from txrisk.operators.skew import BROADCAST_KEYS, fits_broadcast, hot_keys, join_on_key
+from txrisk.operators.skew import (
+    BROADCAST_KEYS,
+    Split,
+    fits_broadcast,
+    hot_keys,
+    join_on_key,
+    join_split,
+    split,
+)
 
 TRAINING_ROLES = ("from_address", "to_address", "source_address")
 
@@ -27,9 +35,15 @@ def parties(tx: DataFrame, roles: tuple[str, ...] = TRAINING_ROLES) -> DataFrame
     A party that appears in two roles of a transaction appears once.
     """
     columns = [c for c in roles if c in tx.columns]
-    return tx.withColumn("address", F.explode(F.array_distinct(F.array(*columns)))).where(
-        F.col("address").isNotNull()
-    )
+    first_seen = []
+    for i, role in enumerate(columns):
+        seen = F.lit(False)
+        for earlier in columns[:i]:
+            seen = seen | F.col(role).eqNullSafe(F.col(earlier))
+        first_seen.append(F.when(~seen, F.col(role)))
+    # The blank party of a contract creation is no account, but it can be the
+    # most frequent value of the column, so it goes before any join.
+    return tx.withColumn("address", F.explode(F.array(*first_seen))).where(F.col("address") != "")
 
 
 def incidence(
@@ -40,9 +54,8 @@ def incidence(
     max_broadcast: int = BROADCAST_KEYS,
 ) -> DataFrame:
     """The transactions of every listed account, one row per pair."""
-    return join_on_key(
-        parties(tx, roles), distinct_addresses(addresses), "address", hot, max_broadcast
-    )
+    fits = fits_broadcast(addresses, max_broadcast)
+    return join_on_key(parties(tx, roles), distinct_addresses(addresses), "address", hot, fits)
 
 
 def touching(
@@ -61,7 +74,7 @@ def touching(
     """
     listed = distinct_addresses(addresses)
     columns = [c for c in roles if c in tx.columns]
-    if fits_broadcast(listed, max_broadcast):
+    if fits_broadcast(addresses, max_broadcast):
         out = tx
         for role in columns:
             lookup = F.broadcast(listed.select(F.col("address").alias(f"_{role}")))
@@ -69,7 +82,7 @@ def touching(
         matched = F.coalesce(*[F.col(f"_{role}") for role in columns]).isNotNull()
         return out.where(matched).select(*tx.columns)
     pairs = parties(tx.select(row_id, *columns), roles).select(row_id, "address")
-    rows = join_on_key(pairs, listed, "address", max_broadcast=0).select(row_id).distinct()
+    rows = join_on_key(pairs, listed, "address").select(row_id).distinct()
     return tx.join(rows, row_id, "left_semi").select(*tx.columns)
 
 
@@ -80,13 +93,27 @@ def account_rows(tx: DataFrame) -> DataFrame:
     transaction still is one row.  A missing party counts as the empty
     address, which is no account.
     """
-    both = F.array_distinct(F.array("from_address", "to_address"))
+
+    def party(column: str, sent: bool, received: bool) -> Column:
+        return F.struct(
+            F.col(column).alias("address"),
+            F.lit(sent).alias("sent"),
+            F.lit(received).alias("received"),
+        )
+
+    to_self = F.col("from_address") == F.col("to_address")
     return (
         tx.withColumn("from_address", lower_address("from_address"))
         .withColumn("to_address", lower_address("to_address"))
-        .withColumn("address", F.explode(both))
+        .select(
+            "*",
+            F.inline(
+                F.when(to_self, F.array(party("from_address", True, True))).otherwise(
+                    F.array(party("from_address", True, False), party("to_address", False, True))
+                )
+            ),
+        )
         .where(F.col("address") != "")
-        .transform(with_roles)
     )
 
 
@@ -105,6 +132,27 @@ def hot_accounts(tx: DataFrame, hot_rows: int | None = None) -> DataFrame:
     return hot_keys(rows, "address", hot_rows) if hot_rows else hot_keys(rows, "address")
 
 
+def history_split(
+    addresses: DataFrame | None,
+    tx: DataFrame,
+    hot: DataFrame | None = None,
+    max_broadcast: int = BROADCAST_KEYS,
+) -> Split:
+    """J3 with the rows of hub accounts kept apart, for the rankings that follow.
+
+    A short list is looked up first, so hubs are counted among its rows only.
+    With a long list, or none, they are counted once over the address columns.
+    """
+    rows = account_rows(tx)
+    if addresses is None:
+        return split(rows, "address", hot_accounts(tx) if hot is None else hot)
+    keys = addresses.select(F.lower("address").alias("address"))
+    listed = distinct_addresses(keys)
+    if fits_broadcast(keys, max_broadcast):
+        return split(rows.join(F.broadcast(listed), "address"), "address", hot)
+    return join_split(rows, listed, "address", hot_accounts(tx) if hot is None else hot)
+
+
 def history_for(
     addresses: DataFrame | None,
     tx: DataFrame,
@@ -118,5 +166,6 @@ def history_for(
     rows = account_rows(tx)
     if addresses is None:
         return rows
-    listed = distinct_addresses(addresses.select(F.lower("address").alias("address")))
-    return join_on_key(rows, listed, "address", hot, max_broadcast)
+    keys = addresses.select(F.lower("address").alias("address"))
+    fits = fits_broadcast(keys, max_broadcast)
+    return join_on_key(rows, distinct_addresses(keys), "address", hot, fits)

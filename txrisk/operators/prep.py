@@ -339,5 +339,5 @@ def assemble(
     and static features.
     """
     zeros = F.array_repeat(F.array_repeat(F.lit(0.0), width), length)
-    joined = join_on_key(addresses, matrices, "address", max_broadcast=0, how="left")
+    joined = join_on_key(addresses, matrices, "address", how="left")
     return joined.withColumn("sequence", F.coalesce("sequence", zeros))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from txrisk.functions.scalars import ether, is_blank, readable, safe_int, wei
-from txrisk.operators.skew import top_k
+from txrisk.operators.skew import hot_keys, top_k
 from txrisk.schemas import SEQUENCE_FIELDS, SEQUENCE_LENGTH, SEQUENCE_WIDTH
 
 _WHOLE_NUMBERS = (
@@ -69,6 +69,8 @@ def latest_sequence(
     Equal time stamps keep the order of the list (``pos``).
     """
     order = [safe_int("time_stamp").desc(), F.col("pos").asc()]
+    # Hubs are counted before the filter: that reads the address columns alone.
+    hot = hot_keys(history, "address") if hot is None else hot
     kept = top_k(drop_malformed(history), "address", order, n, hot=hot)
     return kept.select(
         "address",

@@ -14,6 +14,8 @@ Which keys count as hot changes the plan, never the result.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,8 +46,43 @@ def hot_keys(df: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame:
 
 
 def fits_broadcast(keys: DataFrame, max_rows: int = BROADCAST_KEYS) -> bool:
-    """Size check before a broadcast: reads at most ``max_rows + 1`` rows."""
-    return keys.limit(max_rows + 1).count() <= max_rows
+    """Size check before a broadcast: a plain count, nearly free on Parquet."""
+    return max_rows > 0 and keys.count() <= max_rows
+
+
+@dataclass(frozen=True)
+class Split:
+    """Rows of ordinary keys, and rows of hot keys with ``pieces``."""
+
+    cold: DataFrame
+    hot: DataFrame
+
+    def union(self) -> DataFrame:
+        return self.cold.unionByName(self.hot.drop("pieces"))
+
+
+def split(df: DataFrame, key: str, hot: DataFrame | None = None) -> Split:
+    """Takes the rows of hot keys apart from the rest."""
+    hot = hot_keys(df, key) if hot is None else hot
+    return Split(
+        df.join(F.broadcast(hot.select(key)), key, "left_anti"), df.join(F.broadcast(hot), key)
+    )
+
+
+def join_split(
+    big: DataFrame, small: DataFrame, key: str, hot: DataFrame | None = None, how: str = "inner"
+) -> Split:
+    """Inner or left join on ``key``, which is unique in ``small``.
+
+    The rows of hot keys meet a broadcast of the partners of those keys, at most
+    10,000 rows; the rest is shuffled on the key.
+    """
+    hot = hot_keys(big, key) if hot is None else hot
+    parts = split(big, key, hot)
+    partners = small.join(F.broadcast(hot.select(key)), key, "left_semi")
+    return Split(
+        parts.cold.join(small, key, how), parts.hot.join(F.broadcast(partners), key, how)
+    )
 
 
 def join_on_key(
@@ -53,28 +90,20 @@ def join_on_key(
     small: DataFrame,
     key: str,
     hot: DataFrame | None = None,
-    max_broadcast: int = BROADCAST_KEYS,
+    fits: bool = False,
     how: str = "inner",
 ) -> DataFrame:
-    """Inner or left join on ``key``, which is unique in ``small``.
+    """``join_split`` as one table.
 
-    A ``small`` side that passes the size check is broadcast; ``max_broadcast=0``
-    skips the check, for sides that are costly to count.  Otherwise the rows of
-    hot keys meet a broadcast of those keys alone, and the rest is shuffled on
-    the key.
+    ``fits`` says that ``small`` passed the size check; it is broadcast then.
     """
-    if max_broadcast and fits_broadcast(small, max_broadcast):
+    if fits:
         return big.join(F.broadcast(small), key, how)
-    hot = hot_keys(big, key) if hot is None else hot
-    hot_names = F.broadcast(hot.select(key))
-    hot_small = F.broadcast(small.join(hot_names, key, "left_semi"))
-    cold_rows = big.join(hot_names, key, "left_anti")
-    hot_rows = big.join(hot_names, key, "left_semi")
-    return cold_rows.join(small, key, how).unionByName(hot_rows.join(hot_small, key, how))
+    return join_split(big, small, key, hot, how).union()
 
 
 def top_k(
-    df: DataFrame,
+    rows: DataFrame | Split,
     key: str,
     order: list[Column],
     k: int,
@@ -85,22 +114,16 @@ def top_k(
     """First ``k`` rows per ``key`` in the given order, numbered from 1 in ``rank``.
 
     ``order`` must be total within a key.  ``row_id`` spreads the rows of a
-    hot key over its pieces.
+    hot key over its pieces.  The ranking of the ordinary keys keeps their
+    partitioning; without hot keys nothing else is left of the plan at run time.
     """
-    df = df.drop(rank)
-    hot = hot_keys(df, key) if hot is None else hot
-    by_key = Window.partitionBy(key).orderBy(*order)
-    by_piece = Window.partitionBy(key, "piece").orderBy(*order)
-    cold = df.join(F.broadcast(hot.select(key)), key, "left_anti")
-    survivors = (
-        df.join(F.broadcast(hot.select(key, "pieces")), key)
-        .withColumn("piece", F.pmod(F.xxhash64(row_id), F.col("pieces")))
-        .withColumn(rank, F.row_number().over(by_piece))
-        .filter(F.col(rank) <= k)
-        .drop("piece", "pieces", rank)
-    )
-    return (
-        cold.unionByName(survivors)
-        .withColumn(rank, F.row_number().over(by_key))
-        .filter(F.col(rank) <= k)
-    )
+    parts = rows if isinstance(rows, Split) else split(rows, key, hot)
+
+    def first(df: DataFrame, *keys: str) -> DataFrame:
+        ranked = Window.partitionBy(*keys).orderBy(*order)
+        return df.withColumn(rank, F.row_number().over(ranked)).filter(F.col(rank) <= k)
+
+    piece = F.pmod(F.xxhash64(row_id), F.col("pieces"))
+    best_of_pieces = first(parts.hot.drop(rank).withColumn("piece", piece), key, "piece")
+    survivors = best_of_pieces.drop("piece", "pieces", rank)
+    return first(parts.cold.drop(rank), key).unionByName(first(survivors, key))

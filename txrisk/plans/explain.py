@@ -64,5 +64,5 @@ def parse_explanations(replies: DataFrame, reply: str = "reply", on_error: str =
 def attach_explanations(results: DataFrame, explanations: DataFrame) -> DataFrame:
     """Analysis rows with their reasons; accounts without a reply keep null."""
     reasons = explanations.select("address", "explanations")
-    joined = join_on_key(results, reasons, "address", max_broadcast=0, how="left")
+    joined = join_on_key(results, reasons, "address", how="left")
     return to_analysis_row(joined, "explanations")

@@ -12,9 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from txrisk.functions.scalars import address_check
-from txrisk.operators.features import account_features, features_for
+from txrisk.operators.features import account_features, features_for, narrow
 from txrisk.operators.history import batch_index, recent
-from txrisk.operators.incidence import history_for, with_roles
+from txrisk.operators.incidence import history_for, history_split, with_roles
 from txrisk.operators.sequences import matrix_of_list
 from txrisk.plans.model import RiskModel, score
 from txrisk.schemas import COMPUTED_FEATURES, HISTORY_COLUMNS, SEQUENCE_LENGTH
@@ -47,6 +47,28 @@ def _without_rank(transactions: Column) -> Column:
     return F.coalesce(none, F.array())
 
 
+def behaviour(
+    addresses: DataFrame | None,
+    tx: DataFrame,
+    k: int | None = 100,
+    gap_order: str = "desc",
+    exclude_failed: bool = False,
+    hot: DataFrame | None = None,
+) -> DataFrame:
+    """J3 + W1 + A1-A13: features over the newest ``k`` rows of every account.
+
+    ``k=None`` takes whole histories.  Without a list the result holds all
+    accounts that occur; with one, an account without history has zeros.
+    """
+    rows = narrow(tx)
+    if k is None:
+        history = history_for(addresses, rows, hot)
+    else:
+        history = recent(history_split(addresses, rows, hot), k)
+    found = account_features(history, gap_order, exclude_failed)
+    return found if addresses is None else features_for(addresses, found)
+
+
 def profiles(
     addresses: DataFrame,
     tx: DataFrame,
@@ -64,7 +86,7 @@ def profiles(
     if keyed:
         history = with_roles(tx.withColumn("address", F.lower("address")))
     else:
-        history = history_for(addresses, tx, hot)
+        history = history_split(addresses, tx, hot)
     ranked = used_transactions(recent(history, k, hot))
     found = account_features(ranked, gap_order)
     listed = features_for(addresses, found)
@@ -128,9 +150,11 @@ def batch_scan(
     writes the results if a folder is given."""
     requests, _ = check_requests(batch_index(addresses), strict)
     results = scan(requests.select("address", "batch_index"), tx, model, k, keyed=keyed)
-    if save_to is not None:
-        write_results(results, save_to)
-    return results
+    # Every request has a result, so an empty list is known without a scan.
+    if save_to is None or requests.isEmpty():
+        return results
+    path = write_results(results, save_to)
+    return results.sparkSession.read.schema(results.schema).json(path)
 
 
 def to_analysis_row(df: DataFrame, explanations: str | None = None) -> DataFrame:

@@ -73,10 +73,8 @@ def read_features(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def write_results(df: DataFrame, folder: str) -> str | None:
-    """Results as JSON in a folder named by the time; nothing if empty."""
-    if df.isEmpty():
-        return None
+def write_results(df: DataFrame, folder: str) -> str:
+    """Results as JSON in a folder named by the time."""
     stamp = df.sparkSession.range(1).select(run_stamp()).first()[0]
     path = f"{folder}/run={stamp}"
     df.write.mode("overwrite").json(path)
