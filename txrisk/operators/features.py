@@ -186,15 +186,22 @@ def account_features(
     )
 
 
-def features_for(addresses: DataFrame, features: DataFrame) -> DataFrame:
+def features_for(
+    addresses: DataFrame, features: DataFrame, fits: bool = False
+) -> DataFrame:
     """Feature row for every listed account; one without history gets zeros.
 
     The list keeps its rows, spelling and other columns, duplicates included.
+    ``fits`` says that the list passed the size check for a broadcast; no
+    address of it can be frequent then.
     """
     requested = addresses.withColumn("requested", F.col("address")).withColumn(
         "address", F.lower("address")
     )
-    joined = join_on_key(requested, features, "address", how="left")
+    if fits:
+        joined = requested.join(features, "address", "left")
+    else:
+        joined = join_on_key(requested, features, "address", how="left")
     kinds = dict(features.dtypes)
     own = [F.col("requested").alias("address") if c == "address" else F.col(c) for c in addresses.columns]
     return joined.select(

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from txrisk.functions.scalars import lower_address
 from txrisk.operators.skew import (
-    BROADCAST_KEYS,
     Split,
     fits_broadcast,
     hot_keys,
@@ -51,10 +50,14 @@ def incidence(
     addresses: DataFrame,
     roles: tuple[str, ...] = TRAINING_ROLES,
     hot: DataFrame | None = None,
-    max_broadcast: int = BROADCAST_KEYS,
+    fits: bool | None = None,
 ) -> DataFrame:
-    """The transactions of every listed account, one row per pair."""
-    fits = fits_broadcast(addresses, max_broadcast)
+    """The transactions of every listed account, one row per pair.
+
+    ``fits`` tells whether the list is short enough to be broadcast; without it
+    the list is counted.  The same holds for the functions below.
+    """
+    fits = fits_broadcast(addresses) if fits is None else fits
     return join_on_key(parties(tx, roles), distinct_addresses(addresses), "address", hot, fits)
 
 
@@ -63,7 +66,7 @@ def touching(
     addresses: DataFrame,
     roles: tuple[str, ...] = TRAINING_ROLES,
     row_id: str = "pos",
-    max_broadcast: int = BROADCAST_KEYS,
+    fits: bool | None = None,
 ) -> DataFrame:
     """the transactions with at least one listed party, each once.
 
@@ -74,7 +77,7 @@ def touching(
     """
     listed = distinct_addresses(addresses)
     columns = [c for c in roles if c in tx.columns]
-    if fits_broadcast(addresses, max_broadcast):
+    if fits_broadcast(addresses) if fits is None else fits:
         out = tx
         for role in columns:
             lookup = F.broadcast(listed.select(F.col("address").alias(f"_{role}")))
@@ -136,7 +139,7 @@ def history_split(
     addresses: DataFrame | None,
     tx: DataFrame,
     hot: DataFrame | None = None,
-    max_broadcast: int = BROADCAST_KEYS,
+    fits: bool | None = None,
 ) -> Split:
     """J3 with the rows of hub accounts kept apart, for the rankings that follow.
 
@@ -148,7 +151,7 @@ def history_split(
         return split(rows, "address", hot_accounts(tx) if hot is None else hot)
     keys = addresses.select(F.lower("address").alias("address"))
     listed = distinct_addresses(keys)
-    if fits_broadcast(keys, max_broadcast):
+    if fits_broadcast(addresses) if fits is None else fits:
         return split(rows.join(F.broadcast(listed), "address"), "address", hot)
     return join_split(rows, listed, "address", hot_accounts(tx) if hot is None else hot)
 
@@ -157,7 +160,7 @@ def history_for(
     addresses: DataFrame | None,
     tx: DataFrame,
     hot: DataFrame | None = None,
-    max_broadcast: int = BROADCAST_KEYS,
+    fits: bool | None = None,
 ) -> DataFrame:
     """The history of every listed account, or of all accounts.
 
@@ -167,5 +170,5 @@ def history_for(
     if addresses is None:
         return rows
     keys = addresses.select(F.lower("address").alias("address"))
-    fits = fits_broadcast(keys, max_broadcast)
+    fits = fits_broadcast(addresses) if fits is None else fits
     return join_on_key(rows, distinct_addresses(keys), "address", hot, fits)

@@ -28,6 +28,7 @@ MAX_HOT_KEYS = 10_000
 # At most this many pieces for one key.
 MAX_PIECES = 4_096
 # Largest list of keys that is broadcast (a key is a short text: below 20 MB).
+# It is below HOT_ROWS, so a list that fits has no hot keys of its own.
 BROADCAST_KEYS = 200_000
 
 
@@ -47,7 +48,7 @@ def hot_keys(df: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame:
 
 def fits_broadcast(keys: DataFrame, max_rows: int = BROADCAST_KEYS) -> bool:
     """Size check before a broadcast: a plain count, nearly free on Parquet."""
-    return max_rows > 0 and keys.count() <= max_rows
+    return keys.count() <= max_rows
 
 
 @dataclass(frozen=True)

@@ -16,6 +16,7 @@ from txrisk.operators.features import account_features, features_for, narrow
 from txrisk.operators.history import batch_index, recent
 from txrisk.operators.incidence import history_for, history_split, with_roles
 from txrisk.operators.sequences import matrix_of_list
+from txrisk.operators.skew import fits_broadcast
 from txrisk.plans.model import RiskModel, score
 from txrisk.schemas import COMPUTED_FEATURES, HISTORY_COLUMNS, SEQUENCE_LENGTH
 from txrisk.sources.tables import write_results
@@ -61,12 +62,13 @@ def behaviour(
     accounts that occur; with one, an account without history has zeros.
     """
     rows = narrow(tx)
+    fits = addresses is not None and fits_broadcast(addresses)
     if k is None:
-        history = history_for(addresses, rows, hot)
+        history = history_for(addresses, rows, hot, fits)
     else:
-        history = recent(history_split(addresses, rows, hot), k)
+        history = recent(history_split(addresses, rows, hot, fits), k)
     found = account_features(history, gap_order, exclude_failed)
-    return found if addresses is None else features_for(addresses, found)
+    return found if addresses is None else features_for(addresses, found, fits)
 
 
 def profiles(
@@ -83,13 +85,14 @@ def profiles(
     ``tx`` is a bulk table of transactions; with ``keyed=True`` its rows already
     belong to an account, as those of ``read_explorer`` do.
     """
+    fits = fits_broadcast(addresses)
     if keyed:
         history = with_roles(tx.withColumn("address", F.lower("address")))
     else:
-        history = history_split(addresses, tx, hot)
+        history = history_split(addresses, tx, hot, fits)
     ranked = used_transactions(recent(history, k, hot))
     found = account_features(ranked, gap_order)
-    listed = features_for(addresses, found)
+    listed = features_for(addresses, found, fits)
     transactions = F.sort_array("carried")
     return listed.select(
         *[c for c in listed.columns if c != "carried"],
