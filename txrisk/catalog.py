@@ -16,6 +16,7 @@ from txrisk.operators import history as hist
 from txrisk.operators import incidence as inc
 from txrisk.operators import metrics, prep
 from txrisk.operators import sequences as seq
+from txrisk.operators.skew import Split
 from txrisk.plans import explain, model, scan, training
 from txrisk.schemas import (
     COMPUTED_FEATURES,
@@ -35,10 +36,13 @@ def _history(spark: SparkSession, d: str) -> DataFrame:
     return inc.history_for(proxy.accounts(spark, d), proxy.transactions(spark, d))
 
 
+def _split(spark: SparkSession, d: str) -> Split:
+    return inc.history_split(proxy.accounts(spark, d), proxy.transactions(spark, d))
+
+
 def _recent(spark: SparkSession, d: str) -> DataFrame:
     """The newest 100 transactions of every registered account."""
-    rows = inc.history_split(proxy.accounts(spark, d), proxy.transactions(spark, d))
-    return hist.recent(rows, 100)
+    return hist.recent(_split(spark, d), 100)
 
 
 def _features(spark: SparkSession, d: str) -> DataFrame:
@@ -136,13 +140,13 @@ def recent_k(spark: SparkSession, d: str) -> DataFrame:
 
 def page_history(spark: SparkSession, d: str) -> DataFrame:
     """Second page of 25 rows, oldest first."""
-    rows = hist.page(_history(spark, d), page=2, offset=25, sort="asc")
+    rows = hist.page(_split(spark, d), page=2, offset=25, sort="asc")
     return rows.select("address", "rank", "hash", "block_number")
 
 
 def tx_gaps(spark: SparkSession, d: str) -> DataFrame:
     """Minutes between consecutive transactions, per account and role."""
-    return hist.tx_gaps(_history(spark, d))
+    return hist.tx_gaps(_split(spark, d))
 
 
 def batch_index(spark: SparkSession, d: str) -> DataFrame:
@@ -161,12 +165,12 @@ def first_n_sequence(spark: SparkSession, d: str) -> DataFrame:
 
 def latest_sequence(spark: SparkSession, d: str) -> DataFrame:
     """F8 + W4 + X7: the newest 50 well-formed rows as ten numbers each."""
-    return seq.latest_sequence(_history(spark, d), 50)
+    return seq.latest_sequence(_split(spark, d), 50)
 
 
 def padded_length(spark: SparkSession, d: str) -> DataFrame:
     """X8 + D6: matrices of 200 rows; how many rows are real and how many padding."""
-    steps = seq.latest_sequence(_history(spark, d), 200)
+    steps = seq.latest_sequence(_split(spark, d), 200)
     matrix = seq.to_matrix(steps, 200)
     # A gas price is never 0 in a real row, so it tells padding apart.
     real = F.size(F.filter("sequence", lambda r: r[3] != 0.0))

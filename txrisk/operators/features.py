@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from txrisk.functions.scalars import (
+    ether,
     hex_nonzero,
     is_contract_call,
     is_created_contract,
@@ -62,15 +63,12 @@ def _level_one(history: DataFrame) -> DataFrame:
         is_contract_call("sent", "to_address", call).alias("is_contract"),
         is_created_contract("sent", "to_address").alias("is_created"),
         wei("value").alias("wei"),
+        ether("value").alias("ether"),
         valid_ts(safe_int("time_stamp")).alias("ts"),
         *([F.col("carried")] if "carried" in history.columns else []),
     )
 
 
-def _sum38(column: Column) -> Column:
-    return F.sum(column).cast("decimal(38,0)")
-
-
 def _mean_gap(role: str, gap_order: str) -> Column:
     """Consecutive gaps telescope to (last - first) / (n - 1).
 
@@ -103,12 +101,14 @@ def account_features(
     first = [F.count(F.lit(1)).alias("n"), F.min("ts").alias("ts_min"), F.max("ts").alias("ts_max")]
     first += [F.count("ts").alias("ts_n"), F.count_if("is_created").alias("created")]
     for g in _GROUPS:
-        amount = F.when(F.col(f"is_{g}"), F.col("wei"))
+        # Sums are decimal, so that their order does not matter; extremes are
+        # the same in double, and cheaper.
+        value = F.when(F.col(f"is_{g}"), F.col("ether"))
         first += [
-            F.count(amount).alias(f"{g}_n"),
-            F.min(amount).alias(f"{g}_min"),
-            F.max(amount).alias(f"{g}_max"),
-            _sum38(amount).alias(f"{g}_sum"),
+            F.count(value).alias(f"{g}_n"),
+            F.min(value).alias(f"{g}_min"),
+            F.max(value).alias(f"{g}_max"),
+            F.sum(F.when(F.col(f"is_{g}"), F.col("wei"))).alias(f"{g}_sum"),
         ]
     for g in ("sent", "received"):
         when = F.when(F.col(f"is_{g}"), F.col("ts"))
@@ -135,7 +135,7 @@ def account_features(
             F.sum(f"{g}_n").alias(f"{g}_n"),
             F.min(f"{g}_min").alias(f"{g}_min"),
             F.max(f"{g}_max").alias(f"{g}_max"),
-            _sum38(F.col(f"{g}_sum")).alias(f"{g}_sum"),
+            F.sum(f"{g}_sum").alias(f"{g}_sum"),
         ]
     for g in ("sent", "received"):
         second += [
@@ -148,7 +148,10 @@ def account_features(
     folded = pairs.groupBy("address").agg(*second)
 
     def amount(column: str) -> Column:
-        return F.coalesce(to_ether(column), F.lit(0.0))
+        return F.coalesce(F.col(column), F.lit(0.0))
+
+    def total(g: str) -> Column:
+        return F.coalesce(to_ether(f"{g}_sum"), F.lit(0.0))
 
     def mean(g: str) -> Column:
         return F.when(F.col(f"{g}_n") > 0, to_ether(f"{g}_sum") / F.col(f"{g}_n")).otherwise(0.0)
@@ -174,10 +177,10 @@ def account_features(
         "max_sent_contract": amount("contract_max"),
         "avg_sent_contract": mean("contract"),
         "total_transactions": F.col("total"),
-        "total_sent": amount("sent_sum"),
-        "total_received": amount("received_sum"),
-        "total_sent_contracts": amount("contract_sum"),
-        "total_balance": amount("received_sum") - amount("sent_sum"),
+        "total_sent": total("sent"),
+        "total_received": total("received"),
+        "total_sent_contracts": total("contract"),
+        "total_balance": total("received") - total("sent"),
     }
     return folded.select(
         "address",

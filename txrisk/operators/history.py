@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from txrisk.functions.scalars import safe_int
-from txrisk.operators.skew import Split, hot_keys, top_k
+from txrisk.operators.skew import Split, split, top_k
 
 
 def newest_first() -> list[Column]:
@@ -45,7 +45,7 @@ def recent(
 
 
 def page(
-    history: DataFrame,
+    history: DataFrame | Split,
     start_block: int = 0,
     end_block: int = 99_999_999,
     page: int = 1,
@@ -57,59 +57,60 @@ def page(
     if sort not in ("asc", "desc"):
         raise ValueError(f"sort must be 'asc' or 'desc', not {sort!r}")
     order = newest_first() if sort == "desc" else oldest_first()
-    hot = hot_keys(history, "address") if hot is None else hot
-    in_range = history.where(safe_int("block_number").between(start_block, end_block))
-    return top_k(in_range, "address", order, page * offset, hot=hot).where(
-        F.col("rank") > (page - 1) * offset
-    )
+    parts = history if isinstance(history, Split) else split(history, "address", hot)
+    in_range = safe_int("block_number").between(start_block, end_block)
+    kept = Split(parts.cold.where(in_range), parts.hot.where(in_range))
+    return top_k(kept, "address", order, page * offset).where(F.col("rank") > (page - 1) * offset)
 
 
-def tx_gaps(history: DataFrame, slice_seconds: int = 3_600) -> DataFrame:
+def tx_gaps(
+    history: DataFrame | Split, slice_seconds: int = 3_600, hot: DataFrame | None = None
+) -> DataFrame:
     """Minutes between consecutive transactions of an account, per role.
 
     Rows without a valid time stamp are left out; the first row of an account
-    has a null gap.  The history is cut into time slices so that a hub account
-    is ordered in many tasks: gaps inside a slice come from ``lag``, and the
-    first row of a slice continues from the last time stamp of the account's
-    previous slice.
+    has a null gap.  The history of a hub account is cut into time slices, so
+    that it is ordered in many tasks.
     """
-    timed = (
-        history.withColumn("ts", safe_int("time_stamp"))
-        .where(F.col("ts") > 0)
-        .withColumn("slice", F.floor(F.col("ts") / slice_seconds))
-        .withColumn(
-            "role",
-            F.explode(
-                F.filter(
-                    F.array(
-                        F.when(F.col("sent"), F.lit("sent")),
-                        F.when(F.col("received"), F.lit("received")),
-                    ),
-                    lambda r: r.isNotNull(),
-                )
-            ),
-        )
-        .select("address", "role", "slice", "pos", "ts")
+    parts = history if isinstance(history, Split) else split(history, "address", hot)
+    cold, hub = _timed_roles(parts.cold), _timed_roles(parts.hot)
+    by_role = Window.partitionBy("address", "role").orderBy("ts", "pos")
+    previous = cold.withColumn("previous", F.lag("ts").over(by_role))
+    both = previous.unionByName(_previous_by_slice(hub, slice_seconds))
+    gap = (F.col("ts") - F.col("previous")) / 60
+    return both.select("address", "role", "pos", "ts", gap.alias("gap_mins"))
+
+
+def _timed_roles(history: DataFrame) -> DataFrame:
+    """One row per account, role and transaction with a valid time stamp."""
+    ts = safe_int("time_stamp")
+    role = (
+        F.when(F.col("sent") & F.col("received"), F.array(F.lit("sent"), F.lit("received")))
+        .when(F.col("sent"), F.array(F.lit("sent")))
+        .when(F.col("received"), F.array(F.lit("received")))
+    )
+    return history.where(ts > 0).select(
+        "address", F.explode(role).alias("role"), "pos", ts.alias("ts")
     )
+
+
+def _previous_by_slice(rows: DataFrame, slice_seconds: int) -> DataFrame:
+    """Time stamp before each row: ``lag`` inside a slice, and for the first row
+    of a slice the last time stamp of the account's slice before."""
+    sliced = rows.withColumn("slice", F.floor(F.col("ts") / slice_seconds))
     inside = Window.partitionBy("address", "role", "slice").orderBy("ts", "pos")
     across = Window.partitionBy("address", "role").orderBy("slice")
-    slices = (
-        timed.groupBy("address", "role", "slice")
+    before = (
+        sliced.groupBy("address", "role", "slice")
         .agg(F.max("ts").alias("last_ts"))
         .withColumn("before", F.lag("last_ts").over(across))
         .drop("last_ts")
     )
     return (
-        timed.withColumn("previous", F.lag("ts").over(inside))
-        .join(slices, ["address", "role", "slice"])
+        sliced.withColumn("previous", F.lag("ts").over(inside))
+        .join(before, ["address", "role", "slice"])
         .withColumn("previous", F.coalesce("previous", "before"))
-        .select(
-            "address",
-            "role",
-            "pos",
-            "ts",
-            ((F.col("ts") - F.col("previous")) / 60).alias("gap_mins"),
-        )
+        .drop("slice", "before")
     )
 
 

@@ -28,6 +28,12 @@ def distinct_addresses(addresses: DataFrame, column: str = "address") -> DataFra
     return addresses.select(column).where(F.col(column).isNotNull()).distinct()
 
 
+def _lookup(addresses: DataFrame) -> DataFrame:
+    """A list as the small side of a join: unique keys spread evenly, so hashing
+    a partition of them is cheap, and the transactions need no sort."""
+    return distinct_addresses(addresses).hint("shuffle_hash")
+
+
 def parties(tx: DataFrame, roles: tuple[str, ...] = TRAINING_ROLES) -> DataFrame:
     """One row per transaction and distinct party, exact spelling of addresses.
 
@@ -58,7 +64,7 @@ def incidence(
     the list is counted.  The same holds for the functions below.
     """
     fits = fits_broadcast(addresses) if fits is None else fits
-    return join_on_key(parties(tx, roles), distinct_addresses(addresses), "address", hot, fits)
+    return join_on_key(parties(tx, roles), _lookup(addresses), "address", hot, fits)
 
 
 def touching(
@@ -85,7 +91,7 @@ def touching(
         matched = F.coalesce(*[F.col(f"_{role}") for role in columns]).isNotNull()
         return out.where(matched).select(*tx.columns)
     pairs = parties(tx.select(row_id, *columns), roles).select(row_id, "address")
-    rows = join_on_key(pairs, listed, "address").select(row_id).distinct()
+    rows = join_on_key(pairs, _lookup(addresses), "address").select(row_id).distinct()
     return tx.join(rows, row_id, "left_semi").select(*tx.columns)
 
 
@@ -148,12 +154,14 @@ def history_split(
     """
     rows = account_rows(tx)
     if addresses is None:
-        return split(rows, "address", hot_accounts(tx) if hot is None else hot)
+        parts = split(rows, "address", hot_accounts(tx) if hot is None else hot)
+        # Ordinary accounts seldom fill a ranking within one input split, so
+        # their rows are not sorted before the shuffle as well as after it.
+        return Split(parts.cold.repartition("address"), parts.hot)
     keys = addresses.select(F.lower("address").alias("address"))
-    listed = distinct_addresses(keys)
     if fits_broadcast(addresses) if fits is None else fits:
-        return split(rows.join(F.broadcast(listed), "address"), "address", hot)
-    return join_split(rows, listed, "address", hot_accounts(tx) if hot is None else hot)
+        return split(rows.join(F.broadcast(distinct_addresses(keys)), "address"), "address", hot)
+    return join_split(rows, _lookup(keys), "address", hot_accounts(tx) if hot is None else hot)
 
 
 def history_for(
@@ -171,4 +179,4 @@ def history_for(
         return rows
     keys = addresses.select(F.lower("address").alias("address"))
     fits = fits_broadcast(addresses) if fits is None else fits
-    return join_on_key(rows, distinct_addresses(keys), "address", hot, fits)
+    return join_on_key(rows, _lookup(keys), "address", hot, fits)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from txrisk.functions.scalars import ether, is_blank, readable, safe_int, wei
-from txrisk.operators.skew import hot_keys, top_k
+from txrisk.operators.skew import Split, split, top_k
 from txrisk.schemas import SEQUENCE_FIELDS, SEQUENCE_LENGTH, SEQUENCE_WIDTH
 
 _WHOLE_NUMBERS = (
@@ -62,7 +62,7 @@ def sequence_values(get: Getter = F.col) -> dict[str, Column]:
 
 
 def latest_sequence(
-    history: DataFrame, n: int = SEQUENCE_LENGTH, hot: DataFrame | None = None
+    history: DataFrame | Split, n: int = SEQUENCE_LENGTH, hot: DataFrame | None = None
 ) -> DataFrame:
     """The newest ``n`` well-formed transactions, one row per step.
 
@@ -70,8 +70,9 @@ def latest_sequence(
     """
     order = [safe_int("time_stamp").desc(), F.col("pos").asc()]
     # Hubs are counted before the filter: that reads the address columns alone.
-    hot = hot_keys(history, "address") if hot is None else hot
-    kept = top_k(drop_malformed(history), "address", order, n, hot=hot)
+    parts = history if isinstance(history, Split) else split(history, "address", hot)
+    good = Split(drop_malformed(parts.cold), drop_malformed(parts.hot))
+    kept = top_k(good, "address", order, n)
     return kept.select(
         "address",
         (F.col("rank") - 1).alias("step"),

@@ -76,7 +76,8 @@ def join_split(
     """Inner or left join on ``key``, which is unique in ``small``.
 
     The rows of hot keys meet a broadcast of the partners of those keys, at most
-    10,000 rows; the rest is shuffled on the key.
+    10,000 rows; the rest is shuffled on the key.  A ``small`` side of keys alone
+    may carry a ``shuffle_hash`` hint, which saves sorting the big side.
     """
     hot = hot_keys(big, key) if hot is None else hot
     parts = split(big, key, hot)
