@@ -184,7 +184,8 @@ def padded_length(spark: SparkSession, d: str) -> DataFrame:
 
 def profile_sequence(spark: SparkSession, d: str) -> DataFrame:
     """J3 + W1 + W4 + X7 + X8 in the one-shuffle plan of a scan, as rows."""
-    rows = scan.profiles(proxy.accounts(spark, d), proxy.transactions(spark, d))
+    accounts, tx = proxy.accounts(spark, d), proxy.transactions(spark, d)
+    rows = scan.profiles(accounts, tx, with_transactions=False)
     steps = rows.select("address", F.posexplode("sequence").alias("step", "row"))
     return steps.select(
         "address", "step", *[F.col("row")[i].alias(f) for i, f in enumerate(SEQUENCE_FIELDS)]
@@ -193,7 +194,8 @@ def profile_sequence(spark: SparkSession, d: str) -> DataFrame:
 
 def pooled_sequence(spark: SparkSession, d: str) -> DataFrame:
     """M1: mean, maximum, first and std of the channels of the newest 50 rows."""
-    rows = scan.profiles(proxy.accounts(spark, d), proxy.transactions(spark, d))
+    accounts, tx = proxy.accounts(spark, d), proxy.transactions(spark, d)
+    rows = scan.profiles(accounts, tx, with_transactions=False)
     pooled = rows.select("address", seq.pool(F.col("sequence")).alias("v"))
     return pooled.select(
         "address", *[F.round(F.col("v")[i], 4).alias(n) for i, n in enumerate(seq.pool_names())]

@@ -69,6 +69,66 @@ def _level_one(history: DataFrame) -> DataFrame:
     )
 
 
+def _totals() -> dict[str, Column]:
+    """Counts, sums and extremes over prepared rows."""
+    out = {
+        "total": F.count(F.lit(1)),
+        "timed": F.count("ts"),
+        "ts_first": F.min("ts"),
+        "ts_last": F.max("ts"),
+        "created": F.count_if("is_created"),
+    }
+    for g in _GROUPS:
+        # Sums are decimal, so that their order does not matter; extremes are
+        # the same in double, and cheaper.
+        value = F.when(F.col(f"is_{g}"), F.col("ether"))
+        out[f"{g}_n"] = F.count(value)
+        out[f"{g}_min"] = F.min(value)
+        out[f"{g}_max"] = F.max(value)
+        out[f"{g}_sum"] = F.sum(F.when(F.col(f"is_{g}"), F.col("wei")))
+    for g in ("sent", "received"):
+        ts = F.when(F.col(f"is_{g}"), F.col("ts"))
+        out[f"{g}_timed"] = F.count(ts)
+        out[f"{g}_first"] = F.min(ts)
+        out[f"{g}_last"] = F.max(ts)
+    return out
+
+
+def _fold(rows: DataFrame) -> DataFrame:
+    """One row per account by way of one row per account and counterparty."""
+    totals = _totals()
+    pairs = rows.groupBy("address", "other").agg(*[c.alias(n) for n, c in totals.items()])
+
+    def merged(name: str) -> Column:
+        if name.endswith(("_min", "_first")):
+            return F.min(name)
+        if name.endswith(("_max", "_last")):
+            return F.max(name)
+        return F.sum(name)
+
+    return pairs.groupBy("address").agg(
+        *[merged(n).alias(n) for n in totals],
+        F.count_if((F.col("sent_n") > 0) & (F.col("other") != "")).alias("unique_sent_to"),
+        F.count_if(F.col("received_n") > 0).alias("unique_received_from"),
+    )
+
+
+def _fold_short(rows: DataFrame) -> DataFrame:
+    """The same for histories cut to the newest ``k`` with ``carried``: at most
+    ``k`` rows meet per account, so sets and lists of them are small."""
+    other = F.col("other")
+
+    def distinct(condition: Column) -> Column:
+        return F.size(F.collect_set(F.when(condition, other))).cast("bigint")
+
+    return rows.groupBy("address").agg(
+        *[c.alias(n) for n, c in _totals().items()],
+        distinct(F.col("is_sent") & (other != "")).alias("unique_sent_to"),
+        distinct(F.col("is_received")).alias("unique_received_from"),
+        F.collect_list("carried").alias("carried"),
+    )
+
+
 def _mean_gap(role: str, gap_order: str) -> Column:
     """Consecutive gaps telescope to (last - first) / (n - 1).
 
@@ -96,56 +156,10 @@ def account_features(
     if exclude_failed:
         history = history.where(safe_int("is_error") == 0)
     rows = _level_one(history)
-    carried = "carried" in rows.columns
-
-    first = [F.count(F.lit(1)).alias("n"), F.min("ts").alias("ts_min"), F.max("ts").alias("ts_max")]
-    first += [F.count("ts").alias("ts_n"), F.count_if("is_created").alias("created")]
-    for g in _GROUPS:
-        # Sums are decimal, so that their order does not matter; extremes are
-        # the same in double, and cheaper.
-        value = F.when(F.col(f"is_{g}"), F.col("ether"))
-        first += [
-            F.count(value).alias(f"{g}_n"),
-            F.min(value).alias(f"{g}_min"),
-            F.max(value).alias(f"{g}_max"),
-            F.sum(F.when(F.col(f"is_{g}"), F.col("wei"))).alias(f"{g}_sum"),
-        ]
-    for g in ("sent", "received"):
-        when = F.when(F.col(f"is_{g}"), F.col("ts"))
-        first += [
-            F.count(when).alias(f"{g}_ts_n"),
-            F.min(when).alias(f"{g}_ts_min"),
-            F.max(when).alias(f"{g}_ts_max"),
-        ]
-    if carried:
-        first.append(F.collect_list("carried").alias("carried"))
-    pairs = rows.groupBy("address", "other").agg(*first)
-
-    second = [
-        F.sum("n").alias("total"),
-        F.sum("ts_n").alias("timed"),
-        F.min("ts_min").alias("ts_first"),
-        F.max("ts_max").alias("ts_last"),
-        F.sum("created").alias("created"),
-        F.count_if((F.col("sent_n") > 0) & (F.col("other") != "")).alias("unique_sent_to"),
-        F.count_if(F.col("received_n") > 0).alias("unique_received_from"),
-    ]
-    for g in _GROUPS:
-        second += [
-            F.sum(f"{g}_n").alias(f"{g}_n"),
-            F.min(f"{g}_min").alias(f"{g}_min"),
-            F.max(f"{g}_max").alias(f"{g}_max"),
-            F.sum(f"{g}_sum").alias(f"{g}_sum"),
-        ]
-    for g in ("sent", "received"):
-        second += [
-            F.sum(f"{g}_ts_n").alias(f"{g}_timed"),
-            F.min(f"{g}_ts_min").alias(f"{g}_first"),
-            F.max(f"{g}_ts_max").alias(f"{g}_last"),
-        ]
-    if carried:
-        second.append(F.flatten(F.collect_list("carried")).alias("carried"))
-    folded = pairs.groupBy("address").agg(*second)
+    if "carried" in rows.columns:
+        folded = _fold_short(rows)
+    else:
+        folded = _fold(rows)
 
     def amount(column: str) -> Column:
         return F.coalesce(F.col(column), F.lit(0.0))
@@ -185,7 +199,7 @@ def account_features(
     return folded.select(
         "address",
         *[features[name].alias(name) for name in COMPUTED_FEATURES],
-        *([F.col("carried")] if carried else []),
+        *([F.col("carried")] if "carried" in folded.columns else []),
     )
 
 

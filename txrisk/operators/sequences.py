@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,21 +15,14 @@ _WHOLE_NUMBERS = (
     "transaction_index", "confirmations",
 )
 
-Getter = Callable[[str], Column]
-
 
-def is_well_formed(get: Getter = F.col) -> Column:
-    """F8: every number of the transaction is blank or parses.
-
-    ``get`` turns a field name into a column, so the same rule works on
-    columns of a table and on fields of a struct.
-    """
+def is_well_formed() -> Column:
+    """F8: every number of the transaction is blank or parses."""
     # A gas price may exceed 64 bits; it still has to be a whole number.
-    price = get("gas_price")
-    ok = is_blank(price) | price.rlike(r"^\s*[+-]?[0-9]+\s*\z")
-    ok = ok & readable(get("value"), "decimal(38,0)")
+    whole = F.col("gas_price").rlike(r"^\s*[+-]?[0-9]+\s*\z")
+    ok = (is_blank("gas_price") | whole) & readable("value", "decimal(38,0)")
     for name in _WHOLE_NUMBERS:
-        ok = ok & readable(get(name))
+        ok = ok & readable(name)
     return ok
 
 
@@ -40,23 +31,23 @@ def drop_malformed(tx: DataFrame) -> DataFrame:
     return tx.where(is_well_formed())
 
 
-def sequence_values(get: Getter = F.col) -> dict[str, Column]:
+def sequence_values() -> dict[str, Column]:
     """The ten numbers of a transaction, in model order.
 
     Fixed values: the divisors and moduli are part of the model's input.
     """
     million = F.lit(1_000_000).cast("bigint")
     values = {
-        "timestamp": F.pmod(safe_int(get("time_stamp")), million),
-        "value": ether(get("value")),
-        "gas": safe_int(get("gas")) / 1e6,
-        "gas_price": wei(get("gas_price")).cast("double") / 1e9,
-        "gas_used": safe_int(get("gas_used")) / 1e6,
-        "is_error": safe_int(get("is_error")),
+        "timestamp": F.pmod(safe_int("time_stamp"), million),
+        "value": ether("value"),
+        "gas": safe_int("gas") / 1e6,
+        "gas_price": wei("gas_price").cast("double") / 1e9,
+        "gas_used": safe_int("gas_used") / 1e6,
+        "is_error": safe_int("is_error"),
         "tx_type": F.lit(0.0),
-        "block_number": F.pmod(safe_int(get("block_number")), million),
-        "transaction_index": safe_int(get("transaction_index")),
-        "confirmations": safe_int(get("confirmations")) / 100,
+        "block_number": F.pmod(safe_int("block_number"), million),
+        "transaction_index": safe_int("transaction_index"),
+        "confirmations": safe_int("confirmations") / 100,
     }
     return {name: values[name].cast("double") for name in SEQUENCE_FIELDS}
 
@@ -127,23 +118,15 @@ def to_matrix(steps: DataFrame, length: int = SEQUENCE_LENGTH) -> DataFrame:
     return gathered.select("address", pad_matrix(matrix, length, len(values)).alias("sequence"))
 
 
-def matrix_of_list(transactions: Column, length: int = SEQUENCE_LENGTH) -> Column:
-    """W4 + X7 + X8 inside a row, for a list already cut to the newest ``k``.
+def step_of_row() -> Column:
+    """F8 + X7: the ten numbers of a transaction, null if it is malformed."""
+    return F.when(is_well_formed(), F.array(*sequence_values().values()))
 
-    The elements are structs with the raw fields and ``rank``, the position in
-    the newest-first list.
-    """
-    good = F.filter(transactions, lambda t: is_well_formed(t.getField))
-    keyed = F.transform(
-        good,
-        lambda t: F.struct(
-            (-safe_int(t["time_stamp"])).alias("age"),
-            t["rank"].alias("rank"),
-            F.array(*sequence_values(t.getField).values()).alias("row"),
-        ),
-    )
-    newest = F.slice(F.sort_array(keyed), 1, length)
-    return pad_matrix(F.transform(newest, lambda t: t["row"]), length)
+
+def matrix_of_steps(steps: Column, length: int = SEQUENCE_LENGTH) -> Column:
+    """W4 + X8 inside a row, for the steps of a newest-first list."""
+    good = F.filter(steps, lambda s: s.isNotNull())
+    return pad_matrix(F.slice(good, 1, length), length)
 
 
 def pool_names() -> list[str]:

@@ -15,17 +15,23 @@ from txrisk.functions.scalars import address_check
 from txrisk.operators.features import account_features, features_for, narrow
 from txrisk.operators.history import batch_index, recent
 from txrisk.operators.incidence import history_for, history_split, with_roles
-from txrisk.operators.sequences import matrix_of_list
+from txrisk.operators.sequences import matrix_of_steps, step_of_row
 from txrisk.operators.skew import fits_broadcast
 from txrisk.plans.model import RiskModel, score
 from txrisk.schemas import COMPUTED_FEATURES, HISTORY_COLUMNS, SEQUENCE_LENGTH
 from txrisk.sources.tables import write_results
 
 
-def used_transactions(ranked: DataFrame) -> DataFrame:
-    """Adds ``carried``: rank and raw fields of a transaction as one struct."""
-    fields = [c for c in HISTORY_COLUMNS if c in ranked.columns]
-    return ranked.withColumn("carried", F.struct("rank", *fields))
+def _raw_fields(df: DataFrame) -> list[str]:
+    return [c for c in HISTORY_COLUMNS if c in df.columns]
+
+
+def _used(ranked: Column, fields: list[str]) -> Column:
+    """The raw fields of a list of ranked transactions, newest first."""
+    used = F.transform(
+        F.sort_array(ranked), lambda t: F.struct(*[t.getField(f).alias(f) for f in fields])
+    )
+    return F.coalesce(used, F.array())
 
 
 def nest_transactions(df: DataFrame, ranked: DataFrame) -> DataFrame:
@@ -33,21 +39,15 @@ def nest_transactions(df: DataFrame, ranked: DataFrame) -> DataFrame:
 
     ``ranked`` was cut to the newest ``k`` before, which bounds the list.
     """
-    lists = (
-        used_transactions(ranked)
-        .groupBy("address")
-        .agg(F.sort_array(F.collect_list("carried")).alias("transactions_used"))
+    fields = _raw_fields(ranked)
+    lists = ranked.groupBy("address").agg(
+        F.collect_list(F.struct("rank", *fields)).alias("transactions_used")
     )
     return df.join(lists, "address", "left").withColumn(
-        "transactions_used", _without_rank(F.col("transactions_used"))
+        "transactions_used", _used(F.col("transactions_used"), fields)
     )
 
 
-def _without_rank(transactions: Column) -> Column:
-    none = F.transform(transactions, lambda t: t.dropFields("rank"))
-    return F.coalesce(none, F.array())
-
-
 def behaviour(
     addresses: DataFrame | None,
     tx: DataFrame,
@@ -79,26 +79,29 @@ def profiles(
     gap_order: str = "desc",
     hot: DataFrame | None = None,
     keyed: bool = False,
+    with_transactions: bool = True,
 ) -> DataFrame:
     """Features, sequence and used transactions of every listed account.
 
     ``tx`` is a bulk table of transactions; with ``keyed=True`` its rows already
-    belong to an account, as those of ``read_explorer`` do.
+    belong to an account, as those of ``read_explorer`` do.  The newest-first
+    order of the ranking is the order of the sequence, too.
     """
     fits = fits_broadcast(addresses)
     if keyed:
         history = with_roles(tx.withColumn("address", F.lower("address")))
     else:
         history = history_split(addresses, tx, hot, fits)
-    ranked = used_transactions(recent(history, k, hot))
-    found = account_features(ranked, gap_order)
-    listed = features_for(addresses, found, fits)
-    transactions = F.sort_array("carried")
-    return listed.select(
-        *[c for c in listed.columns if c != "carried"],
-        matrix_of_list(F.coalesce(transactions, F.array()), length).alias("sequence"),
-        _without_rank(transactions).alias("transactions_used"),
-    )
+    ranked = recent(history, k, hot)
+    fields = _raw_fields(ranked) if with_transactions else []
+    carried = ranked.withColumn("carried", F.struct("rank", step_of_row().alias("step"), *fields))
+    listed = features_for(addresses, account_features(carried, gap_order), fits)
+    steps = F.transform(F.sort_array("carried"), lambda t: t["step"])
+    own = [c for c in listed.columns if c != "carried"]
+    out = [*own, matrix_of_steps(F.coalesce(steps, F.array()), length).alias("sequence")]
+    if with_transactions:
+        out.append(_used(F.col("carried"), fields).alias("transactions_used"))
+    return listed.select(*out)
 
 
 def scan(

@@ -59,7 +59,7 @@ def prepare(
 ) -> DataFrame:
     """Training table from labelled accounts and explorer transactions, with the
     features and sequences that scoring uses."""
-    return profiles(addresses, tx, k, length).drop("transactions_used")
+    return profiles(addresses, tx, k, length, with_transactions=False)
 
 
 def fit(
