@@ -197,8 +197,13 @@ def pooled_sequence(spark: SparkSession, d: str) -> DataFrame:
     accounts, tx = proxy.accounts(spark, d), proxy.transactions(spark, d)
     rows = scan.profiles(accounts, tx, with_transactions=False)
     pooled = rows.select("address", seq.pool(F.col("sequence")).alias("v"))
+    # Means are fractions with few digits, which would tie at a coarse rounding.
     return pooled.select(
-        "address", *[F.round(F.col("v")[i], 4).alias(n) for i, n in enumerate(seq.pool_names())]
+        "address",
+        *[
+            F.round(F.col("v")[i], 4 if n.startswith("std") else 9).alias(n)
+            for i, n in enumerate(seq.pool_names())
+        ],
     )
 
 

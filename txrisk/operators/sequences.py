@@ -140,16 +140,24 @@ def pool(matrix: Column) -> Column:
     Taken over the padded matrix, so an account without history gets zeros.
     """
     n = F.size(matrix)
+    width = range(SEQUENCE_WIDTH)
 
-    def channel(i: int) -> Column:
-        return F.transform(matrix, lambda r: r[i])
-
-    channels = [channel(i) for i in range(SEQUENCE_WIDTH)]
+    def channel(i: int, shift: Column | None = None) -> Column:
+        return F.transform(matrix, lambda r: r[i] if shift is None else r[i] - shift)
 
     def total(values: Column) -> Column:
         return F.aggregate(values, F.lit(0.0), lambda a, v: a + v)
 
-    means = [total(c) / n for c in channels]
-    squares = [total(F.transform(c, lambda v: v * v)) / n for c in channels]
-    stds = [F.sqrt(F.greatest(s - m * m, F.lit(0.0))) for s, m in zip(squares, means)]
-    return F.array(*means, *[F.array_max(c) for c in channels], *[c[0] for c in channels], *stds)
+    def std(i: int) -> Column:
+        # Measured from the first value: raw squares would cancel each other out.
+        away = channel(i, matrix[0][i])
+        square = total(F.transform(away, lambda v: v * v)) / n
+        mean = total(away) / n
+        return F.sqrt(F.greatest(square - mean * mean, F.lit(0.0)))
+
+    return F.array(
+        *[total(channel(i)) / n for i in width],
+        *[F.array_max(channel(i)) for i in width],
+        *[matrix[0][i] for i in width],
+        *[std(i) for i in width],
+    )

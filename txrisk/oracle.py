@@ -261,7 +261,8 @@ def statements() -> dict[str, str]:
     pooled = []
     for kind in ("avg({})", "max({})", "max({}) filter (where step = 0)", "stddev_pop({})"):
         name = {"a": "mean", "s": "std"}.get(kind[0]) or ("first" if "filter" in kind else "max")
-        pooled += [f"round({kind.format(f)}, 4) as {name}_{f}" for f in SEQUENCE_FIELDS]
+        digits = 4 if name == "std" else 9
+        pooled += [f"round({kind.format(f)}, {digits}) as {name}_{f}" for f in SEQUENCE_FIELDS]
 
     return {
         "account_features": f"with {FEATS} select address, {feature_list} from feats",
