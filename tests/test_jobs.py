@@ -3,7 +3,9 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from txrisk.operators.incidence import account_rows
 from txrisk.operators.sequences import pool
+from txrisk.operators.skew import hot_keys
 from txrisk.plans import explain, model, scan, training
 from txrisk.schemas import COMPUTED_FEATURES, STATIC_FEATURES
 from txrisk.sources import explorer, tables
@@ -85,6 +87,19 @@ def test_features_round_trip(spark, tmp_path, make_tx, listed):
     assert tables.read_features(spark, str(tmp_path / "f")).collect() == df.collect()
 
 
+@pytest.mark.parametrize("hot_rows", [None, 1])
+def test_kept_history_reads_only_the_folders_of_the_list(spark, make_tx, listed, tmp_path, hot_rows):
+    tx = make_tx(*[{"from_address": f"0x{i % 5}", "time_stamp": str(i + 1)} for i in range(40)])
+    hot = hot_keys(account_rows(tx), "address", hot_rows) if hot_rows else None
+    tables.write_history(tx, str(tmp_path / "h"), shards=64, hot=hot)
+    some = listed("0x1", "0X3")
+    kept = tables.read_history(spark, str(tmp_path / "h"), some, shards=64)
+    assert 1 <= kept.select("shard").distinct().count() <= 2
+    a = scan.profiles(some, tx).orderBy("address").collect()
+    assert scan.profiles(some, kept, keyed=True).orderBy("address").collect() == a
+    assert tables.read_history(spark, str(tmp_path / "h")).count() == 80
+
+
 # -- models -------------------------------------------------------------------
 
 
@@ -241,9 +256,16 @@ def test_stream_equals_batch_and_survives_a_replay(spark, make_tx, fitted, tmp_p
         return sorted(map(tuple, found.collect()))
 
     asked = spark.createDataFrame([("0xa",), ("0xb",)], "address string")
+    tables.write_history(tx, str(tmp_path / "h"), shards=8)
+    lookup = lambda some: tables.read_history(spark, str(tmp_path / "h"), some, 8)
+    requests.scan_stream(
+        requests.read_requests(spark, str(source)), lookup, fitted, str(tmp_path / "kept"),
+        str(tmp_path / "s0"), keyed=True,
+    ).awaitTermination()
+    kept = spark.read.json(str(tmp_path / "kept")).select("address", "prediction.fraud_probability")
     batch = scan.scan(asked, tx, fitted).select("address", "prediction.fraud_probability")
     first = run("s1")
-    assert first == sorted(map(tuple, batch.collect()))
+    assert first == sorted(map(tuple, batch.collect())) == sorted(map(tuple, kept.collect()))
     # The same batch again, as after a lost acknowledgement.
     assert run("s2") == first
     (source / "2.json").write_text('{"address": "0xc"}\n')

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from txrisk.functions.scalars import run_stamp
+from txrisk.functions.scalars import Col, _c, run_stamp
+from txrisk.operators.incidence import account_rows, hot_accounts
+from txrisk.operators.skew import fits_broadcast
 from txrisk.schemas import ADDRESS_SCHEMA, snake_case
 
 
+# Folders of a kept history.
+SHARDS = 1_024
+
+
 def _header(spark: SparkSession, path: str) -> list[str]:
     """Column names of a CSV, taken from its first line."""
     return spark.read.csv(path, header=True).columns
@@ -73,6 +79,51 @@ def read_features(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def shard_of(address: Col, shards: int) -> Column:
+    """Folder of an account in a kept history."""
+    return F.pmod(F.xxhash64(F.lower(_c(address))), F.lit(shards)).cast("int")
+
+
+def write_history(
+    tx: DataFrame, path: str, shards: int = SHARDS, hot: DataFrame | None = None
+) -> None:
+    """Keeps the histories of all accounts, in folders by a hash of the account.
+
+    A later scan of a few accounts reads their folders only, the way an explorer
+    looks accounts up by key.  The rows of a hub account are written by many
+    tasks into its folder.
+    """
+    hot = hot_accounts(tx) if hot is None else hot
+    rows = account_rows(tx).join(F.broadcast(hot), "address", "left")
+    piece = F.coalesce(F.pmod(F.xxhash64("pos"), F.col("pieces")), F.lit(0))
+    (
+        rows.withColumn("shard", shard_of("address", shards))
+        .withColumn("piece", piece)
+        .drop("pieces")
+        .repartition("shard", "piece")
+        .sortWithinPartitions("shard", "address")
+        .drop("piece")
+        .write.mode("overwrite")
+        .partitionBy("shard")
+        .parquet(path)
+    )
+
+
+def read_history(
+    spark: SparkSession, path: str, addresses: DataFrame | None = None, shards: int = SHARDS
+) -> DataFrame:
+    """Reads kept histories; with a list, only the folders of its accounts.
+
+    The folders of a list that fits a broadcast are looked up first: at most
+    ``shards`` numbers.
+    """
+    history = spark.read.parquet(path)
+    if addresses is not None and fits_broadcast(addresses):
+        wanted = addresses.select(shard_of("address", shards).alias("shard")).distinct().collect()
+        history = history.where(F.col("shard").isin([r["shard"] for r in wanted]))
+    return history
+
+
 def write_results(df: DataFrame, folder: str) -> str:
     """Results as JSON in a folder named by the time."""
     stamp = df.sparkSession.range(1).select(run_stamp()).first()[0]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
@@ -18,7 +20,7 @@ def read_requests(spark: SparkSession, path: str, per_trigger: int = 100) -> Dat
 
 def scan_stream(
     requests: DataFrame,
-    tx: DataFrame,
+    tx: DataFrame | Callable[[DataFrame], DataFrame],
     model: RiskModel,
     sink: str,
     checkpoint_dir: str,
@@ -31,12 +33,15 @@ def scan_stream(
 
     A batch goes to a folder named by its id, which a replay overwrites, so
     every request is answered once.  Requests are independent of each other:
-    there is no state and no watermark.
+    there is no state and no watermark.  ``tx`` may be a function from the
+    requested accounts to their transactions, such as ``read_history`` on a kept
+    history, so that a batch does not read all transactions.
     """
 
     def answer(batch: DataFrame, batch_id: int) -> None:
         good, _ = check_requests(batch, strict)
-        scan(good, tx, model, k, keyed=keyed).write.mode("overwrite").json(f"{sink}/batch={batch_id}")
+        rows = tx(good) if callable(tx) else tx
+        scan(good, rows, model, k, keyed=keyed).write.mode("overwrite").json(f"{sink}/batch={batch_id}")
 
     writer = requests.writeStream.foreachBatch(answer).option("checkpointLocation", checkpoint_dir)
     if available_now:
