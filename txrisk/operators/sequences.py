@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -140,24 +142,19 @@ def pool(matrix: Column) -> Column:
     Taken over the padded matrix, so an account without history gets zeros.
     """
     n = F.size(matrix)
-    width = range(SEQUENCE_WIDTH)
-
-    def channel(i: int, shift: Column | None = None) -> Column:
-        return F.transform(matrix, lambda r: r[i] if shift is None else r[i] - shift)
-
-    def total(values: Column) -> Column:
-        return F.aggregate(values, F.lit(0.0), lambda a, v: a + v)
-
-    def std(i: int) -> Column:
-        # Measured from the first value: raw squares would cancel each other out.
-        away = channel(i, matrix[0][i])
-        square = total(F.transform(away, lambda v: v * v)) / n
-        mean = total(away) / n
-        return F.sqrt(F.greatest(square - mean * mean, F.lit(0.0)))
-
-    return F.array(
-        *[total(channel(i)) / n for i in width],
-        *[F.array_max(channel(i)) for i in width],
-        *[matrix[0][i] for i in width],
-        *[std(i) for i in width],
-    )
+
+    def total(f: Callable[[Column], Column]) -> Column:
+        return F.aggregate(matrix, F.lit(0.0), lambda a, row: a + f(row))
+
+    means, tops, firsts, stds = [], [], [], []
+    for i in range(SEQUENCE_WIDTH):
+        first = matrix[0][i]
+        mean = total(lambda row: row[i]) / n
+        # Squares are taken from the first value: raw ones would cancel out.
+        square = total(lambda row: (row[i] - first) * (row[i] - first)) / n
+        away = mean - first
+        means.append(mean)
+        tops.append(F.aggregate(matrix, first, lambda a, row: F.greatest(a, row[i])))
+        firsts.append(first)
+        stds.append(F.sqrt(F.greatest(square - away * away, F.lit(0.0))))
+    return F.array(*means, *tops, *firsts, *stds)
