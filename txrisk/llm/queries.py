@@ -6,18 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from txrisk.llm import winnow
+from txrisk.llm import linebloom, winnow
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op8_line_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linebloom.summary(_table(spark, sf_dir, "documents"))
+
+
 def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op8_line_bloom": op8_line_bloom,
     "op10_winnowing": op10_winnowing,
 }
 
@@ -25,6 +30,22 @@ _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxy
 _WORDS = "regexp_extract_all(" + _LOWER + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 SQL = {
+    "op8_line_bloom": r"""
+with lines as (
+  select doc_id, r, i, line,
+    translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') k
+  from (select doc_id, r, unnest(l) line, generate_subscripts(l, 1) i
+    from (select doc_id, row_number() over () r, string_split(coalesce(text, ''), chr(10)) l from documents))),
+bad as (
+  select k, max(doc_id) keeper from lines where length(k) >= 20 group by k having count(distinct r) >= 3),
+marked as (
+  select doc_id, r, i, line, keeper is not null and doc_id is distinct from keeper gone
+  from lines left join bad using (k))
+select doc_id, count(*) n_lines, count(*) filter (where gone) n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) order by i) filter (where not gone), '')) kept_sha256
+from marked group by doc_id, r
+""",
     "op10_winnowing": f"""
 with items as (
   select cast(item_id as varchar) item_id, {_WORDS.format("coalesce(text, '')")} w from benchmark),
