@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from txrisk.llm import linebloom, toxicity, winnow
+from txrisk.llm import bagminhash, linebloom, toxicity, winnow
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op2_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
 
 
+def op3_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bagminhash.near_copies(_table(spark, sf_dir, "documents"))
+
+
 def op8_line_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linebloom.summary(_table(spark, sf_dir, "documents"))
 
@@ -28,6 +32,7 @@ def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ordinal_toxicity": op2_ordinal_toxicity,
+    "op3_bag_minhash": op3_bag_minhash,
     "op8_line_bloom": op8_line_bloom,
     "op10_winnowing": op10_winnowing,
 }
