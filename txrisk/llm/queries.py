@@ -6,13 +6,28 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from txrisk.llm import bagminhash, linebloom, toxicity, winnow
+from txrisk.llm import bagminhash, linebloom, packing, planes, toxicity, winnow
+from txrisk.llm.common import new_folder
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _vocabulary(name: str) -> str:
+    """Where the public tokenizer package keeps a file; the operators take any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_folder(spark, "planes")
+    docs = _table(spark, sf_dir, "documents")
+    planes.write_ids(docs, folder, _vocabulary("byte_bpe_50k.json"), end_id=0)
+    return planes.digests(spark, folder)
+
+
 def op2_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
@@ -22,6 +37,10 @@ def op3_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bagminhash.near_copies(_table(spark, sf_dir, "documents"))
 
 
+def op4_order_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"), end_id=1)
+
+
 def op8_line_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linebloom.summary(_table(spark, sf_dir, "documents"))
 
@@ -31,8 +50,10 @@ def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_bit_planes": op1_bit_planes,
     "op2_ordinal_toxicity": op2_ordinal_toxicity,
     "op3_bag_minhash": op3_bag_minhash,
+    "op4_order_packing": op4_order_packing,
     "op8_line_bloom": op8_line_bloom,
     "op10_winnowing": op10_winnowing,
 }

@@ -19,6 +19,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -152,8 +153,6 @@ def score(docs: DataFrame, model: OrdinalModel) -> DataFrame:
 
 def clean(docs: DataFrame, model: OrdinalModel) -> DataFrame:
     """``docs``, all columns, without the flagged documents."""
-    import pandas as pd
-
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("boolean")
