@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from txrisk.llm import bagminhash, linebloom, packing, planes, toxicity, winnow
+from txrisk.llm import bagminhash, linebloom, packing, pii, planes, secretlinks, toxicity, winnow
 from txrisk.llm.common import new_folder
 
 
@@ -41,6 +41,15 @@ def op4_order_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"), end_id=1)
 
 
+def op5_weak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return pii.find(docs, pii.fit(docs))
+
+
+def op6_linked_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secretlinks.find(_table(spark, sf_dir, "documents"))
+
+
 def op8_line_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linebloom.summary(_table(spark, sf_dir, "documents"))
 
@@ -54,6 +63,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ordinal_toxicity": op2_ordinal_toxicity,
     "op3_bag_minhash": op3_bag_minhash,
     "op4_order_packing": op4_order_packing,
+    "op5_weak_labels": op5_weak_labels,
+    "op6_linked_secrets": op6_linked_secrets,
     "op8_line_bloom": op8_line_bloom,
     "op10_winnowing": op10_winnowing,
 }
