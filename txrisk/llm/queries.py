@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from txrisk.llm import bagminhash, linebloom, packing, pii, planes, secretlinks, toxicity, winnow
+from txrisk.llm import bagminhash, blockknn, linebloom, packing, pii, planes, secretlinks, toxicity, winnow
 from txrisk.llm.common import new_folder
 
 
@@ -50,6 +51,11 @@ def op6_linked_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secretlinks.find(_table(spark, sf_dir, "documents"))
 
 
+def op7_block_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return blockknn.nearest(vectors, vectors.where(F.col("vec_id") % 20 == 0), 20)
+
+
 def op8_line_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linebloom.summary(_table(spark, sf_dir, "documents"))
 
@@ -65,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_order_packing": op4_order_packing,
     "op5_weak_labels": op5_weak_labels,
     "op6_linked_secrets": op6_linked_secrets,
+    "op7_block_join": op7_block_join,
     "op8_line_bloom": op8_line_bloom,
     "op10_winnowing": op10_winnowing,
 }
@@ -73,6 +80,20 @@ _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxy
 _WORDS = "regexp_extract_all(" + _LOWER + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 SQL = {
+    "op7_block_join": """
+with v as (
+  select vec_id, cast(embedding as double[]) e from embeddings
+  where vec_id is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+    and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+pairs as (
+  select q.vec_id query_id, v.vec_id,
+    list_reduce(list_prepend(0.0::double, list_transform(list_zip(q.e, v.e), lambda x: x[1] * x[2])), lambda a, b: a + b) score
+  from v q join v on q.vec_id % 20 = 0 and q.vec_id <> v.vec_id and len(q.e) = len(v.e)),
+ranked as (
+  select *, row_number() over (partition by query_id order by score desc, vec_id) r from pairs)
+select query_id, cast(r as integer) rank, vec_id, score from ranked where r <= 20
+""",
     "op8_line_bloom": r"""
 with lines as (
   select doc_id, r, i, line,
