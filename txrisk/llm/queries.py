@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txrisk.llm import bagminhash, blockknn, linebloom, packing, pii, planes, secretlinks, toxicity, winnow
+from txrisk.llm import bagminhash, blockknn, linebloom, packing, pii, planes, secretlinks, toxicity, urltree, winnow
 from txrisk.llm.common import new_folder
 
 
@@ -60,6 +60,19 @@ def op8_line_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linebloom.summary(_table(spark, sf_dir, "documents"))
 
 
+#: Fixed values of the contract: host, path, verdict.
+RULES = [
+    ("net", "/", "block"),
+    ("example.net", "/en/", "allow"),
+    ("example.com", "/de/", "block"),
+    ("org", "/fr/", "allow"),
+]
+
+
+def op9_template_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urltree.judged(_table(spark, sf_dir, "pages"), urltree.rules_table(spark, RULES))
+
+
 def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -73,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_linked_secrets": op6_linked_secrets,
     "op7_block_join": op7_block_join,
     "op8_line_bloom": op8_line_bloom,
+    "op9_template_tree": op9_template_tree,
     "op10_winnowing": op10_winnowing,
 }
 
@@ -80,6 +94,7 @@ _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxy
 _WORDS = "regexp_extract_all(" + _LOWER + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 SQL = {
+    "op9_template_tree": urltree.sql(RULES),
     "op7_block_join": """
 with v as (
   select vec_id, cast(embedding as double[]) e from embeddings
