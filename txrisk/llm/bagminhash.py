@@ -30,8 +30,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from txrisk.llm.common import slices, stored, texts
+from txrisk.llm.common import stored, texts
 from txrisk.llm.components import components
+from txrisk.llm.idfilter import id_filter, without
 from txrisk.llm.words import batches, mix, shingles
 
 WORDS = 5
@@ -132,11 +133,28 @@ def _signed(bands: int, rows: int):
     return run
 
 
-def _bagged(parts):
-    """Bags as bytes: for each shingle as many distinct hashes as its count, sorted."""
+def _bagged(shared):
+    """Bags as bytes: for each shingle as many distinct hashes as its count, sorted.
+
+    Only of documents that the shared filter marks.
+    """
+
+    def run(parts):
+        import pyarrow as pa
+
+        for batch in parts:
+            ids = batch.column("doc_id")
+            wanted = shared.value.maybe(ids.fill_null(0).to_numpy(zero_copy_only=False))
+            batch = batch.filter(pa.array(wanted & ids.is_valid().to_numpy(zero_copy_only=False)))
+            yield from _bags_of(batch)
+
+    return run
+
+
+def _bags_of(batch):
     import pyarrow as pa
 
-    for batch in parts:
+    if batch.num_rows:
         for low, high, found, owner in batches(batch.column("text"), 1 << 19):
             n = high - low
             shingle, own, count = bags(found, owner, n)
@@ -215,12 +233,10 @@ def _links(plain: DataFrame, members: DataFrame, least: float) -> tuple[DataFram
     pairs = stored(
         left.where("doc <> hub").select(F.col("hub").alias("a"), F.col("doc").alias("b")).distinct(), "pairs"
     )
+    # Bags of the documents in pairs only, made where the texts are.
     wanted = stored(pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct(), "wanted")
-    wanted = wanted.withColumnRenamed("doc", "doc_id")
-    bag = stored(
-        plain.join(wanted, "doc_id", "left_semi").mapInArrow(_bagged, "doc long, bag binary"),
-        "bags",
-    )
+    shared = plain.sparkSession.sparkContext.broadcast(id_filter(wanted))
+    bag = stored(plain.mapInArrow(_bagged(shared), "doc long, bag binary"), "bags")
     links = stored(_verified(pairs, bag, least), "links")
     classes = components(links)
     tried = pairs
@@ -259,6 +275,5 @@ def one_of_each(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
 
     Rows that share that doc_id all stay, and so do rows with a null doc_id.
     """
-    gone = near_copies(docs, least).where("doc_id <> class_id").select(F.col("doc_id").alias("__doc"))
-    gone = stored(gone.distinct(), "copies")
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("__doc"), "left_anti")
+    gone = near_copies(docs, least).where("doc_id <> class_id").select("doc_id")
+    return without(docs, stored(gone.distinct(), "copies"))

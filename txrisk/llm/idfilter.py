@@ -1,0 +1,121 @@
+"""A Bloom filter over ids, to keep rows without a partner out of a shuffle.
+
+The filter has a bounded size whatever the number of ids, so it may be broadcast; with
+more ids than it is made for, more rows take the exact way, and none is lost.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from txrisk.llm.words import mix
+
+#: Bits of a filter, at least and at most (64 MB), and of a segment.
+LEAST_BITS, MOST_BITS, SEGMENT_BITS = 1 << 21, 1 << 29, 1 << 21
+
+
+def _places(ids: np.ndarray, bits: int) -> np.ndarray:
+    """Two bits for each id."""
+    h = mix(ids.astype(np.int64).view(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    return np.stack([h, h >> np.uint64(32)], axis=1) & np.uint64(bits - 1)
+
+
+class IdFilter:
+    """``maybe(ids)``: true for every id that was put in, and for few others."""
+
+    def __init__(self, packed: bytes, bits: int):
+        self.packed, self.bits = packed, bits
+
+    def __getstate__(self):
+        return {"packed": self.packed, "bits": self.bits}
+
+    def maybe(self, ids: np.ndarray) -> np.ndarray:
+        import zstandard
+
+        if "array" not in self.__dict__:
+            self.array = np.frombuffer(zstandard.ZstdDecompressor().decompress(self.packed), np.uint8)
+        at = _places(ids, self.bits)
+        return ((self.array[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).all(axis=1)
+
+
+def _build(bits: int):
+    def run(batches):
+        import pyarrow as pa
+        import zstandard
+
+        array, size = np.zeros(bits // 8, np.uint8), SEGMENT_BITS // 8
+        for batch in batches:
+            at = _places(batch.column(0).to_numpy(zero_copy_only=False), bits).ravel()
+            np.bitwise_or.at(array, at >> np.uint64(3), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+        pack = zstandard.ZstdCompressor(1).compress
+        for s in range(bits // SEGMENT_BITS):
+            part = array[s * size : (s + 1) * size]
+            if part.any():
+                yield pa.RecordBatch.from_pydict({
+                    "segment": pa.array([s], pa.int32()), "part": pa.array([pack(part.tobytes())], pa.binary()),
+                })
+
+    return run
+
+
+def _merge(batches):
+    """Segments come sorted; one at a time is held."""
+    import pyarrow as pa
+    import zstandard
+
+    pack, unpack = zstandard.ZstdCompressor(1).compress, zstandard.ZstdDecompressor().decompress
+    at = whole = None
+
+    def out():
+        return pa.RecordBatch.from_pydict({
+            "segment": pa.array([at], pa.int32()), "part": pa.array([pack(whole.tobytes())], pa.binary()),
+        })
+
+    for batch in batches:
+        for s, part in zip(batch.column(0).to_pylist(), batch.column(1)):
+            part = np.frombuffer(unpack(part.as_py()), np.uint8)
+            if s != at:
+                if at is not None:
+                    yield out()
+                at, whole = s, part
+            else:
+                whole = whole | part
+    if at is not None:
+        yield out()
+
+
+def id_filter(ids: DataFrame) -> IdFilter:
+    """The filter over the only column of ``ids``, long and not null."""
+    import zstandard
+
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (16 * ids.count()).bit_length()))
+    kind = "segment int, part binary"
+    merged = (
+        ids.mapInArrow(_build(bits), kind).repartition("segment")
+        .sortWithinPartitions("segment").mapInArrow(_merge, kind)
+    )
+    whole, size = np.zeros(bits // 8, np.uint8), SEGMENT_BITS // 8
+    for row in merged.toLocalIterator():
+        part = zstandard.ZstdDecompressor().decompress(bytes(row["part"]))
+        whole[row["segment"] * size : (row["segment"] + 1) * size] = np.frombuffer(part, np.uint8)
+    return IdFilter(zstandard.ZstdCompressor(1).compress(whole.tobytes()), bits)
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose ``doc_id`` is in ``gone``, a column of ids.
+
+    Only rows that the filter marks are joined; all others stay where they are.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(id_filter(gone))
+
+    @F.pandas_udf("boolean")
+    def maybe(ids: pd.Series) -> pd.Series:
+        return pd.Series(shared.value.maybe(ids.to_numpy(np.int64)))
+
+    marked = maybe(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)))
+    key = gone.select(F.col(gone.columns[0]).alias("__gone")).hint("shuffle_hash")
+    rest = docs.where(marked).join(key, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+    return docs.where(~marked).unionByName(rest)
