@@ -5,14 +5,14 @@ lower case. A window is ``span`` words in a row of a benchmark item; an item of
 fewer words, but not none, is one window. A document word inside an occurrence of a
 window is hit.
 
-1. Fingerprints: of every run of 10 four-word hashes the smallest, which is the
-   same in any two texts that share 13 words in a row. So no shared span of
-   ``span`` words can be without a common fingerprint. Items of fewer words
-   use hashes of just as many words, without selection.
-2. The fingerprints of documents meet those of the benchmark; documents
-   without a common one are done.
-3. In the others every fingerprint hit is extended: hashes of ``span`` words mark the
-   places, and the words there are compared with the window's words.
+1. Fingerprints: every run of ``span`` words is marked by the smallest of its four-word
+   hashes, which is the same in any text that holds the run. Windows of fewer words
+   are marked by the hash of all of them.
+2. The fingerprints of documents meet those of the benchmark. A benchmark of a counted,
+   bounded size is broadcast, and documents are read once and not shuffled; for
+   a larger one fingerprints are shuffled, each once per document.
+3. Where a fingerprint is known the words are taken from the text and compared with the
+   windows' words.
 
 Null texts and texts without words have no hits; rows that share a doc_id are
 judged one by one. Nothing depends on other columns.
@@ -20,6 +20,8 @@ judged one by one. Nothing depends on other columns.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +31,7 @@ WORD = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 GRAM = 4
 
-#: Rows of benchmark windows that are broadcast (about 100 MB); beyond that they are shuffled.
+#: Benchmark windows that are broadcast (about 100 MB); more of them are shuffled.
 BROADCAST_ROWS = 500_000
 
 
@@ -75,36 +77,28 @@ def _grams(df: DataFrame, lengths: list[int]) -> DataFrame:
     return df
 
 
-def _marked(n: int) -> Column:
-    return F.transform(f"g{n}", lambda g: F.xxhash64(g, F.lit(n)))
-
-
-def _placed(n: int) -> Column:
-    """All grams of ``n`` words with their places."""
-    return F.transform(
-        f"g{n}", lambda g, i: F.struct(g.alias("gram"), i.alias("place"), F.lit(n).alias("size"))
-    )
-
-
 def _smallest(df: DataFrame, name: str, run: int) -> DataFrame:
-    """Add ``fp``: the distinct minima of every ``run`` values in a row of ``name``."""
+    """Add ``m``: the minima of every ``run`` values in a row of ``name``."""
     df, size = df.withColumn("m", F.col(name)), 1
     while size * 2 <= run:
         df = df.withColumn("m", _pairs(F.col("m"), F.col("m"), size, _less))
         size *= 2
     if size < run:
         df = df.withColumn("m", _pairs(F.col("m"), F.col("m"), run - size, _less))
-    return df.withColumn("fp", F.array_distinct("m"))
+    return df
 
 
-def fingerprints(df: DataFrame, span: int, short: list[int]) -> DataFrame:
-    """Add ``fp``, an array; ``df`` has ``words``. ``short``: lengths without selection."""
-    df = _smallest(_grams(df, sorted({GRAM, *short})), f"g{GRAM}", span - GRAM + 1)
-    if short:
-        # The length goes into the value, so that lengths do not meet each other.
-        marked = [_marked(n) for n in short]
-        df = df.withColumn("fp", F.array_distinct(F.concat("fp", *marked)))
-    return df
+def minima(df: DataFrame, size: int, span: int) -> DataFrame:
+    """Add ``m``: for each place the fingerprint of the ``size`` words from there on.
+
+    ``df`` has ``words``. For ``span`` words it is the smallest gram among them, for a
+    shorter window its only gram, mixed with the length.
+    """
+    if size == span:
+        return _smallest(_grams(df, [GRAM]), f"g{GRAM}", span - GRAM + 1)
+    return _grams(df, [size]).withColumn(
+        "m", F.transform(f"g{size}", lambda g: F.xxhash64(g, F.lit(size)))
+    )
 
 
 def windows(benchmark: DataFrame, span: int) -> DataFrame:
@@ -121,11 +115,6 @@ def windows(benchmark: DataFrame, span: int) -> DataFrame:
     ).distinct()
 
 
-def _bounded(df: DataFrame) -> DataFrame:
-    """Broadcast what is proven small; the planner joins the rest by a shuffle."""
-    return F.broadcast(df) if at_most(df, BROADCAST_ROWS) else df
-
-
 def rows_of(docs: DataFrame) -> DataFrame:
     """``row, doc_id, text``; equal rows share ``row``, so they get equal results."""
     plain = docs.select(
@@ -136,65 +125,68 @@ def rows_of(docs: DataFrame) -> DataFrame:
     return plain.withColumn("row", row)
 
 
+def _windows_at(df: DataFrame, size: int) -> DataFrame:
+    """``row, place, size, window`` for ``df`` with ``row, words, place``."""
+    text = F.array_join(F.slice("words", F.col("place") + 1, size), " ")
+    return df.select("row", "place", F.lit(size).alias("size"), text.alias("window"))
+
+
 def occurrences(docs: DataFrame, benchmark: DataFrame, span: int = 13):
-    """``(hits, wins, marked)`` for ``docs`` as ``rows_of`` gives them.
+    """``(hits, wins)`` for ``docs`` as ``rows_of`` gives them.
 
     ``hits``: ``row, place, size, window``, every place (from 0) where a window occurs;
-    ``wins``: ``item_id, size, window``; ``marked``: ``row, doc_id, n_words``.
+    ``wins``: ``item_id, size, window``.
     """
     if not GRAM < span < 256:
         raise ValueError("span must be between 5 and 255 words")
     wins = stored(windows(benchmark, span), "windows")
-    # At most span - 1 rows: the lengths of short items.
-    short = sorted(r[0] for r in wins.where(F.col("size") < span).select("size").distinct().collect())
-    lengths = sorted({span, *short})
-    sides = wins.select("size", "window").distinct().withColumn("words", F.split("window", " "))
-    grams = stored(_with_grams(sides, lengths), "grams")
-    long = fingerprints(sides.where(F.col("size") == span), span, [])
-    known = long.select(F.explode("fp").alias("fp")).union(
-        grams.where(F.col("size") < span).select(F.xxhash64("gram", "size"))
-    )
-    known = stored(known.distinct(), "known")
-
-    marked = fingerprints(docs.withColumn("words", words_of("text")), span, short)
-    marked = stored(marked.select("row", "doc_id", F.size("words").alias("n_words"), "fp"), "marked")
-    suspects = (
-        marked.select("row", F.explode("fp").alias("fp"))
-        .join(_bounded(known), "fp", "left_semi")
-        .select("row").distinct()
-    )
-    suspects = stored(suspects, "suspects")
-
-    # Extend: only documents with a common fingerprint are taken apart again.
-    again = docs.select("row", "text").join(suspects, "row", "left_semi")
-    again = _grams(again.withColumn("words", words_of("text")), lengths)
-    at = F.concat(*[_placed(n) for n in lengths])
-    places = (
-        again.select("row", F.inline(at))
-        .join(_bounded(grams), ["gram", "size"], "left_semi")
-        .groupBy("row").agg(F.collect_set(F.struct("place", "size")).alias("places"))
-    )
-    places = stored(places, "places")
-    found = docs.select("row", "text").join(places, "row").select(
-        "row", words_of("text").alias("words"), "places"
-    ).select("row", F.inline(F.transform("places", lambda p: F.struct(
-        p["place"].alias("place"), p["size"].alias("size"),
-        F.array_join(F.slice("words", p["place"] + 1, p["size"]), " ").alias("window"),
-    ))))
-    exact = _bounded(wins.select("size", "window").distinct())
-    hits = found.join(exact, ["size", "window"], "left_semi").distinct()
-    return stored(hits, "hits"), wins, marked.drop("fp")
-
-
-def _with_grams(sides: DataFrame, lengths: list[int]) -> DataFrame:
-    """The gram of every window over its whole length."""
-    out = None
-    for n in lengths:
-        part = _grams(sides.where(F.col("size") == n), lengths).select(
-            "size", F.col(f"g{n}")[0].alias("gram")
+    sides = stored(wins.select("size", "window").distinct(), "sides")
+    # At most span numbers.
+    sizes = sorted(r[0] for r in sides.select("size").distinct().collect())
+    if not sizes:
+        return stored(docs.select("row", F.lit(0).alias("place"), F.lit(0).alias("size"), F.col("text").alias("window")).limit(0), "hits"), wins
+    small = at_most(sides, BROADCAST_ROWS)
+    found = []
+    for size in sizes:
+        own = sides.where(F.col("size") == size)
+        known = minima(own.withColumn("words", F.split("window", " ")), size, span)
+        # The outer form keeps the planner from testing the array a second time.
+        known = stored(known.select(F.explode_outer("m").alias("fp")).distinct(), "known")
+        if small:
+            # One pass: a place whose fingerprint is known is extended where it stands.
+            marked = minima(docs.select("row", words_of("text").alias("words")), size, span)
+            places = marked.select("row", "words", F.posexplode_outer("m").alias("place", "fp"))
+            places = places.join(F.broadcast(known), "fp", "left_semi")
+        else:
+            places = _shuffled_places(docs, known, size, span)
+        found.append(
+            _windows_at(places, size).join(
+                F.broadcast(own) if small else own, ["size", "window"], "left_semi"
+            )
         )
-        out = part if out is None else out.union(part)
-    return out
+    hits = reduce(DataFrame.union, found).select("row", "place", "size", "window")
+    return stored(hits.distinct(), "hits"), wins
+
+
+def _shuffled_places(docs: DataFrame, known: DataFrame, size: int, span: int) -> DataFrame:
+    """``row, words, place`` of the known fingerprints of a benchmark that is not small.
+
+    Fingerprints travel without their texts: first each one once per document, to find
+    the documents, then with their places, for these documents only.
+    """
+    def marked(df):
+        return minima(df.select("row", words_of("text").alias("words")), size, span)
+
+    once = marked(docs).select("row", F.explode_outer(F.array_distinct("m")).alias("fp"))
+    suspects = stored(once.join(known, "fp", "left_semi").select("row").distinct(), "suspects")
+    some = stored(docs.join(suspects, "row", "left_semi").select("row", "text"), "suspects")
+    places = marked(some).select("row", F.posexplode_outer("m").alias("place", "fp"))
+    places = places.join(known, "fp", "left_semi").groupBy("row").agg(
+        F.collect_set("place").alias("places")
+    )
+    return some.join(places, "row").select(
+        "row", words_of("text").alias("words"), F.explode("places").alias("place")
+    )
 
 
 def _covered(spans: Column) -> Column:
@@ -221,7 +213,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, span: int = 13) -> Data
 
 
 def _judged(rows: DataFrame, benchmark: DataFrame, span: int) -> DataFrame:
-    hits, wins, marked = occurrences(rows, benchmark, span)
+    hits, wins = occurrences(rows, benchmark, span)
     words = hits.groupBy("row").agg(
         _covered(F.sort_array(F.collect_list(F.struct("place", "size")))).alias("n_hit")
     )
@@ -229,13 +221,15 @@ def _judged(rows: DataFrame, benchmark: DataFrame, span: int) -> DataFrame:
     # places meets its items once.
     items = (
         hits.select("row", "size", "window").distinct()
-        .join(_bounded(wins), ["size", "window"])
+        .join(F.broadcast(wins) if at_most(wins, BROADCAST_ROWS) else wins, ["size", "window"])
         .select("row", "item_id").distinct()
         .groupBy("row").agg(F.sort_array(F.collect_list("item_id")).alias("items"))
     )
     counts = words.join(items, "row", "left")
     none = F.array().cast("array<string>")
-    return marked.join(counts, "row", "left").select(
+    counts = stored(counts, "counts")
+    every = rows.select("row", "doc_id", F.size(words_of("text")).alias("n_words"))
+    return every.join(counts, "row", "left").select(
         "row", "doc_id",
         F.col("n_words").cast("long").alias("n_words"),
         F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
