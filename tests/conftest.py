@@ -30,7 +30,7 @@ def make_tx(spark):
     """Transactions from dicts; every field not given is a plain valid value."""
     from txrisk.schemas import HISTORY_COLUMNS
 
-    plain = {
+    plain = dict.fromkeys(HISTORY_COLUMNS, "") | {
         "from_address": "0xa", "to_address": "0xb", "value": "1000000000000000000",
         "time_stamp": "1700000000", "gas": "21000", "gas_price": "1000000000",
         "gas_used": "21000", "is_error": "0", "block_number": "100",

@@ -93,8 +93,10 @@ def test_kept_history_reads_only_the_folders_of_the_list(spark, make_tx, listed,
     hot = hot_keys(account_rows(tx), "address", hot_rows) if hot_rows else None
     tables.write_history(tx, str(tmp_path / "h"), shards=64, hot=hot)
     some = listed("0x1", "0X3")
-    kept = tables.read_history(spark, str(tmp_path / "h"), some, shards=64)
-    assert 1 <= kept.select("shard").distinct().count() <= 2
+    # The number of folders is kept with the data.
+    kept = tables.read_history(spark, str(tmp_path / "h"), some)
+    folders = F.regexp_extract(F.input_file_name(), "shard=([0-9]+)", 1)
+    assert 1 <= kept.select(folders).distinct().count() <= 2
     a = scan.profiles(some, tx).orderBy("address").collect()
     assert scan.profiles(some, kept, keyed=True).orderBy("address").collect() == a
     assert tables.read_history(spark, str(tmp_path / "h")).count() == 80
@@ -208,9 +210,11 @@ def test_scan_and_batch(spark, make_tx, listed, fitted, tmp_path):
     asked = spark.createDataFrame([("0xA", 5), (None, 6), ("0xA", 7)], "address string, batch_index int")
     saved = scan.batch_scan(asked, tx, fitted, save_to=str(tmp_path))
     assert sorted((r["batch_index"], r["address"]) for r in saved.collect()) == [(5, "0xA"), (7, "0xA")]
-    assert [p.name[:4] for p in tmp_path.iterdir()] == ["run="]
+    assert sorted(p.name[:4] for p in tmp_path.iterdir()) == ["fail", "run="]
+    lost = spark.read.json(str(tmp_path / "failed")).collect()
+    assert [(r["batch_index"], r["reason"]) for r in lost] == [(6, "missing")]
     none = scan.batch_scan(asked.where("address is null"), tx, fitted, save_to=str(tmp_path / "x"))
-    assert none.count() == 0 and not (tmp_path / "x").exists()
+    assert none.count() == 0 and [p.name for p in (tmp_path / "x").iterdir()] == ["failed"]
     _, failed = scan.check_requests(asked, strict=True)
     assert sorted(r["reason"] for r in failed.collect()) == ["invalid", "invalid", "missing"]
 
@@ -247,22 +251,24 @@ def test_stream_equals_batch_and_survives_a_replay(spark, make_tx, fitted, tmp_p
     tx = make_tx({}, {"from_address": "0xb", "to_address": "0xa"})
     source = tmp_path / "in"
     source.mkdir()
-    (source / "1.json").write_text('{"address": "0xa"}\n{"address": "0xb"}\n')
+    (source / "1.json").write_text('{"address": "0xa"}\n{"address": "0xb"}\n{"other": 1}\n')
 
     def run(state):
         stream = requests.read_requests(spark, str(source))
         requests.scan_stream(stream, tx, fitted, str(tmp_path / "out"), str(tmp_path / state)).awaitTermination()
-        found = spark.read.json(str(tmp_path / "out")).select("address", "prediction.fraud_probability")
+        failed = spark.read.json(str(tmp_path / "out" / "failed"))
+        assert [r["reason"] for r in failed.collect()] == ["missing"]
+        found = spark.read.json(str(tmp_path / "out" / "answers")).select("address", "prediction.fraud_probability")
         return sorted(map(tuple, found.collect()))
 
     asked = spark.createDataFrame([("0xa",), ("0xb",)], "address string")
     tables.write_history(tx, str(tmp_path / "h"), shards=8)
-    lookup = lambda some: tables.read_history(spark, str(tmp_path / "h"), some, 8)
+    lookup = lambda some: tables.read_history(spark, str(tmp_path / "h"), some)
     requests.scan_stream(
         requests.read_requests(spark, str(source)), lookup, fitted, str(tmp_path / "kept"),
         str(tmp_path / "s0"), keyed=True,
     ).awaitTermination()
-    kept = spark.read.json(str(tmp_path / "kept")).select("address", "prediction.fraud_probability")
+    kept = spark.read.json(str(tmp_path / "kept" / "answers")).select("address", "prediction.fraud_probability")
     batch = scan.scan(asked, tx, fitted).select("address", "prediction.fraud_probability")
     first = run("s1")
     assert first == sorted(map(tuple, batch.collect())) == sorted(map(tuple, kept.collect()))
@@ -272,5 +278,20 @@ def test_stream_equals_batch_and_survives_a_replay(spark, make_tx, fitted, tmp_p
     assert len(run("s1")) == 3
 
 
-def test_shared_folder_is_the_one_the_session_names(spark):
-    assert shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
+class Session:
+    """As much of a session as the shared folder asks for."""
+
+    def __init__(self, master, **conf):
+        self.conf = {k.replace("_", "."): v for k, v in conf.items()}
+        self.sparkContext = self
+        self.master, self.applicationId = master, f"test-{master}"
+
+
+def test_shared_folder():
+    named = Session("spark://host", spark_checkpoint_dir="hdfs://shared/x")
+    assert shared_folder(named) == "hdfs://shared/x"
+    own = shared_folder(Session("local[2]"))
+    assert own == shared_folder(Session("local[2]")) and own.split("/")[-1].startswith("txrisk-")
+    for master in ("spark://host", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            shared_folder(Session(master))

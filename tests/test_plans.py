@@ -6,6 +6,8 @@ import io
 import pytest
 from conftest import SMALL
 
+from pyspark.sql import functions as F
+
 from txrisk import proxy
 from txrisk.catalog import QUERIES
 from txrisk.operators.history import recent
@@ -45,7 +47,9 @@ def test_rankings_stop_early(views):
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - {
-    "train_and_score", "score_static_only", "batch_scan", "scan_stream",
+    # Whole jobs, with models, streams and files between their plans.
+    "train_and_score", "score_static_only", "batch_scan", "scan_stream", "model_quality", "bulk_model",
+    "model_predictions", "stream_failures", "saved_model", "feature_catalog", "model_info",
 }))
 def test_no_python_no_expand_no_cross_join(spark, name):
     text = plan(QUERIES[name](spark, SMALL))
@@ -53,6 +57,28 @@ def test_no_python_no_expand_no_cross_join(spark, name):
         assert word not in text
 
 
+def test_call_data_stays_out_of_the_shuffle(spark, views):
+    from txrisk.plans import scan
+
+    accounts, tx = views
+    text = plan(scan.profiles(accounts, tx.withColumn("input", F.concat("input", F.lit("x"))), with_transactions=False))
+    exchanges = [line for line in text.splitlines() if "Window" in line or "Sort" in line]
+    assert exchanges and not any("input" in line for line in exchanges)
+
+
+def test_kept_history_is_joined_below_the_window(spark, views, tmp_path):
+    from txrisk.plans import scan
+    from txrisk.sources import tables
+
+    accounts, tx = views
+    tables.write_history(tx, str(tmp_path / "h"), shards=4)
+    listed = accounts.limit(3)
+    kept = tables.read_history(spark, str(tmp_path / "h"), listed)
+    text = plan(scan.profiles(listed, kept, keyed=True, with_transactions=False))
+    assert text.index("Window") < text.index("LeftSemi")
+    assert "PushedFilters: [IsNotNull(address), GreaterThanOrEqual(address" in text
+
+
 def test_scan_reads_only_needed_columns(spark):
     text = plan(QUERIES["incidence_counts"](spark, SMALL))
     reads = [line for line in text.splitlines() if "ReadSchema" in line and "event_id" in line]

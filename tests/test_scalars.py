@@ -112,3 +112,31 @@ def test_scores(spark):
 def test_run_stamp(spark):
     stamp = spark.range(1).select(x.run_stamp()).first()[0]
     assert datetime.datetime.strptime(stamp, "%Y%m%d_%H%M%S")
+
+
+def test_amounts_beyond_38_digits(spark, make_tx, listed):
+    from txrisk.plans import scan
+
+    big = "9" * 38
+    tx = make_tx({"value": big}, {"value": big}, {"value": "1" + "0" * 40})
+    row = scan.behaviour(listed("0xa"), tx).first()
+    assert row["sent_count"] == 3
+    assert row["max_sent"] == pytest.approx(1e22) and row["total_sent"] == pytest.approx(1e22 + 2e20)
+    steps = scan.profiles(listed("0xa"), tx).first()["sequence"]
+    assert sorted(s[1] for s in steps)[-3:] == pytest.approx([1e20, 1e20, 1e22])
+
+
+def test_page_has_no_last_block(spark, make_tx, listed):
+    from txrisk.operators.history import page
+    from txrisk.operators.incidence import history_for
+
+    rows = history_for(listed("0xa"), make_tx({"block_number": "250000000"}))
+    assert page(rows).count() == 1 and page(rows, end_block=99_999_999).count() == 0
+
+
+def test_single_object_is_no_list(spark):
+    from txrisk.plans.explain import parse_explanations
+
+    df = spark.createDataFrame([("a", '{"title": "t"}'), ("b", '\n```json\n[{"title": "t"}]\n```')], "address string, reply string")
+    got = {r["address"]: r["explanations"] for r in parse_explanations(df, on_error="null").collect()}
+    assert got["a"] is None and got["b"][0]["title"] == "t"

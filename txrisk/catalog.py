@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from txrisk import proxy
@@ -22,10 +22,11 @@ from txrisk.schemas import (
     COMPUTED_FEATURES,
     EXPLORER_FIELDS,
     FEATURES,
+    HISTORY_COLUMNS,
     IRRELEVANT_TX_COLUMNS,
     SEQUENCE_FIELDS,
 )
-from txrisk.sources import explorer
+from txrisk.sources import explorer, tables
 from txrisk.sources.checkpoints import shared_folder
 from txrisk.streaming import requests
 
@@ -65,7 +66,7 @@ def account_features(spark: SparkSession, d: str) -> DataFrame:
 
 def account_features_full(spark: SparkSession, d: str) -> DataFrame:
     """A1-A13 over whole histories of all accounts, oldest-first gaps, failed ones out."""
-    tx = proxy.transactions(spark, d)
+    tx = proxy.transactions(spark, d, huge=True)
     return scan.behaviour(None, tx, k=None, gap_order="asc", exclude_failed=True)
 
 
@@ -95,6 +96,53 @@ def incidence_counts(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def _with_blank(spark: SparkSession, d: str) -> DataFrame:
+    return _flagged(spark, d).select("address").unionByName(
+        spark.range(1).select(F.lit("").alias("address"))
+    )
+
+
+def touching_blank(spark: SparkSession, d: str) -> DataFrame:
+    """F2 with the missing party of contract creations in a short list."""
+    tx = proxy.bulk_transactions(spark, d)
+    return inc.touching(tx, _with_blank(spark, d), fits=True).select(
+        "pos", "from_address", "to_address", "source_address", "value"
+    )
+
+
+def touching_long_list(spark: SparkSession, d: str) -> DataFrame:
+    """The same by the join that a long list takes."""
+    tx = proxy.bulk_transactions(spark, d)
+    return inc.touching(tx, _with_blank(spark, d), fits=False).select(
+        "pos", "from_address", "to_address", "source_address", "value"
+    )
+
+
+def incidence_long_list(spark: SparkSession, d: str) -> DataFrame:
+    """J1 by the join that a long list takes."""
+    tx = proxy.bulk_transactions(spark, d)
+    pairs = inc.incidence(tx, _flagged(spark, d), fits=False)
+    return pairs.groupBy("address").agg(
+        F.count(F.lit(1)).alias("transactions"),
+        F.min("pos").alias("first_pos"),
+        F.max("pos").alias("last_pos"),
+    )
+
+
+def _with_hubs(spark: SparkSession, d: str) -> Split:
+    """Histories by the long-list join, accounts of more than 50 rows taken as hubs."""
+    tx = proxy.transactions(spark, d)
+    hubs = inc.hot_accounts(tx, 50)
+    return inc.history_split(proxy.accounts(spark, d), tx, hubs, fits=False)
+
+
+def history_long_list(spark: SparkSession, d: str) -> DataFrame:
+    """J3 + F3 by the long-list join, with hub accounts on their own path."""
+    tx = proxy.transactions(spark, d)
+    rows = inc.history_for(proxy.accounts(spark, d), tx, inc.hot_accounts(tx, 50), fits=False)
+    return rows.select("address", "pos", "sent", "received")
+
+
 def history_roles(spark: SparkSession, d: str) -> DataFrame:
     """J3 + F3 + F4 + F5: role flags of every row of the listed histories."""
     return _history(spark, d).select(
@@ -149,10 +197,30 @@ def tx_gaps(spark: SparkSession, d: str) -> DataFrame:
     return hist.tx_gaps(_split(spark, d))
 
 
+def recent_k_hubs(spark: SparkSession, d: str) -> DataFrame:
+    """W1 with hub accounts ranked in pieces."""
+    return hist.recent(_with_hubs(spark, d), 100).select("address", "rank", "hash")
+
+
+def page_history_hubs(spark: SparkSession, d: str) -> DataFrame:
+    """W2 with hub accounts ranked in pieces."""
+    rows = hist.page(_with_hubs(spark, d), page=2, offset=25, sort="asc")
+    return rows.select("address", "rank", "hash")
+
+
+def tx_gaps_hubs(spark: SparkSession, d: str) -> DataFrame:
+    """W5 with the histories of hub accounts in time slices."""
+    return hist.tx_gaps(_with_hubs(spark, d))
+
+
+def latest_sequence_hubs(spark: SparkSession, d: str) -> DataFrame:
+    """W4 with hub accounts ranked in pieces."""
+    return seq.latest_sequence(_with_hubs(spark, d), 50)
+
+
 def batch_index(spark: SparkSession, d: str) -> DataFrame:
-    """Position of every account in the request list."""
-    listed = proxy.accounts(spark, d).select("address", F.col("key").alias("batch_index"))
-    return hist.batch_index(listed)
+    """Position of every account in the request list, counted."""
+    return hist.batch_index(proxy.accounts(spark, d).select("address", "flag"))
 
 
 # -- sequences ---------------------------------------------------------------------------
@@ -165,7 +233,8 @@ def first_n_sequence(spark: SparkSession, d: str) -> DataFrame:
 
 def latest_sequence(spark: SparkSession, d: str) -> DataFrame:
     """F8 + W4 + X7: the newest 50 well-formed rows as ten numbers each."""
-    return seq.latest_sequence(_split(spark, d), 50)
+    tx = proxy.transactions(spark, d, huge=True)
+    return seq.latest_sequence(inc.history_split(proxy.accounts(spark, d), tx), 50)
 
 
 def padded_length(spark: SparkSession, d: str) -> DataFrame:
@@ -201,22 +270,18 @@ def pooled_sequence(spark: SparkSession, d: str) -> DataFrame:
     return pooled.select(
         "address",
         *[
-            F.round(F.col("v")[i], 4 if n.startswith("std") else 9).alias(n)
+            F.round(F.col("v")[i], 6 if n.startswith("std") else 9).alias(n)
             for i, n in enumerate(seq.pool_names())
         ],
     )
 
 
 def nest_transactions(spark: SparkSession, d: str) -> DataFrame:
-    """Used transactions as a list per account."""
+    """Used transactions of every account, with all their fields."""
     ranked = _recent(spark, d)
     nested = scan.nest_transactions(proxy.accounts(spark, d).select("address"), ranked)
-    used = F.col("transactions_used")
-    return nested.select(
-        "address",
-        F.size(used).alias("used"),
-        F.get(used, F.lit(0))["hash"].alias("newest"),
-        F.try_element_at(used, F.lit(-1))["hash"].alias("oldest"),
+    return nested.select("address", F.posexplode_outer("transactions_used").alias("at", "t")).select(
+        "address", (F.col("at") + 1).alias("rank"), *[F.col("t")[c].alias(c) for c in HISTORY_COLUMNS]
     )
 
 
@@ -281,7 +346,7 @@ def hex_nonzero(spark: SparkSession, d: str) -> DataFrame:
 
 def safe_numbers(spark: SparkSession, d: str) -> DataFrame:
     """X1 + X2 + X6 + F6 + F8: numbers out of text."""
-    return proxy.transactions(spark, d).select(
+    return proxy.transactions(spark, d, huge=True).select(
         "pos",
         x.ether("value").alias("ether"),
         x.safe_int("time_stamp").alias("ts"),
@@ -333,7 +398,7 @@ def impute_median(spark: SparkSession, d: str) -> DataFrame:
 
 def fit_scaler(spark: SparkSession, d: str) -> DataFrame:
     """Mean and population std per column."""
-    o = proxy.table(spark, d, "orders").withColumn("constant", F.lit(7))
+    o = proxy.table(spark, d, "orders").withColumn("constant", F.lit(7.3)).repartition(7)
     stats = prep.fit_scaler(o, ["o_totalprice", "o_custkey", "constant"])
     return stats.select(
         "position", "feature", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std")
@@ -343,8 +408,8 @@ def fit_scaler(spark: SparkSession, d: str) -> DataFrame:
 def scale_features(spark: SparkSession, d: str) -> DataFrame:
     """A15 + X13: columns scaled by mean and population std."""
     o = proxy.table(spark, d, "orders").select(
-        "o_orderkey", "o_totalprice", "o_custkey", F.lit(7).alias("constant")
-    )
+        "o_orderkey", "o_totalprice", "o_custkey", F.lit(7.3).alias("constant")
+    ).repartition(7)
     scaled = prep.apply_scaler(o, prep.fit_scaler(o, ["o_totalprice", "o_custkey", "constant"]))
     return scaled.select(
         "o_orderkey",
@@ -388,8 +453,8 @@ def _scored(spark: SparkSession, d: str) -> DataFrame:
     return (
         f.withColumn("z0", F.round(z0, 4))
         .withColumn("z1", F.round(z1, 4))
-        .withColumn("p0", F.round(p0, 3))
-        .withColumn("p1", F.round(p1, 3))
+        .withColumn("p0", F.round(p0, 6))
+        .withColumn("p1", F.round(p1, 6))
         .withColumn("predicted", scores.argmax(F.array("z0", "z1")))
     )
 
@@ -433,11 +498,6 @@ def confusion_matrix(spark: SparkSession, d: str) -> DataFrame:
     return metrics.confusion_matrix(proxy.table(spark, d, "labels"), "quality", "toxic")
 
 
-def predicted_confusion(spark: SparkSession, d: str) -> DataFrame:
-    """M6 + A18 on scored accounts."""
-    return metrics.confusion_matrix(_scored(spark, d))
-
-
 def _results(spark: SparkSession, d: str) -> DataFrame:
     """Scan results with the fixed formula as the model."""
     ranked = _recent(spark, d)
@@ -517,20 +577,15 @@ def visible_explanations(spark: SparkSession, d: str) -> DataFrame:
 # -- sources --------------------------------------------------------------------------------------
 
 
-def explorer_records(spark: SparkSession, d: str) -> DataFrame:
-    """S3 + F7: transactions out of explorer responses, one per account.
-
-    The responses are made from the newest 100 rows of every account, the way
-    an explorer answers; an account without any gets an error response.
-    """
+def _envelopes(spark: SparkSession, d: str) -> DataFrame:
+    """Responses made from the newest 100 rows of every account, the way an explorer
+    answers; an account without any gets an error response."""
     names = {column: f for f, column in EXPLORER_FIELDS.items()}
     ranked = _recent(spark, d)
     nested = scan.nest_transactions(proxy.accounts(spark, d).select("address"), ranked)
-    record = lambda t: F.struct(
-        *[t[c].alias(names[c]) for c in ("hash", "from_address", "to_address", "value", "time_stamp")]
-    )
+    record = lambda t: F.struct(*[t[c].alias(names[c]) for c in HISTORY_COLUMNS])
     empty = F.size("transactions_used") == 0
-    envelopes = nested.select(
+    return nested.select(
         "address",
         F.when(empty, "0").otherwise("1").alias("status"),
         F.when(empty, "No transactions found").otherwise("OK").alias("message"),
@@ -538,62 +593,242 @@ def explorer_records(spark: SparkSession, d: str) -> DataFrame:
         .otherwise(F.to_json(F.transform("transactions_used", record)))
         .alias("result"),
     )
-    return explorer.records(envelopes).select(
+
+
+def explorer_records(spark: SparkSession, d: str) -> DataFrame:
+    """S3 + F7: transactions out of explorer responses, one per account."""
+    return explorer.records(_envelopes(spark, d)).select(
         "address", "pos", "hash", "from_address", "to_address", "value", "time_stamp"
     )
 
 
-# -- models (no SQL counterpart) --------------------------------------------------------------------
+def _landed(spark: SparkSession, d: str, kind: str, on_error: str = "empty") -> DataFrame:
+    """Responses written as JSON lines to the shared folder and read back."""
+    folder = _new_folder(spark, "landed")
+    rows = _envelopes(spark, d)
+    if on_error == "fail":
+        rows = rows.where("status = '1'")
+    rows.write.json(f"{folder}/kind={kind}")
+    read = explorer.read_explorer(spark, folder, kind, on_error)
+    return read.select("address", "pos", "hash", "value")
+
+
+def explorer_internal(spark: SparkSession, d: str) -> DataFrame:
+    """Landed internal transfers."""
+    return _landed(spark, d, "txlistinternal")
+
+
+def explorer_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """Landed token transfers."""
+    return _landed(spark, d, "tokentx")
+
+
+def explorer_strict(spark: SparkSession, d: str) -> DataFrame:
+    """Landed transactions, where a response without a list would raise."""
+    return _landed(spark, d, "txlist", "fail")
+
+
+def _new_folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def read_addresses(spark: SparkSession, d: str) -> DataFrame:
+    """The registry as CSV under the names of its files, read back."""
+    folder = _new_folder(spark, "addresses")
+    proxy.accounts(spark, d).join(
+        proxy.table(spark, d, "customer").select(F.col("c_custkey").alias("key"), "c_acctbal"), "key"
+    ).select(
+        F.col("key").alias("Index"), F.col("address").alias("Address"), F.col("flag").alias("FLAG"),
+        F.col("c_acctbal").alias("avg val sent"),
+    ).write.csv(folder, header=True)
+    return tables.read_addresses(spark, folder).select(
+        F.col("index").cast("bigint").alias("index"), "address", "flag", "avg_sent"
+    )
+
+
+def read_transactions(spark: SparkSession, d: str) -> DataFrame:
+    """A bulk export in several CSV files, read back with row numbers in file order."""
+    folder = _new_folder(spark, "transactions")
+    columns = ["from_address", "to_address", "value", "gas", "block_number"]
+    bulk = proxy.bulk_transactions(spark, d).repartitionByRange(5, "pos").sortWithinPartitions("pos")
+    bulk.select(*columns).write.option("emptyValue", "").csv(folder, header=True)
+    read = tables.read_transactions(spark, folder, numbered=True)
+    first = proxy.bulk_transactions(spark, d).agg(F.min("pos")).first()[0] or 0
+    return read.select(
+        (F.col("pos") + first).alias("pos"), "from_address",
+        F.coalesce("to_address", F.lit("")).alias("to_address"),
+        "value", F.col("gas").cast("bigint").alias("gas"),
+        F.col("block_number").cast("bigint").alias("block_number"),
+    )
+
+
+def feature_table(spark: SparkSession, d: str) -> DataFrame:
+    """The feature table, written and read back."""
+    return tables.kept(_features(spark, d).select("address", "flag", *COMPUTED_FEATURES))
+
+
+def written_results(spark: SparkSession, d: str) -> DataFrame:
+    """S8 + X20: results as JSON in a folder named by the time."""
+    results = _results(spark, d)
+    path = tables.write_results(results, _new_folder(spark, "results"))
+    stamped = F.regexp_like(F.lit(path), F.lit("run=[0-9]{8}_[0-9]{6}_[0-9a-f]{8}$"))
+    return spark.read.schema(results.schema).json(path).select(
+        "address", "prediction.is_fraud", "prediction.total_transactions", stamped.alias("stamped")
+    )
+
+
+def kept_history_scan(spark: SparkSession, d: str) -> DataFrame:
+    """J3 + W1 + A1-A13 for the flagged accounts over a kept history."""
+    folder = _new_folder(spark, "history")
+    tables.write_history(proxy.transactions(spark, d), folder, shards=16)
+    listed = _flagged(spark, d)
+    kept = tables.read_history(spark, folder, listed)
+    rows = scan.profiles(listed, kept, keyed=True, with_transactions=False)
+    return rows.select("address", *COMPUTED_FEATURES)
+
+
+# -- models: what does not depend on the weights ------------------------------------------------------
+
+
+def _prepared(spark: SparkSession, d: str) -> DataFrame:
+    return training.prepare(proxy.accounts(spark, d).drop("key"), proxy.transactions(spark, d))
+
+
+def _fitted(spark: SparkSession, d: str) -> tuple[model.RiskModel, DataFrame]:
+    return training.fit(_prepared(spark, d), algorithm="logistic")
+
+
+def _sound() -> list[Column]:
+    """Two statements that hold for every prediction."""
+    p = F.col("prediction")
+    p0, p1 = p["normal_probability"], p["fraud_probability"]
+    agrees = (p["is_fraud"] == (p1 > p0)) & (p["confidence"] == F.greatest(p0, p1))
+    verdict = p["prediction"] == F.when(p["is_fraud"], "Fraud").otherwise("Normal")
+    return [(F.abs(p0 + p1 - 1) < 1e-9).alias("sums_to_one"), (agrees & verdict).alias("agrees")]
+
+
+def _quality(quality: DataFrame) -> DataFrame:
+    finite = F.col("loss").isNotNull() & ~F.isnan("loss") & (F.abs("loss") < float("inf"))
+    return quality.select(
+        "split", "records", F.col("accuracy").between(0, 1).alias("in_range"), finite.alias("finite")
+    )
 
 
 def train_and_score(spark: SparkSession, d: str) -> DataFrame:
-    """M1-M3, M5: train on all registered accounts, then score them."""
-    rows = training.prepare(proxy.accounts(spark, d).drop("key"), proxy.transactions(spark, d))
+    """M1-M3: train on all registered accounts, then score them."""
+    rows = _prepared(spark, d)
     fitted, _ = training.fit(rows)
-    return model.score(rows, fitted).select("address", "flag", "prediction.*")
+    return model.score(rows, fitted).select(
+        "address", "flag", "prediction.features_used", "prediction.sequence_length", *_sound()
+    )
+
+
+def model_quality(spark: SparkSession, d: str) -> DataFrame:
+    """M5 + A17: accuracy and loss per split."""
+    return _quality(_fitted(spark, d)[1])
+
+
+def bulk_model(spark: SparkSession, d: str) -> DataFrame:
+    """The training path from a bulk export: balance, impute, file-order sequences, fit."""
+    listed = proxy.accounts(spark, d).join(_features(spark, d).drop("flag", "key"), "address")
+    majority = prep.filter_label(listed, 0).count()
+    rows = training.prepare_bulk(listed, proxy.bulk_transactions(spark, d), majority)
+    return _quality(training.fit(rows, algorithm="logistic")[1])
+
+
+def model_predictions(spark: SparkSession, d: str) -> DataFrame:
+    """M6 + A18: predicted classes of all accounts, by actual class."""
+    rows = _prepared(spark, d)
+    fitted, _ = training.fit(rows, algorithm="gbt")
+    cells = metrics.confusion_matrix(model.predictions(rows, fitted))
+    return cells.groupBy("actual").agg(F.sum("records").alias("records"))
 
 
 def score_static_only(spark: SparkSession, d: str) -> DataFrame:
     """M4: scores from static features alone."""
-    rows = training.prepare(proxy.accounts(spark, d).drop("key"), proxy.transactions(spark, d))
-    fitted, _ = training.fit(rows, algorithm="logistic")
-    return model.score_static_only(_features(spark, d), fitted).select("address", "prediction.*")
+    fitted, _ = _fitted(spark, d)
+    return model.score_static_only(_features(spark, d), fitted).select("address", *_sound())
 
 
 def batch_scan(spark: SparkSession, d: str) -> DataFrame:
     """M7 + M8: scan every registered account as one batch."""
     accounts, tx = proxy.accounts(spark, d), proxy.transactions(spark, d)
-    fitted, _ = training.fit(training.prepare(accounts.drop("key"), tx), algorithm="logistic")
+    fitted, _ = _fitted(spark, d)
     listed = accounts.select("address", F.col("key").alias("batch_index"))
     return scan.batch_scan(listed, tx, fitted).select(
         "batch_index",
         "address",
-        "prediction.prediction",
-        "prediction.fraud_probability",
         "prediction.total_transactions",
         F.size("transactions_used").alias("used"),
+        "prediction.features_used",
+        "prediction.sequence_length",
+        *_sound(),
     )
 
 
-def scan_stream(spark: SparkSession, d: str) -> DataFrame:
-    """The registered accounts arrive as a stream of requests."""
-    accounts, tx = proxy.accounts(spark, d), proxy.transactions(spark, d)
-    fitted, _ = training.fit(training.prepare(accounts.drop("key"), tx), algorithm="logistic")
-    source = spark.read.parquet(f"{d}/customer.parquet")
+def batch_failures(spark: SparkSession, d: str) -> DataFrame:
+    """M8 + F11: requests that a strict batch leaves out, with the reason."""
+    c = proxy.table(spark, d, "customer")
+    asked = c.select(F.when(F.col("c_custkey") % 3 != 0, F.col("c_name")).alias("address"))
+    return scan.failed_requests(asked, strict=True)
+
+
+def _streamed(spark: SparkSession, d: str, asked: Column, schema: str, file: str) -> str:
+    """Answers to requests that arrive as a file of a stream."""
+    fitted, _ = _fitted(spark, d)
     arriving = (
-        spark.readStream.schema(source.schema)
-        .option("pathGlobFilter", "customer.parquet")
-        .parquet(d)
-        .select(proxy.address_of(F.col("c_custkey")).alias("address"))
+        spark.readStream.schema(schema).option("pathGlobFilter", file).parquet(d)
+        .select(F.explode(asked).alias("address"))
+    )
+    folder = _new_folder(spark, "stream")
+    tx = proxy.transactions(spark, d)
+    query = requests.scan_stream(
+        arriving, tx, fitted, folder, f"{folder}/state", strict=True, hot=inc.hot_accounts(tx)
     )
-    folder = f"{shared_folder(spark)}/scan-stream-{uuid.uuid4().hex}"
-    query = requests.scan_stream(arriving, tx, fitted, f"{folder}/answers", f"{folder}/state")
     query.awaitTermination()
-    return spark.read.json(f"{folder}/answers").select(
-        "address",
-        "prediction.prediction",
-        "prediction.total_transactions",
-        F.size("transactions_used").alias("used"),
+    return folder
+
+
+def scan_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The registered accounts arrive as a stream of requests."""
+    asked = F.array(proxy.address_of(F.col("c_custkey")))
+    folder = _streamed(spark, d, asked, "c_custkey bigint", "customer.parquet")
+    answers = spark.read.json(f"{folder}/answers").select("address", "prediction", "transactions_used")
+    return answers.select(
+        "address", F.col("prediction.total_transactions").cast("int").alias("total_transactions"),
+        F.size("transactions_used").alias("used"), *_sound(),
+    )
+
+
+def stream_failures(spark: SparkSession, d: str) -> DataFrame:
+    """R1 + F11: requests of a stream that get a reason instead of an answer."""
+    c = F.col("c_custkey")
+    asked = F.array(F.col("c_name"), F.concat(proxy.address_of(c), F.lit("\n")))
+    folder = _streamed(spark, d, asked, "c_custkey bigint, c_name string", "customer.parquet")
+    return spark.read.schema("address string, reason string").json(f"{folder}/failed").select("address", "reason")
+
+
+def saved_model(spark: SparkSession, d: str) -> DataFrame:
+    """A model that was saved and loaded scores like the first one."""
+    rows = tables.kept(_prepared(spark, d))
+    fitted, _ = training.fit(rows, algorithm="logistic")
+    folder = _new_folder(spark, "model")
+    model.save_model(spark, fitted, folder)
+    again = model.predictions(rows, model.load_model(spark, folder)).select("address", F.col("p1").alias("q1"))
+    return model.predictions(rows, fitted).join(again, "address").select(
+        "address", (F.abs(F.col("p1") - F.col("q1")) < 1e-12).alias("same")
+    )
+
+
+def feature_catalog(spark: SparkSession, d: str) -> DataFrame:
+    """The features that a fitted model uses."""
+    return model.feature_catalog(spark, _fitted(spark, d)[0])
+
+
+def model_info(spark: SparkSession, d: str) -> DataFrame:
+    """One row about a fitted model."""
+    return model.model_info(spark, _fitted(spark, d)[0]).select(
+        "model_type", "num_features", F.size("feature_columns").alias("listed")
     )
 
 
@@ -639,15 +874,38 @@ QUERIES: dict[str, Query] = {
         accuracy,
         bce_loss,
         confusion_matrix,
-        predicted_confusion,
         analysis_row,
         explanation_prompts,
         parse_explanations,
         visible_explanations,
         explorer_records,
+        touching_blank,
+        touching_long_list,
+        incidence_long_list,
+        history_long_list,
+        recent_k_hubs,
+        page_history_hubs,
+        tx_gaps_hubs,
+        latest_sequence_hubs,
+        kept_history_scan,
+        read_addresses,
+        read_transactions,
+        explorer_internal,
+        explorer_tokens,
+        explorer_strict,
+        feature_table,
+        written_results,
         train_and_score,
+        model_quality,
+        bulk_model,
+        model_predictions,
         score_static_only,
         batch_scan,
+        batch_failures,
         scan_stream,
+        stream_failures,
+        saved_model,
+        feature_catalog,
+        model_info,
     )
 }

@@ -28,19 +28,46 @@ def wei(column: Col) -> Column:
     """Wei amount as ``decimal(38,0)``; blank or unreadable text is 0.
 
     Amounts stay decimal until after the sum, so a total does not depend on
-    the order in which partitions are added up.
+    the order in which partitions are added up.  An amount of more than 38
+    digits is 0 here and not in ``beyond_decimal``.
     """
     return F.coalesce(_c(column).try_cast("decimal(38,0)"), F.lit(0).cast("decimal(38,0)"))
 
 
+def beyond_decimal(column: Col) -> Column:
+    """Amount that only a double can hold (39 digits and more), else null."""
+    c = _c(column)
+    value = c.try_cast("double")
+    finite = ~F.isnan(value) & (F.abs(value) < float("inf"))
+    return F.when(c.try_cast("decimal(38,0)").isNull() & finite, value)
+
+
+def exact_sums(amount: Column) -> tuple[Column, Column]:
+    """Two aggregates of a ``decimal(38,0)`` that cannot overflow: the sum of the
+    multiples of ``10 ** 20`` and the sum of the rest."""
+    unit = F.lit("1" + "0" * 20).cast("decimal(21,0)")
+    high = F.call_function("div", amount, unit).cast("decimal(19,0)")
+    return F.sum(high), F.sum((amount % unit).cast("decimal(20,0)"))
+
+
+def sum_to_ether(high: Col, low: Col, beyond: Col) -> Column:
+    """Ether of two exact sums and the double sum of larger amounts."""
+    unit = F.lit("1" + "0" * 20).cast("decimal(21,0)")
+    whole = F.try_add(F.try_multiply(_c(high).cast("decimal(38,0)"), unit), _c(low))
+    # A total above 38 digits has no exact form.
+    rough = _c(high).cast("double") * F.lit(1e20) + _c(low).cast("double")
+    total = F.coalesce(whole.cast("double"), rough) / F.lit(WEI_PER_ETHER)
+    return total + F.coalesce(_c(beyond), F.lit(0.0)) / F.lit(WEI_PER_ETHER)
+
+
 def to_ether(wei_amount: Col) -> Column:
     """Wei (any numeric type) to ether as double."""
     return _c(wei_amount).cast("double") / F.lit(WEI_PER_ETHER)
 
 
 def ether(column: Col) -> Column:
-    """Ether value of a wei text column."""
-    return to_ether(wei(column))
+    """Ether value of a wei text column, of any number of digits."""
+    return F.coalesce(beyond_decimal(column) / F.lit(WEI_PER_ETHER), to_ether(wei(column)))
 
 
 def safe_int(column: Col) -> Column:

@@ -13,11 +13,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from txrisk.functions.scalars import (
-    ether,
+    beyond_decimal,
+    exact_sums,
     hex_nonzero,
     is_contract_call,
     is_created_contract,
     safe_int,
+    sum_to_ether,
     to_ether,
     valid_ts,
     wei,
@@ -28,11 +30,11 @@ from txrisk.schemas import COMPUTED_FEATURES
 _GROUPS = ("sent", "received", "contract")
 
 
-def narrow(tx: DataFrame) -> DataFrame:
+def narrow(tx: DataFrame, *more: Column) -> DataFrame:
     """What features and rankings need of a transaction, as numbers.
 
     Done before the first shuffle: call data is long, and text numbers would be
-    parsed again in every step.
+    parsed again in every step.  ``more`` are columns that go along.
     """
     return tx.select(
         "pos",
@@ -40,16 +42,19 @@ def narrow(tx: DataFrame) -> DataFrame:
         "from_address",
         "to_address",
         wei("value").alias("value"),
+        beyond_decimal("value").alias("beyond"),
         *[
             safe_int(c).alias(c)
             for c in ("time_stamp", "block_number", "transaction_index", "is_error")
         ],
         hex_nonzero("input").alias("has_data"),
+        *more,
     )
 
 
 def _level_one(history: DataFrame) -> DataFrame:
     """Column preparation for the first aggregate."""
+    beyond = F.col("beyond") if "beyond" in history.columns else beyond_decimal("value")
     call = "has_data" if "has_data" in history.columns else hex_nonzero("input")
     return history.select(
         "address",
@@ -63,7 +68,8 @@ def _level_one(history: DataFrame) -> DataFrame:
         is_contract_call("sent", "to_address", call).alias("is_contract"),
         is_created_contract("sent", "to_address").alias("is_created"),
         wei("value").alias("wei"),
-        ether("value").alias("ether"),
+        F.coalesce(beyond / 1e18, to_ether(wei("value"))).alias("ether"),
+        beyond.alias("beyond"),
         valid_ts(safe_int("time_stamp")).alias("ts"),
         *([F.col("carried")] if "carried" in history.columns else []),
     )
@@ -85,7 +91,9 @@ def _totals() -> dict[str, Column]:
         out[f"{g}_n"] = F.count(value)
         out[f"{g}_min"] = F.min(value)
         out[f"{g}_max"] = F.max(value)
-        out[f"{g}_sum"] = F.sum(F.when(F.col(f"is_{g}"), F.col("wei")))
+        high, low = exact_sums(F.when(F.col(f"is_{g}"), F.col("wei")))
+        out[f"{g}_high"], out[f"{g}_low"] = high, low
+        out[f"{g}_beyond"] = F.sum(F.when(F.col(f"is_{g}"), F.col("beyond")))
     for g in ("sent", "received"):
         ts = F.when(F.col(f"is_{g}"), F.col("ts"))
         out[f"{g}_timed"] = F.count(ts)
@@ -165,10 +173,10 @@ def account_features(
         return F.coalesce(F.col(column), F.lit(0.0))
 
     def total(g: str) -> Column:
-        return F.coalesce(to_ether(f"{g}_sum"), F.lit(0.0))
+        return F.coalesce(sum_to_ether(f"{g}_high", f"{g}_low", f"{g}_beyond"), F.lit(0.0))
 
     def mean(g: str) -> Column:
-        return F.when(F.col(f"{g}_n") > 0, to_ether(f"{g}_sum") / F.col(f"{g}_n")).otherwise(0.0)
+        return F.when(F.col(f"{g}_n") > 0, total(g) / F.col(f"{g}_n")).otherwise(0.0)
 
     features = {
         "avg_min_between_sent": _mean_gap("sent", gap_order),

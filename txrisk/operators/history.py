@@ -47,18 +47,23 @@ def recent(
 def page(
     history: DataFrame | Split,
     start_block: int = 0,
-    end_block: int = 99_999_999,
+    end_block: int | None = None,
     page: int = 1,
     offset: int = 10_000,
     sort: str = "desc",
     hot: DataFrame | None = None,
 ) -> DataFrame:
-    """Page ``page`` of ``offset`` rows of every account in a block range."""
+    """Page ``page`` of ``offset`` rows of every account in a block range.
+
+    Without ``end_block`` the range has no end.
+    """
     if sort not in ("asc", "desc"):
         raise ValueError(f"sort must be 'asc' or 'desc', not {sort!r}")
     order = newest_first() if sort == "desc" else oldest_first()
     parts = history if isinstance(history, Split) else split(history, "address", hot)
-    in_range = safe_int("block_number").between(start_block, end_block)
+    in_range = safe_int("block_number") >= start_block
+    if end_block is not None:
+        in_range = in_range & (safe_int("block_number") <= end_block)
     kept = Split(parts.cold.where(in_range), parts.hot.where(in_range))
     return top_k(kept, "address", order, page * offset).where(F.col("rank") > (page - 1) * offset)
 
@@ -117,12 +122,21 @@ def _previous_by_slice(rows: DataFrame, slice_seconds: int) -> DataFrame:
 def batch_index(addresses: DataFrame) -> DataFrame:
     """0-based position of every address in the request list.
 
-    A list that brings ``batch_index`` keeps it.  Otherwise rows are counted
-    in file order with ``zipWithIndex``: one count per partition, and no
-    window over the whole list.
+    A list that brings ``batch_index`` keeps it.  Otherwise rows are numbered
+    in the order of their partitions: one count per partition, whose running
+    total is the first number of the next one.  Other columns stay.
     """
     if "batch_index" in addresses.columns:
         return addresses.withColumn("batch_index", F.col("batch_index").cast("bigint"))
-    spark = addresses.sparkSession
-    numbered = addresses.select("address").rdd.zipWithIndex().map(lambda r: (r[0][0], r[1]))
-    return spark.createDataFrame(numbered, "address string, batch_index bigint")
+    placed = addresses.withColumn("_p", F.spark_partition_id()).withColumn(
+        "_i", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    )
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    first = (
+        placed.groupBy("_p").agg(F.count(F.lit(1)).alias("n"))
+        .select("_p", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_first"))
+    )
+    # One row per partition of the list.
+    return placed.join(F.broadcast(first), "_p").select(
+        *addresses.columns, (F.col("_first") + F.col("_i")).alias("batch_index")
+    )

@@ -76,8 +76,9 @@ def touching(
 ) -> DataFrame:
     """the transactions with at least one listed party, each once.
 
-    With a short list nothing is shuffled: every role is looked up in the
-    broadcast list.  With a long list only row numbers and addresses travel
+    A party matches exactly, so a blank in the list matches the missing party of a
+    contract creation.  With a short list nothing is shuffled: every role is
+    looked up in the broadcast list.  With a long list only row numbers and addresses travel
     to find the matches, then the rows are fetched by row number, which is
     unique and so evenly spread.
     """
@@ -90,9 +91,17 @@ def touching(
             out = out.join(lookup, out[role] == lookup[f"_{role}"], "left")
         matched = F.coalesce(*[F.col(f"_{role}") for role in columns]).isNotNull()
         return out.where(matched).select(*tx.columns)
+    if row_id not in tx.columns:
+        raise ValueError(f"a long list needs a column that numbers the rows, {row_id!r}")
     pairs = parties(tx.select(row_id, *columns), roles).select(row_id, "address")
-    rows = join_on_key(pairs, _lookup(addresses), "address").select(row_id).distinct()
-    return tx.join(rows, row_id, "left_semi").select(*tx.columns)
+    rows = join_on_key(pairs, _lookup(addresses), "address").select(row_id)
+    # The blank party may be in very many rows; they need no join.
+    if not listed.where(F.col("address") == "").isEmpty():
+        blank = F.lit(False)
+        for role in columns:
+            blank = blank | F.coalesce(F.col(role) == "", F.lit(False))
+        rows = rows.unionByName(tx.where(blank).select(row_id))
+    return tx.join(rows.distinct(), row_id, "left_semi").select(*tx.columns)
 
 
 def account_rows(tx: DataFrame) -> DataFrame:

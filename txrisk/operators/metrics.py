@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from txrisk.functions.scores import bce_with_logits
@@ -13,11 +13,15 @@ def accuracy(df: DataFrame, prediction: str = "predicted", label: str = "flag")
     return df.agg(F.avg((F.col(prediction) == F.col(label)).cast("double")).alias("accuracy"))
 
 
+def row_loss(z0: str = "z0", z1: str = "z1", label: str = "flag") -> Column:
+    """Binary cross-entropy of one row, the mean over its two one-hot outputs."""
+    y = F.col(label).cast("double")
+    return (bce_with_logits(z0, F.lit(1.0) - y) + bce_with_logits(z1, y)) / 2
+
+
 def bce_loss(df: DataFrame, z0: str = "z0", z1: str = "z1", label: str = "flag") -> DataFrame:
     """Mean binary cross-entropy over the two one-hot outputs of all rows."""
-    y = F.col(label).cast("double")
-    row = (bce_with_logits(z0, F.lit(1.0) - y) + bce_with_logits(z1, y)) / 2
-    return df.agg(F.avg(row).alias("loss"))
+    return df.agg(F.avg(row_loss(z0, z1, label)).alias("loss"))
 
 
 def confusion_matrix(

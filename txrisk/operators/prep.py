@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,7 +12,8 @@ from txrisk.schemas import MAJORITY_SAMPLE, SEQUENCE_LENGTH, SEQUENCE_WIDTH
 
 # Percentile sketches are this exact (relative rank error 1 / ACCURACY).
 ACCURACY = 10_000
-MAX_CLASSES = 100
+# Slices of the bracket around a median.
+SLICES = 1_000
 
 
 # -- columns ----------------------------------------------------------------
@@ -105,15 +104,33 @@ def medians(df: DataFrame, columns: list[str], exact: bool = True) -> dict[str,
         .groupBy("feature", "side", "value")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    upto = Window.partitionBy("feature").orderBy("side", "value")
+    # Running totals in two steps: over slices of the bracket, then inside the slice
+    # that holds the median.  A slice is a thousandth of the bracket's width.
+    width = F.create_map(
+        *[F.lit(x) for c, (lo, hi) in brackets.items() for x in (c, (hi - lo) / SLICES or 1.0)]
+    )
+    lows = F.create_map(*[F.lit(x) for c, (lo, _) in brackets.items() for x in (c, float(lo))])
+    cut = F.floor((F.col("value") - lows[F.col("feature")]) / width[F.col("feature")])
+    sliced = groups.withColumn("slice", F.coalesce(cut, F.lit(0)))
+    slices = sliced.groupBy("feature", "side", "slice").agg(F.sum("n").alias("slice_n"))
+    upto = Window.partitionBy("feature").orderBy("side", "slice")
     totals = Window.partitionBy("feature")
-    ranked = (
-        groups.withColumn("last", F.sum("n").over(upto))
-        .withColumn("first", F.col("last") - F.col("n") + 1)
-        .withColumn("total", F.sum("n").over(totals))
+    slices = slices.withColumn("slice_last", F.sum("slice_n").over(upto)).withColumn(
+        "total", F.sum("slice_n").over(totals)
     )
     low = F.floor((F.col("total") + 1) / 2)
     high = F.floor((F.col("total") + 2) / 2)
+    slice_first = F.col("slice_last") - F.col("slice_n") + 1
+    holding = slices.where(
+        low.between(slice_first, F.col("slice_last")) | high.between(slice_first, F.col("slice_last"))
+    )
+    within = Window.partitionBy("feature", "side", "slice").orderBy("value")
+    # Two slices per column at most.
+    ranked = (
+        sliced.join(F.broadcast(holding), ["feature", "side", "slice"])
+        .withColumn("last", F.col("slice_last") - F.col("slice_n") + F.sum("n").over(within))
+        .withColumn("first", F.col("last") - F.col("n") + 1)
+    )
 
     def at(position: Column) -> Column:
         return F.max(F.when(position.between(F.col("first"), F.col("last")), F.col("value")))
@@ -150,6 +167,17 @@ def impute(
 # -- scaling (A15, X13) -------------------------------------------------------
 
 
+def population_std(value: Column) -> Column:
+    """Population std; exactly 0 if all values are equal, where merged moments are
+    a little off."""
+    return F.when(F.min(value) == F.max(value), F.lit(0.0)).otherwise(F.stddev_pop(value))
+
+
+def exact_mean(value: Column) -> Column:
+    """Mean; the value itself if all are equal, so that it is scaled to 0."""
+    return F.when(F.min(value) == F.max(value), F.min(value)).otherwise(F.avg(value))
+
+
 def fit_scaler(df: DataFrame, columns: list[str]) -> DataFrame:
     """``(position, feature, mean, std)``, the population std, in one pass."""
     stats = df.agg(
@@ -157,8 +185,8 @@ def fit_scaler(df: DataFrame, columns: list[str]) -> DataFrame:
             F.struct(
                 F.lit(i).alias("position"),
                 F.lit(c).alias("feature"),
-                F.avg(F.col(f"`{c}`").cast("double")).alias("mean"),
-                F.stddev_pop(F.col(f"`{c}`").cast("double")).alias("std"),
+                exact_mean(F.col(f"`{c}`").cast("double")).alias("mean"),
+                population_std(F.col(f"`{c}`").cast("double")).alias("std"),
             ).alias(f"c{i}")
             for i, c in enumerate(columns)
         ]
@@ -190,19 +218,16 @@ def hash_key(key: str, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
 
 
-def class_counts(df: DataFrame, by: str) -> dict:
-    """Rows per class; a label column with more than 100 classes is refused."""
-    rows = df.groupBy(by).agg(F.count(F.lit(1)).alias("n")).limit(MAX_CLASSES + 1).collect()
-    if len(rows) > MAX_CLASSES:
-        raise ValueError(f"{by!r} has more than {MAX_CLASSES} classes")
-    return {r[by]: r["n"] for r in rows}
+def class_counts(df: DataFrame, by: str) -> DataFrame:
+    """``by, n``: rows per class; null is a class like any other."""
+    return df.groupBy(by).agg(F.count(F.lit(1)).alias("n"))
 
 
 def cut_by_hash(
-    df: DataFrame, key: str, by: str, cuts: dict[object, list[int]], seed: int
+    df: DataFrame, key: str, by: str, cuts: DataFrame, seed: int
 ) -> DataFrame:
-    """Adds ``part``: 0 for the first ``cuts[class][0]`` rows of a class in hash
-    order, 1 up to ``cuts[class][1]``, and so on.  Classes not in ``cuts`` go.
+    """Adds ``part``: 0 for the first ``c0`` rows of a class in hash order, 1 up to
+    ``c1``, and so on.  ``cuts``: ``by, c0, c1, ...``; classes not in it go.
 
     Equal to a rank over the whole class, but no class is ever sorted in one
     task.  Rows are counted per class and hash prefix; a running total over
@@ -210,11 +235,10 @@ def cut_by_hash(
     falls.  Only rows of such prefixes are ranked, all others compare their
     prefix.  ``key`` must be unique.
     """
-    n_cuts = max(len(c) for c in cuts.values())
-    rows = (
-        df.where(F.col(by).isin(list(cuts)))
-        .withColumn("_hash", hash_key(key, seed))
-        .withColumn("_prefix", F.substring("_hash", 1, 4))
+    wanted = [c for c in cuts.columns if c != by]
+    known = cuts.withColumnRenamed(by, "_class")
+    rows = df.withColumn("_hash", hash_key(key, seed)).withColumn(
+        "_prefix", F.substring("_hash", 1, 4)
     )
     running = Window.partitionBy(by).orderBy("_prefix")
     prefixes = (
@@ -222,36 +246,30 @@ def cut_by_hash(
         .agg(F.count(F.lit(1)).alias("n"))
         .withColumn("upto", F.sum("n").over(running))
         .withColumn("before", F.col("upto") - F.col("n"))
+        .join(known, F.col(by).eqNullSafe(F.col("_class")))
     )
-
-    def wanted(i: int) -> Column:
-        c = F.lit(None).cast("bigint")
-        for value, places in cuts.items():
-            c = F.when(F.col(by) == F.lit(value), F.lit(places[i]).cast("bigint")).otherwise(c)
-        return c
-
     # One row per class: the prefix of every cut and the rows it takes of it.
-    edges = prefixes.groupBy(by).agg(
+    edges = prefixes.groupBy("_class").agg(
         *[
             F.max(
                 F.when(
-                    (F.col("before") < wanted(i)) & (wanted(i) <= F.col("upto")),
-                    F.struct("_prefix", (wanted(i) - F.col("before")).alias("take")),
+                    (F.col("before") < F.col(c)) & (F.col(c) <= F.col("upto")),
+                    F.struct("_prefix", (F.col(c) - F.col("before")).alias("take")),
                 )
             ).alias(f"_e{i}")
-            for i in range(n_cuts)
+            for i, c in enumerate(wanted)
         ]
     )
-    placed = rows.join(F.broadcast(edges), by)
+    placed = rows.join(edges, F.col(by).eqNullSafe(F.col("_class")))
     on_edge = F.lit(False)
-    for i in range(n_cuts):
+    for i in range(len(wanted)):
         on_edge = on_edge | F.coalesce(F.col("_prefix") == F.col(f"_e{i}._prefix"), F.lit(False))
     within = Window.partitionBy(by, "_prefix").orderBy("_hash", key)
     ranked = placed.where(on_edge).withColumn("_rank", F.row_number().over(within))
     sure = placed.where(~on_edge).withColumn("_rank", F.lit(0))
 
-    part = F.lit(n_cuts)
-    for i in reversed(range(n_cuts)):
+    part = F.lit(len(wanted))
+    for i in reversed(range(len(wanted))):
         prefix = F.col(f"_e{i}._prefix")
         taken = (F.col("_prefix") < prefix) | (
             (F.col("_prefix") == prefix) & (F.col("_rank") <= F.col(f"_e{i}.take"))
@@ -270,34 +288,43 @@ def undersample(
     seed: int = 42,
 ) -> DataFrame:
     """U1 + U2: exactly ``n`` rows of the majority class and all of the minority."""
-    available = class_counts(df, label).get(majority, 0)
+    large = filter_label(df, majority, label)
+    available = large.count()
     if n > available:
         raise ValueError(f"cannot take {n} of {available} rows of class {majority}")
-    sampled = cut_by_hash(df, key, label, {majority: [n]}, seed).where("part = 0").drop("part")
+    cuts = large.select(label).limit(1).withColumn("c0", F.lit(n).cast("bigint"))
+    sampled = cut_by_hash(large, key, label, cuts, seed).where("part = 0").drop("part")
     return sampled.unionByName(filter_label(df, minority, label))
 
 
-def largest_remainder(counts: dict, total: int) -> dict:
-    """Shares of ``total`` in proportion to ``counts``, whole numbers that add up."""
-    everything = sum(counts.values())
-    exact = {c: total * n / everything for c, n in counts.items()}
-    shares = {c: math.floor(v) for c, v in exact.items()}
-    left = total - sum(shares.values())
-    by_remainder = sorted(counts, key=lambda c: (shares[c] - exact[c], str(c)))
-    for c in by_remainder[:left]:
-        shares[c] += 1
-    return shares
+def _shares(counts: DataFrame, by: str, n: str, want: Column, out: str) -> DataFrame:
+    """Adds ``out``: shares of a total in proportion to ``n``, whole numbers that add up.
+
+    What rounding down leaves goes to the largest remainders.
+    """
+    everything = Window.partitionBy()
+    counts = counts.withColumn("_all", F.sum(n).over(everything)).withColumn("_want", want)
+    exact = F.when(F.col("_all") > 0, F.col("_want") * F.col(n) / F.col("_all")).otherwise(0.0)
+    counts = counts.withColumn("_exact", exact).withColumn("_floor", F.floor("_exact"))
+    left = F.col("_want") - F.sum("_floor").over(everything)
+    order = Window.orderBy(
+        (F.col("_exact") - F.col("_floor")).desc(), F.col(by).cast("string").asc_nulls_first()
+    )
+    share = F.col("_floor") + (F.row_number().over(order) <= left).cast("bigint")
+    return counts.withColumn(out, share).drop("_all", "_want", "_exact", "_floor")
+
 
+def split_quotas(counts: DataFrame, by: str, holdout: float, test_share: float) -> DataFrame:
+    """``by, train, val, test``, rows per class: cut off the holdout first, then
+    divide it; every cut keeps the class proportions.
 
-def split_quotas(counts: dict, holdout: float, test_share: float) -> dict:
-    """Rows per class in train, validation and test: cut off the holdout first,
-    then divide it; every cut keeps the class proportions."""
-    total = sum(counts.values())
-    train = largest_remainder(counts, total - math.ceil(holdout * total))
-    rest = {c: counts[c] - train[c] for c in counts}
-    held = sum(rest.values())
-    validation = largest_remainder(rest, held - math.ceil(test_share * held)) if held else rest
-    return {c: (train[c], validation[c], rest[c] - validation[c]) for c in counts}
+    One row per class, so the windows over all classes are short.
+    """
+    whole = F.col("_all")
+    out = _shares(counts, by, "n", whole - F.ceil(F.lit(holdout) * whole), "train")
+    out = out.withColumn("held", F.col("n") - F.col("train"))
+    out = _shares(out, by, "held", whole - F.ceil(F.lit(test_share) * whole), "val")
+    return out.select(by, "train", "val", (F.col("held") - F.col("val")).alias("test"))
 
 
 def stratified_split(
@@ -308,9 +335,12 @@ def stratified_split(
     test_share: float = 0.5,
     seed: int = 42,
 ) -> DataFrame:
-    """Adds ``split`` = ``train`` / ``val`` / ``test`` (70 / 15 / 15 %)."""
-    quotas = split_quotas(class_counts(df, label), holdout, test_share)
-    cuts = {c: [train, train + val] for c, (train, val, _) in quotas.items()}
+    """Adds ``split`` = ``train`` / ``val`` / ``test`` (70 / 15 / 15 %).
+
+    Rows without a label are a class of their own.
+    """
+    quotas = split_quotas(class_counts(df, label), label, holdout, test_share)
+    cuts = quotas.select(label, F.col("train").alias("c0"), (F.col("train") + F.col("val")).alias("c1"))
     names = F.array(F.lit("train"), F.lit("val"), F.lit("test"))
     return (
         cut_by_hash(df, key, label, cuts, seed)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from txrisk.functions.scalars import ether, is_blank, readable, safe_int, wei
+from txrisk.functions.scalars import beyond_decimal, ether, is_blank, readable, safe_int, wei
 from txrisk.operators.skew import Split, split, top_k
 from txrisk.schemas import SEQUENCE_FIELDS, SEQUENCE_LENGTH, SEQUENCE_WIDTH
 
@@ -22,7 +22,8 @@ def is_well_formed() -> Column:
     """F8: every number of the transaction is blank or parses."""
     # A gas price may exceed 64 bits; it still has to be a whole number.
     whole = F.col("gas_price").rlike(r"^\s*[+-]?[0-9]+\s*\z")
-    ok = (is_blank("gas_price") | whole) & readable("value", "decimal(38,0)")
+    amount = readable("value", "decimal(38,0)") | beyond_decimal("value").isNotNull()
+    ok = (is_blank("gas_price") | whole) & amount
     for name in _WHOLE_NUMBERS:
         ok = ok & readable(name)
     return ok
@@ -43,7 +44,7 @@ def sequence_values() -> dict[str, Column]:
         "timestamp": F.pmod(safe_int("time_stamp"), million),
         "value": ether("value"),
         "gas": safe_int("gas") / 1e6,
-        "gas_price": wei("gas_price").cast("double") / 1e9,
+        "gas_price": F.coalesce(beyond_decimal("gas_price"), wei("gas_price").cast("double")) / 1e9,
         "gas_used": safe_int("gas_used") / 1e6,
         "is_error": safe_int("is_error"),
         "tx_type": F.lit(0.0),
@@ -131,12 +132,19 @@ def matrix_of_steps(steps: Column, length: int = SEQUENCE_LENGTH) -> Column:
     return pad_matrix(F.slice(good, 1, length), length)
 
 
-def pool_names() -> list[str]:
+def channel_names(width: int = SEQUENCE_WIDTH) -> list[str]:
+    """Names of the channels of a sequence; those of a bulk export have numbers."""
+    if width == SEQUENCE_WIDTH:
+        return list(SEQUENCE_FIELDS)
+    return [f"channel_{i}" for i in range(width)]
+
+
+def pool_names(width: int = SEQUENCE_WIDTH) -> list[str]:
     """Names of the pooled values, in the order of ``pool``."""
-    return [f"{kind}_{f}" for kind in ("mean", "max", "first", "std") for f in SEQUENCE_FIELDS]
+    return [f"{kind}_{f}" for kind in ("mean", "max", "first", "std") for f in channel_names(width)]
 
 
-def pool(matrix: Column) -> Column:
+def pool(matrix: Column, width: int = SEQUENCE_WIDTH) -> Column:
     """Mean, maximum, first value and standard deviation of every channel.
 
     Taken over the padded matrix, so an account without history gets zeros.
@@ -147,7 +155,7 @@ def pool(matrix: Column) -> Column:
         return F.aggregate(matrix, F.lit(0.0), lambda a, row: a + f(row))
 
     means, tops, firsts, stds = [], [], [], []
-    for i in range(SEQUENCE_WIDTH):
+    for i in range(width):
         first = matrix[0][i]
         mean = total(lambda row: row[i]) / n
         # Squares are taken from the first value: raw ones would cancel out.

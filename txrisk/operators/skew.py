@@ -19,36 +19,34 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# A key with more rows than this is hot.
+# A key with more rows than this is hot ...
 HOT_ROWS = 1_000_000
-# At most this many keys are treated as hot, the largest first.  A key beyond
-# them holds less than 1/10000 of the rows, so no special path is needed.
-# It also bounds what is broadcast.
-MAX_HOT_KEYS = 10_000
-# At most this many pieces for one key.
-MAX_PIECES = 4_096
+# ... or than one in so many rows, if that is more: there are never more hot keys
+# than this, which bounds what is broadcast.
+HOT_SHARE = 200_000
 # Largest list of keys that is broadcast (a key is a short text: below 20 MB).
 # It is below HOT_ROWS, so a list that fits has no hot keys of its own.
 BROADCAST_KEYS = 200_000
 
 
 def hot_keys(df: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """``(key, pieces)`` for the heaviest keys of ``df``; at most 10,000 rows."""
+    """``(key, pieces)`` for the heaviest keys of ``df``; at most ``HOT_SHARE`` rows."""
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("rows"))
+    # The same 0 in every row, but no literal, which would make a nested loop of the join.
+    counts = counts.withColumn("all", F.pmod(F.xxhash64(key), F.lit(1)))
+    # One row: all rows of the table.
+    total = counts.groupBy("all").agg(F.sum("rows").alias("total"))
+    limit = F.greatest(F.lit(hot_rows).cast("double"), F.col("total") / HOT_SHARE)
     return (
-        counts.filter(F.col("rows") > hot_rows)
-        .orderBy(F.col("rows").desc(), key)
-        .limit(MAX_HOT_KEYS)
-        .select(
-            key,
-            F.least(F.ceil(F.col("rows") / hot_rows), F.lit(MAX_PIECES)).cast("int").alias("pieces"),
-        )
+        counts.join(F.broadcast(total), "all")
+        .filter(F.col("rows") > limit)
+        .select(key, F.ceil(F.col("rows") / limit).cast("int").alias("pieces"))
     )
 
 
 def fits_broadcast(keys: DataFrame, max_rows: int = BROADCAST_KEYS) -> bool:
-    """Size check before a broadcast: a plain count, nearly free on Parquet."""
-    return keys.count() <= max_rows
+    """Size check before a broadcast; a longer list is not counted to its end."""
+    return keys.limit(max_rows + 1).count() <= max_rows
 
 
 @dataclass(frozen=True)
@@ -76,7 +74,7 @@ def join_split(
     """Inner or left join on ``key``, which is unique in ``small``.
 
     The rows of hot keys meet a broadcast of the partners of those keys, at most
-    10,000 rows; the rest is shuffled on the key.  A ``small`` side of keys alone
+    ``HOT_SHARE`` rows; the rest is shuffled on the key.  A ``small`` side of keys alone
     may carry a ``shuffle_hash`` hint, which saves sorting the big side.
     """
     hot = hot_keys(big, key) if hot is None else hot

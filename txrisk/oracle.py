@@ -6,7 +6,8 @@ Spark plans: rankings rank whole groups, medians use the built-in, and so on.
 
 from __future__ import annotations
 
-from txrisk.schemas import COMPUTED_FEATURES, FEATURES, SEQUENCE_FIELDS
+from txrisk.proxy import HUGE
+from txrisk.schemas import COMPUTED_FEATURES, FEATURES, HISTORY_COLUMNS, SEQUENCE_FIELDS
 
 # -- shared views -----------------------------------------------------------------
 
@@ -34,9 +35,21 @@ TX = f"""tx as (
     cast(event_id % 10 as varchar) as transaction_index,
     case when event_id % 89 = 0 then '' else cast(10000000 - event_id as varchar) end as confirmations,
     case event_type when 'purchase' then '0xa9059cbb00000000000000000000000000000001'
-      when 'click' then 'deprecated' when 'view' then '0x00' else '0x' end as input
+      when 'click' then 'deprecated' when 'view' then '0x00' else '0x' end as input,
+    concat('0x', md5(cast(cast(floor(event_id / 10) as bigint) as varchar))) as block_hash,
+    cast(event_id % 1000 as varchar) as nonce,
+    case event_type when 'purchase' then '0xa9059cbb' else '0x' end as method_id,
+    case event_type when 'purchase' then 'transfer(address,uint256)' else '' end as function_name,
+    case event_type when 'signup' then {_ADDR.format("event_id + 1000000")} else '' end as contract_address,
+    cast(30000 + event_id % 9000 as varchar) as cumulative_gas_used,
+    case event_type when 'error' then '0' else '1' end as txreceipt_status
   from events)"""
 
+# The same with amounts of 40 digits.
+TX_HUGE = TX.replace(
+    "then 'n/a'", f"then 'n/a' when event_id % 109 = 0 then '{HUGE}'"
+)
+
 BULK = f"""bulk as (
   select event_id as pos,
     {_ADDR.format("user_id")} as from_address,
@@ -61,7 +74,8 @@ ROWS = """rows_ as (
 allhist as (
   select *, from_address = address as sent, to_address = address as received,
     coalesce(try_cast(time_stamp as bigint), 0) as ts,
-    coalesce(try_cast(value as decimal(38,0)), 0) as wei
+    coalesce(try_cast(value as decimal(38,0)), 0) as wei,
+    case when try_cast(value as decimal(38,0)) is null then try_cast(value as double) end as beyond
   from rows_)"""
 
 HIST = f"""{TX}, {ACC}, {ROWS}, hist as (
@@ -82,15 +96,20 @@ def _feature_sql(source: str, sign: str) -> str:
         "sent and to_address <> '' and regexp_full_match(input, '(0[xX])?[0-9a-fA-F]*[1-9a-fA-F][0-9a-fA-F]*')"
     )
     def money(kind: str, cond: str) -> str:
-        agg = f"{kind}(wei) filter (where {cond})"
-        return f"coalesce(cast({agg} as double) / 1e18, 0.0)"
+        if kind == "sum":
+            return f"coalesce({total(cond)}, 0.0)"
+        each = "coalesce(beyond / 1e18, cast(wei as double) / 1e18)"
+        return f"coalesce({kind}({each}) filter (where {cond}), 0.0)"
 
-    def mean(cond: str) -> str:
+    def total(cond: str) -> str:
         return (
-            f"coalesce(cast(sum(wei) filter (where {cond}) as double) / 1e18"
-            f" / count(*) filter (where {cond}), 0.0)"
+            f"(cast(sum(wei) filter (where {cond}) as double) / 1e18"
+            f" + coalesce(sum(beyond) filter (where {cond}), 0.0) / 1e18)"
         )
 
+    def mean(cond: str) -> str:
+        return f"coalesce({total(cond)} / count(*) filter (where {cond}), 0.0)"
+
     def gap(cond: str) -> str:
         n = f"count(*) filter (where {cond} and ts > 0)"
         span = f"max(ts) filter (where {cond} and ts > 0) - min(ts) filter (where {cond} and ts > 0)"
@@ -135,7 +154,7 @@ feats as (
 
 _PRICE = "regexp_full_match(gas_price, '\\s*[+-]?[0-9]+\\s*')"
 WELL_FORMED = " and ".join(
-    [f"(gas_price = '' or {_PRICE})", "(value = '' or try_cast(value as decimal(38,0)) is not null)"]
+    [f"(gas_price = '' or {_PRICE})", "(value = '' or try_cast(value as double) is not null)"]
     + [
         f"({c} = '' or try_cast({c} as bigint) is not null)"
         for c in (
@@ -152,7 +171,7 @@ def _int(c: str) -> str:
 
 _VALUES = {
     "timestamp": "cast(ts % 1000000 as double)",
-    "value": "cast(wei as double) / 1e18",
+    "value": "coalesce(beyond / 1e18, cast(wei as double) / 1e18)",
     "gas": f"{_int('gas')} / 1e6",
     "gas_price": "cast(coalesce(try_cast(gas_price as decimal(38,0)), 0) as double) / 1e9",
     "gas_used": f"{_int('gas_used')} / 1e6",
@@ -206,8 +225,8 @@ SCORED = f"""{FEATS}, logits as (
   select *, round(received_count / 100, 4) as z0,
     round(created_contracts / 10 + unique_sent_to / 50 - sent_count / 200, 4) as z1 from feats),
 scored as (
-  select *, round(exp(z0 - greatest(z0, z1)) / (exp(z0 - greatest(z0, z1)) + exp(z1 - greatest(z0, z1))), 3) as p0,
-    round(exp(z1 - greatest(z0, z1)) / (exp(z0 - greatest(z0, z1)) + exp(z1 - greatest(z0, z1))), 3) as p1,
+  select *, round(exp(z0 - greatest(z0, z1)) / (exp(z0 - greatest(z0, z1)) + exp(z1 - greatest(z0, z1))), 6) as p0,
+    round(exp(z1 - greatest(z0, z1)) / (exp(z0 - greatest(z0, z1)) + exp(z1 - greatest(z0, z1))), 6) as p1,
     case when z1 > z0 then 1 else 0 end as predicted from logits)"""
 
 _CANDIDATES = f"""{TX}, candidates as (
@@ -233,12 +252,8 @@ _SCALER = """scaled as (
 
 _LOSS = "(greatest({z}, 0) - {z} * {y} + ln(1 + exp(-abs({z}))))"
 
-_JSON_FIELDS = (
-    "hash", "from_address", "to_address", "value", "time_stamp", "gas", "gas_price",
-    "gas_used", "is_error", "block_number", "transaction_index", "confirmations", "input",
-)
 _JSON = "concat('{', " + ", ',', ".join(
-    f"""'"{c}":"', {c}, '"'""" for c in _JSON_FIELDS
+    f"""'"{c}":"', {c}, '"'""" for c in HISTORY_COLUMNS
 ) + ", '}')"
 
 
@@ -261,12 +276,12 @@ def statements() -> dict[str, str]:
     pooled = []
     for kind in ("avg({})", "max({})", "max({}) filter (where step = 0)", "stddev_pop({})"):
         name = {"a": "mean", "s": "std"}.get(kind[0]) or ("first" if "filter" in kind else "max")
-        digits = 4 if name == "std" else 9
+        digits = 6 if name == "std" else 9
         pooled += [f"round({kind.format(f)}, {digits}) as {name}_{f}" for f in SEQUENCE_FIELDS]
 
     return {
         "account_features": f"with {FEATS} select address, {feature_list} from feats",
-        "account_features_full": f"with {TX}, {ROWS}, ok as (select * from allhist where is_error = '0') "
+        "account_features_full": f"with {TX_HUGE}, {ROWS}, ok as (select * from allhist where is_error = '0') "
         + _feature_sql("ok", ""),
         "align_features": f"with {FEATS} select address, "
         + ", ".join(
@@ -296,23 +311,21 @@ def statements() -> dict[str, str]:
             union all select address, 'received' as role, pos, ts from hist where received and ts > 0)
             select address, role, pos, ts,
               (ts - lag(ts) over (partition by address, role order by ts, pos)) / 60 as gap_mins from roles""",
-        "batch_index": f"with {ACC} select address, key as batch_index from acc",
+        "batch_index": f"with {ACC} select address, flag, row_number() over (order by key) - 1 as batch_index from acc",
         "first_n_sequence": f"""with {PAIRS}, r as (
             select p.address, b.*, row_number() over (partition by p.address order by b.pos) - 1 as step
             from parties p join bulk b using (pos) where p.address in (select address from acc where flag = 1))
             select address, cast(step as integer) as step,
               cast(strftime(cast(created_at as timestamp), '%Y%m%d') as bigint) as created_at,
               value, gas, gas_used, block_number from r where step < 50""",
-        "latest_sequence": f"with {HIST} select * from {_latest('hist', 50, 'pos')}",
+        "latest_sequence": f"with {HIST.replace(TX, TX_HUGE)} select * from {_latest('hist', 50, 'pos')}",
         "padded_length": f"""with {HIST}, s as {_latest("hist", 200, "pos")}
             select address, 200 as length, cast(count(*) as integer) as real_rows,
               cast(200 - count(*) as integer) as padding from s group by address""",
         "profile_sequence": f"with {PROFILE} select * from profile",
         "pooled_sequence": f"with {PROFILE} select address, {', '.join(pooled)} from profile group by address",
-        "nest_transactions": f"""with {HIST}, {RECENT}, u as (
-            select address, count(*) as n, arg_min(hash, rank) as newest, arg_max(hash, rank) as oldest
-            from recent group by address)
-            select a.address, cast(coalesce(n, 0) as integer) as used, newest, oldest from acc a left join u using (address)""",
+        "nest_transactions": f"""with {HIST}, {RECENT} select a.address, cast(rank as integer) as rank,
+            {", ".join(f"r.{c}" for c in HISTORY_COLUMNS)} from acc a left join recent r using (address)""",
         "validate_address": f"with {_CANDIDATES} select candidate, count(*) as times, state from states group by candidate, state",
         "failed_requests": f"""with {_CANDIDATES} select case state when 'ok' then 'analysed' else state end as reason,
             count(*) as requests from states group by 1""",
@@ -322,7 +335,9 @@ def statements() -> dict[str, str]:
             cast(replace(left(created_at, 10), '-', '') as bigint) as day from bulk""",
         "hex_nonzero": f"""with {TX} select pos, input = '0xa9059cbb00000000000000000000000000000001' as input_set,
             regexp_matches(substr(hash, 3), '[1-9a-f]') as hash_set, true as gas_set from tx""",
-        "safe_numbers": f"""with {TX} select pos, cast(coalesce(try_cast(value as decimal(38,0)), 0) as double) / 1e18 as ether,
+        "safe_numbers": f"""with {TX_HUGE} select pos, case when try_cast(value as decimal(38,0)) is null
+              then coalesce(try_cast(value as double), 0.0) / 1e18
+              else cast(try_cast(value as decimal(38,0)) as double) / 1e18 end as ether,
             {_int("time_stamp")} as ts, nullif({_int("time_stamp")}, 0) as valid_ts, {_int("gas")} as gas,
             coalesce(try_cast(gas as double), 0.0) as gas_double, {WELL_FORMED} as well_formed from tx""",
         "undersample": f"""with {ACC}, r as (select *, row_number() over (order by md5(concat('42:', address)), address) as r
@@ -336,7 +351,7 @@ def statements() -> dict[str, str]:
         "fit_scaler": f"""with {_SCALER}
             select 0 as position, 'o_totalprice' as feature, round(m1, 6) as mean, round(s1, 6) as std from scaled
             union all select 1, 'o_custkey', round(m2, 6), round(s2, 6) from scaled
-            union all select 2, 'constant', 7.0, 0.0""",
+            union all select 2, 'constant', 7.3, 0.0""",
         "scale_features": f"""with {_SCALER} select o_orderkey, round((o_totalprice - m1) / s1, 6) as o_totalprice,
             round((o_custkey - m2) / s2, 6) as o_custkey, 0.0::double as constant from orders, scaled""",
         "assemble_training": f"""with {PAIRS}, r as (
@@ -358,7 +373,6 @@ def statements() -> dict[str, str]:
         "bce_loss": f"""with {SCORED} select round(avg(({_LOSS.format(z="z0", y="(1 - flag)")}
             + {_LOSS.format(z="z1", y="flag")}) / 2), 6) as loss from scored""",
         "confusion_matrix": _cells("labels", "toxic", "quality"),
-        "predicted_confusion": f"with {SCORED} " + _cells("scored", "flag", "predicted"),
         "analysis_row": f"""with {SCORED} select case predicted when 1 then 'Fraud' else 'Normal' end as prediction,
             predicted = 1 as is_fraud, address, cast(total_transactions as integer) as total_transactions,
             '2024-02-01T00:00:00' as analysis_timestamp, greatest(p0, p1) as confidence,
@@ -376,4 +390,73 @@ def statements() -> dict[str, str]:
             from scored""",
         "explorer_records": f"""with {HIST}, {RECENT} select address, rank - 1 as pos, hash, from_address, to_address,
             value, time_stamp from recent""",
+        # The other branch of each join and ranking has the same rows.
+        "touching_long_list": f"""with {BULK}, {ACC}, f as (
+              select address from acc where flag = 1 union all select '')
+            select pos, from_address, to_address, source_address, value from bulk
+            where from_address in (select address from f) or to_address in (select address from f)
+              or source_address in (select address from f)""",
+        "touching_blank": f"""with {BULK}, {ACC}, f as (
+              select address from acc where flag = 1 union all select '')
+            select pos, from_address, to_address, source_address, value from bulk
+            where from_address in (select address from f) or to_address in (select address from f)
+              or source_address in (select address from f)""",
+        "incidence_long_list": f"""with {PAIRS} select address, count(*) as transactions,
+            min(pos) as first_pos, max(pos) as last_pos from parties
+            where address in (select address from acc where flag = 1) group by address""",
+        "history_long_list": f"with {HIST} select address, pos, sent, received from hist",
+        "recent_k_hubs": f"with {HIST}, {RECENT} select address, cast(rank as integer) as rank, hash from recent",
+        "page_history_hubs": f"""with {HIST}, r as (select *, row_number() over (partition by address order by {_OLDEST}) as rank
+            from hist) select address, cast(rank as integer) as rank, hash from r where rank between 26 and 50""",
+        "latest_sequence_hubs": f"with {HIST} select * from {_latest('hist', 50, 'pos')}",
+        "tx_gaps_hubs": f"""with {HIST}, roles as (
+            select address, 'sent' as role, pos, ts from hist where sent and ts > 0
+            union all select address, 'received' as role, pos, ts from hist where received and ts > 0)
+            select address, role, pos, ts,
+              (ts - lag(ts) over (partition by address, role order by ts, pos)) / 60 as gap_mins from roles""",
+        "kept_history_scan": f"with {FEATS} select address, {feature_list} from feats where flag = 1",
+        # Models: what does not depend on the weights.
+        "train_and_score": f"""with {ACC} select address, flag, {len(COMPUTED_FEATURES)} as features_used,
+            50 as sequence_length, true as sums_to_one, true as agrees from acc""",
+        "model_quality": f"""with {SPLIT} select split, count(*) as records, true as in_range, true as finite
+            from split group by split""",
+        "bulk_model": f"""with {SPLIT} select split, count(*) as records, true as in_range, true as finite
+            from split group by split""",
+        "model_predictions": f"""with {ACC} select flag as actual, count(*) as records from acc group by flag""",
+        "score_static_only": f"with {ACC} select address, true as sums_to_one, true as agrees from acc",
+        "batch_scan": f"""with {HIST} select key as batch_index, address,
+            cast(case when n is null then 0 else least(n, 1000) end as integer) as total_transactions,
+            cast(case when n is null then 0 else least(n, 1000) end as integer) as used, {len(COMPUTED_FEATURES)} as features_used,
+            50 as sequence_length, true as sums_to_one, true as agrees
+            from acc left join (select address, count(*) as n from hist group by address) using (address)""",
+        "scan_stream": f"""with {HIST} select address, cast(case when n is null then 0 else least(n, 1000) end as integer) as total_transactions,
+            cast(case when n is null then 0 else least(n, 1000) end as integer) as used, true as sums_to_one, true as agrees
+            from acc left join (select address, count(*) as n from hist group by address) using (address)""",
+        "stream_failures": f"""select c_name as address, 'invalid' as reason from customer
+            union all select concat({_ADDR.format("c_custkey")}, chr(10)), 'invalid' from customer""",
+        "batch_failures": """select row_number() over (order by c_custkey) - 1 as batch_index,
+            case when c_custkey % 3 = 0 then null else c_name end as address,
+            case when c_custkey % 3 = 0 then 'missing' else 'invalid' end as reason from customer""",
+        "model_info": f"""select 'LogisticRegressionModel' as model_type, {len(COMPUTED_FEATURES)} as num_features,
+            {len(COMPUTED_FEATURES)} as listed""",
+        "feature_catalog": "select * from (values "
+        + ", ".join(
+            [f"('{c}', {i}, 'static')" for i, c in enumerate(COMPUTED_FEATURES)]
+            + [
+                f"('{n}', {i}, 'sequence')"
+                for i, n in enumerate(f"{k}_{f}" for k in ("mean", "max", "first", "std") for f in SEQUENCE_FIELDS)
+            ]
+        )
+        + ') t(name, "position", "group")',
+        "saved_model": f"with {ACC} select address, true as same from acc",
+        # Files: what was written comes back.
+        "read_addresses": f"""select c_custkey as "index", {_ADDR.format("c_custkey")} as address,
+            case when c_acctbal < 0 then 1 else 0 end as flag, c_acctbal as avg_sent from customer""",
+        "read_transactions": f"with {BULK} select pos, from_address, to_address, value, gas, block_number from bulk",
+        "explorer_internal": f"with {HIST}, {RECENT} select address, rank - 1 as pos, hash, value from recent",
+        "explorer_tokens": f"with {HIST}, {RECENT} select address, rank - 1 as pos, hash, value from recent",
+        "explorer_strict": f"with {HIST}, {RECENT} select address, rank - 1 as pos, hash, value from recent",
+        "feature_table": f"with {FEATS} select address, flag, {feature_list} from feats",
+        "written_results": f"""with {SCORED} select address, predicted = 1 as is_fraud,
+            cast(total_transactions as integer) as total_transactions, true as stamped from scored""",
     }

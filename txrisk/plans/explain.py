@@ -49,15 +49,21 @@ def parse_explanations(replies: DataFrame, reply: str = "reply", on_error: str =
     """
     if on_error not in ("fail", "null"):
         raise ValueError(f"on_error must be 'fail' or 'null', not {on_error!r}")
-    bare = F.regexp_replace(F.trim(reply), r"^```[a-zA-Z]*\s*|\s*```\z", "")
+    bare = F.regexp_replace(F.regexp_replace(reply, r"^\s+|\s+\z", ""), r"^```[a-zA-Z]*\s*|\s*```\z", "")
+    # from_json would wrap a single object into a list.
+    single = F.coalesce(bare.rlike(r"^\s*[^\s\[]"), F.lit(False))
     blank = F.coalesce(F.length(bare) == 0, F.lit(True))
     if on_error == "fail":
-        text = F.when(blank, F.raise_error(F.lit("empty reply"))).otherwise(bare)
+        text = (
+            F.when(blank, F.raise_error(F.lit("empty reply")))
+            .when(single, F.raise_error(F.lit("the reply is no list")))
+            .otherwise(bare)
+        )
         return replies.withColumn(
             "explanations", F.from_json(text, EXPLANATION, {"mode": "FAILFAST"})
         )
     return replies.withColumn(
-        "explanations", F.from_json(F.when(~blank, bare), EXPLANATION, {"mode": "PERMISSIVE"})
+        "explanations", F.from_json(F.when(~blank & ~single, bare), EXPLANATION, {"mode": "PERMISSIVE"})
     )
 
 

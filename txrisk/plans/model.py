@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from txrisk.functions.scores import argmax, confidence, verdict
+from txrisk.operators.metrics import row_loss
+from txrisk.operators.prep import exact_mean, population_std
 from txrisk.operators.sequences import pool, pool_names, zero_row
 from txrisk.schemas import (
     FEATURES,
@@ -30,7 +32,7 @@ from txrisk.schemas import (
     SEQUENCE_LENGTH,
     SEQUENCE_WIDTH,
 )
-from txrisk.sources.checkpoints import checkpoint
+from txrisk.sources.tables import kept
 
 CLASSIFIERS = {
     "mlp": MultilayerPerceptronClassificationModel,
@@ -48,6 +50,9 @@ class RiskModel:
     feature_columns: list[str]
     encoding: str = "pooled"
     sequence_length: int = SEQUENCE_LENGTH
+    sequence_width: int = SEQUENCE_WIDTH
+    # Newest transactions of an account that features are made of; a scan takes as many.
+    k: int = 1000
     means: list[float] = field(default_factory=list)
     stds: list[float] = field(default_factory=list)
 
@@ -56,7 +61,8 @@ class RiskModel:
         return {
             "algorithm": self.algorithm,
             "encoding": self.encoding,
-            "sequence_input_size": SEQUENCE_WIDTH,
+            "sequence_input_size": self.sequence_width,
+            "newest_transactions": self.k,
             "static_input_size": len(self.feature_columns),
             "sequence_length": self.sequence_length,
             "fc_hidden_sizes": HIDDEN_LAYERS if self.algorithm == "mlp" else [],
@@ -67,24 +73,32 @@ class RiskModel:
 # -- vectors (M1) ---------------------------------------------------------------
 
 
-def _raw_values(df: DataFrame, columns: list[str], encoding: str) -> Column:
+def width_of(df: DataFrame) -> int:
+    """Numbers in a step of ``sequence``; every row has as many."""
+    row = df.where(F.size("sequence") > 0).select(F.size(F.get("sequence", F.lit(0)))).first()
+    return row[0] if row else SEQUENCE_WIDTH
+
+
+def _raw_values(df: DataFrame, columns: list[str], encoding: str, width: int) -> Column:
     static = F.array(
         *[
             F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0)) if c in df.columns else F.lit(0.0)
             for c in columns
         ]
     )
-    sequence = pool(F.col("sequence")) if encoding == "pooled" else F.flatten("sequence")
+    sequence = pool(F.col("sequence"), width) if encoding == "pooled" else F.flatten("sequence")
     return F.concat(static, sequence)
 
 
-def encode(df: DataFrame, columns: list[str], encoding: str = "pooled") -> DataFrame:
+def encode(
+    df: DataFrame, columns: list[str], encoding: str = "pooled", width: int = SEQUENCE_WIDTH
+) -> DataFrame:
     """Replaces features and ``sequence`` by ``raw_values``, one array of numbers.
 
     Absent or null features are 0.  The array is far smaller than the sequence.
     """
     kept = [f"`{c}`" for c in df.columns if c not in columns and c != "sequence"]
-    return df.select(*kept, _raw_values(df, columns, encoding).alias("raw_values"))
+    return df.select(*kept, _raw_values(df, columns, encoding, width).alias("raw_values"))
 
 
 def assemble_vector(df: DataFrame, model: RiskModel) -> DataFrame:
@@ -95,7 +109,7 @@ def assemble_vector(df: DataFrame, model: RiskModel) -> DataFrame:
     """
     encoded = "raw_values" in df.columns
     rows = df if encoded else df.withColumn(
-        "raw_values", _raw_values(df, model.feature_columns, model.encoding)
+        "raw_values", _raw_values(df, model.feature_columns, model.encoding, model.sequence_width)
     )
     n = len(model.means)
     means = F.array(*[F.lit(m) for m in model.means])
@@ -109,11 +123,12 @@ def assemble_vector(df: DataFrame, model: RiskModel) -> DataFrame:
     return out if encoded else out.drop("raw_values")
 
 
-def _fit_scaler(encoded: DataFrame, columns: list[str], encoding: str) -> tuple[list, list]:
+def _fit_scaler(encoded: DataFrame, model: RiskModel) -> tuple[list, list]:
     """A15 over the vector: mean and population std of every scaled position."""
-    n = len(columns) + (len(pool_names()) if encoding == "pooled" else 0)
+    pooled = len(pool_names(model.sequence_width)) if model.encoding == "pooled" else 0
+    n = len(model.feature_columns) + pooled
     value = [F.get("raw_values", F.lit(i)) for i in range(n)]
-    stats = encoded.agg(*[F.avg(v) for v in value], *[F.stddev_pop(v) for v in value]).first()
+    stats = encoded.agg(*[exact_mean(v) for v in value], *[population_std(v) for v in value]).first()
     return list(stats[:n]), [s if s else 1.0 for s in stats[n:]]
 
 
@@ -129,12 +144,15 @@ def train_classifier(
     epochs: int = 10,
     seed: int = 42,
     fit_on: DataFrame | None = None,
+    width: int | None = None,
+    k: int = 1000,
 ) -> RiskModel:
     """M2: fit a two-class model on rows with features, ``sequence`` and a label.
 
     The scaler is fitted on the training rows; ``fit_on`` names other rows.
     Training passes over the rows many times, so they are encoded and
-    checkpointed first; rows that ``encode`` made are taken as they are.
+    written first; rows that ``encode`` made are taken as they are, and need the
+    ``width`` of their sequences.
     """
     if algorithm not in CLASSIFIERS:
         raise ValueError(f"algorithm must be one of {sorted(CLASSIFIERS)}, not {algorithm!r}")
@@ -143,18 +161,20 @@ def train_classifier(
     columns = feature_columns or [c for c in FEATURES if c in training.columns]
     if not columns:
         raise ValueError("no static feature columns")
-    model = RiskModel(algorithm, None, columns, encoding)
+    if width is None:
+        width = SEQUENCE_WIDTH if "raw_values" in training.columns else width_of(training)
+    model = RiskModel(algorithm, None, columns, encoding, sequence_width=width, k=k)
     if "raw_values" not in training.columns:
-        training = checkpoint(encode(training, columns, encoding).select(label, "raw_values"))
+        training = kept(encode(training, columns, encoding, width).select(label, "raw_values"))
     whole = training if fit_on is None else fit_on
     if "raw_values" not in whole.columns:
-        whole = encode(whole, columns, encoding)
-    model.means, model.stds = _fit_scaler(whole, columns, encoding)
+        whole = encode(whole, columns, encoding, width)
+    model.means, model.stds = _fit_scaler(whole, model)
     vectors = assemble_vector(training, model).select(
         "features", F.col(label).cast("double").alias("label")
     )
     if algorithm == "mlp":
-        tail = len(pool_names()) if encoding == "pooled" else SEQUENCE_LENGTH * SEQUENCE_WIDTH
+        tail = len(pool_names(width)) if encoding == "pooled" else SEQUENCE_LENGTH * width
         layers = [len(columns) + tail, *HIDDEN_LAYERS, 2]
         learner = MultilayerPerceptronClassifier(layers=layers, maxIter=epochs, seed=seed)
     elif algorithm == "logistic":
@@ -169,14 +189,17 @@ def train_classifier(
 
 
 def predictions(df: DataFrame, model: RiskModel) -> DataFrame:
-    """M6: adds ``p0``, ``p1`` and ``predicted`` (the first class wins a tie)."""
+    """M6: adds ``p0``, ``p1``, the raw outputs ``z0``, ``z1``, and ``predicted`` (the
+    first class wins a tie)."""
     scored = model.classifier.transform(assemble_vector(df, model))
-    p = vector_to_array("probability")
+    p, z = vector_to_array("probability"), vector_to_array("rawPrediction")
     kept = [c for c in df.columns if c not in ("sequence", "raw_values")]
     return scored.select(
         *[f"`{c}`" for c in kept],
         F.get(p, F.lit(0)).alias("p0"),
         F.get(p, F.lit(1)).alias("p1"),
+        F.get(z, F.lit(0)).alias("z0"),
+        F.get(z, F.lit(1)).alias("z1"),
         argmax(p).alias("predicted"),
     )
 
@@ -203,12 +226,13 @@ def prediction_struct(model: RiskModel | None = None) -> Column:
 
 def score(df: DataFrame, model: RiskModel) -> DataFrame:
     """M3: adds the seven-field ``prediction`` to rows with features and sequence."""
-    return predictions(df, model).withColumn("prediction", prediction_struct(model))
+    scored = predictions(df, model).withColumn("prediction", prediction_struct(model))
+    return scored.drop("z0", "z1")
 
 
 def score_static_only(df: DataFrame, model: RiskModel) -> DataFrame:
     """M4: the five-field prediction from static features and a zero sequence."""
-    zeros = F.array_repeat(zero_row(), model.sequence_length)
+    zeros = F.array_repeat(zero_row(model.sequence_width), model.sequence_length)
     scored = predictions(df.withColumn("sequence", zeros), model)
     return scored.withColumn("prediction", prediction_struct())
 
@@ -216,12 +240,12 @@ def score_static_only(df: DataFrame, model: RiskModel) -> DataFrame:
 def evaluate(
     df: DataFrame, model: RiskModel, label: str = "flag", by: str | None = None
 ) -> DataFrame:
-    """M5: accuracy and loss on labelled rows, in one pass; ``by`` groups them."""
+    """M5: accuracy and loss (A17, over the raw outputs) on labelled rows, in one
+    pass; ``by`` groups them."""
     scored = predictions(df, model)
-    p = F.when(F.col(label) == 1, F.col("p1")).otherwise(F.col("p0"))
     return scored.groupBy(*([by] if by else [])).agg(
         F.avg((F.col("predicted") == F.col(label)).cast("double")).alias("accuracy"),
-        F.avg(-F.log(F.greatest(p, F.lit(1e-15)))).alias("loss"),
+        F.avg(row_loss("z0", "z1", label)).alias("loss"),
         F.count(F.lit(1)).alias("records"),
     )
 
@@ -232,7 +256,7 @@ def evaluate(
 def save_model(spark: SparkSession, model: RiskModel, path: str) -> None:
     """Classifier, scaler table and config under one folder."""
     model.classifier.write().overwrite().save(f"{path}/classifier")
-    names = model.feature_columns + pool_names()
+    names = model.feature_columns + pool_names(model.sequence_width)
     scaler = [(i, names[i], m, s) for i, (m, s) in enumerate(zip(model.means, model.stds))]
     spark.createDataFrame(scaler, "position int, feature string, mean double, std double").coalesce(
         1
@@ -246,7 +270,8 @@ def load_model(spark: SparkSession, path: str) -> RiskModel:
     config = json.loads(spark.read.text(f"{path}/config").first()[0])
     scaler = spark.read.parquet(f"{path}/scaler").orderBy("position").collect()
     columns = config["feature_columns"]
-    width = len(columns) + (len(pool_names()) if config["encoding"] == "pooled" else 0)
+    pooled = len(pool_names(config["sequence_input_size"])) if config["encoding"] == "pooled" else 0
+    width = len(columns) + pooled
     if len(scaler) != width or [r["feature"] for r in scaler][: len(columns)] != columns:
         raise ValueError(f"scaler covers {len(scaler)} columns, the model has {width}")
     return RiskModel(
@@ -255,6 +280,8 @@ def load_model(spark: SparkSession, path: str) -> RiskModel:
         feature_columns=columns,
         encoding=config["encoding"],
         sequence_length=config["sequence_length"],
+        sequence_width=config["sequence_input_size"],
+        k=config["newest_transactions"],
         means=[r["mean"] for r in scaler],
         stds=[r["std"] for r in scaler],
     )
@@ -266,9 +293,9 @@ def load_model(spark: SparkSession, path: str) -> RiskModel:
 def feature_catalog(spark: SparkSession, model: RiskModel) -> DataFrame:
     """The features a model uses: name, position, group."""
     tail = (
-        pool_names()
+        pool_names(model.sequence_width)
         if model.encoding == "pooled"
-        else [f"sequence_feature_{i}" for i in range(SEQUENCE_WIDTH)]
+        else [f"sequence_feature_{i}" for i in range(model.sequence_width)]
     )
     rows = [(n, i, "static") for i, n in enumerate(model.feature_columns)]
     rows += [(n, i, "sequence") for i, n in enumerate(tail)]

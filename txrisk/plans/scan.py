@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from txrisk.functions.scalars import address_check
 from txrisk.operators.features import account_features, features_for, narrow
 from txrisk.operators.history import batch_index, recent
-from txrisk.operators.incidence import history_for, history_split, with_roles
+from txrisk.operators.incidence import distinct_addresses, history_for, history_split, with_roles
 from txrisk.operators.sequences import matrix_of_steps, step_of_row
 from txrisk.operators.skew import fits_broadcast
 from txrisk.plans.model import RiskModel, score
@@ -84,23 +84,33 @@ def profiles(
     """Features, sequence and used transactions of every listed account.
 
     ``tx`` is a bulk table of transactions; with ``keyed=True`` its rows already
-    belong to an account, as those of ``read_explorer`` do.  The newest-first
-    order of the ranking is the order of the sequence, too.
+    belong to an account, as those of ``read_explorer`` do, and those of other
+    accounts are left out before the ranking.  The newest-first order of the
+    ranking is the order of the sequence, too.
+
+    Numbers and steps are made before the shuffle; raw fields, call data among them,
+    travel only if the transactions are wanted.
     """
     fits = fits_broadcast(addresses)
+    fields = _raw_fields(tx) if with_transactions else []
+    raw = [F.struct(*fields).alias("raw")] if fields else []
+    key = [F.lower("address").alias("address")] if keyed else []
+    rows = narrow(tx, *key, step_of_row().alias("step"), *raw)
     if keyed:
-        history = with_roles(tx.withColumn("address", F.lower("address")))
+        listed = distinct_addresses(addresses.select(F.lower("address").alias("address")))
+        listed = F.broadcast(listed) if fits else listed.hint("shuffle_hash")
+        history = with_roles(rows).join(listed, "address", "left_semi")
     else:
-        history = history_split(addresses, tx, hot, fits)
+        history = history_split(addresses, rows, hot, fits)
     ranked = recent(history, k, hot)
-    fields = _raw_fields(ranked) if with_transactions else []
-    carried = ranked.withColumn("carried", F.struct("rank", step_of_row().alias("step"), *fields))
+    carried = ranked.withColumn("carried", F.struct("rank", "step", *(["raw"] if fields else [])))
     listed = features_for(addresses, account_features(carried, gap_order), fits)
     steps = F.transform(F.sort_array("carried"), lambda t: t["step"])
     own = [c for c in listed.columns if c != "carried"]
     out = [*own, matrix_of_steps(F.coalesce(steps, F.array()), length).alias("sequence")]
     if with_transactions:
-        out.append(_used(F.col("carried"), fields).alias("transactions_used"))
+        used = F.transform(F.sort_array("carried"), lambda t: t["raw"])
+        out.append(F.coalesce(used, F.array()).alias("transactions_used"))
     return listed.select(*out)
 
 
@@ -108,14 +118,16 @@ def scan(
     addresses: DataFrame,
     tx: DataFrame,
     model: RiskModel,
-    k: int = 100,
+    k: int | None = None,
     hot: DataFrame | None = None,
     keyed: bool = False,
 ) -> DataFrame:
     """M7: ``address``, nine-field ``prediction`` and ``transactions_used``.
 
-    An account without history is scored too, from zeros.
+    An account without history is scored too, from zeros.  Without ``k`` as many
+    transactions are used as the model was trained with.
     """
+    k = model.k if k is None else k
     rows = profiles(addresses, tx, k, model.sequence_length, hot=hot, keyed=keyed)
     scored = score(rows, model)
     stamp = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
@@ -143,19 +155,28 @@ def check_requests(addresses: DataFrame, strict: bool = False) -> tuple[DataFram
     return good, marked.where(F.col("reason").isNotNull())
 
 
+def failed_requests(addresses: DataFrame, strict: bool = False) -> DataFrame:
+    """``batch_index, address, reason`` of the requests that a batch leaves out."""
+    _, failed = check_requests(batch_index(addresses), strict)
+    return failed.select("batch_index", "address", "reason")
+
+
 def batch_scan(
     addresses: DataFrame,
     tx: DataFrame,
     model: RiskModel,
-    k: int = 1000,
+    k: int | None = None,
     save_to: str | None = None,
     strict: bool = False,
     keyed: bool = False,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
-    """M8: scan a list; adds ``batch_index``, leaves out failed requests, and
-    writes the results if a folder is given."""
-    requests, _ = check_requests(batch_index(addresses), strict)
-    results = scan(requests.select("address", "batch_index"), tx, model, k, keyed=keyed)
+    """M8: scan a list; adds ``batch_index`` and leaves out failed requests, which
+    ``failed_requests`` lists.  With a folder, results and failures are written."""
+    requests, failed = check_requests(batch_index(addresses), strict)
+    results = scan(requests.select("address", "batch_index"), tx, model, k, hot, keyed)
+    if save_to is not None and not failed.isEmpty():
+        write_results(failed.select("batch_index", "address", "reason"), f"{save_to}/failed")
     # Every request has a result, so an empty list is known without a scan.
     if save_to is None or requests.isEmpty():
         return results

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from txrisk.functions.scalars import date_int
-from txrisk.operators.incidence import incidence, touching
+from txrisk.operators.incidence import incidence
 from txrisk.operators.prep import (
     assemble,
     drop_existing,
@@ -15,7 +15,7 @@ from txrisk.operators.prep import (
     undersample,
 )
 from txrisk.operators.sequences import first_n, to_matrix
-from txrisk.plans.model import RiskModel, encode, evaluate, train_classifier
+from txrisk.plans.model import RiskModel, encode, evaluate, train_classifier, width_of
 from txrisk.plans.scan import profiles
 from txrisk.schemas import (
     FEATURES,
@@ -23,15 +23,19 @@ from txrisk.schemas import (
     MAJORITY_SAMPLE,
     SEQUENCE_LENGTH,
 )
-from txrisk.sources.checkpoints import checkpoint
+from txrisk.sources.tables import kept
 
 
 def bulk_sequences(addresses: DataFrame, tx: DataFrame, length: int = SEQUENCE_LENGTH) -> DataFrame:
     """Steps of the listed accounts from a bulk export: first rows in file order,
-    all numeric columns, the time as a number like 20240131."""
+    all numeric columns, the time as a number like 20240131.
+
+    A transaction that touches no listed account has no row in the join, so it
+    needs no filter before.
+    """
     narrow = drop_existing(tx, IRRELEVANT_TX_COLUMNS)
-    kept = touching(narrow, addresses).withColumn("created_at", date_int("created_at"))
-    return first_n(incidence(kept, addresses), length)
+    rows = incidence(narrow, addresses).withColumn("created_at", date_int("created_at"))
+    return first_n(rows, length)
 
 
 def prepare_bulk(
@@ -45,6 +49,8 @@ def prepare_bulk(
     balance, imputed features, file-order sequences."""
     balanced = undersample(addresses, majority, seed=seed)
     listed = select_existing(balanced, FEATURES, keep=("address", "flag"))
+    # Medians, joins and the result all read the sampled list.
+    listed = kept(listed)
     imputed = impute(listed, [c for c in FEATURES if c in listed.columns])
     steps = bulk_sequences(listed, tx, length)
     width = len(steps.columns) - 2
@@ -72,14 +78,17 @@ def fit(
     epochs: int = 10,
     fit_on: str = "train",
     seed: int = 42,
+    k: int = 1000,
 ) -> tuple[RiskModel, DataFrame]:
     """Split, train, test.  Returns the model and its quality per split.
 
-    Everything after the encoding reads one checkpointed table of key, label
-    and vector.  ``fit_on='all'`` fits the scaler before the split.
+    Everything after the encoding reads one feature table of key, label
+    and vector.  ``fit_on='all'`` fits the scaler before the split.  ``k`` is the
+    number of newest transactions that the features were made of (``prepare``).
     """
     columns = feature_columns or [c for c in FEATURES if c in training.columns]
-    rows = checkpoint(encode(training, columns, encoding).select(key, label, "raw_values"))
+    width = width_of(training)
+    rows = kept(encode(training, columns, encoding, width).select(key, label, "raw_values"))
     parts = stratified_split(rows, label, key, seed=seed)
     model = train_classifier(
         parts.where("split = 'train'"),
@@ -90,5 +99,7 @@ def fit(
         epochs,
         seed,
         fit_on=rows if fit_on == "all" else None,
+        width=width,
+        k=k,
     )
     return model, evaluate(parts, model, label, by="split")

@@ -11,6 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+# An amount of 40 digits, more than a decimal holds: 2 ** 130.
+HUGE = str(2**130)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -26,8 +30,9 @@ def _epoch(ts):
     return days * 86400 + F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)
 
 
-def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Explorer-shaped transactions over ``events``."""
+def transactions(spark: SparkSession, sf_dir: str, huge: bool = False) -> DataFrame:
+    """Explorer-shaped transactions over ``events``; ``huge`` adds amounts that only
+    a double holds."""
     e = table(spark, sf_dir, "events")
     i, kind = F.col("event_id"), F.col("event_type")
     text = lambda c: c.cast("string")
@@ -40,6 +45,7 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
         .alias("to_address"),
         F.when(i % 103 == 0, "")
         .when(i % 107 == 0, "n/a")
+        .when((i % 109 == 0) & F.lit(huge), HUGE)
         .otherwise(
             F.concat(text(F.round(F.col("value") * 100, 0).cast("bigint")), F.lit("0000000000000000"))
         )
@@ -57,6 +63,13 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(kind == "view", "0x00")
         .otherwise("0x")
         .alias("input"),
+        F.concat(F.lit("0x"), F.md5(text(F.floor(i / 10)))).alias("block_hash"),
+        text(i % 1000).alias("nonce"),
+        F.when(kind == "purchase", "0xa9059cbb").otherwise("0x").alias("method_id"),
+        F.when(kind == "purchase", "transfer(address,uint256)").otherwise("").alias("function_name"),
+        F.when(kind == "signup", address_of(i + 1_000_000)).otherwise("").alias("contract_address"),
+        text(30000 + i % 9000).alias("cumulative_gas_used"),
+        F.when(kind == "error", "0").otherwise("1").alias("txreceipt_status"),
     )
 
 

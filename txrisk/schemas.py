@@ -143,12 +143,8 @@ EXPLANATION = T.ArrayType(
     )
 )
 
-# Columns the scoring path reads from a transaction.
-HISTORY_COLUMNS: list[str] = [
-    "hash", "from_address", "to_address", "value", "time_stamp", "gas",
-    "gas_price", "gas_used", "is_error", "block_number",
-    "transaction_index", "confirmations", "input",
-]
+# The fields of a transaction, in the order of the explorer's records.
+HISTORY_COLUMNS: list[str] = list(EXPLORER_FIELDS.values())
 
 
 def snake_case(df: DataFrame) -> DataFrame:

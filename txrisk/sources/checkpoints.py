@@ -1,10 +1,14 @@
-"""Cutting long lineages so that a lost executor does not redo everything."""
+"""The folder that all executors share."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
+
+
+# Folders of local sessions that name none, by application.
+_OWN: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -16,16 +20,9 @@ def shared_folder(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
-    if not spark.sparkContext.master.startswith("local"):
+    context = spark.sparkContext
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    folder = tempfile.mkdtemp(prefix="txrisk-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and go on from there."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint()
+    if context.applicationId not in _OWN:
+        _OWN[context.applicationId] = tempfile.mkdtemp(prefix="txrisk-")
+    return _OWN[context.applicationId]

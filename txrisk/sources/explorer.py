@@ -34,9 +34,9 @@ def records(envelopes: DataFrame, on_error: str = "empty") -> DataFrame:
     if on_error not in ("empty", "fail"):
         raise ValueError(f"on_error must be 'empty' or 'fail', not {on_error!r}")
     parsed = envelopes.withColumn("list", F.from_json("result", T.ArrayType(EXPLORER_RECORD)))
+    # from_json would wrap a single object into a list.
+    is_list = F.coalesce(F.col("result").rlike(r"^\s*\["), F.lit(False))
     if on_error == "fail":
-        # from_json would wrap a single object into a list.
-        is_list = F.coalesce(F.col("result").rlike(r"^\s*\["), F.lit(False))
         problem = F.concat(
             F.lit("explorer response without a list for "), F.coalesce("address", F.lit("?"))
         )
@@ -47,7 +47,7 @@ def records(envelopes: DataFrame, on_error: str = "empty") -> DataFrame:
             ),
         )
     else:
-        parsed = parsed.where(F.col("status") == "1")
+        parsed = parsed.where((F.col("status") == "1") & is_list)
     return parsed.select("address", F.posexplode("list").alias("pos", "record")).select(
         "address",
         F.col("pos").cast("bigint").alias("pos"),

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from txrisk.functions.scalars import Col, _c, run_stamp
-from txrisk.operators.incidence import account_rows, hot_accounts
+from txrisk.operators.incidence import account_rows, distinct_addresses, hot_accounts
 from txrisk.operators.skew import fits_broadcast
 from txrisk.schemas import ADDRESS_SCHEMA, snake_case
+from txrisk.sources.checkpoints import shared_folder
 
 
 # Folders of a kept history.
@@ -38,17 +41,33 @@ def read_addresses(spark: SparkSession, path: str, infer: bool = False) -> DataF
 
 
 def read_transactions(
-    spark: SparkSession, path: str, schema: T.StructType | None = None
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType | None = None,
+    head: int = 10_000,
+    numbered: bool = False,
 ) -> DataFrame:
     """Bulk transaction table from CSV with header; ``value`` is a double.
 
-    Without a schema the other types are guessed.  A table that keeps its file
-    order in a column should call it ``pos``; ``with_row_number`` adds one.
+    Without a schema the other types are guessed from the first ``head`` lines,
+    and a value that does not fit them is null; give a schema where later lines
+    may differ.  A table that keeps its file order in a column should call it
+    ``pos``; ``numbered`` adds one (``with_row_number``).
     """
-    if schema is not None:
-        return spark.read.schema(schema).csv(path, header=True)
-    guessed = spark.read.csv(path, header=True, inferSchema=True)
-    typed = T.StructType(
+    if schema is None:
+        schema = _guessed(spark, path, head)
+    df = spark.read.schema(schema).csv(path, header=True)
+    return with_row_number(df) if numbered else df
+
+
+def _guessed(spark: SparkSession, path: str, head: int) -> T.StructType:
+    """Types of the columns by the first lines of the table."""
+    names = _header(spark, path)
+    lines = spark.read.text(path).limit(head + 1)
+    guessed = spark.read.csv(lines.rdd.map(lambda r: r[0]), header=True, inferSchema=True)
+    if guessed.columns != names:
+        raise ValueError("the first lines of the table do not have its columns")
+    return T.StructType(
         [
             T.StructField("value", T.DoubleType()) if f.name == "value"
             # Text as given: times are parsed strictly later on.
@@ -58,15 +77,28 @@ def read_transactions(
             for f in guessed.schema.fields
         ]
     )
-    return spark.read.schema(typed).csv(path, header=True)
 
 
 def with_row_number(df: DataFrame) -> DataFrame:
-    """Adds ``pos``: unique, ascending in file order.
+    """Adds ``pos`` to a table read from files: unique, ascending by file name and
+    place in the file.
 
-    Made of partition and row within the partition, so nothing is moved.
+    A task may hold blocks of several files, in an order of its own, so blocks are
+    numbered by name and place, and rows by their place in the block's task.  Only
+    the list of blocks is gathered, one row for each.
     """
-    return df.withColumn("pos", F.monotonically_increasing_id())
+    placed = df.select(
+        "*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_at"),
+        F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("_row"),
+    )
+    blocks = placed.groupBy("_file", "_at").agg(F.max("_row").alias("_last"))
+    order = Window.orderBy("_file", "_at").rowsBetween(Window.unboundedPreceding, -1)
+    first = blocks.select(
+        "_file", "_at", F.coalesce(F.sum(F.col("_last") + 1).over(order), F.lit(0)).alias("_first")
+    )
+    return placed.join(F.broadcast(first), ["_file", "_at"]).select(
+        *df.columns, (F.col("_first") + F.col("_row")).alias("pos")
+    )
 
 
 def write_features(df: DataFrame, path: str) -> None:
@@ -79,54 +111,89 @@ def read_features(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` as a feature table in the shared folder, read back by column.
+
+    What follows starts from files that all executors see, however long the way to
+    them was.
+    """
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/features-{uuid.uuid4().hex}"
+    write_features(df, path)
+    return read_features(df.sparkSession, path)
+
+
 def shard_of(address: Col, shards: int) -> Column:
     """Folder of an account in a kept history."""
     return F.pmod(F.xxhash64(F.lower(_c(address))), F.lit(shards)).cast("int")
 
 
 def write_history(
-    tx: DataFrame, path: str, shards: int = SHARDS, hot: DataFrame | None = None
+    tx: DataFrame,
+    path: str,
+    shards: int = SHARDS,
+    hot: DataFrame | None = None,
+    rows_per_file: int = 2_000_000,
 ) -> None:
     """Keeps the histories of all accounts, in folders by a hash of the account.
 
     A later scan of a few accounts reads their folders only, the way an explorer
-    looks accounts up by key.  The rows of a hub account are written by many
-    tasks into its folder.
+    looks accounts up by key; the number of folders is part of the path.  A
+    folder is written by as many tasks as it has rows for, its accounts apart by
+    another hash, and the rows of a hub account by tasks of their own.
     """
     hot = hot_accounts(tx) if hot is None else hot
     rows = account_rows(tx).join(F.broadcast(hot), "address", "left")
-    piece = F.coalesce(F.pmod(F.xxhash64("pos"), F.col("pieces")), F.lit(0))
+    # Two parties per transaction at most; a plain count, nearly free on Parquet.
+    files = max(1, -(-2 * tx.count() // (shards * rows_per_file)))
+    piece = F.coalesce(
+        F.pmod(F.xxhash64("pos"), F.col("pieces")) + F.lit(files),
+        F.pmod(F.xxhash64("address", F.lit(1)), F.lit(files)),
+    )
     (
-        rows.withColumn("shard", shard_of("address", shards))
+        rows.withColumn("shards", F.lit(shards))
+        .withColumn("shard", shard_of("address", shards))
         .withColumn("piece", piece)
         .drop("pieces")
         .repartition("shard", "piece")
         .sortWithinPartitions("shard", "address")
         .drop("piece")
         .write.mode("overwrite")
-        .partitionBy("shard")
+        .partitionBy("shards", "shard")
         .parquet(path)
     )
 
 
 def read_history(
-    spark: SparkSession, path: str, addresses: DataFrame | None = None, shards: int = SHARDS
+    spark: SparkSession, path: str, addresses: DataFrame | None = None
 ) -> DataFrame:
-    """Reads kept histories; with a list, only the folders of its accounts.
+    """Reads kept histories; with a list, those of its accounts only.
 
-    The folders of a list that fits a broadcast are looked up first: at most
-    ``shards`` numbers.
+    The folders of a list that fits a broadcast are looked up first, at most as
+    many numbers as there are folders, and files are sorted by account, so most
+    row groups are skipped as well.
     """
     history = spark.read.parquet(path)
-    if addresses is not None and fits_broadcast(addresses):
-        wanted = addresses.select(shard_of("address", shards).alias("shard")).distinct().collect()
-        history = history.where(F.col("shard").isin([r["shard"] for r in wanted]))
-    return history
+    if addresses is None:
+        return history.drop("shards", "shard")
+    keys = distinct_addresses(addresses.select(F.lower("address").alias("address")))
+    if fits_broadcast(keys):
+        numbers = [r["shards"] for r in history.select("shards").distinct().collect()]
+        wanted = F.lit(False)
+        for n in numbers:
+            own = [r["s"] for r in keys.select(shard_of("address", n).alias("s")).distinct().collect()]
+            wanted = wanted | ((F.col("shards") == n) & F.col("shard").isin(own))
+        ends = keys.agg(F.min("address"), F.max("address")).first()
+        history = history.where(wanted)
+        if ends[0] is not None:
+            history = history.where(F.col("address").between(ends[0], ends[1]))
+        keys = F.broadcast(keys)
+    return history.drop("shards", "shard").join(keys, "address", "left_semi")
 
 
 def write_results(df: DataFrame, folder: str) -> str:
-    """Results as JSON in a folder named by the time."""
+    """Results as JSON in a folder named by the time, and by a number that two
+    runs in one second do not share."""
     stamp = df.sparkSession.range(1).select(run_stamp()).first()[0]
-    path = f"{folder}/run={stamp}"
-    df.write.mode("overwrite").json(path)
+    path = f"{folder}/run={stamp}_{uuid.uuid4().hex[:8]}"
+    df.write.json(path)
     return path

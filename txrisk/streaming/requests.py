@@ -24,24 +24,28 @@ def scan_stream(
     model: RiskModel,
     sink: str,
     checkpoint_dir: str,
-    k: int = 100,
+    k: int | None = None,
     strict: bool = False,
     keyed: bool = False,
     available_now: bool = True,
+    hot: DataFrame | None = None,
 ) -> StreamingQuery:
     """Scan every micro-batch of requests and write the answers as JSON.
 
     A batch goes to a folder named by its id, which a replay overwrites, so
-    every request is answered once.  Requests are independent of each other:
+    every request is answered once: in ``answers/``, or with a reason in ``failed/``.  Requests are independent of each other:
     there is no state and no watermark.  ``tx`` may be a function from the
     requested accounts to their transactions, such as ``read_history`` on a kept
-    history, so that a batch does not read all transactions.
+    history, so that a batch does not read all transactions; ``hot``, a stored table
+    of hub accounts, saves counting them in every batch.
     """
 
     def answer(batch: DataFrame, batch_id: int) -> None:
-        good, _ = check_requests(batch, strict)
+        good, failed = check_requests(batch, strict)
         rows = tx(good) if callable(tx) else tx
-        scan(good, rows, model, k, keyed=keyed).write.mode("overwrite").json(f"{sink}/batch={batch_id}")
+        answers = scan(good, rows, model, k, hot, keyed)
+        answers.write.mode("overwrite").json(f"{sink}/answers/batch={batch_id}")
+        failed.write.mode("overwrite").json(f"{sink}/failed/batch={batch_id}")
 
     writer = requests.writeStream.foreachBatch(answer).option("checkpointLocation", checkpoint_dir)
     if available_now:
