@@ -39,7 +39,7 @@ class Encoder(dict):
     and starts again when it is full, and pieces over ``longest`` are not kept.
     """
 
-    def __init__(self, path: str, drops_space: bool, limit: int = 900_000, longest: int = 64):
+    def __init__(self, path: str, drops_space: bool, limit: int = 450_000, longest: int = 64):
         super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
