@@ -12,6 +12,9 @@ leaves it once. A stream is planned in blocks of whole documents; the last windo
 block is planned again with the next block. What is left at the end of a
 partition is split into powers of two, which need no padding, where that is cheaper.
 
+Which documents share a partition is up to the sampling of Spark's range partitioning, so
+two runs may cut differently where partitions meet; each is a whole packing.
+
 A null or empty text is the end id alone. Rows with the same doc_id stand side by side in
 the order of their texts; a null doc_id comes first.
 """

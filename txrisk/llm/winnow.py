@@ -102,7 +102,7 @@ def minima(df: DataFrame, size: int, span: int) -> DataFrame:
 
 
 def windows(benchmark: DataFrame, span: int) -> DataFrame:
-    """``item_id, size, gram, window``: every window once per item."""
+    """``item_id, size, window``: every window once per item."""
     items = benchmark.select(
         F.col("item_id").cast("string").alias("item_id"), words_of("text").alias("words")
     ).where(F.size("words") > 0)
