@@ -15,9 +15,11 @@ of the larger ones.
    batches and only as long as a slot of the text can still take one.
 2. Equal texts become one representative, the smallest doc_id.
 3. Bands of slots make buckets. In each bucket all members are compared with the
-   smallest one, exactly, by their bags. Buckets whose members are then in different
-   classes go on: small ones with all their pairs of classes, others with the
-   next smallest member, until every two members were compared or are in one class.
+   smallest one: first by the share of equal slots, a byte of each, and what is within
+   five standard deviations of the similarity by the bags, exactly. Members of a
+   bucket that are then in different classes are compared with each other by their
+   bags, in tiles of a bounded number of bytes. A tile gives only the links that
+   join classes, so a large bucket is many small pieces of work and few rows.
 4. The classes are what the links hold together.
 
 Rows with the same doc_id and text are one document; rows with the same doc_id
@@ -39,8 +41,8 @@ WORDS = 5
 SIMILARITY = 0.8
 #: At similarity 0.8 a pair shares no band with a probability of 5e-5.
 BANDS, ROWS = 25, 5
-#: Buckets up to this size compare all pairs of classes at once.
-SMALL = 32
+#: Bytes of bags on either side of a tile.
+TILE = 8 << 20
 
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -120,6 +122,7 @@ def _signed(bands: int, rows: int):
                 for r in range(rows):
                     key = mix(key ^ ids[:, :, r]) + _SPREAD
                 key = mix(key + np.arange(bands, dtype=np.uint64))
+                sketch = (ids.reshape(n, -1) & np.uint64(255)).astype(np.uint8)
                 some = np.bincount(own, minlength=n) > 0
                 offsets = np.append(0, np.cumsum(np.where(some, bands, 0)))
                 yield pa.RecordBatch.from_pydict({
@@ -128,6 +131,7 @@ def _signed(bands: int, rows: int):
                     "bands": pa.ListArray.from_arrays(
                         pa.array(offsets, pa.int32()), pa.array(key[some].view(np.int64).ravel(), pa.int64())
                     ),
+                    "sketch": pa.array([x.tobytes() for x in sketch], pa.binary()),
                 })
 
     return run
@@ -188,6 +192,29 @@ def _similar(least: float):
     return run
 
 
+def _floor(least: float, slots: int) -> float:
+    """Share of equal slots that a pair of similarity ``least`` misses once in a million."""
+    return least - 5 * (least * (1 - least) / slots) ** 0.5
+
+
+def _table(column):
+    """An Arrow column of equally long byte strings as rows of bytes."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
+
+
+def _promising(least: float):
+    def run(parts):
+        import pyarrow as pa
+
+        for batch in parts:
+            if batch.num_rows:
+                x, y = _table(batch.column("x")), _table(batch.column("y"))
+                keep = (x == y).mean(axis=1) >= _floor(least, x.shape[1])
+                yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+    return run
+
+
 def _verified(pairs: DataFrame, bags: DataFrame, least: float) -> DataFrame:
     """The pairs ``(a, b)`` whose bags are similar enough."""
     left = bags.select(F.col("doc").alias("a"), F.col("bag").alias("x"))
@@ -196,23 +223,81 @@ def _verified(pairs: DataFrame, bags: DataFrame, least: float) -> DataFrame:
     return joined.mapInArrow(_similar(least), "a long, b long")
 
 
+def _bags(plain: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``doc, bag`` of the ``wanted`` documents and a few others, made where the texts are."""
+    shared = plain.sparkSession.sparkContext.broadcast(id_filter(stored(wanted.distinct(), "wanted")))
+    return stored(plain.mapInArrow(_bagged(shared), "doc long, bag binary"), "bags")
+
+
+def _joining(rows: list, least: float):
+    """Links of one tile that join classes, at most one fewer than its rows."""
+    import pyarrow as pa
+
+    doc, label, side = (np.array([r[i] for r in rows]) for i in (0, 1, 2))
+    size = np.array([len(r[3]) // 8 for r in rows])
+    _, entry = np.unique(np.frombuffer(b"".join(r[3] for r in rows), np.uint64), return_inverse=True)
+    starts = np.cumsum(size) - size
+    label = np.unique(label, return_inverse=True)[1]
+    mark = np.zeros(entry.max() + 1, np.int64)
+    # A tile of a block with itself has its rows once.
+    crossed = bool(side.any())
+    out = []
+    for i in np.flatnonzero(side == 0):
+        other = label != label[i]
+        other &= (side == 1) if crossed else (np.arange(len(rows)) > i)
+        other &= np.minimum(size, size[i]) >= least * np.maximum(size, size[i])
+        if not other.any():
+            continue
+        own = entry[starts[i] : starts[i] + size[i]]
+        mark[own] = 1
+        both = np.add.reduceat(mark[entry], starts)
+        mark[own] = 0
+        for j in np.flatnonzero(other & (both >= least * (size + size[i] - both))):
+            if label[j] != label[i]:
+                out.append((min(doc[i], doc[j]), max(doc[i], doc[j])))
+                label[label == label[j]] = label[i]
+    a, b = zip(*out) if out else ((), ())
+    return pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def _tiles(least: float):
+    """Rows come sorted by tile; one tile is held at a time."""
+
+    def run(parts):
+        at, rows = None, []
+        for batch in parts:
+            keys = zip(*(batch.column(c).to_pylist() for c in ("bucket", "i", "j")))
+            values = zip(*(batch.column(c).to_pylist() for c in ("doc", "label", "side", "bag")))
+            for key, row in zip(keys, values):
+                if key != at:
+                    if len(rows) > 1:
+                        yield _joining(rows, least)
+                    at, rows = key, []
+                rows.append(row)
+        if len(rows) > 1:
+            yield _joining(rows, least)
+
+    return run
+
+
 def near_copies(
     docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS
 ) -> DataFrame:
     """Per row of ``docs``: ``doc_id, class_id`` (the smallest doc_id of the class)."""
     plain = texts(docs)
     named = plain.withColumn("same", F.unhex(F.sha2("text", 256)))
-    signed = stored(named.mapInArrow(_signed(bands, rows), "doc long, same binary, bands array<long>"), "signed")
+    signed = stored(named.mapInArrow(_signed(bands, rows), "doc long, same binary, bands array<long>, sketch binary"), "signed")
     # Equal texts: one representative each. Partial sums keep a large group small.
     groups = signed.where(F.size("bands") > 0).groupBy("same").agg(
-        F.min("doc").alias("rep"), F.first("bands").alias("bands")
+        F.min("doc").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")
     )
     groups = stored(groups, "groups")
     members = (
         groups.where("rep is not null")
         .select(F.col("rep").alias("doc"), F.explode("bands").alias("bucket")).distinct()
     )
-    links, classes = _links(plain, members, least)
+    sketches = groups.where("rep is not null").select(F.col("rep").alias("doc"), "sketch")
+    links, classes = _links(plain, members, sketches, least)
     rep = signed.where("doc is not null").join(groups.select("same", "rep"), "same", "left")
     # A doc_id with several texts ties their classes together as well.
     several = rep.groupBy("doc").agg(F.min("rep").alias("a"), F.max("rep").alias("b"))
@@ -225,49 +310,53 @@ def near_copies(
     return plain.select("doc_id").join(best.withColumnRenamed("doc", "doc_id"), "doc_id", "left")
 
 
-def _links(plain: DataFrame, members: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+def _links(
+    plain: DataFrame, members: DataFrame, sketches: DataFrame, least: float
+) -> tuple[DataFrame, DataFrame]:
     """Verified links and the classes they make, over all buckets of two and more."""
     hubs = members.groupBy("bucket").agg(F.min("doc").alias("hub"), F.count(F.lit(1)).alias("n"))
-    hubs = hubs.where("n > 1").drop("n")
-    left = stored(members.join(hubs, "bucket"), "buckets")
-    pairs = stored(
-        left.where("doc <> hub").select(F.col("hub").alias("a"), F.col("doc").alias("b")).distinct(), "pairs"
+    left = stored(members.join(hubs.where("n > 1").drop("n"), "bucket"), "buckets")
+    pairs = left.where("doc <> hub").select(F.col("hub").alias("a"), F.col("doc").alias("b")).distinct()
+    pairs = (
+        pairs.join(sketches.select(F.col("doc").alias("a"), F.col("sketch").alias("x")), "a")
+        .join(sketches.select(F.col("doc").alias("b"), F.col("sketch").alias("y")), "b")
+        .mapInArrow(_promising(least), "a long, b long")
     )
-    # Bags of the documents in pairs only, made where the texts are.
-    wanted = stored(pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct(), "wanted")
-    shared = plain.sparkSession.sparkContext.broadcast(id_filter(wanted))
-    bag = stored(plain.mapInArrow(_bagged(shared), "doc long, bag binary"), "bags")
+    pairs = stored(pairs, "pairs")
+    bag = _bags(plain, pairs.select(F.col("a").alias("doc")).union(pairs.select("b")))
     links = stored(_verified(pairs, bag, least), "links")
     classes = components(links)
-    tried = pairs
-    while True:
-        # Whoever was a hub has been compared with all of its bucket.
-        left = left.where("doc <> hub").drop("hub")
-        tagged = left.join(classes, "doc", "left").select(
-            "bucket", "doc", F.coalesce("label", "doc").alias("label")
-        )
-        open_ = tagged.groupBy("bucket").agg(
-            F.min("doc").alias("hub"), F.count(F.lit(1)).alias("n"),
-            (F.min("label") < F.max("label")).alias("mixed"),
-        ).where("mixed").drop("mixed")
-        left = stored(tagged.join(open_, "bucket"), "buckets")
-        if left.isEmpty():
-            return links, classes
-        small = left.where(F.col("n") <= SMALL)
-        other = small.select("bucket", F.col("doc").alias("b"), F.col("label").alias("other"))
-        within = small.join(other, "bucket").where("doc < b and label <> other").select(F.col("doc").alias("a"), "b")
-        large = left.where(F.col("n") > SMALL)
-        head = large.where("doc = hub").select("bucket", F.col("label").alias("other"))
-        across = large.join(head, "bucket").where("doc <> hub and label <> other").select(
-            F.col("hub").alias("a"), F.col("doc").alias("b")
-        )
-        new = stored(within.union(across).distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
-        tried = tried.union(new)
-        more = stored(_verified(new, bag, least), "links")
-        if not more.isEmpty():
-            links = stored(links.union(more), "links")
-            classes = components(links)
-        left = large.select("bucket", "doc", "hub")
+
+    # Whoever is the smallest has been compared with all of its bucket; the others of
+    # a bucket are compared with each other if they are in different classes.
+    rest = left.where("doc <> hub").join(classes, "doc", "left").select(
+        "bucket", "doc", F.coalesce("label", "doc").alias("label")
+    )
+    mixed = rest.groupBy("bucket").agg((F.min("label") < F.max("label")).alias("mixed"))
+    open_ = stored(rest.join(mixed.where("mixed").select("bucket"), "bucket"), "mixed")
+    if open_.isEmpty():
+        return links, classes
+    open_ = open_.join(_bags(plain, open_.select("doc")), "doc")
+    blocks = open_.groupBy("bucket").agg(F.ceil(F.sum(F.octet_length("bag")) / TILE).alias("blocks"))
+    open_ = open_.join(blocks, "bucket").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")))
+    rows = open_.select(
+        "bucket", "doc", "label", "bag",
+        # A block is the left side of its tiles with itself and later ones, the right side of the others.
+        F.inline(F.concat(
+            F.transform(F.sequence("block", F.col("blocks") - 1), lambda j: F.struct(
+                F.col("block").alias("i"), j.alias("j"), F.lit(0).alias("side"))),
+            F.transform(
+                F.when(F.col("block") > 0, F.sequence(F.lit(0).cast("long"), F.col("block") - 1))
+                .otherwise(F.array().cast("array<long>")),
+                lambda i: F.struct(i.alias("i"), F.col("block").alias("j"), F.lit(1).alias("side"))),
+        )),
+    )
+    more = (
+        rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+        .mapInArrow(_tiles(least), "a long, b long").distinct()
+    )
+    links = stored(links.union(more), "links")
+    return links, components(links)
 
 
 def one_of_each(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
