@@ -98,7 +98,8 @@ def id_filter(ids: DataFrame) -> IdFilter:
         .sortWithinPartitions("segment").mapInArrow(_merge, kind)
     )
     whole, size = np.zeros(bits // 8, np.uint8), SEGMENT_BITS // 8
-    for row in merged.toLocalIterator():
+    # One job for all segments; together they are no larger than the filter.
+    for row in merged.collect():
         part = zstandard.ZstdDecompressor().decompress(bytes(row["part"]))
         whole[row["segment"] * size : (row["segment"] + 1) * size] = np.frombuffer(part, np.uint8)
     return IdFilter(zstandard.ZstdCompressor(1).compress(whole.tobytes()), bits)

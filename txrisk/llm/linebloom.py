@@ -148,7 +148,8 @@ def repeat_filter(docs: DataFrame, least: int, bits: int) -> bytes:
     )
     whole = np.zeros(bits // 8, np.uint8)
     size, unpack = SEGMENT_BITS // 8, zstandard.ZstdDecompressor().decompress
-    for row in segments.toLocalIterator():
+    # One job for all segments; together they are no larger than the filter.
+    for row in segments.collect():
         part = np.frombuffer(unpack(bytes(row["twice"])), np.uint8)
         whole[row["segment"] * size : row["segment"] * size + len(part)] = part
     return zstandard.ZstdCompressor(3).compress(whole.tobytes())
