@@ -5,6 +5,9 @@ spans a single white-space character between two other characters. Texts without
 space are therefore cut at blanks and line ends, every distinct piece is
 encoded once per worker, and the ids of a text are the ids of its pieces. All
 other texts are encoded whole. Either way the ids equal those of the whole text.
+
+Added tokens written out in a text, such as ``<|endoftext|>``, get their own ids, as in the
+library's plain encode. They hold no white space, so no cut falls into one.
 """
 
 from __future__ import annotations
@@ -45,7 +48,6 @@ class Encoder(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.drops_space = drops_space
         self.limit, self.longest = limit, longest
         self.merges = self.tokenizer.model.tokenize
