@@ -9,7 +9,7 @@ import numpy as np
 sys.path.insert(0, str(Path(__file__).parent))
 import plain  # noqa: E402
 
-from txrisk.llm import packing, planes, queries  # noqa: E402
+from txrisk.llm import packing, planes, queries, secretlinks  # noqa: E402
 from txrisk.llm.common import new_folder  # noqa: E402
 
 LITERALS = [
@@ -51,3 +51,44 @@ def test_op4_literal_added_tokens(spark):
     assert 49407 in want[0]
     df = spark.createDataFrame(list(enumerate(LITERALS)), "doc_id long, text string")
     plain.check_packing(packing.pack(df, queries._vocabulary("word_bpe_49k.json"), end_id=1).collect(), want)
+
+
+def _spans(text):
+    return secretlinks.weak_spans(text, secretlinks.base_spans(text))
+
+
+def test_op6_long_weak_parts():
+    key = "Zx81kQpT77LmNb02Wq+/" * 4 + "aB3dE6=="
+    assert len(key) == 88 and _spans(f"a {key} b") == [("weak_secret", 2, 90)]
+    url = "https://api.example.com/" + "v/" * 988
+    assert len(url) == 2000 and _spans(f"{url} end") == [("endpoint", 0, 2000)]
+    assert _spans("host=" + "a.b-" * 100) == [("endpoint", 0, 405)]
+    assert _spans("login: " + "a.b-" * 100) == [("weak_id", 0, 407)]
+    assert _spans("AKIA" + "B" * 15 + "C" * 40 + "9")[:1] == []  # a base span already
+    assert _spans("ASIA" + "B" * 60) == [("weak_id", 0, 64)]
+
+
+def test_op6_names_in_either_case():
+    for name in ("DB_USER", "CLIENT_ID", "clientId", "KEY_ID", "Username", "LOGIN", "Account"):
+        assert [s[0] for s in _spans(f"{name}=svc-42")] == ["weak_id"], name
+    for text in ("DB_HOST=db.example.com", "Endpoint: db.example.com", "HTTPS://example.com", "Server = db.example.com"):
+        assert [s[0] for s in _spans(text)] == ["endpoint"], text
+
+
+def test_op6_long_part_hides_no_other():
+    """A URL that overlaps a base span is left out; the identifier inside it is not."""
+    assert _spans("https://x.example.com/?client_id=svc-42&secret=abcdef12") == [("weak_id", 23, 39)]
+
+
+def test_op6_long_parts_are_linked(spark):
+    key = "Zx81kQpT77LmNb02Wq+/" * 4 + "aB3dE6=="
+    url = "https://api.example.com/" + "v/" * 988
+    rows = [(0, f"CLIENT_ID=svc-42 {key} {url}"), (1, f"{url} {key}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in secretlinks.find(df).collect()}
+    assert got == {0: "weak_id:0:16,weak_secret:17:105,endpoint:106:2106", 1: ""}
+
+
+def test_op6_long_runs_take_linear_time():
+    for t in ("aB1" * 100_000, "https://" * 40_000, "host:" * 60_000, "user" + " " * 300_000, "AKIA" * 75_000 + "a"):
+        _spans(t), _spans(t.upper())

@@ -20,6 +20,8 @@ equal results; rows that share only the doc_id are scanned one by one.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,14 +42,21 @@ _NAMES = "|".join([*map(_either, ("password", "passwd", "secret", "token")), _ei
 _ASSIGN = re.compile(rf"""(?:{_NAMES})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
+_ID_NAMES = "|".join(
+    [f"{_either(a)}_?{_either('id')}" for a in ("client", "key")]
+    + [f"{_either('user')}(?:{_either('name')})?", _either("login"), _either("account")]
+)
+_SCHEMES = "|".join([f"{_either('http')}[sS]?", *map(_either, ("ftp", "s3", "postgres", "mysql", "redis", "mongodb", "amqp"))])
+_END_NAMES = "|".join(map(_either, ("endpoint", "host", "server")))
+# Runs have no upper bound; they are possessive, so each character is read once.
 _WEAK_ID = re.compile(
-    r"""(?<![A-Za-z0-9])(?:A[KS]IA[A-Z0-9]{6,32}+|(?:client_?id|key_?id|user(?:name)?|login|account)"""
-    r"""["']?\x20{0,4}[:=]\x20{0,4}["']?[A-Za-z0-9@._-]{3,64}+)(?![A-Za-z0-9])"""
+    rf"""(?<![A-Za-z0-9])(?:A[KS]IA[A-Z0-9]{{6,}}+|(?:{_ID_NAMES})"""
+    r"""["']?\x20*+[:=]\x20*+["']?[A-Za-z0-9@._-]{3,}+)(?![A-Za-z0-9])"""
 )
-_TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]{0,63}[0-9])[A-Za-z0-9+/_-]{16,64}+={0,2}(?![A-Za-z0-9+/_=-])")
+_TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}+={0,2}(?![A-Za-z0-9+/_=-])")
 _ENDPOINT = re.compile(
-    r"""(?<![A-Za-z0-9])(?:(?:https?|ftp|s3|postgres|mysql|redis|mongodb|amqp)://[^\s"'<>]{3,256}+"""
-    r"""|(?:endpoint|host|server)["']?\x20{0,4}[:=]\x20{0,4}["']?[A-Za-z0-9.:-]{3,128}+)"""
+    rf"""(?<![A-Za-z0-9])(?:(?:{_SCHEMES})://[^\s"'<>]{{3,}}+"""
+    rf"""|(?:{_END_NAMES})["']?\x20*+[:=]\x20*+["']?[A-Za-z0-9.:-]{{3,}}+)"""
 )
 
 
@@ -71,13 +80,13 @@ def weak_spans(text: str, sure: list) -> list[tuple[str, int, int]]:
     out += [("weak_secret", *m.span()) for m in _TOKEN.finditer(text) if _random_looking(m.group())]
     out += [("endpoint", *m.span()) for m in _ENDPOINT.finditer(text)]
     out.sort(key=lambda s: (s[1], s[2]))
-    kept, i, reached, ahead = [], 0, 0, sorted((a, b) for _, a, b in sure)
+    ahead = sorted((a, b) for _, a, b in sure)
+    starts, reached = [a for a, _ in ahead], list(accumulate((b for _, b in ahead), max))
+    kept = []
     for kind, a, b in out:
         # Base spans that begin before the candidate ends.
-        while i < len(ahead) and ahead[i][0] < b:
-            reached = max(reached, ahead[i][1])
-            i += 1
-        if reached <= a:
+        n = bisect_left(starts, b)
+        if n == 0 or reached[n - 1] <= a:
             kept.append((kind, a, b))
     return kept
 
