@@ -49,15 +49,41 @@ def read_transactions(
 ) -> DataFrame:
     """Bulk transaction table from CSV with header; ``value`` is a double.
 
-    Without a schema the other types are guessed from the first ``head`` lines,
-    and a value that does not fit them is null; give a schema where later lines
-    may differ.  A table that keeps its file order in a column should call it
+    Without a schema the other types are guessed from the first ``head`` lines.
+    A later value that does not fit them stops the job with its column and text;
+    only blank values are null.  Give a schema where later lines differ.  A table that keeps its file order in a column should call it
     ``pos``; ``numbered`` adds one (``with_row_number``).
     """
     if schema is None:
-        schema = _guessed(spark, path, head)
-    df = spark.read.schema(schema).csv(path, header=True)
-    return with_row_number(df) if numbered else df
+        guessed = _guessed(spark, path, head)
+        raw = T.StructType([T.StructField(f.name, T.StringType()) for f in guessed.fields])
+        df = spark.read.schema(raw).csv(path, header=True)
+    else:
+        df = spark.read.schema(schema).csv(path, header=True)
+    if numbered:
+        df = with_row_number(df)
+    if schema is None:
+        df = df.withColumns({f.name: _fitting(f.name, f.dataType) for f in guessed.fields})
+    return df
+
+
+def _fitting(name: str, kind: T.DataType) -> Column:
+    """The text of a column as ``kind``; an error if it is neither blank nor fits."""
+    text = F.col(f"`{name}`")
+    if isinstance(kind, T.StringType):
+        return text
+    typed, fits = text.try_cast(kind), F.lit(True)
+    # These casts take more than the type's own texts: fractions, and 1 or yes.
+    if isinstance(kind, T.DecimalType):
+        fits = F.trim(text).rlike("^[+-]?[0-9]+$")
+    elif isinstance(kind, T.BooleanType):
+        fits = F.lower(F.trim(text)).isin("true", "false")
+    said = F.concat(F.lit(f"column {name} was guessed as {kind.simpleString()}, but holds: "), text)
+    return (
+        F.when(text.isNull() | (F.trim(text) == ""), F.lit(None).cast(kind))
+        .when(typed.isNotNull() & fits, typed)
+        .otherwise(F.raise_error(said).cast(kind))
+    )
 
 
 def _guessed(spark: SparkSession, path: str, head: int) -> T.StructType:
