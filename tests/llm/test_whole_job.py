@@ -9,7 +9,7 @@ import numpy as np
 sys.path.insert(0, str(Path(__file__).parent))
 import plain  # noqa: E402
 
-from txrisk.llm import packing, planes, queries, secretlinks  # noqa: E402
+from txrisk.llm import packing, planes, queries, secretlinks, urltree  # noqa: E402
 from txrisk.llm.common import new_folder  # noqa: E402
 
 LITERALS = [
@@ -92,3 +92,20 @@ def test_op6_long_parts_are_linked(spark):
 def test_op6_long_runs_take_linear_time():
     for t in ("aB1" * 100_000, "https://" * 40_000, "host:" * 60_000, "user" + " " * 300_000, "AKIA" * 75_000 + "a"):
         _spans(t), _spans(t.upper())
+
+
+def test_op9_templates_part_below_the_fourth_segment(spark):
+    """Two templates that share five segments have verdicts of their own."""
+    paths = [f"/a/b/c/d/e/ads/{i}" for i in range(12)] + [f"/a/b/c/d/e/news/{i}" for i in range(12)]
+    paths += ["/a/b/c/d/e/news/x/y/z", "/a/b/c/d/e"]
+    rows = [(i, f"http://h.test{p}") for i, p in enumerate(paths)]
+    df = spark.createDataFrame(rows, "page_id long, url string")
+    labels = spark.createDataFrame([(i, int(i < 12)) for i in range(24) if i % 12], "page_id long, bad int")
+    rules = urltree.rules_table(spark, queries.RULES)
+    got = {r.page_id: r for r in urltree.judged(df, rules, labels).collect()}
+    assert len(got) == len(rows)
+    assert {got[i].template for i in range(12)} == {"/a/b/c/d/e/ads/#"}
+    assert {got[i].verdict for i in range(12)} == {"block"}
+    assert all("**" not in r.template for r in got.values())
+    assert {got[i].verdict for i in range(12, 26)} == {"allow"}
+    assert got[25].template == "/a/b/c/d/e"

@@ -6,17 +6,21 @@ case; path: from there up to ``? #`` or the end. Null, or without ``://``: both
 Rules ``(host, path, verdict)`` fit a host and all its subdomains if the path starts with
 the rule's; the longest wins. Pages without a rule are judged by the method:
 
-1. Per host the paths form a tree of segments. Digits inside a segment become ``#``; from
-   ``LEVELS`` segments on the rest is ``**``.
+1. Per host the paths form a tree of segments. Digits inside a segment become ``#``.
 2. Level by level, from the root: a node with many children of few pages each has a variable
    segment, and its children become ``*``. So do branches that a chi-square test
    cannot tell from their siblings, by their numbers of pages labelled bad, labelled good
-   and not labelled.
+   and not labelled. It goes on until no segment is left; a shape that is alone in its node keeps
+   its remaining segments, as no test could change them.
 3. A template is rejected if its share of bad among labelled pages, smoothed by one page of
    either kind, reaches ``REJECT``.
 
 Labels are given as ``page_id, bad`` or, without them, are the verdicts of the rules.
 The tree is built on counts of distinct shapes, so a host with very many pages is a few rows.
+There is one round of jobs per level that two shapes share.
+
+``sql`` goes ``LEVELS`` segments deep and has ``**`` for the rest, so it says the same for tables
+without deeper paths.
 """
 
 from __future__ import annotations
@@ -26,6 +30,7 @@ from pyspark.sql import functions as F
 
 from txrisk.llm.common import stored
 
+#: Segments in the SQL.
 LEVELS = 4
 #: Children from which a segment may be variable, and pages per child below which it is.
 MANY, FEW = 20, 3
@@ -66,14 +71,11 @@ def ruled(urls: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def shapes(urls: DataFrame) -> DataFrame:
-    """Add ``t1 .. t4`` and ``tail``: generalised segments of ``path``."""
+    """Add ``parts``: the generalised segments of ``path``, each with its slash."""
     parts = F.split(F.regexp_replace("path", "^/", ""), "/")
-    df = urls.withColumn("parts", F.transform(parts, lambda s: F.regexp_replace(s, "[0-9]+", "#")))
-    for d in range(1, LEVELS + 1):
-        df = df.withColumn(f"t{d}", F.coalesce(F.get("parts", F.lit(d - 1)), F.lit("")))
-        # An absent segment and an empty one differ.
-        df = df.withColumn(f"t{d}", F.when(F.size("parts") >= d, F.concat(F.lit("/"), f"t{d}")).otherwise(""))
-    return df.withColumn("tail", F.when(F.size("parts") > LEVELS, "/**").otherwise("")).drop("parts")
+    return urls.withColumn(
+        "parts", F.transform(parts, lambda s: F.concat(F.lit("/"), F.regexp_replace(s, "[0-9]+", "#")))
+    )
 
 
 def chi_square() -> Column:
@@ -90,34 +92,43 @@ def chi_square() -> Column:
 
 
 def templates(counted: DataFrame) -> DataFrame:
-    """``host, t1 .. t4, tail, template, bad, good`` (the template's) of all shapes.
+    """``host, parts, template, bad, good`` (the template's) of all shapes.
 
-    ``counted``: ``host, t1 .. t4, tail, n, bad, good``, one row a shape.
+    ``counted``: ``host, parts, n, bad, good``, one row a shape.
     """
-    steps = [f"t{d}" for d in range(1, LEVELS + 1)]
     df = counted.withColumn("open", F.col("n") - F.col("bad") - F.col("good")).withColumn(
         "template", F.lit("")
     )
     sums = [F.sum(c).alias(c) for c in ("n", "bad", "good", "open")]
-    for step in steps:
-        kids = df.groupBy("host", "template", step).agg(*sums)
+    done, level = None, 0
+    while done is None or not df.isEmpty():
+        level += 1
+        # An absent segment and an empty one differ: "" and "/".
+        df = df.withColumn("step", F.coalesce(F.get("parts", F.lit(level - 1)), F.lit("")))
+        kids = df.groupBy("host", "template", "step").agg(F.count(F.lit(1)).alias("shapes"), *sums)
         parents = kids.groupBy("host", "template").agg(
-            F.count(F.lit(1)).alias("kids"), *[F.sum(c).alias(f"p_{c}") for c in ("n", "bad", "good", "open")]
-        )
+            F.count(F.lit(1)).alias("kids"), F.sum("shapes").alias("p_shapes"),
+            *[F.sum(c).alias(f"p_{c}") for c in ("n", "bad", "good", "open")],
+        )
         variable = (F.col("kids") >= MANY) & (F.col("p_n") < FEW * F.col("kids"))
         alike = (F.col("kids") > 1) & (chi_square() < ALIKE)
         named = kids.join(parents, ["host", "template"]).select(
-            "host", "template", step,
-            F.when((F.col(step) != "") & (variable | alike), "/*").otherwise(F.col(step)).alias("token"),
+            "host", "template", "step", "p_shapes",
+            F.when((F.col("step") != "") & (variable | alike), "/*").otherwise(F.col("step")).alias("token"),
         )
         df = stored(
-            df.join(named, ["host", "template", step])
-            .withColumn("template", F.concat("template", "token")).drop("token"),
+            df.join(named, ["host", "template", "step"])
+            .withColumn("template", F.concat("template", "token")).drop("token", "step"),
             "tree",
         )
-    df = df.withColumn("template", F.concat("template", "tail"))
-    stats = df.groupBy("host", "template").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-    return df.drop("n", "bad", "good", "open").join(stats, ["host", "template"])
+        # A path that ends here is still a child of its node on the next level.
+        ended = (F.size("parts") < level) | (F.col("p_shapes") == 1)
+        rest = F.array_join(F.slice("parts", level + 1, F.size("parts")), "")
+        now = df.where(ended).select("host", "parts", "bad", "good", F.concat("template", rest).alias("template"))
+        done = now if done is None else done.union(now)
+        df = df.where(~ended).drop("p_shapes")
+    stats = done.groupBy("host", "template").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    return done.drop("bad", "good").join(stats, ["host", "template"])
 
 
 def judged(pages: DataFrame, rules: DataFrame, labels: DataFrame | None = None) -> DataFrame:
@@ -142,7 +153,7 @@ def judged(pages: DataFrame, rules: DataFrame, labels: DataFrame | None = None)
             F.when(F.col("verdict") == "allow", n).otherwise(0).alias("good"),
         )
     shaped = shapes(urls)
-    keys = ["host", *[f"t{d}" for d in range(1, LEVELS + 1)], "tail"]
+    keys = ["host", "parts"]
     counted = shaped.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("n", "bad", "good")])
     purity = (F.col("bad") + 1) / (F.col("bad") + F.col("good") + 2)
     tree = templates(stored(counted, "shapes")).select(*keys, "template", purity.alias("purity"))
