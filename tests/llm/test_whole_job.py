@@ -1,5 +1,6 @@
 """Inputs on which an operator once did less than the whole job."""
 
+import random
 import sys
 import zlib
 from pathlib import Path
@@ -9,7 +10,7 @@ import numpy as np
 sys.path.insert(0, str(Path(__file__).parent))
 import plain  # noqa: E402
 
-from txrisk.llm import packing, planes, queries, secretlinks, urltree  # noqa: E402
+from txrisk.llm import bagminhash, packing, planes, queries, secretlinks, urltree  # noqa: E402
 from txrisk.llm.common import new_folder  # noqa: E402
 
 LITERALS = [
@@ -109,3 +110,30 @@ def test_op9_templates_part_below_the_fourth_segment(spark):
     assert all("**" not in r.template for r in got.values())
     assert {got[i].verdict for i in range(12, 26)} == {"allow"}
     assert got[25].template == "/a/b/c/d/e"
+
+
+def test_op3_row_without_words_in_a_mixed_bucket(spark):
+    """A doc_id of a mixed bucket that has rows without words as well."""
+    rng = random.Random(5)
+    common = [f"c{rng.random()}" for _ in range(60)]
+    rows, n = [], 0
+    for group in range(40):
+        own = [f"g{group}x{i}" for i in range(25)]
+        for copy in range(2):
+            rows.append((n, " ".join(common + own + [f"z{copy}"])))
+            n += 1
+    want = plain.near_classes(dict(rows))
+    rows += [(i, t) for i in range(n) for t in ("", None, "!?")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = bagminhash.near_copies(df).collect()
+    assert len(got) == len(rows) and {(r.doc_id, r.class_id) for r in got} == set(want.items())
+
+
+def test_op3_no_empty_bags():
+    import pyarrow as pa
+
+    texts = ["", "one two", "!?", "one two three four five six", ""]
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(5), pa.int64()), "text": pa.array(texts)})
+    found = [r for b in bagminhash._bags_of(batch) for r in b.to_pylist()]
+    assert [(r["doc"], len(r["bag"])) for r in found] == [(1, 8), (3, 16)]
+    assert list(bagminhash._bags_of(batch.slice(0, 0))) == []

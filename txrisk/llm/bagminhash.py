@@ -167,9 +167,11 @@ def _bags_of(batch):
             value, own = mix(shingle[each] + nth.astype(np.uint64) * _SPREAD), own[each]
             value = value[np.lexsort((value, own))]
             cuts = np.searchsorted(own, np.arange(n + 1))
+            # A row without words is no copy of anything and has no bag.
+            some = pa.array(cuts[1:] > cuts[:-1])
             yield pa.RecordBatch.from_pydict({
-                "doc": batch.column("doc_id").slice(low, n),
-                "bag": pa.array([value[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary()),
+                "doc": batch.column("doc_id").slice(low, n).filter(some),
+                "bag": pa.array([value[a:b].tobytes() for a, b in zip(cuts, cuts[1:]) if b > a], pa.binary()),
             })
 
 
