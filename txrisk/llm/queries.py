@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txrisk.llm import bagminhash, blockknn, linebloom, packing, pii, planes, secretlinks, toxicity, urltree, winnow
+from txrisk.llm import (
+    bagminhash,
+    blockknn,
+    linebloom,
+    ordersketch,
+    packing,
+    pii,
+    planes,
+    secretlinks,
+    spelling,
+    toxicity,
+    turns,
+    urltree,
+    winnow,
+)
 from txrisk.llm.common import new_folder
 
 
@@ -77,6 +91,20 @@ def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op11_spelling_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling.misspelt(spelling.runs(_table(spark, sf_dir, "documents")))
+    return spelling.variants(spelling.counted(words, least_length=7, least=2), factor=10)
+
+
+def op12_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ordersketch.fingerprints(_table(spark, sf_dir, "documents"))
+
+
+def op13_hirschberg_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = _table(spark, sf_dir, "conversations")
+    return turns.report(conversations, turns.damaged(conversations))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bit_planes": op1_bit_planes,
     "op2_ordinal_toxicity": op2_ordinal_toxicity,
@@ -88,6 +116,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_bloom": op8_line_bloom,
     "op9_template_tree": op9_template_tree,
     "op10_winnowing": op10_winnowing,
+    "op11_spelling_tiles": op11_spelling_tiles,
+    "op12_order_minhash": op12_order_minhash,
+    "op13_hirschberg_repair": op13_hirschberg_repair,
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
