@@ -2,27 +2,34 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
-
-
-# Folders of local sessions that name none, by application.
-_OWN: dict[str, str] = {}
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only a local master may do without the setting; it then uses a folder of
-    its own on the only machine there is.
+    Where the setting is absent, the folder that the session's owner gave with
+    ``setCheckpointDir``; there is no other.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    context = spark.sparkContext
-    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    if context.applicationId not in _OWN:
-        _OWN[context.applicationId] = tempfile.mkdtemp(prefix="txrisk-")
-    return _OWN[context.applicationId]
+    return named
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that no other run uses."""
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def kept_rows(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read back.
+
+    What follows starts from files that all executors see, however long the way to
+    them was.
+    """
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
