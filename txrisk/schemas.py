@@ -93,6 +93,54 @@ EXPLORER_FIELDS: dict[str, str] = {
     "isError": "is_error",
 }
 
+# The same for internal transfers: fixed names of the explorer's responses.
+INTERNAL_FIELDS: dict[str, str] = {
+    "blockNumber": "block_number",
+    "timeStamp": "time_stamp",
+    "hash": "hash",
+    "from": "from_address",
+    "to": "to_address",
+    "value": "value",
+    "contractAddress": "contract_address",
+    "input": "input",
+    "type": "call_type",
+    "gas": "gas",
+    "gasUsed": "gas_used",
+    "traceId": "trace_id",
+    "isError": "is_error",
+    "errCode": "error_code",
+}
+
+# The same for token transfers: fixed names of the explorer's responses.
+TOKEN_FIELDS: dict[str, str] = {
+    "blockNumber": "block_number",
+    "timeStamp": "time_stamp",
+    "hash": "hash",
+    "nonce": "nonce",
+    "blockHash": "block_hash",
+    "from": "from_address",
+    "contractAddress": "contract_address",
+    "to": "to_address",
+    "value": "value",
+    "tokenName": "token_name",
+    "tokenSymbol": "token_symbol",
+    "tokenDecimal": "token_decimal",
+    "transactionIndex": "transaction_index",
+    "gas": "gas",
+    "gasPrice": "gas_price",
+    "gasUsed": "gas_used",
+    "cumulativeGasUsed": "cumulative_gas_used",
+    "input": "input",
+    "confirmations": "confirmations",
+}
+
+# What a response of each kind holds.
+KIND_FIELDS: dict[str, dict[str, str]] = {
+    "txlist": EXPLORER_FIELDS,
+    "txlistinternal": INTERNAL_FIELDS,
+    "tokentx": TOKEN_FIELDS,
+}
+
 # The ten positions of a serving sequence row, in model order.
 SEQUENCE_FIELDS: list[str] = [
     "timestamp", "value", "gas", "gas_price", "gas_used", "is_error",
@@ -121,15 +169,22 @@ ADDRESS_SCHEMA = T.StructType(
     + [T.StructField(name, T.DoubleType()) for name in STATIC_FEATURES]
 )
 
-EXPLORER_RECORD = T.StructType([T.StructField(name, T.StringType()) for name in EXPLORER_FIELDS])
 
-# ``result`` stays text: it is an array on success and a message on errors.
+def record_of(kind: str) -> T.StructType:
+    """A transaction in a response of a kind; every field is text."""
+    return T.StructType([T.StructField(name, T.StringType()) for name in KIND_FIELDS[kind]])
+
+
+# ``result`` stays text: it is an array on success and a message on errors.  A landed
+# response may say which page it is and when it landed, in seconds.
 ENVELOPE_SCHEMA = T.StructType(
     [
         T.StructField("address", T.StringType()),
         T.StructField("status", T.StringType()),
         T.StructField("message", T.StringType()),
         T.StructField("result", T.StringType()),
+        T.StructField("page", T.IntegerType()),
+        T.StructField("landed_at", T.LongType()),
     ]
 )
 

@@ -10,9 +10,9 @@ from pyspark.sql import types as T
 
 from txrisk.functions.scalars import Col, _c, run_stamp
 from txrisk.operators.incidence import account_rows, distinct_addresses, hot_accounts
-from txrisk.operators.skew import fits_broadcast
+from txrisk.operators.skew import Hot, fits_broadcast, settled
 from txrisk.schemas import ADDRESS_SCHEMA, snake_case
-from txrisk.sources.checkpoints import shared_folder
+from txrisk.sources.checkpoints import kept_rows, new_path
 
 
 # Folders of a kept history.
@@ -105,25 +105,42 @@ def _guessed(spark: SparkSession, path: str, head: int) -> T.StructType:
     )
 
 
-def with_row_number(df: DataFrame) -> DataFrame:
-    """Adds ``pos`` to a table read from files: unique, ascending by file name and
-    place in the file.
+def block_offsets(df: DataFrame) -> DataFrame:
+    """``_file, _at, _rows, _low, _first``: the blocks that the files of ``df`` are read in.
 
-    A task may hold blocks of several files, in an order of its own, so blocks are
-    numbered by name and place, and rows by their place in the block's task.  Only
-    the list of blocks is gathered, one row for each.
+    ``_rows`` are a block's rows, ``_first`` the rows of all blocks before it by file name and
+    place, ``_low`` the number that its first row has in its task. One row for each
+    block, written to the shared folder.
     """
-    placed = df.select(
+    blocks = _placed(df).groupBy("_file", "_at").agg(
+        F.count(F.lit(1)).alias("_rows"), F.min("_row").alias("_low")
+    )
+    before = Window.orderBy("_file", "_at").rowsBetween(Window.unboundedPreceding, -1)
+    return kept_rows(blocks.withColumn("_first", F.coalesce(F.sum("_rows").over(before), F.lit(0))), "blocks")
+
+
+def _placed(df: DataFrame) -> DataFrame:
+    return df.select(
         "*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_at"),
         F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("_row"),
     )
-    blocks = placed.groupBy("_file", "_at").agg(F.max("_row").alias("_last"))
-    order = Window.orderBy("_file", "_at").rowsBetween(Window.unboundedPreceding, -1)
-    first = blocks.select(
-        "_file", "_at", F.coalesce(F.sum(F.col("_last") + 1).over(order), F.lit(0)).alias("_first")
-    )
-    return placed.join(F.broadcast(first), ["_file", "_at"]).select(
-        *df.columns, (F.col("_first") + F.col("_row")).alias("pos")
+
+
+def with_row_number(df: DataFrame) -> DataFrame:
+    """Adds ``pos`` to a table read from files: 0, 1, 2 and so on without gaps, ascending by
+    file name and place in the file.
+
+    A task may hold blocks of several files, in an order of its own. So blocks are numbered
+    by name and place (``block_offsets``), and a row by its place in the block: its place
+    in the task less that of the block's first row. Nothing is sorted or shuffled as long
+    as the list of blocks fits a broadcast.
+    """
+    offsets = block_offsets(df)
+    few = fits_broadcast(offsets)
+    shifts = offsets.select("_file", "_at", (F.col("_first") - F.col("_low")).alias("_shift"))
+    shifts = F.broadcast(shifts) if few else shifts
+    return _placed(df).join(shifts, ["_file", "_at"]).select(
+        *[f"`{c}`" for c in df.columns], (F.col("_shift") + F.col("_row")).alias("pos")
     )
 
 
@@ -143,7 +160,7 @@ def kept(df: DataFrame) -> DataFrame:
     What follows starts from files that all executors see, however long the way to
     them was.
     """
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/features-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession, "features")
     write_features(df, path)
     return read_features(df.sparkSession, path)
 
@@ -157,7 +174,7 @@ def write_history(
     tx: DataFrame,
     path: str,
     shards: int = SHARDS,
-    hot: DataFrame | None = None,
+    hot: DataFrame | Hot | None = None,
     rows_per_file: int = 2_000_000,
 ) -> None:
     """Keeps the histories of all accounts, in folders by a hash of the account.
@@ -166,18 +183,19 @@ def write_history(
     looks accounts up by key; the number of folders is part of the path.  A
     folder is written by as many tasks as it has rows for, its accounts apart by
     another hash, and the rows of a hub account by tasks of their own.
+
+    Two small tables go with it: a catalogue of the folders, and the hub accounts.
     """
-    hot = hot_accounts(tx) if hot is None else hot
-    rows = account_rows(tx).join(F.broadcast(hot), "address", "left")
+    hubs = settled(hot_accounts(tx) if hot is None else hot).keys
+    rows = account_rows(tx).withColumn("shard", shard_of("address", shards))
     # Two parties per transaction at most; a plain count, nearly free on Parquet.
     files = max(1, -(-2 * tx.count() // (shards * rows_per_file)))
-    piece = F.coalesce(
-        F.pmod(F.xxhash64("pos"), F.col("pieces")) + F.lit(files),
-        F.pmod(F.xxhash64("address", F.lit(1)), F.lit(files)),
-    )
+    piece = F.pmod(F.xxhash64("address", F.lit(1)), F.lit(files))
+    if hubs is not None:
+        rows = rows.join(F.broadcast(hubs), "address", "left")
+        piece = F.coalesce(F.pmod(F.xxhash64("pos"), F.col("pieces")) + F.lit(files), piece)
     (
         rows.withColumn("shards", F.lit(shards))
-        .withColumn("shard", shard_of("address", shards))
         .withColumn("piece", piece)
         .drop("pieces")
         .repartition("shard", "piece")
@@ -187,6 +205,32 @@ def write_history(
         .partitionBy("shards", "shard")
         .parquet(path)
     )
+    write_catalogue(tx.sparkSession, path)
+    none = tx.sparkSession.createDataFrame([], "address string, pieces int")
+    (none if hubs is None else hubs).write.mode("overwrite").parquet(f"{path}/{_HUBS}")
+
+
+# Beside the folders of a history; readers of the history skip such names.
+_CATALOGUE, _HUBS = "_catalogue", "_hubs"
+
+
+def write_catalogue(spark: SparkSession, path: str) -> None:
+    """``shards, shard, first, last, rows`` of every folder of a kept history, one row each."""
+    folders = spark.read.parquet(path).groupBy("shards", "shard").agg(
+        F.min("address").alias("first"), F.max("address").alias("last"), F.count(F.lit(1)).alias("rows")
+    )
+    folders.coalesce(1).write.mode("overwrite").parquet(f"{path}/{_CATALOGUE}")
+
+
+def read_catalogue(spark: SparkSession, path: str) -> DataFrame:
+    """The folders of a kept history, without a look at its files."""
+    schema = "shards int, shard int, first string, last string, rows bigint"
+    return spark.read.schema(schema).parquet(f"{path}/{_CATALOGUE}")
+
+
+def read_hubs(spark: SparkSession, path: str) -> DataFrame:
+    """The hub accounts of a kept history, for ``hot=`` of scans over it."""
+    return spark.read.schema("address string, pieces int").parquet(f"{path}/{_HUBS}")
 
 
 def read_history(
@@ -194,26 +238,36 @@ def read_history(
 ) -> DataFrame:
     """Reads kept histories; with a list, those of its accounts only.
 
-    The folders of a list that fits a broadcast are looked up first, at most as
-    many numbers as there are folders, and files are sorted by account, so most
-    row groups are skipped as well.
+    For a list that fits a broadcast, the catalogue tells the folders, which are as many
+    at most as there are hashes; no other one is listed or opened.  Files are
+    sorted by account, so most row groups are skipped as well.
     """
-    history = spark.read.parquet(path)
     if addresses is None:
-        return history.drop("shards", "shard")
+        return spark.read.parquet(path).drop("shards", "shard")
     keys = distinct_addresses(addresses.select(F.lower("address").alias("address")))
-    if fits_broadcast(keys):
-        numbers = [r["shards"] for r in history.select("shards").distinct().collect()]
-        wanted = F.lit(False)
-        for n in numbers:
-            own = [r["s"] for r in keys.select(shard_of("address", n).alias("s")).distinct().collect()]
-            wanted = wanted | ((F.col("shards") == n) & F.col("shard").isin(own))
-        ends = keys.agg(F.min("address"), F.max("address")).first()
-        history = history.where(wanted)
-        if ends[0] is not None:
-            history = history.where(F.col("address").between(ends[0], ends[1]))
-        keys = F.broadcast(keys)
-    return history.drop("shards", "shard").join(keys, "address", "left_semi")
+    if not fits_broadcast(keys):
+        history = spark.read.parquet(path).drop("shards", "shard")
+        return history.join(keys, "address", "left_semi")
+    folders = read_catalogue(spark, path).collect()
+    # An account is in one folder for each number of folders that the history has.
+    wanted = {}
+    for n in sorted({f["shards"] for f in folders}):
+        asked = keys.groupBy(shard_of("address", n).alias("shard")).agg(
+            F.min("address").alias("low"), F.max("address").alias("high")
+        )
+        wanted |= {(n, r["shard"]): (r["low"], r["high"]) for r in asked.collect()}
+    held = []
+    for f in folders:
+        low, high = wanted.get((f["shards"], f["shard"]), (None, None))
+        if low is not None and low <= f["last"] and f["first"] <= high:
+            held.append((f"{path}/shards={f['shards']}/shard={f['shard']}", low, high))
+    if not held:
+        # Any folder knows the columns; none of its rows are asked for.
+        return spark.read.parquet(path).drop("shards", "shard").limit(0)
+    history = spark.read.option("basePath", path).parquet(*[p for p, _, _ in held])
+    ends = min(low for _, low, _ in held), max(high for _, _, high in held)
+    history = history.where(F.col("address").between(*ends)).drop("shards", "shard")
+    return history.join(F.broadcast(keys), "address", "left_semi")
 
 
 def write_results(df: DataFrame, folder: str) -> str:
