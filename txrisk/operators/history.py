@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from txrisk.functions.scalars import safe_int
-from txrisk.operators.skew import Split, split, top_k
+from txrisk.operators.skew import Hot, Split, fits_broadcast, split, top_k
+from txrisk.sources.checkpoints import kept_rows
 
 
 def newest_first() -> list[Column]:
@@ -32,16 +33,21 @@ def oldest_first() -> list[Column]:
 
 
 def recent(
-    history: DataFrame | Split, k: int | None = 100, hot: DataFrame | None = None
+    history: DataFrame | Split,
+    k: int | None = 100,
+    hot: DataFrame | Hot | None = None,
+    running: dict[str, Column] | None = None,
 ) -> DataFrame:
     """The newest ``k`` transactions of every account, position in ``rank``.
 
+    ``running``: further counts along the same order (``top_k``).
+
     ``k=None`` keeps the whole history and adds no ``rank``, for that would
     mean to sort a hub account in one task.
     """
     if k is None:
         return history.union() if isinstance(history, Split) else history
-    return top_k(history, "address", newest_first(), k, hot=hot)
+    return top_k(history, "address", newest_first(), k, hot=hot, running=running)
 
 
 def page(
@@ -51,11 +57,14 @@ def page(
     page: int = 1,
     offset: int = 10_000,
     sort: str = "desc",
-    hot: DataFrame | None = None,
+    hot: DataFrame | Hot | None = None,
+    most: int | None = None,
 ) -> DataFrame:
     """Page ``page`` of ``offset`` rows of every account in a block range.
 
-    Without ``end_block`` the range has no end.
+    Without ``end_block`` the range has no end.  However deep the page of a hub account
+    is, only its own rows are ranked (``rows_between``); ``most`` is the size of the
+    slices that they are looked for in, a page by default.
     """
     if sort not in ("asc", "desc"):
         raise ValueError(f"sort must be 'asc' or 'desc', not {sort!r}")
@@ -64,12 +73,82 @@ def page(
     in_range = safe_int("block_number") >= start_block
     if end_block is not None:
         in_range = in_range & (safe_int("block_number") <= end_block)
-    kept = Split(parts.cold.where(in_range), parts.hot.where(in_range))
-    return top_k(kept, "address", order, page * offset).where(F.col("rank") > (page - 1) * offset)
+    kept = parts.each(lambda rows: rows.where(in_range))
+    low, high = (page - 1) * offset + 1, page * offset
+    ranked = Window.partitionBy("address").orderBy(*order)
+    cold = kept.cold.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank").between(low, high))
+    if kept.hot is None:
+        return cold
+    return cold.unionByName(
+        rows_between(kept.hot.drop("pieces"), low, high, sort == "desc", most or offset)
+    )
+
+
+def _levels(descending: bool) -> list[Column]:
+    """Ever finer slices of the order of a history, as numbers and texts that sort alike.
+
+    The hash decides last, upwards in both directions, and its slices are prefixes.
+    """
+    ts, hashed = safe_int("time_stamp"), F.col("hash")
+    sign = F.lit(-1 if descending else 1)
+    return [
+        sign * F.floor(ts / 86_400),
+        sign * F.floor(ts / 3_600),
+        sign * ts,
+        sign * safe_int("block_number"),
+        sign * safe_int("transaction_index"),
+        *[F.substring(hashed, 1, n) for n in (4, 8, 16)],
+    ]
+
+
+def rows_between(rows: DataFrame, low: int, high: int, descending: bool, most: int) -> DataFrame:
+    """The rows of ranks ``low`` to ``high`` of every account, in ``rank``.
+
+    An order-statistics table per account finds them: rows are counted per slice of the
+    order, a running total over these counts tells which slices hold wanted ranks, and
+    only their rows go on, to be counted in finer slices, until no slice has more than
+    ``most`` rows.  Then each slice is ranked by itself, from the total before it on.
+    Tables of counts are written to the shared folder; rows are read again, not kept.
+    """
+    order = newest_first() if descending else oldest_first()
+    columns = rows.columns
+    # Slices so far, as one text per row, and the rows of the account before the slice.
+    now = rows.withColumn("_slice", F.lit("")).withColumn("_before", F.lit(0).cast("bigint"))
+    for value in _levels(descending):
+        counts = now.withColumn("_value", value).groupBy("address", "_slice", "_before", "_value").agg(
+            F.count(F.lit(1)).alias("_rows")
+        )
+        running = Window.partitionBy("address", "_slice").orderBy("_value")
+        first = F.col("_before") + F.sum("_rows").over(running) - F.col("_rows")
+        held = counts.withColumn("_first", first).where(
+            (F.col("_first") < high) & (F.col("_first") + F.col("_rows") >= low)
+        )
+        held = kept_rows(
+            held.select(
+                "address", "_slice", F.col("_value").alias("_held"), "_first", "_rows",
+                # Slices of one level and account are told apart by their number.
+                F.concat_ws("/", "_slice", F.col("_first").cast("string")).alias("_next"),
+            ),
+            "page",
+        )
+        inside = held.select("address", "_slice", "_held", "_first", "_next")
+        inside = F.broadcast(inside) if fits_broadcast(inside) else inside
+        now = (
+            now.withColumn("_value", value)
+            .join(inside.withColumnRenamed("_slice", "_of").withColumnRenamed("address", "_address"),
+                  (F.col("address") == F.col("_address")) & (F.col("_slice") == F.col("_of"))
+                  & F.col("_value").eqNullSafe(F.col("_held")))
+            .select(*columns, F.col("_next").alias("_slice"), F.col("_first").alias("_before"))
+        )
+        if held.where(F.col("_rows") > most).isEmpty():
+            break
+    ranked = Window.partitionBy("address", "_slice").orderBy(*order)
+    out = now.withColumn("rank", (F.col("_before") + F.row_number().over(ranked)).cast("int"))
+    return out.where(F.col("rank").between(low, high)).select(*columns, "rank")
 
 
 def tx_gaps(
-    history: DataFrame | Split, slice_seconds: int = 3_600, hot: DataFrame | None = None
+    history: DataFrame | Split, slice_seconds: int = 3_600, hot: DataFrame | Hot | None = None
 ) -> DataFrame:
     """Minutes between consecutive transactions of an account, per role.
 
@@ -78,10 +157,10 @@ def tx_gaps(
     that it is ordered in many tasks.
     """
     parts = history if isinstance(history, Split) else split(history, "address", hot)
-    cold, hub = _timed_roles(parts.cold), _timed_roles(parts.hot)
     by_role = Window.partitionBy("address", "role").orderBy("ts", "pos")
-    previous = cold.withColumn("previous", F.lag("ts").over(by_role))
-    both = previous.unionByName(_previous_by_slice(hub, slice_seconds))
+    both = _timed_roles(parts.cold).withColumn("previous", F.lag("ts").over(by_role))
+    if parts.hot is not None:
+        both = both.unionByName(_previous_by_slice(_timed_roles(parts.hot), slice_seconds))
     gap = (F.col("ts") - F.col("previous")) / 60
     return both.select("address", "role", "pos", "ts", gap.alias("gap_mins"))
 

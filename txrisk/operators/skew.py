@@ -14,11 +14,14 @@ Which keys count as hot changes the plan, never the result.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from txrisk.sources.checkpoints import kept_rows
+
 # A key with more rows than this is hot ...
 HOT_ROWS = 1_000_000
 # ... or than one in so many rows, if that is more: there are never more hot keys
@@ -49,27 +52,55 @@ def fits_broadcast(keys: DataFrame, max_rows: int = BROADCAST_KEYS) -> bool:
     return keys.limit(max_rows + 1).count() <= max_rows
 
 
+@dataclass(frozen=True)
+class Hot:
+    """Hot keys that are known: a small table in the shared folder, or that there are none."""
+
+    keys: DataFrame | None
+
+
+def settled(hot: DataFrame | Hot) -> Hot:
+    """Counts the hot keys once.  Without any, plans have one path and read their rows once."""
+    if isinstance(hot, Hot):
+        return hot
+    keys = kept_rows(hot, "hot")
+    return Hot(None if keys.isEmpty() else keys)
+
+
+def _hot_of(df: DataFrame, key: str, hot: DataFrame | Hot | None) -> Hot:
+    return settled(hot_keys(df, key) if hot is None else hot)
+
+
 @dataclass(frozen=True)
 class Split:
-    """Rows of ordinary keys, and rows of hot keys with ``pieces``."""
+    """Rows of ordinary keys, and rows of hot keys with ``pieces`` if there are such keys."""
 
     cold: DataFrame
-    hot: DataFrame
+    hot: DataFrame | None
 
     def union(self) -> DataFrame:
-        return self.cold.unionByName(self.hot.drop("pieces"))
+        return self.cold if self.hot is None else self.cold.unionByName(self.hot.drop("pieces"))
+
+    def each(self, change: Callable[[DataFrame], DataFrame]) -> Split:
+        return Split(change(self.cold), None if self.hot is None else change(self.hot))
 
 
-def split(df: DataFrame, key: str, hot: DataFrame | None = None) -> Split:
+def split(df: DataFrame, key: str, hot: DataFrame | Hot | None = None) -> Split:
     """Takes the rows of hot keys apart from the rest."""
-    hot = hot_keys(df, key) if hot is None else hot
+    known = _hot_of(df, key, hot).keys
+    if known is None:
+        return Split(df, None)
     return Split(
-        df.join(F.broadcast(hot.select(key)), key, "left_anti"), df.join(F.broadcast(hot), key)
+        df.join(F.broadcast(known.select(key)), key, "left_anti"), df.join(F.broadcast(known), key)
     )
 
 
 def join_split(
-    big: DataFrame, small: DataFrame, key: str, hot: DataFrame | None = None, how: str = "inner"
+    big: DataFrame,
+    small: DataFrame,
+    key: str,
+    hot: DataFrame | Hot | None = None,
+    how: str = "inner",
 ) -> Split:
     """Inner or left join on ``key``, which is unique in ``small``.
 
@@ -77,19 +108,20 @@ def join_split(
     ``HOT_SHARE`` rows; the rest is shuffled on the key.  A ``small`` side of keys alone
     may carry a ``shuffle_hash`` hint, which saves sorting the big side.
     """
-    hot = hot_keys(big, key) if hot is None else hot
-    parts = split(big, key, hot)
-    partners = small.join(F.broadcast(hot.select(key)), key, "left_semi")
-    return Split(
-        parts.cold.join(small, key, how), parts.hot.join(F.broadcast(partners), key, how)
-    )
+    known = _hot_of(big, key, hot)
+    parts = split(big, key, known)
+    cold = parts.cold.join(small, key, how)
+    if parts.hot is None:
+        return Split(cold, None)
+    partners = small.join(F.broadcast(known.keys.select(key)), key, "left_semi")
+    return Split(cold, parts.hot.join(F.broadcast(partners), key, how))
 
 
 def join_on_key(
     big: DataFrame,
     small: DataFrame,
     key: str,
-    hot: DataFrame | None = None,
+    hot: DataFrame | Hot | None = None,
     fits: bool = False,
     how: str = "inner",
 ) -> DataFrame:
@@ -109,21 +141,28 @@ def top_k(
     k: int,
     rank: str = "rank",
     row_id: str = "pos",
-    hot: DataFrame | None = None,
+    hot: DataFrame | Hot | None = None,
+    running: dict[str, Column] | None = None,
 ) -> DataFrame:
     """First ``k`` rows per ``key`` in the given order, numbered from 1 in ``rank``.
 
     ``order`` must be total within a key.  ``row_id`` spreads the rows of a
-    hot key over its pieces.  The ranking of the ordinary keys keeps their
-    partitioning; without hot keys nothing else is left of the plan at run time.
+    hot key over its pieces.  ``running`` adds columns with the number of rows, up to
+    each one and in the same order, for which a condition holds.  The ranking of the ordinary keys keeps their
+    partitioning; without hot keys there is nothing else.
     """
     parts = rows if isinstance(rows, Split) else split(rows, key, hot)
 
-    def first(df: DataFrame, *keys: str) -> DataFrame:
+    def first(df: DataFrame, *keys: str, counts: dict[str, Column] | None = None) -> DataFrame:
         ranked = Window.partitionBy(*keys).orderBy(*order)
-        return df.withColumn(rank, F.row_number().over(ranked)).filter(F.col(rank) <= k)
+        upto = ranked.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        counted = {name: F.count_if(c).over(upto) for name, c in (counts or {}).items()}
+        return df.withColumns({rank: F.row_number().over(ranked), **counted}).filter(F.col(rank) <= k)
 
+    cold = first(parts.cold.drop(rank), key, counts=running)
+    if parts.hot is None:
+        return cold
     piece = F.pmod(F.xxhash64(row_id), F.col("pieces"))
     best_of_pieces = first(parts.hot.drop(rank).withColumn("piece", piece), key, "piece")
     survivors = best_of_pieces.drop("piece", "pieces", rank)
-    return first(parts.cold.drop(rank), key).unionByName(first(survivors, key))
+    return cold.unionByName(first(survivors, key, counts=running))
