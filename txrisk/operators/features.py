@@ -52,8 +52,8 @@ def narrow(tx: DataFrame, *more: Column) -> DataFrame:
     )
 
 
-def _level_one(history: DataFrame) -> DataFrame:
-    """Column preparation for the first aggregate."""
+def level_one(history: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Column preparation for the first aggregate; ``keep`` are columns that go along."""
     beyond = F.col("beyond") if "beyond" in history.columns else beyond_decimal("value")
     call = "has_data" if "has_data" in history.columns else hex_nonzero("input")
     return history.select(
@@ -71,7 +71,7 @@ def _level_one(history: DataFrame) -> DataFrame:
         F.coalesce(beyond / 1e18, to_ether(wei("value"))).alias("ether"),
         beyond.alias("beyond"),
         valid_ts(safe_int("time_stamp")).alias("ts"),
-        *([F.col("carried")] if "carried" in history.columns else []),
+        *keep,
     )
 
 
@@ -102,28 +102,40 @@ def _totals() -> dict[str, Column]:
     return out
 
 
-def _fold(rows: DataFrame) -> DataFrame:
-    """One row per account by way of one row per account and counterparty."""
-    totals = _totals()
-    pairs = rows.groupBy("address", "other").agg(*[c.alias(n) for n, c in totals.items()])
+def pair_totals(rows: DataFrame, *by: str) -> DataFrame:
+    """Level one: one row per account and counterparty (and ``by``)."""
+    return rows.groupBy(*by, "address", "other").agg(*[c.alias(n) for n, c in _totals().items()])
 
-    def merged(name: str) -> Column:
-        if name.endswith(("_min", "_first")):
-            return F.min(name)
-        if name.endswith(("_max", "_last")):
-            return F.max(name)
-        return F.sum(name)
 
+def _merged(name: str) -> Column:
+    """How totals of one name are put together."""
+    if name.endswith(("_min", "_first")):
+        return F.min(name)
+    if name.endswith(("_max", "_last")):
+        return F.max(name)
+    return F.sum(name)
+
+
+def merge_pairs(totals: DataFrame, *by: str) -> DataFrame:
+    """Several rows of an account and counterparty as one; totals of totals are the same."""
+    kinds = dict(totals.dtypes)
+    # Sums of decimals grow by ten digits a time, which they do not need.
+    merged = [_merged(n).cast(kinds[n]).alias(n) for n in _totals()]
+    return totals.groupBy(*by, "address", "other").agg(*merged)
+
+
+def fold_pairs(pairs: DataFrame) -> DataFrame:
+    """Level two: one row per account, out of one row per account and counterparty."""
     return pairs.groupBy("address").agg(
-        *[merged(n).alias(n) for n in totals],
+        *[_merged(n).alias(n) for n in _totals()],
         F.count_if((F.col("sent_n") > 0) & (F.col("other") != "")).alias("unique_sent_to"),
         F.count_if(F.col("received_n") > 0).alias("unique_received_from"),
     )
 
 
-def _fold_short(rows: DataFrame) -> DataFrame:
-    """The same for histories cut to the newest ``k`` with ``carried``: at most
-    ``k`` rows meet per account, so sets and lists of them are small."""
+def _fold_short(rows: DataFrame, beside: list[Column]) -> DataFrame:
+    """The same for histories cut to the newest ``k``: at most ``k`` rows meet per
+    account, so sets and lists of them are small."""
     other = F.col("other")
 
     def distinct(condition: Column) -> Column:
@@ -133,7 +145,7 @@ def _fold_short(rows: DataFrame) -> DataFrame:
         *[c.alias(n) for n, c in _totals().items()],
         distinct(F.col("is_sent") & (other != "")).alias("unique_sent_to"),
         distinct(F.col("is_received")).alias("unique_received_from"),
-        F.collect_list("carried").alias("carried"),
+        *beside,
     )
 
 
@@ -149,25 +161,32 @@ def _mean_gap(role: str, gap_order: str) -> Column:
 
 
 def account_features(
-    history: DataFrame, gap_order: str = "desc", exclude_failed: bool = False
+    history: DataFrame,
+    gap_order: str = "desc",
+    exclude_failed: bool = False,
+    keep: tuple[str, ...] = (),
+    beside: list[Column] | None = None,
 ) -> DataFrame:
     """One row per account with 22 features.
 
     ``history`` has ``address``, ``sent``, ``received`` and the raw columns.
     ``gap_order='desc'`` measures gaps along a newest-first list, which makes
     the two gap averages zero or negative; ``'asc'`` makes them positive.
-    A column ``carried`` is gathered into a list per account, so it must be
-    used on histories cut to the newest ``k`` only.
+    ``beside`` are further aggregates over the columns ``keep``; they may gather lists,
+    so they are for histories cut to the newest ``k`` only.
     """
-    if gap_order not in ("asc", "desc"):
-        raise ValueError(f"gap_order must be 'asc' or 'desc', not {gap_order!r}")
     if exclude_failed:
         history = history.where(safe_int("is_error") == 0)
-    rows = _level_one(history)
-    if "carried" in rows.columns:
-        folded = _fold_short(rows)
-    else:
-        folded = _fold(rows)
+    rows = level_one(history, keep)
+    folded = _fold_short(rows, beside) if beside else fold_pairs(pair_totals(rows))
+    return features_of(folded, gap_order)
+
+
+def features_of(folded: DataFrame, gap_order: str = "desc") -> DataFrame:
+    """The 22 features out of the totals of an account; columns beside them stay."""
+    if gap_order not in ("asc", "desc"):
+        raise ValueError(f"gap_order must be 'asc' or 'desc', not {gap_order!r}")
+    known = {"address", "unique_sent_to", "unique_received_from", *_totals()}
 
     def amount(column: str) -> Column:
         return F.coalesce(F.col(column), F.lit(0.0))
@@ -207,7 +226,7 @@ def account_features(
     return folded.select(
         "address",
         *[features[name].alias(name) for name in COMPUTED_FEATURES],
-        *([F.col("carried")] if "carried" in folded.columns else []),
+        *[c for c in folded.columns if c not in known],
     )
 
 

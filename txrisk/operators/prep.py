@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from txrisk.functions.scalars import to_double_or_zero
-from txrisk.operators.skew import join_on_key
+from txrisk.operators.skew import fits_broadcast, join_on_key
 from txrisk.schemas import MAJORITY_SAMPLE, SEQUENCE_LENGTH, SEQUENCE_WIDTH
+from txrisk.sources.checkpoints import kept_rows
 
 # Percentile sketches are this exact (relative rank error 1 / ACCURACY).
 ACCURACY = 10_000
@@ -234,6 +235,9 @@ def cut_by_hash(
     these at most 65,536 counts per class finds the prefix in which a cut
     falls.  Only rows of such prefixes are ranked, all others compare their
     prefix.  ``key`` must be unique.
+
+    What a class is cut by is one row for it; up to ``BROADCAST_KEYS`` classes, counted, are
+    broadcast, and rows are not shuffled on their class.
     """
     wanted = [c for c in cuts.columns if c != by]
     known = cuts.withColumnRenamed(by, "_class")
@@ -260,7 +264,7 @@ def cut_by_hash(
             for i, c in enumerate(wanted)
         ]
     )
-    placed = rows.join(edges, F.col(by).eqNullSafe(F.col("_class")))
+    placed = _with_edges(rows, edges, by)
     on_edge = F.lit(False)
     for i in range(len(wanted)):
         on_edge = on_edge | F.coalesce(F.col("_prefix") == F.col(f"_e{i}._prefix"), F.lit(False))
@@ -278,6 +282,17 @@ def cut_by_hash(
     return sure.unionByName(ranked).select(*df.columns, part.cast("int").alias("part"))
 
 
+def _with_edges(rows: DataFrame, edges: DataFrame, by: str) -> DataFrame:
+    """Rows with what their class is cut by; rows of other classes go."""
+    edges = kept_rows(edges, "edges")
+    if fits_broadcast(edges):
+        return rows.join(F.broadcast(edges), F.col(by).eqNullSafe(F.col("_class")))
+    # Very many classes: most are small, and large ones meet a broadcast of their rows.
+    key = lambda c: F.to_json(F.struct(F.col(c).alias("c")))
+    joined = join_on_key(rows.withColumn("_key", key(by)), edges.withColumn("_key", key("_class")), "_key")
+    return joined.drop("_key")
+
+
 def undersample(
     df: DataFrame,
     n: int = MAJORITY_SAMPLE,

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from txrisk.functions.scalars import beyond_decimal, ether, is_blank, readable, safe_int, wei
-from txrisk.operators.skew import Split, split, top_k
+from txrisk.operators.skew import Hot, Split, split, top_k
 from txrisk.schemas import SEQUENCE_FIELDS, SEQUENCE_LENGTH, SEQUENCE_WIDTH
 
 _WHOLE_NUMBERS = (
@@ -56,7 +56,7 @@ def sequence_values() -> dict[str, Column]:
 
 
 def latest_sequence(
-    history: DataFrame | Split, n: int = SEQUENCE_LENGTH, hot: DataFrame | None = None
+    history: DataFrame | Split, n: int = SEQUENCE_LENGTH, hot: DataFrame | Hot | None = None
 ) -> DataFrame:
     """The newest ``n`` well-formed transactions, one row per step.
 
@@ -65,8 +65,7 @@ def latest_sequence(
     order = [safe_int("time_stamp").desc(), F.col("pos").asc()]
     # Hubs are counted before the filter: that reads the address columns alone.
     parts = history if isinstance(history, Split) else split(history, "address", hot)
-    good = Split(drop_malformed(parts.cold), drop_malformed(parts.hot))
-    kept = top_k(good, "address", order, n)
+    kept = top_k(parts.each(drop_malformed), "address", order, n)
     return kept.select(
         "address",
         (F.col("rank") - 1).alias("step"),
@@ -86,7 +85,7 @@ def first_n(
     incident: DataFrame,
     n: int = SEQUENCE_LENGTH,
     row_id: str = "pos",
-    hot: DataFrame | None = None,
+    hot: DataFrame | Hot | None = None,
 ) -> DataFrame:
     """The first ``n`` transactions in file order, numeric columns only.
 
@@ -126,12 +125,6 @@ def step_of_row() -> Column:
     return F.when(is_well_formed(), F.array(*sequence_values().values()))
 
 
-def matrix_of_steps(steps: Column, length: int = SEQUENCE_LENGTH) -> Column:
-    """W4 + X8 inside a row, for the steps of a newest-first list."""
-    good = F.filter(steps, lambda s: s.isNotNull())
-    return pad_matrix(F.slice(good, 1, length), length)
-
-
 def channel_names(width: int = SEQUENCE_WIDTH) -> list[str]:
     """Names of the channels of a sequence; those of a bulk export have numbers."""
     if width == SEQUENCE_WIDTH:
@@ -144,6 +137,30 @@ def pool_names(width: int = SEQUENCE_WIDTH) -> list[str]:
     return [f"{kind}_{f}" for kind in ("mean", "max", "first", "std") for f in channel_names(width)]
 
 
+def pooled_steps(step: Column, length: int, width: int = SEQUENCE_WIDTH) -> Column:
+    """``pool`` as an aggregate over the rows of an account, of which ``step`` is null for
+    all but the newest ``length`` well-formed ones.
+
+    ``place`` numbers these from 1.  No list is gathered: sum, maximum, squared distance
+    from the mean and the value of the newest row are merged like any aggregate, and
+    the zeros of the padding are put in by arithmetic.
+    """
+    n = F.count(step)
+    absent = F.lit(length) - n
+    means, tops, firsts, stds = [], [], [], []
+    for i in range(width):
+        value = step[i]
+        total = F.coalesce(F.sum(value), F.lit(0.0))
+        own = total / F.greatest(n, F.lit(1))
+        top = F.coalesce(F.max(value), F.lit(0.0))
+        apart = F.coalesce(F.var_pop(value), F.lit(0.0)) * n + own * own * n * absent / length
+        means.append(total / length)
+        tops.append(F.when(absent > 0, F.greatest(top, F.lit(0.0))).otherwise(top))
+        firsts.append(F.coalesce(F.max(F.when(F.col("place") == 1, value)), F.lit(0.0)))
+        stds.append(F.sqrt(apart / length))
+    return F.array(*means, *tops, *firsts, *stds)
+
+
 def pool(matrix: Column, width: int = SEQUENCE_WIDTH) -> Column:
     """Mean, maximum, first value and standard deviation of every channel.
 
