@@ -32,6 +32,7 @@ from txrisk.schemas import (
     SEQUENCE_LENGTH,
     SEQUENCE_WIDTH,
 )
+from txrisk.sources.checkpoints import new_path
 from txrisk.sources.tables import kept
 
 CLASSIFIERS = {
@@ -74,7 +75,10 @@ class RiskModel:
 
 
 def width_of(df: DataFrame) -> int:
-    """Numbers in a step of ``sequence``; every row has as many."""
+    """Numbers in a step of ``sequence``; every row has as many.  ``pooled`` was made of
+    ordinary steps."""
+    if "pooled" in df.columns:
+        return SEQUENCE_WIDTH
     row = df.where(F.size("sequence") > 0).select(F.size(F.get("sequence", F.lit(0)))).first()
     return row[0] if row else SEQUENCE_WIDTH
 
@@ -86,7 +90,12 @@ def _raw_values(df: DataFrame, columns: list[str], encoding: str, width: int) ->
             for c in columns
         ]
     )
-    sequence = pool(F.col("sequence"), width) if encoding == "pooled" else F.flatten("sequence")
+    if encoding != "pooled":
+        sequence = F.flatten("sequence")
+    elif "pooled" in df.columns:
+        sequence = F.col("pooled")
+    else:
+        sequence = pool(F.col("sequence"), width)
     return F.concat(static, sequence)
 
 
@@ -97,7 +106,7 @@ def encode(
 
     Absent or null features are 0.  The array is far smaller than the sequence.
     """
-    kept = [f"`{c}`" for c in df.columns if c not in columns and c != "sequence"]
+    kept = [f"`{c}`" for c in df.columns if c not in columns and c not in ("sequence", "pooled")]
     return df.select(*kept, _raw_values(df, columns, encoding, width).alias("raw_values"))
 
 
@@ -146,13 +155,14 @@ def train_classifier(
     fit_on: DataFrame | None = None,
     width: int | None = None,
     k: int = 1000,
+    tolerance: float = 1e-6,
 ) -> RiskModel:
     """M2: fit a two-class model on rows with features, ``sequence`` and a label.
 
     The scaler is fitted on the training rows; ``fit_on`` names other rows.
     Training passes over the rows many times, so they are encoded and
     written first; rows that ``encode`` made are taken as they are, and need the
-    ``width`` of their sequences.
+    ``width`` of their sequences.  ``tolerance`` ends the steps of logistic regression.
     """
     if algorithm not in CLASSIFIERS:
         raise ValueError(f"algorithm must be one of {sorted(CLASSIFIERS)}, not {algorithm!r}")
@@ -178,10 +188,14 @@ def train_classifier(
         layers = [len(columns) + tail, *HIDDEN_LAYERS, 2]
         learner = MultilayerPerceptronClassifier(layers=layers, maxIter=epochs, seed=seed)
     elif algorithm == "logistic":
-        learner = LogisticRegression(maxIter=epochs, standardization=False)
+        learner = LogisticRegression(maxIter=epochs, standardization=False, tol=tolerance)
     else:
         learner = GBTClassifier(maxIter=epochs, seed=seed)
-    model.classifier = learner.fit(vectors)
+    # A fitted classifier holds on to the session by its training summary, and tasks could not
+    # take it along; one that was written and read has none.
+    path = new_path(training.sparkSession, "classifier")
+    learner.fit(vectors).write().save(path)
+    model.classifier = CLASSIFIERS[algorithm].load(path)
     return model
 
 

@@ -8,17 +8,29 @@ ranking: a scan shuffles the transactions once.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from txrisk.functions.scalars import address_check
 from txrisk.operators.features import account_features, features_for, narrow
 from txrisk.operators.history import batch_index, recent
-from txrisk.operators.incidence import distinct_addresses, history_for, history_split, with_roles
-from txrisk.operators.sequences import matrix_of_steps, step_of_row
-from txrisk.operators.skew import fits_broadcast
+from txrisk.operators.incidence import (
+    distinct_addresses,
+    history_for,
+    history_split,
+    hot_accounts,
+    with_roles,
+)
+from txrisk.operators.quality import (
+    counters_table,
+    observed,
+    request_counters,
+    transaction_counters,
+)
+from txrisk.operators.sequences import pad_matrix, pool_names, pooled_steps, step_of_row
+from txrisk.operators.skew import Hot, fits_broadcast, settled
 from txrisk.plans.model import RiskModel, score
-from txrisk.schemas import COMPUTED_FEATURES, HISTORY_COLUMNS, SEQUENCE_LENGTH
+from txrisk.schemas import COMPUTED_FEATURES, HISTORY_COLUMNS, SEQUENCE_LENGTH, SEQUENCE_WIDTH
 from txrisk.sources.tables import write_results
 
 
@@ -54,7 +66,7 @@ def behaviour(
     k: int | None = 100,
     gap_order: str = "desc",
     exclude_failed: bool = False,
-    hot: DataFrame | None = None,
+    hot: DataFrame | Hot | None = None,
 ) -> DataFrame:
     """J3 + W1 + A1-A13: features over the newest ``k`` rows of every account.
 
@@ -77,9 +89,11 @@ def profiles(
     k: int = 100,
     length: int = SEQUENCE_LENGTH,
     gap_order: str = "desc",
-    hot: DataFrame | None = None,
+    hot: DataFrame | Hot | None = None,
     keyed: bool = False,
     with_transactions: bool = True,
+    encoding: str | None = None,
+    watch: Observation | None = None,
 ) -> DataFrame:
     """Features, sequence and used transactions of every listed account.
 
@@ -89,9 +103,17 @@ def profiles(
     ranking is the order of the sequence, too.
 
     Numbers and steps are made before the shuffle; raw fields, call data among them,
-    travel only if the transactions are wanted.
+    travel only if the transactions are wanted.  Steps beyond ``length`` are dropped
+    where the rows are ranked.  With ``encoding='pooled'`` there is a column ``pooled``
+    in place of ``sequence``, and no list of steps is gathered.  ``watch`` gets counters of
+    blank and unreadable input (``quality``) from the action that runs the scan.
     """
     fits = fits_broadcast(addresses)
+    if watch is not None:
+        # Hubs are counted before, so that the scan itself is the first to be observed.
+        hot = settled(hot_accounts(tx) if hot is None else hot)
+        counters = transaction_counters().items()
+        tx = tx.observe(watch, *[F.count_if(c).alias(name) for name, c in counters])
     fields = _raw_fields(tx) if with_transactions else []
     raw = [F.struct(*fields).alias("raw")] if fields else []
     key = [F.lower("address").alias("address")] if keyed else []
@@ -102,15 +124,28 @@ def profiles(
         history = with_roles(rows).join(listed, "address", "left_semi")
     else:
         history = history_split(addresses, rows, hot, fits)
-    ranked = recent(history, k, hot)
-    carried = ranked.withColumn("carried", F.struct("rank", "step", *(["raw"] if fields else [])))
-    listed = features_for(addresses, account_features(carried, gap_order), fits)
-    steps = F.transform(F.sort_array("carried"), lambda t: t["step"])
-    own = [c for c in listed.columns if c != "carried"]
-    out = [*own, matrix_of_steps(F.coalesce(steps, F.array()), length).alias("sequence")]
+    ranked = recent(history, k, hot, running={"place": F.col("step").isNotNull()})
+    ranked = ranked.withColumn("step", F.when(F.col("place") <= length, F.col("step")))
+    beside = [
+        # Lists leave nulls out: at most ``length`` steps.
+        pooled_steps(F.col("step"), length).alias("pooled")
+        if encoding == "pooled"
+        else F.collect_list(F.when(F.col("step").isNotNull(), F.struct("place", "step"))).alias("steps")
+    ]
     if with_transactions:
-        used = F.transform(F.sort_array("carried"), lambda t: t["raw"])
-        out.append(F.coalesce(used, F.array()).alias("transactions_used"))
+        used = F.struct("rank", "raw") if fields else F.struct("rank")
+        beside.append(F.collect_list(used).alias("used"))
+    kept = ("rank", "place", "step", *(["raw"] if fields else []))
+    listed = features_for(addresses, account_features(ranked, gap_order, keep=kept, beside=beside), fits)
+    out = [c for c in listed.columns if c not in ("pooled", "steps", "used")]
+    if encoding == "pooled":
+        out.append(F.coalesce("pooled", F.array_repeat(F.lit(0.0), len(pool_names()))).alias("pooled"))
+    else:
+        steps = F.transform(F.sort_array("steps"), lambda t: t["step"])
+        out.append(pad_matrix(steps, length).alias("sequence"))
+    if with_transactions:
+        raws = F.transform(F.sort_array("used"), lambda t: t["raw"] if fields else F.struct())
+        out.append(F.coalesce(raws, F.array()).alias("transactions_used"))
     return listed.select(*out)
 
 
@@ -119,8 +154,9 @@ def scan(
     tx: DataFrame,
     model: RiskModel,
     k: int | None = None,
-    hot: DataFrame | None = None,
+    hot: DataFrame | Hot | None = None,
     keyed: bool = False,
+    watch: Observation | None = None,
 ) -> DataFrame:
     """M7: ``address``, nine-field ``prediction`` and ``transactions_used``.
 
@@ -128,7 +164,10 @@ def scan(
     transactions are used as the model was trained with.
     """
     k = model.k if k is None else k
-    rows = profiles(addresses, tx, k, model.sequence_length, hot=hot, keyed=keyed)
+    encoding = "pooled" if model.encoding == "pooled" and model.sequence_width == SEQUENCE_WIDTH else None
+    rows = profiles(
+        addresses, tx, k, model.sequence_length, hot=hot, keyed=keyed, encoding=encoding, watch=watch
+    )
     scored = score(rows, model)
     stamp = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
     full = F.col("prediction").withField(
@@ -169,19 +208,31 @@ def batch_scan(
     save_to: str | None = None,
     strict: bool = False,
     keyed: bool = False,
-    hot: DataFrame | None = None,
+    hot: DataFrame | Hot | None = None,
 ) -> DataFrame:
     """M8: scan a list; adds ``batch_index`` and leaves out failed requests, which
-    ``failed_requests`` lists.  With a folder, results and failures are written."""
+    ``failed_requests`` lists.  With a folder, results and failures are written, and beside
+    them, in ``quality``, how many parties, numbers and requests were missing or unreadable."""
     requests, failed = check_requests(batch_index(addresses), strict)
-    results = scan(requests.select("address", "batch_index"), tx, model, k, hot, keyed)
-    if save_to is not None and not failed.isEmpty():
-        write_results(failed.select("batch_index", "address", "reason"), f"{save_to}/failed")
+    listed = requests.select("address", "batch_index")
+    if save_to is None:
+        return scan(listed, tx, model, k, hot, keyed)
+    refused = failed.select("batch_index", "address", "reason")
+    both = requests.withColumn("reason", F.lit(None).cast("string")).unionByName(failed)
+    asked, counted = observed(both, request_counters())
+    asked.select("reason").write.format("noop").mode("overwrite").save()
+    seen = [counted]
+    if counted.get["failed_requests"]:
+        write_results(refused, f"{save_to}/failed")
+    watch = Observation()
+    results = scan(listed, tx, model, k, hot, keyed, watch)
     # Every request has a result, so an empty list is known without a scan.
-    if save_to is None or requests.isEmpty():
-        return results
-    path = write_results(results, save_to)
-    return results.sparkSession.read.schema(results.schema).json(path)
+    if counted.get["requests"] > counted.get["failed_requests"]:
+        path = write_results(results, save_to)
+        results = results.sparkSession.read.schema(results.schema).json(path)
+        seen.append(watch)
+    write_results(counters_table(results.sparkSession, *seen), f"{save_to}/quality")
+    return results
 
 
 def to_analysis_row(df: DataFrame, explanations: str | None = None) -> DataFrame:

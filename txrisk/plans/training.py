@@ -62,10 +62,13 @@ def prepare(
     tx: DataFrame,
     k: int = 1000,
     length: int = SEQUENCE_LENGTH,
+    encoding: str = "pooled",
 ) -> DataFrame:
     """Training table from labelled accounts and explorer transactions, with the
-    features and sequences that scoring uses."""
-    return profiles(addresses, tx, k, length, with_transactions=False)
+    features and sequences that scoring uses.  Sequences are pooled at once, unless
+    another ``encoding`` asks for them as they are."""
+    pooled = "pooled" if encoding == "pooled" else None
+    return profiles(addresses, tx, k, length, with_transactions=False, encoding=pooled)
 
 
 def fit(

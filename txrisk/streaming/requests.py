@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
+from txrisk.operators.skew import Hot
 from txrisk.plans.model import RiskModel
 from txrisk.plans.scan import check_requests, scan
 
@@ -28,7 +29,7 @@ def scan_stream(
     strict: bool = False,
     keyed: bool = False,
     available_now: bool = True,
-    hot: DataFrame | None = None,
+    hot: DataFrame | Hot | None = None,
 ) -> StreamingQuery:
     """Scan every micro-batch of requests and write the answers as JSON.
 
