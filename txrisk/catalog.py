@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from txrisk import proxy
 from txrisk.functions import presentation as show
@@ -14,21 +14,21 @@ from txrisk.functions import scalars as x
 from txrisk.functions import scores
 from txrisk.operators import history as hist
 from txrisk.operators import incidence as inc
-from txrisk.operators import metrics, prep
+from txrisk.operators import metrics, prep, quality, rollups
 from txrisk.operators import sequences as seq
 from txrisk.operators.skew import Split
-from txrisk.plans import explain, model, scan, training
+from txrisk.plans import explain, model, newton, scan, training
 from txrisk.schemas import (
     COMPUTED_FEATURES,
-    EXPLORER_FIELDS,
     FEATURES,
     HISTORY_COLUMNS,
     IRRELEVANT_TX_COLUMNS,
+    KIND_FIELDS,
     SEQUENCE_FIELDS,
 )
 from txrisk.sources import explorer, tables
-from txrisk.sources.checkpoints import shared_folder
-from txrisk.streaming import requests
+from txrisk.sources.checkpoints import new_path
+from txrisk.streaming import newest, requests
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -70,6 +70,32 @@ def account_features_full(spark: SparkSession, d: str) -> DataFrame:
     return scan.behaviour(None, tx, k=None, gap_order="asc", exclude_failed=True)
 
 
+def _rolled(spark: SparkSession, d: str) -> str:
+    """A rollup by days to which the newest day came last, and came twice."""
+    tx = proxy.transactions(spark, d, huge=True)
+    newest = tx.agg(F.max(rollups.day_of())).first()[0] or 0
+    folder = new_path(spark, "rollup")
+    last = rollups.day_of() == newest
+    rollups.write_rollup(rollups.period_totals(tx.where(~last)), folder)
+    for _ in range(2):
+        rollups.write_rollup(rollups.period_totals(tx.where(last)), folder)
+    return folder
+
+
+def rolled_features(spark: SparkSession, d: str) -> DataFrame:
+    """A1-A13 over whole histories, out of totals kept per day."""
+    totals = rollups.read_rollup(spark, _rolled(spark, d))
+    return rollups.rolled_features(totals, gap_order="asc", exclude_failed=True)
+
+
+def rolled_features_coarse(spark: SparkSession, d: str) -> DataFrame:
+    """The same with older days merged into periods of thirty."""
+    totals = rollups.read_rollup(spark, _rolled(spark, d))
+    folder = new_path(spark, "rollup")
+    rollups.write_rollup(rollups.coarser(totals, F.floor(F.col("period") / 30)), folder)
+    return rollups.rolled_features(rollups.read_rollup(spark, folder), gap_order="asc", exclude_failed=True)
+
+
 def align_features(spark: SparkSession, d: str) -> DataFrame:
     """The model's 45 columns; those that nothing computes are 0."""
     return prep.align_features(_features(spark, d), FEATURES, keep=("address",))
@@ -192,6 +218,31 @@ def page_history(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("address", "rank", "hash", "block_number")
 
 
+def _hub_history(spark: SparkSession, d: str) -> DataFrame:
+    """All transactions as the histories of three hub accounts."""
+    hub = proxy.address_of(F.col("pos") % 3)
+    rows = proxy.transactions(spark, d).withColumn("address", hub)
+    return rows.select("address", "pos", "hash", "time_stamp", "block_number", "transaction_index")
+
+
+def _deep_page(spark: SparkSession, d: str, sort: str) -> DataFrame:
+    """Page 300 of 10 rows of every hub account, found in slices of 20 rows."""
+    history = _hub_history(spark, d)
+    hubs = history.select("address").distinct().withColumn("pieces", F.lit(2))
+    rows = hist.page(history, page=300, offset=10, sort=sort, hot=hubs, most=20)
+    return rows.select("address", "rank", "hash", "block_number")
+
+
+def deep_page(spark: SparkSession, d: str) -> DataFrame:
+    """A page far down the histories of hub accounts, newest first."""
+    return _deep_page(spark, d, "desc")
+
+
+def deep_page_oldest(spark: SparkSession, d: str) -> DataFrame:
+    """The same from the oldest row on."""
+    return _deep_page(spark, d, "asc")
+
+
 def tx_gaps(spark: SparkSession, d: str) -> DataFrame:
     """Minutes between consecutive transactions, per account and role."""
     return hist.tx_gaps(_split(spark, d))
@@ -264,8 +315,8 @@ def profile_sequence(spark: SparkSession, d: str) -> DataFrame:
 def pooled_sequence(spark: SparkSession, d: str) -> DataFrame:
     """M1: mean, maximum, first and std of the channels of the newest 50 rows."""
     accounts, tx = proxy.accounts(spark, d), proxy.transactions(spark, d)
-    rows = scan.profiles(accounts, tx, with_transactions=False)
-    pooled = rows.select("address", seq.pool(F.col("sequence")).alias("v"))
+    rows = scan.profiles(accounts, tx, with_transactions=False, encoding="pooled")
+    pooled = rows.select("address", F.col("pooled").alias("v"))
     # Means are fractions with few digits, which would tie at a coarse rounding.
     return pooled.select(
         "address",
@@ -582,22 +633,27 @@ def visible_explanations(spark: SparkSession, d: str) -> DataFrame:
 # -- sources --------------------------------------------------------------------------------------
 
 
-def _envelopes(spark: SparkSession, d: str) -> DataFrame:
-    """Responses made from the newest 100 rows of every account, the way an explorer
-    answers; an account without any gets an error response."""
-    names = {column: f for f, column in EXPLORER_FIELDS.items()}
-    ranked = _recent(spark, d)
-    nested = scan.nest_transactions(proxy.accounts(spark, d).select("address"), ranked)
-    record = lambda t: F.struct(*[t[c].alias(names[c]) for c in HISTORY_COLUMNS])
-    empty = F.size("transactions_used") == 0
-    return nested.select(
-        "address",
-        F.when(empty, "0").otherwise("1").alias("status"),
-        F.when(empty, "No transactions found").otherwise("OK").alias("message"),
-        F.when(empty, "Max rate limit reached")
-        .otherwise(F.to_json(F.transform("transactions_used", record)))
-        .alias("result"),
+def _responses(accounts: DataFrame, rows: DataFrame, kind: str) -> DataFrame:
+    """Responses about ranked transactions of accounts, the way an explorer answers; an
+    account without any gets an error response."""
+    fields = KIND_FIELDS[kind]
+    record = F.struct(*[F.col(c).alias(f) for f, c in fields.items()])
+    lists = rows.groupBy("address").agg(
+        F.sort_array(F.collect_list(F.struct("rank", record.alias("record")))).alias("ranked")
     )
+    given = accounts.select("address").join(lists, "address", "left")
+    return given.select(
+        "address",
+        F.when(F.col("ranked").isNull(), "0").otherwise("1").alias("status"),
+        F.when(F.col("ranked").isNull(), "No transactions found").otherwise("OK").alias("message"),
+        F.when(F.col("ranked").isNull(), "Max rate limit reached")
+        .otherwise(F.to_json("ranked.record")).alias("result"),
+    )
+
+
+def _envelopes(spark: SparkSession, d: str) -> DataFrame:
+    """Responses of the newest 100 rows of every account."""
+    return _responses(proxy.accounts(spark, d), _recent(spark, d), "txlist")
 
 
 def explorer_records(spark: SparkSession, d: str) -> DataFrame:
@@ -607,39 +663,73 @@ def explorer_records(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def _landed(spark: SparkSession, d: str, kind: str, on_error: str = "empty") -> DataFrame:
-    """Responses written as JSON lines to the shared folder and read back."""
-    folder = _new_folder(spark, "landed")
-    rows = _envelopes(spark, d)
-    if on_error == "fail":
-        rows = rows.where("status = '1'")
-    rows.write.json(f"{folder}/kind={kind}")
-    read = explorer.read_explorer(spark, folder, kind, on_error)
-    return read.select("address", "pos", "hash", "value")
-
-
 def explorer_internal(spark: SparkSession, d: str) -> DataFrame:
-    """Landed internal transfers."""
-    return _landed(spark, d, "txlistinternal")
+    """Landed internal transfers: calls with data and created contracts, with their traces."""
+    rows = _recent(spark, d)
+    created = F.col("contract_address") != ""
+    rows = rows.where(created | (F.col("method_id") != "0x")).select(
+        "*", F.when(created, "create").otherwise("call").alias("call_type"),
+        F.concat_ws("_", F.col("transaction_index"), F.lit("1")).alias("trace_id"),
+        F.when(F.col("is_error") == "1", "out of gas").otherwise("").alias("error_code"),
+    )
+    folder = new_path(spark, "landed")
+    explorer.land(_responses(proxy.accounts(spark, d), rows, "txlistinternal"), folder, "txlistinternal", "1")
+    return explorer.read_explorer(spark, folder, "txlistinternal").select(
+        "address", "pos", "hash", "value", "contract_address", "call_type", "trace_id", "error_code"
+    )
 
 
 def explorer_tokens(spark: SparkSession, d: str) -> DataFrame:
-    """Landed token transfers."""
-    return _landed(spark, d, "tokentx")
+    """Landed token transfers, with amounts in tokens of their own decimals."""
+    number = x.safe_int("nonce") % 7
+    rows = _recent(spark, d).where(F.col("function_name").startswith("transfer(")).select(
+        "*", F.concat(F.lit("Token "), number.cast("string")).alias("token_name"),
+        F.concat(F.lit("T"), number.cast("string")).alias("token_symbol"),
+        (number * 3).cast("string").alias("token_decimal"),
+    )
+    folder = new_path(spark, "landed")
+    explorer.land(_responses(proxy.accounts(spark, d), rows, "tokentx"), folder, "tokentx", "1")
+    return explorer.read_explorer(spark, folder, "tokentx").select(
+        "address", "pos", "hash", "token_name", "token_symbol", "token_decimal",
+        explorer.token_amount().alias("amount"),
+    )
 
 
 def explorer_strict(spark: SparkSession, d: str) -> DataFrame:
-    """Landed transactions, where a response without a list would raise."""
-    return _landed(spark, d, "txlist", "fail")
+    """A strict reading of landed responses, and those that it refuses with the reason."""
+    folder = new_path(spark, "landed")
+    explorer.land(_envelopes(spark, d), folder, "txlist", "1")
+    landed = explorer.newest(explorer.read_envelopes(spark, folder), prefer_ok=False)
+    judged = tables.kept(landed.withColumn("problem", explorer.problem()))
+    # Written, for in one plan the reading may come before the filter.
+    read = explorer.records(tables.kept(judged.where(F.col("problem").isNull())), "fail")
+    refused = judged.where(F.col("problem").isNotNull())
+    none = lambda kind: F.lit(None).cast(kind)
+    return read.select("address", "pos", "hash", "value", none("string").alias("problem")).unionByName(
+        refused.select("address", none("bigint").alias("pos"), none("string").alias("hash"),
+                       none("string").alias("value"), "problem")
+    )
 
 
-def _new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+def explorer_landed_again(spark: SparkSession, d: str) -> DataFrame:
+    """S3: accounts that landed several times: an old list, a new one twice, then a refusal."""
+    folder = new_path(spark, "landed")
+    now = _envelopes(spark, d).withColumn("page", F.lit(1))
+    accounts, recent = proxy.accounts(spark, d), _recent(spark, d)
+    old = _responses(accounts, recent.where("rank > 40"), "txlist").withColumn("page", F.lit(1))
+    refused = now.withColumns({"status": F.lit("0"), "result": F.lit("Max rate limit reached")})
+    for batch, rows in enumerate([old, now, now, refused]):
+        explorer.land(rows.withColumn("landed_at", F.lit(batch).cast("bigint")), folder, "txlist", str(batch))
+    # A replay of a batch is the batch again.
+    explorer.land(now.withColumn("landed_at", F.lit(2).cast("bigint")), folder, "txlist", "2")
+    return explorer.read_explorer(spark, folder).select(
+        "address", "pos", "hash", "from_address", "to_address", "value", "time_stamp"
+    )
 
 
 def read_addresses(spark: SparkSession, d: str) -> DataFrame:
     """The registry as CSV under the names of its files, read back."""
-    folder = _new_folder(spark, "addresses")
+    folder = new_path(spark, "addresses")
     proxy.accounts(spark, d).join(
         proxy.table(spark, d, "customer").select(F.col("c_custkey").alias("key"), "c_acctbal"), "key"
     ).select(
@@ -653,7 +743,7 @@ def read_addresses(spark: SparkSession, d: str) -> DataFrame:
 
 def read_transactions(spark: SparkSession, d: str) -> DataFrame:
     """A bulk export in several CSV files, read back with row numbers in file order."""
-    folder = _new_folder(spark, "transactions")
+    folder = new_path(spark, "transactions")
     columns = ["from_address", "to_address", "value", "gas", "block_number"]
     bulk = proxy.bulk_transactions(spark, d).repartitionByRange(5, "pos").sortWithinPartitions("pos")
     bulk.select(*columns).write.option("emptyValue", "").csv(folder, header=True)
@@ -675,7 +765,7 @@ def feature_table(spark: SparkSession, d: str) -> DataFrame:
 def written_results(spark: SparkSession, d: str) -> DataFrame:
     """S8 + X20: results as JSON in a folder named by the time."""
     results = _results(spark, d)
-    path = tables.write_results(results, _new_folder(spark, "results"))
+    path = tables.write_results(results, new_path(spark, "results"))
     stamped = F.regexp_like(F.lit(path), F.lit("run=[0-9]{8}_[0-9]{6}_[0-9a-f]{8}$"))
     return spark.read.schema(results.schema).json(path).select(
         "address", "prediction.is_fraud", "prediction.total_transactions", stamped.alias("stamped")
@@ -684,11 +774,12 @@ def written_results(spark: SparkSession, d: str) -> DataFrame:
 
 def kept_history_scan(spark: SparkSession, d: str) -> DataFrame:
     """J3 + W1 + A1-A13 for the flagged accounts over a kept history."""
-    folder = _new_folder(spark, "history")
+    folder = new_path(spark, "history")
     tables.write_history(proxy.transactions(spark, d), folder, shards=16)
     listed = _flagged(spark, d)
     kept = tables.read_history(spark, folder, listed)
-    rows = scan.profiles(listed, kept, keyed=True, with_transactions=False)
+    hubs = tables.read_hubs(spark, folder)
+    rows = scan.profiles(listed, kept, hot=hubs, keyed=True, with_transactions=False)
     return rows.select("address", *COMPUTED_FEATURES)
 
 
@@ -712,11 +803,22 @@ def _sound() -> list[Column]:
     return [(F.abs(p0 + p1 - 1) < 1e-9).alias("sums_to_one"), (agrees & verdict).alias("agrees")]
 
 
-def _quality(quality: DataFrame) -> DataFrame:
-    finite = F.col("loss").isNotNull() & ~F.isnan("loss") & (F.abs("loss") < float("inf"))
-    return quality.select(
-        "split", "records", F.col("accuracy").between(0, 1).alias("in_range"), finite.alias("finite")
+def _quality(rows: DataFrame) -> DataFrame:
+    """Quality of a trained model per split, and whether it is what its stored predictions say."""
+    rows = tables.kept(rows)
+    fitted, quality = training.fit(rows, algorithm="logistic")
+    stored = tables.kept(model.predictions(rows, fitted).select("address", "flag", "p0", "p1", "predicted"))
+    chance = F.when(F.col("flag") == 1, F.col("p1")).otherwise(F.col("p0"))
+    again = prep.stratified_split(stored).groupBy("split").agg(
+        F.avg((F.col("predicted") == F.col("flag")).cast("double")).alias("share"),
+        F.avg(-F.log(chance)).alias("loss_again"),
     )
+    finite = F.col("loss").isNotNull() & ~F.isnan("loss") & (F.abs("loss") < float("inf"))
+    return quality.join(again, "split").select(
+        "split", "records", F.col("accuracy").between(0, 1).alias("in_range"), finite.alias("finite"),
+        (F.abs(F.col("accuracy") - F.col("share")) < 1e-9).alias("same_accuracy"),
+        (F.abs(F.col("loss") - F.col("loss_again")) < 1e-6).alias("same_loss"),
+    )
 
 
 def train_and_score(spark: SparkSession, d: str) -> DataFrame:
@@ -730,7 +832,7 @@ def train_and_score(spark: SparkSession, d: str) -> DataFrame:
 
 def model_quality(spark: SparkSession, d: str) -> DataFrame:
     """M5 + A17: accuracy and loss per split."""
-    return _quality(_fitted(spark, d)[1])
+    return _quality(_prepared(spark, d))
 
 
 def bulk_model(spark: SparkSession, d: str) -> DataFrame:
@@ -738,15 +840,61 @@ def bulk_model(spark: SparkSession, d: str) -> DataFrame:
     listed = proxy.accounts(spark, d).join(_features(spark, d).drop("flag", "key"), "address")
     majority = prep.filter_label(listed, 0).count()
     rows = training.prepare_bulk(listed, proxy.bulk_transactions(spark, d), majority)
-    return _quality(training.fit(rows, algorithm="logistic")[1])
+    return _quality(rows)
+
+
+_WEIGHED = ["sent_count", "unique_sent_to"]
+
+
+def _two_features(spark: SparkSession, d: str) -> DataFrame:
+    """Accounts with two features, scaled on the training rows, and their split."""
+    rows = prep.stratified_split(_features(spark, d).select("address", "flag", *_WEIGHED))
+    scaler = prep.fit_scaler(rows.where("split = 'train'"), _WEIGHED)
+    return tables.kept(prep.apply_scaler(rows, scaler))
+
+
+def trained_weights(spark: SparkSession, d: str) -> DataFrame:
+    """M2: weights of a trained model beside those of Newton's steps, which SQL repeats."""
+    rows = _two_features(spark, d)
+    train = rows.where("split = 'train'")
+    closed = newton.newton_weights(train, _WEIGHED)
+    # A sequence of nothing leaves the two features alone in the model.
+    pooled = F.array_repeat(F.lit(0.0), len(seq.pool_names()))
+    fitted = model.train_classifier(
+        train.withColumn("pooled", pooled), _WEIGHED, "logistic", epochs=500, tolerance=1e-13
+    )
+    # The features were scaled before, so the model's own scaling changes nothing but rounding.
+    learned = [c / s for c, s in zip(fitted.classifier.coefficients, fitted.stds)][: len(_WEIGHED)]
+    base = fitted.classifier.intercept - sum(w * m for w, m in zip(learned, fitted.means))
+    table = newton.weights_table(spark, _WEIGHED, newton=closed, trained=[base, *learned])
+    return table.select(
+        "position", "name", F.round("newton", 6).alias("newton"), F.round("trained", 3).alias("trained")
+    )
+
+
+def model_evaluation(spark: SparkSession, d: str) -> DataFrame:
+    """M5: accuracy and loss of a trained model per split, which SQL computes from weights of its own."""
+    rows = _two_features(spark, d).withColumn("pooled", F.array_repeat(F.lit(0.0), len(seq.pool_names())))
+    fitted = model.train_classifier(
+        rows.where("split = 'train'"), _WEIGHED, "logistic", epochs=500, tolerance=1e-13
+    )
+    return model.evaluate(rows, fitted, by="split").select(
+        "split", "records", F.round("accuracy", 6).alias("accuracy"), F.round("loss", 4).alias("loss")
+    )
 
 
 def model_predictions(spark: SparkSession, d: str) -> DataFrame:
     """M6: how many accounts of each actual class have a prediction."""
     rows = _prepared(spark, d)
     fitted, _ = training.fit(rows, algorithm="gbt")
-    cells = metrics.confusion_matrix(model.predictions(rows, fitted))
-    return cells.groupBy("actual").agg(F.sum("records").alias("records"))
+    stored = tables.kept(model.predictions(rows, fitted).select("flag", "p0", "p1"))
+    likelier = (F.col("p1") > F.col("p0")).cast("int").alias("predicted")
+    counted = stored.select(F.col("flag").alias("actual"), likelier).groupBy("actual", "predicted").count()
+    cells = metrics.confusion_matrix(model.predictions(rows, fitted)).join(
+        counted, ["actual", "predicted"], "left"
+    )
+    same = F.col("records") == F.coalesce("count", F.lit(0))
+    return cells.groupBy("actual").agg(F.sum("records").alias("records"), F.bool_and(same).alias("same_cells"))
 
 
 def model_agreement(spark: SparkSession, d: str) -> DataFrame:
@@ -796,7 +944,7 @@ def _streamed(spark: SparkSession, d: str, asked: Column, schema: str, file: str
         spark.readStream.schema(schema).option("pathGlobFilter", file).parquet(d)
         .select(F.explode(asked).alias("address"))
     )
-    folder = _new_folder(spark, "stream")
+    folder = new_path(spark, "stream")
     tx = proxy.transactions(spark, d)
     query = requests.scan_stream(
         arriving, tx, fitted, folder, f"{folder}/state", strict=True, hot=inc.hot_accounts(tx)
@@ -816,6 +964,66 @@ def scan_stream(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def newest_stream(spark: SparkSession, d: str) -> DataFrame:
+    """R1 + W1: transactions arrive in four files and are kept as state; then the stream is started
+    again, and requests arrive, each of them twice."""
+    folder = new_path(spark, "stream")
+    columns = ["pos", *HISTORY_COLUMNS]
+    tx = proxy.transactions(spark, d).select(*columns)
+    tx.repartitionByRange(4, "pos").write.parquet(f"{folder}/tx")
+    accounts = proxy.accounts(spark, d)
+    asked = accounts.select(
+        F.col("key").cast("string").alias("request"), "address",
+        F.lit("2024-01-01 00:00:00").cast("timestamp").alias("asked_at"),
+    )
+    asked.limit(0).write.parquet(f"{folder}/asked")
+
+    def run() -> None:
+        arriving = spark.readStream.schema(tx.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/tx")
+        requested = (
+            spark.readStream.schema(asked.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/asked")
+        )
+        newest.answer_stream(
+            arriving, newest.deduplicated(requested),
+            lambda good, rows: scan.profiles(good, rows, 100, keyed=True).select("address", "transactions_used"),
+            f"{folder}/out", f"{folder}/state", k=100, pieces=2,
+        ).awaitTermination()
+
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, newest.PROVIDER)
+    try:
+        run()
+        for _ in range(2):
+            asked.coalesce(1).write.mode("append").parquet(f"{folder}/asked")
+        run()
+    finally:
+        spark.conf.set(name, before)
+    used = T.ArrayType(T.StructType([T.StructField(c, T.StringType()) for c in HISTORY_COLUMNS]))
+    schema = T.StructType([T.StructField("address", T.StringType()), T.StructField("transactions_used", used)])
+    answers = spark.read.schema(schema).json(f"{folder}/out/answers")
+    return answers.select("address", F.posexplode_outer("transactions_used").alias("at", "t")).select(
+        "address", (F.col("at") + 1).alias("rank"), *[F.col("t")[c].alias(c) for c in HISTORY_COLUMNS]
+    )
+
+
+def quality_counters(spark: SparkSession, d: str) -> DataFrame:
+    """what was blank or unreadable in the input of a scan, counted while it ran."""
+    i = F.col("pos")
+    tx = proxy.transactions(spark, d, huge=True).withColumns({
+        "from_address": F.when(i % 113 != 0, F.col("from_address")),
+        "to_address": F.when(i % 127 != 0, F.col("to_address")),
+    })
+    watch = Observation()
+    rows = scan.profiles(proxy.accounts(spark, d), tx, with_transactions=False, encoding="pooled", watch=watch)
+    rows.write.format("noop").mode("overwrite").save()
+    good, failed = scan.check_requests(_candidates(spark, d).withColumnRenamed("candidate", "address"), strict=True)
+    both = good.withColumn("reason", F.lit(None).cast("string")).unionByName(failed)
+    asked, counted = quality.observed(both, quality.request_counters())
+    asked.write.format("noop").mode("overwrite").save()
+    return quality.counters_table(spark, watch, counted)
+
+
 def stream_failures(spark: SparkSession, d: str) -> DataFrame:
     """R1 + F11: requests of a stream that get a reason instead of an answer."""
     c = F.col("c_custkey")
@@ -828,7 +1036,7 @@ def saved_model(spark: SparkSession, d: str) -> DataFrame:
     """A model that was saved and loaded scores like the first one."""
     rows = tables.kept(_prepared(spark, d))
     fitted, _ = training.fit(rows, algorithm="logistic")
-    folder = _new_folder(spark, "model")
+    folder = new_path(spark, "model")
     model.save_model(spark, fitted, folder)
     again = model.predictions(rows, model.load_model(spark, folder)).select("address", F.col("p1").alias("q1"))
     return model.predictions(rows, fitted).join(again, "address").select(
@@ -853,6 +1061,8 @@ QUERIES: dict[str, Query] = {
     for f in (
         account_features,
         account_features_full,
+        rolled_features,
+        rolled_features_coarse,
         align_features,
         touching_transactions,
         incidence_counts,
@@ -863,6 +1073,8 @@ QUERIES: dict[str, Query] = {
         select_existing,
         recent_k,
         page_history,
+        deep_page,
+        deep_page_oldest,
         tx_gaps,
         batch_index,
         first_n_sequence,
@@ -910,9 +1122,12 @@ QUERIES: dict[str, Query] = {
         explorer_internal,
         explorer_tokens,
         explorer_strict,
+        explorer_landed_again,
         feature_table,
         written_results,
         train_and_score,
+        trained_weights,
+        model_evaluation,
         model_quality,
         bulk_model,
         model_predictions,
@@ -921,6 +1136,8 @@ QUERIES: dict[str, Query] = {
         batch_scan,
         batch_failures,
         scan_stream,
+        newest_stream,
+        quality_counters,
         stream_failures,
         saved_model,
         feature_catalog,

@@ -229,6 +229,34 @@ scored as (
     round(exp(z1 - greatest(z0, z1)) / (exp(z0 - greatest(z0, z1)) + exp(z1 - greatest(z0, z1))), 6) as p1,
     case when z1 > z0 then 1 else 0 end as predicted from logits)"""
 
+def _newton_sql(steps: int = 8) -> str:
+    """Newton's steps for two scaled features; every step solves three equations by determinants."""
+    parts = ["weights0 as (select 0.0::double as w0, 0.0::double as w1, 0.0::double as w2)"]
+    det = "({0}*({4}*{8}-{5}*{7}) - {1}*({3}*{8}-{5}*{6}) + {2}*({3}*{7}-{4}*{6}))"
+    m = ["h00", "h01", "h02", "h01", "h11", "h12", "h02", "h12", "h22"]
+    for k in range(steps):
+        parts.append(f"""sums{k} as (select any_value(w0) as w0, any_value(w1) as w1, any_value(w2) as w2,
+            sum(y - p) as g0, sum((y - p) * x1) as g1, sum((y - p) * x2) as g2,
+            sum(p * (1 - p)) as h00, sum(p * (1 - p) * x1) as h01, sum(p * (1 - p) * x2) as h02,
+            sum(p * (1 - p) * x1 * x1) as h11, sum(p * (1 - p) * x1 * x2) as h12, sum(p * (1 - p) * x2 * x2) as h22
+          from (select *, 1 / (1 + exp(-(w0 + w1 * x1 + w2 * x2))) as p from train, weights{k}))""")
+        whole = det.format(*m)
+        moved = []
+        for i in range(3):
+            other = [f"g{j // 3}" if j % 3 == i else c for j, c in enumerate(m)]
+            moved.append(f"w{i} + {det.format(*other)} / {whole} as w{i}")
+        parts.append(f"weights{k + 1} as (select {', '.join(moved)} from sums{k})")
+    return ", ".join(parts)
+
+
+_TWO = f"""{FEATS}, {SPLIT.replace(ACC + ", ", "")}, moments as (
+  select avg(sent_count) as m1, stddev_pop(sent_count) as s1,
+    avg(unique_sent_to) as m2, stddev_pop(unique_sent_to) as s2
+  from feats join split using (address) where split = 'train'),
+points as (select split, cast(feats.flag as double) as y, (sent_count - m1) / s1 as x1, (unique_sent_to - m2) / s2 as x2
+  from feats join split using (address), moments),
+train as (select * from points where split = 'train'), {_newton_sql()}"""
+
 _CANDIDATES = f"""{TX}, candidates as (
   select to_address as candidate from tx
   union all select {_ADDR.format("c_custkey")} from customer
@@ -283,6 +311,19 @@ def statements() -> dict[str, str]:
         "account_features": f"with {FEATS} select address, {feature_list} from feats",
         "account_features_full": f"with {TX_HUGE}, {ROWS}, ok as (select * from allhist where is_error = '0') "
         + _feature_sql("ok", ""),
+        **{
+            name: f"with {TX_HUGE}, {ROWS}, ok as (select * from allhist where is_error = '0') "
+            + _feature_sql("ok", "")
+            for name in ("rolled_features", "rolled_features_coarse")
+        },
+        **{
+            name: f"""with {TX}, hub as (
+              select {_ADDR.format("pos % 3")} as address, *, {_int("time_stamp")} as ts from tx),
+              r as (select *, row_number() over (partition by address order by {order}) as rank from hub)
+              select address, cast(rank as integer) as rank, hash, block_number from r
+              where rank between 2991 and 3000"""
+            for name, order in (("deep_page", _NEWEST), ("deep_page_oldest", _OLDEST))
+        },
         "align_features": f"with {FEATS} select address, "
         + ", ".join(
             f"cast({c if c in COMPUTED_FEATURES else 0} as double) as {c}" for c in FEATURES
@@ -419,11 +460,31 @@ def statements() -> dict[str, str]:
         # Models: what does not depend on the weights.
         "train_and_score": f"""with {ACC} select address, flag, {len(COMPUTED_FEATURES)} as features_used,
             50 as sequence_length, true as sums_to_one, true as agrees from acc""",
-        "model_quality": f"""with {SPLIT} select split, count(*) as records, true as in_range, true as finite
-            from split group by split""",
-        "bulk_model": f"""with {SPLIT} select split, count(*) as records, true as in_range, true as finite
-            from split group by split""",
-        "model_predictions": f"""with {ACC} select flag as actual, count(*) as records from acc group by flag""",
+        **{
+            name: f"""with {SPLIT} select split, count(*) as records, true as in_range, true as finite,
+              true as same_accuracy, true as same_loss from split group by split"""
+            for name in ("model_quality", "bulk_model")
+        },
+        "trained_weights": f"""with {_TWO} select cast(i as integer) as "position",
+            case i when 0 then 'intercept' when 1 then 'sent_count' else 'unique_sent_to' end as name,
+            round(case i when 0 then w0 when 1 then w1 else w2 end, 6) as newton,
+            round(case i when 0 then w0 when 1 then w1 else w2 end, 3) as trained
+            from weights8, (select unnest([0, 1, 2]) as i)""",
+        "model_evaluation": f"""with {_TWO}, z as (select *, w0 + w1 * x1 + w2 * x2 as z from points, weights8)
+            select split, count(*) as records, round(avg(case when (z > 0) = (y = 1) then 1.0 else 0.0 end), 6) as accuracy,
+              round(avg({_LOSS.format(z="z", y="y")}), 4) as loss from z group by split""",
+        "model_predictions": f"""with {ACC} select flag as actual, count(*) as records, true as same_cells
+            from acc group by flag""",
+        "newest_stream": f"""with {HIST}, {RECENT} select a.address, cast(rank as integer) as rank,
+            {", ".join(f"r.{c}" for c in HISTORY_COLUMNS)} from acc a left join recent r using (address)""",
+        "quality_counters": f"""with {_CANDIDATES.replace(TX, TX_HUGE)}, c as (select count(*) as transactions,
+              count(*) filter (where pos % 113 = 0) as null_from, count(*) filter (where pos % 127 = 0) as null_to,
+              count(*) filter (where value <> '' and try_cast(value as double) is null) as unreadable_value,
+              count(*) filter (where {_int("time_stamp")} <= 0) as untimed,
+              count(*) filter (where not ({WELL_FORMED})) as malformed from tx),
+            r as (select count(*) as requests, count(*) filter (where state <> 'ok') as failed_requests from states)
+            select counter, records from (unpivot c on columns(*) into name counter value records)
+            union all select counter, records from (unpivot r on columns(*) into name counter value records)""",
         "model_agreement": f"with {ACC} select address, flag as actual, true as is_class, true as agrees from acc",
         "score_static_only": f"with {ACC} select address, true as sums_to_one, true as agrees from acc",
         "batch_scan": f"""with {HIST} select key as batch_index, address,
@@ -455,9 +516,25 @@ def statements() -> dict[str, str]:
         "read_addresses": f"""select c_custkey as "index", {_ADDR.format("c_custkey")} as address,
             case when c_acctbal < 0 then 1 else 0 end as flag, c_acctbal as avg_sent from customer""",
         "read_transactions": f"with {BULK} select pos, from_address, to_address, value, gas, block_number from bulk",
-        "explorer_internal": f"with {HIST}, {RECENT} select address, rank - 1 as pos, hash, value from recent",
-        "explorer_tokens": f"with {HIST}, {RECENT} select address, rank - 1 as pos, hash, value from recent",
-        "explorer_strict": f"with {HIST}, {RECENT} select address, rank - 1 as pos, hash, value from recent",
+        "explorer_internal": f"""with {HIST}, {RECENT}, internal as (select *,
+              row_number() over (partition by address order by rank) - 1 as place from recent
+              where contract_address <> '' or method_id <> '0x')
+            select address, place as pos, hash, value, contract_address,
+              case when contract_address <> '' then 'create' else 'call' end as call_type,
+              concat(transaction_index, '_1') as trace_id,
+              case when is_error = '1' then 'out of gas' else '' end as error_code from internal""",
+        "explorer_tokens": f"""with {HIST}, {RECENT}, tokens as (select *, cast(nonce as bigint) % 7 as number,
+              row_number() over (partition by address order by rank) - 1 as place from recent
+              where starts_with(function_name, 'transfer('))
+            select address, place as pos, hash, concat('Token ', cast(number as varchar)) as token_name,
+              concat('T', cast(number as varchar)) as token_symbol, cast(number * 3 as varchar) as token_decimal,
+              coalesce(try_cast(value as double), 0.0) / pow(10.0, number * 3) as amount from tokens""",
+        "explorer_strict": f"""with {HIST}, {RECENT}
+            select address, rank - 1 as pos, hash, value, cast(null as varchar) as problem from recent
+            union all select address, null, null, null, concat('explorer response without a list for ', address)
+            from acc where address not in (select address from recent)""",
+        "explorer_landed_again": f"""with {HIST}, {RECENT} select address, rank - 1 as pos, hash, from_address,
+            to_address, value, time_stamp from recent""",
         "feature_table": f"with {FEATS} select address, flag, {feature_list} from feats",
         "written_results": f"""with {SCORED} select address, predicted = 1 as is_fraud,
             cast(total_transactions as integer) as total_transactions, true as stamped from scored""",
