@@ -7,15 +7,21 @@ window is hit.
 
 1. Fingerprints: every run of ``span`` words is marked by the smallest of its four-word
    hashes, which is the same in any text that holds the run. Windows of fewer words
-   are marked by the hash of all of them.
+   are marked by the hash of all of them. Neighbouring runs mostly share their smallest
+   hash, and a document keeps each one once.
 2. The fingerprints of documents meet those of the benchmark. A benchmark of a counted,
-   bounded size is broadcast, and documents are read once and not shuffled; for
-   a larger one fingerprints are shuffled, each once per document.
-3. Where a fingerprint is known the words are taken from the text and compared with the
-   windows' words.
+   bounded size is broadcast, and documents are read once, words counted on the way, and
+   not shuffled; for a larger one fingerprints are shuffled, each once per document.
+3. A known fingerprint is extended over all runs that it marks: their words are taken
+   from the text and compared with the windows' words. So every shared run is found.
+
+Words are hashed in full lower case, which only adds candidates; what is compared is the
+text with A-Z in lower case.
 
 Null texts and texts without words have no hits; rows that share a doc_id are
-judged one by one. Nothing depends on other columns.
+judged one by one, equal rows alike. Texts have any length; windows that stand in many
+items or places count for each of them. An empty benchmark contaminates nothing, an
+empty table of documents gives an empty result. Nothing depends on other columns.
 """
 
 from __future__ import annotations
@@ -28,6 +34,8 @@ from pyspark.sql import functions as F
 from txrisk.llm.common import at_most, stored
 
 WORD = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
+#: The same before A-Z became lower case.
+RAW_WORD = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 GRAM = 4
 
@@ -39,6 +47,11 @@ def words_of(text: str) -> Column:
     return F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(WORD), F.lit(0))
 
 
+def raw_words_of(text: str) -> Column:
+    """The words as they are written."""
+    return F.regexp_extract_all(text, F.lit(RAW_WORD), F.lit(0))
+
+
 def _pairs(left: Column, right: Column, skip: int, how) -> Column:
     """``how(left[i], right[i + skip])`` for all places that exist in both."""
     n = F.greatest(F.size(right) - skip, F.lit(0))
@@ -58,7 +71,7 @@ def _grams(df: DataFrame, lengths: list[int]) -> DataFrame:
 
     Doubling: runs of 1, 2, 4, 8 words, and each length out of those.
     """
-    df = df.withColumn("g1", F.transform("words", lambda w: F.xxhash64(w)))
+    df = df.withColumn("g1", F.transform("words", lambda w: F.xxhash64(F.lower(w))))
     size = 1
     made = {1}
     while size * 2 <= max(lengths):
@@ -115,27 +128,57 @@ def windows(benchmark: DataFrame, span: int) -> DataFrame:
     ).distinct()
 
 
+def _row() -> Column:
+    """What tells documents apart; equal rows share it, so they get equal results."""
+    doc_id = F.col("doc_id").cast("long")
+    return F.struct(
+        doc_id.isNull().alias("none"), F.coalesce(doc_id, F.lit(0).cast("long")).alias("id"),
+        F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("h"),
+    )
+
+
 def rows_of(docs: DataFrame) -> DataFrame:
-    """``row, doc_id, text``; equal rows share ``row``, so they get equal results."""
-    plain = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
-    )
-    row = F.struct(F.coalesce("doc_id", F.lit(-(2**63))).alias("id"), F.xxhash64("text").alias("h"))
-    return plain.withColumn("row", row)
+    """``row, text``; a null text is empty."""
+    return docs.select(_row().alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
 def _windows_at(df: DataFrame, size: int) -> DataFrame:
-    """``row, place, size, window`` for ``df`` with ``row, words, place``."""
-    text = F.array_join(F.slice("words", F.col("place") + 1, size), " ")
-    return df.select("row", "place", F.lit(size).alias("size"), text.alias("window"))
+    """Adds ``size`` and ``window``, the words from ``place`` on, for ``df`` with ``words, place``."""
+    text = F.translate(F.array_join(F.slice("words", F.col("place") + 1, size), " "), UPPER, LOWER)
+    return df.withColumns({"size": F.lit(size), "window": text})
+
+
+#: Stands among the fingerprints of a document once, to count its words; no harm if one equals it.
+_COUNT = 0x5EED
+
+
+def _marked(docs: DataFrame, known: DataFrame, size: int, span: int) -> DataFrame:
+    """``row, n_words, place, window``: places of known fingerprints, and one row without a place for
+    every document.
+
+    Each fingerprint is looked up once per document, and where it is known, extended over
+    all its places.
+    """
+    df = minima(docs.select("row", raw_words_of("text").alias("words")), size, span)
+    # The outer form keeps the planner from testing the array a second time.
+    once = F.explode_outer(F.concat(F.array(F.lit(_COUNT).cast("long")), F.array_distinct("m")))
+    df = df.select("row", "words", "m", once.alias("fp"))
+    found = df.join(F.broadcast(known), "fp", "left_semi")
+    every = F.sequence(F.lit(0), F.size("m") - 1)
+    own = F.filter(every, lambda i: F.get(F.col("m"), i) == F.col("fp"))
+    # A text shorter than a window has no places, and the row that counts has none.
+    places = F.when((F.size("m") > 0) & (F.col("fp") != _COUNT), own)
+    found = found.select("row", "words", "fp", F.explode_outer(places).alias("place"))
+    counts = F.when(F.col("fp") == _COUNT, F.size("words"))
+    found = found.withColumn("n_words", counts)
+    return _windows_at(found, size).select("row", "n_words", "place", "window")
 
 
 def occurrences(docs: DataFrame, benchmark: DataFrame, span: int = 13):
-    """``(hits, wins)`` for ``docs`` as ``rows_of`` gives them.
+    """``(hits, wins, counts)`` for ``docs`` as ``rows_of`` gives them.
 
     ``hits``: ``row, place, size, window``, every place (from 0) where a window occurs;
-    ``wins``: ``item_id, size, window``.
+    ``wins``: ``item_id, size, window``; ``counts``: ``row, n_words``, one for every document.
     """
     if not GRAM < span < 256:
         raise ValueError("span must be between 5 and 255 words")
@@ -143,29 +186,32 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, span: int = 13):
     sides = stored(wins.select("size", "window").distinct(), "sides")
     # At most span numbers.
     sizes = sorted(r[0] for r in sides.select("size").distinct().collect())
-    if not sizes:
-        return stored(docs.select("row", F.lit(0).alias("place"), F.lit(0).alias("size"), F.col("text").alias("window")).limit(0), "hits"), wins
+    counts = docs.select("row", F.size(raw_words_of("text")).alias("n_words"))
+    none = docs.select("row", F.lit(0).alias("place"), F.lit(0).alias("size"), F.col("text").alias("window"))
     small = at_most(sides, BROADCAST_ROWS)
-    found = []
-    for size in sizes:
+    found = [none.limit(0)]
+    for i, size in enumerate(sizes):
         own = sides.where(F.col("size") == size)
         known = minima(own.withColumn("words", F.split("window", " ")), size, span)
-        # The outer form keeps the planner from testing the array a second time.
-        known = stored(known.select(F.explode_outer("m").alias("fp")).distinct(), "known")
+        known = known.select(F.explode_outer("m").alias("fp"))
         if small:
-            # One pass: a place whose fingerprint is known is extended where it stands.
-            marked = minima(docs.select("row", words_of("text").alias("words")), size, span)
-            places = marked.select("row", "words", F.posexplode_outer("m").alias("place", "fp"))
-            places = places.join(F.broadcast(known), "fp", "left_semi")
+            # The first pass counts the words of all documents as well.
+            if not i:
+                known = known.union(known.sparkSession.range(1).select(F.lit(_COUNT).cast("long")))
+            known = stored(known.distinct(), "known")
+            marked = stored(_marked(docs, known, size, span), "marked")
+            if not i:
+                counts = marked.where(F.col("n_words").isNotNull()).select("row", "n_words")
+            places = marked.where(F.col("place").isNotNull()).withColumn("size", F.lit(size))
+            own = F.broadcast(own)
         else:
-            places = _shuffled_places(docs, known, size, span)
+            places = _shuffled_places(docs, stored(known.distinct(), "known"), size, span)
+            places = _windows_at(places, size)
         found.append(
-            _windows_at(places, size).join(
-                F.broadcast(own) if small else own, ["size", "window"], "left_semi"
-            )
+            places.select("row", "place", "size", "window").join(own, ["size", "window"], "left_semi")
         )
-    hits = reduce(DataFrame.union, found).select("row", "place", "size", "window")
-    return stored(hits.distinct(), "hits"), wins
+    hits = reduce(DataFrame.union, [f.select("row", "place", "size", "window") for f in found])
+    return stored(hits.distinct(), "hits"), wins, counts
 
 
 def _shuffled_places(docs: DataFrame, known: DataFrame, size: int, span: int) -> DataFrame:
@@ -175,7 +221,7 @@ def _shuffled_places(docs: DataFrame, known: DataFrame, size: int, span: int) ->
     the documents, then with their places, for these documents only.
     """
     def marked(df):
-        return minima(df.select("row", words_of("text").alias("words")), size, span)
+        return minima(df.select("row", raw_words_of("text").alias("words")), size, span)
 
     once = marked(docs).select("row", F.explode_outer(F.array_distinct("m")).alias("fp"))
     suspects = stored(once.join(known, "fp", "left_semi").select("row").distinct(), "suspects")
@@ -185,7 +231,7 @@ def _shuffled_places(docs: DataFrame, known: DataFrame, size: int, span: int) ->
         F.collect_set("place").alias("places")
     )
     return some.join(places, "row").select(
-        "row", words_of("text").alias("words"), F.explode("places").alias("place")
+        "row", raw_words_of("text").alias("words"), F.explode("places").alias("place")
     )
 
 
@@ -213,7 +259,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, span: int = 13) -> Data
 
 
 def _judged(rows: DataFrame, benchmark: DataFrame, span: int) -> DataFrame:
-    hits, wins = occurrences(rows, benchmark, span)
+    hits, wins, n_words = occurrences(rows, benchmark, span)
     words = hits.groupBy("row").agg(
         _covered(F.sort_array(F.collect_list(F.struct("place", "size")))).alias("n_hit")
     )
@@ -228,9 +274,9 @@ def _judged(rows: DataFrame, benchmark: DataFrame, span: int) -> DataFrame:
     counts = words.join(items, "row", "left")
     none = F.array().cast("array<string>")
     counts = stored(counts, "counts")
-    every = rows.select("row", "doc_id", F.size(words_of("text")).alias("n_words"))
-    return every.join(counts, "row", "left").select(
-        "row", "doc_id",
+    doc_id = F.when(~F.col("row.none"), F.col("row.id"))
+    return n_words.join(counts, "row", "left").select(
+        "row", doc_id.alias("doc_id"),
         F.col("n_words").cast("long").alias("n_words"),
         F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
         F.size(F.coalesce("items", none)).cast("long").alias("n_items"),
@@ -247,8 +293,4 @@ def clean(docs: DataFrame, benchmark: DataFrame, span: int = 13) -> DataFrame:
         F.col("row").alias("__row")
     )
     bad = stored(bad.distinct(), "contaminated")
-    row = F.struct(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("id"),
-        F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("h"),
-    )
-    return docs.join(bad, row == F.col("__row"), "left_anti")
+    return docs.join(bad, _row() == F.col("__row"), "left_anti")
