@@ -151,9 +151,9 @@ def _packed(path: str, end_id: int, window: int, drops_space: bool):
 
         rows = []
         for batch in batches:
-            for doc, text in zip(batch.column("doc_id"), batch.column("text")):
-                ids = np.frombuffer(coder.ids(text.as_py()) + end, "<u4")
-                rows += packer.add(doc.as_py(), ids)
+            texts = batch.column("text").to_pylist()
+            for doc, ids in zip(batch.column("doc_id").to_pylist(), coder.ids(texts)):
+                rows += packer.add(doc, np.frombuffer(ids + end, "<u4"))
                 if len(rows) > 10_000:
                     yield out(rows)
                     rows = []

@@ -22,6 +22,7 @@ the order of their texts; a null doc_id comes first.
 from __future__ import annotations
 
 import zlib
+from array import array
 
 import numpy as np
 import pandas as pd
@@ -65,29 +66,51 @@ def _encoded(path: str, end_id: int, block: int, bits: bool, level: int, drops_s
         kind = pa.list_(pa.struct(
             [("doc_id", pa.int64()), ("first", pa.int64()), ("from", pa.int32()), ("to", pa.int32())]
         ))
-        held, index, number = bytearray(), [], 0
+        held, number = bytearray(), 0
+        # Columns of the index: document, first id, from, to.
+        index = [array("q"), array("q"), array("i"), array("i")]
+        nulls = []
+
+        def entry(doc, first, low, high):
+            if doc is None:
+                nulls.append(len(index[0]))
+            for column, value in zip(index, (doc or 0, first, low, high)):
+                column.append(value)
 
         def out(size):
-            planes = [pack(p) for p in to_planes(np.frombuffer(bytes(held[: size * 4]), "<u4"), bits)]
+            planes = [pack(p) for p in to_planes(np.frombuffer(held, "<u4", size), bits)]
+            docs = np.frombuffer(index[0], "<i8")
+            missing = np.zeros(len(docs), bool)
+            missing[nulls] = True
+            entries = pa.StructArray.from_arrays(
+                [pa.array(docs, pa.int64(), mask=missing), pa.array(np.frombuffer(index[1], "<i8")),
+                 *[pa.array(np.frombuffer(c, "<i4")) for c in index[2:]]],
+                fields=list(kind.value_type),
+            )
             return pa.RecordBatch.from_pydict({
                 "shard": pa.array([shard], pa.int32()), "block": pa.array([number], pa.int32()),
                 "n_ids": pa.array([size], pa.int32()), "width": pa.array([len(planes)], pa.int32()),
-                "planes": pa.array([planes], pa.list_(pa.binary())), "index": pa.array([index], kind),
+                "planes": pa.array([planes], pa.list_(pa.binary())),
+                "index": pa.ListArray.from_arrays(pa.array([0, len(docs)], pa.int32()), entries),
             })
 
         for batch in batches:
-            for doc, text in zip(batch.column("doc_id"), batch.column("text")):
-                doc, ids = doc.as_py(), coder.ids(text.as_py()) + end
-                first, done = number * block + len(held) // 4, 0
-                while done < len(ids):
+            texts = batch.column("text").to_pylist()
+            for doc, ids in zip(batch.column("doc_id").to_pylist(), coder.ids(texts)):
+                ids += end
+                first, done, left = number * block + len(held) // 4, 0, len(ids) // 4
+                while left:
                     here = len(held) // 4
-                    take = min(block - here, (len(ids) - done) // 4)
-                    held += ids[done : done + take * 4]
-                    index.append({"doc_id": doc, "first": first, "from": here, "to": here + take})
-                    done += take * 4
+                    take = min(block - here, left)
+                    held += ids[done * 4 : (done + take) * 4]
+                    entry(doc, first, here, here + take)
+                    done, left = done + take, left - take
                     if here + take == block:
-                        yield out(block)
-                        held, index, number = bytearray(), [], number + 1
+                        made = out(block)
+                        held, number = bytearray(), number + 1
+                        index = [array("q"), array("q"), array("i"), array("i")]
+                        nulls = []
+                        yield made
         if held:
             yield out(len(held) // 4)
 
