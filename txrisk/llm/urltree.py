@@ -7,20 +7,24 @@ Rules ``(host, path, verdict)`` fit a host and all its subdomains if the path st
 the rule's; the longest wins. Pages without a rule are judged by the method:
 
 1. Per host the paths form a tree of segments. Digits inside a segment become ``#``.
-2. Level by level, from the root: a node with many children of few pages each has a variable
-   segment, and its children become ``*``. So do branches that a chi-square test
-   cannot tell from their siblings, by their numbers of pages labelled bad, labelled good
-   and not labelled. It goes on until no segment is left; a shape that is alone in its node keeps
-   its remaining segments, as no test could change them.
+2. From the root on, the children of a node are of two kinds, with labelled pages below them or
+   without, and only children of one kind are put together: labels say nothing about
+   branches that have none. A node with ``MANY`` small children of a kind, of less than
+   ``FEW`` pages each, has a variable segment, and these children become a wildcard. So do labelled
+   branches that a chi-square test cannot tell from their labelled siblings, by their
+   numbers of pages labelled bad, labelled good and not labelled; siblings with fewer than ``LEAST``
+   pages together are not enough for the test. ``?`` is the wildcard of labelled
+   children, ``??`` of others; no path holds a question mark.
 3. A template is rejected if its share of bad among labelled pages, smoothed by one page of
    either kind, reaches ``REJECT``.
 
 Labels are given as ``page_id, bad`` or, without them, are the verdicts of the rules.
 The tree is built on counts of distinct shapes, so a host with very many pages is a few rows.
-There is one round of jobs per level that two shapes share.
+What all shapes of a node have in common is passed in one step, so there is one round of
+jobs per level at which paths part, however long they are.
 
-``sql`` goes ``LEVELS`` segments deep and has ``**`` for the rest, so it says the same for tables
-without deeper paths.
+Repeated page_ids and urls are judged one by one, alike if the urls are; an empty table gives an
+empty result; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -28,12 +32,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from txrisk.llm.common import stored
+from txrisk.llm.common import new_folder, stored
 
-#: Segments in the SQL.
-LEVELS = 4
-#: Children from which a segment may be variable, and pages per child below which it is.
+#: Small children from which a segment is variable, and pages below which a child is small.
 MANY, FEW = 20, 3
+#: Pages of labelled siblings below which the test says nothing.
+LEAST = 6
 #: The 95 % point of the chi-square distribution with two degrees of freedom.
 ALIKE = 5.991
 REJECT = 0.8
@@ -91,44 +95,71 @@ def chi_square() -> Column:
     return total
 
 
+_NODE = ["host", "template"]
+_COUNTS = ["n", "bad", "good", "open"]
+
+
+def _passed(df: DataFrame) -> DataFrame:
+    """Every shape taken to where the shapes of its node part: the common beginning of the
+    least and the greatest of them is common to all."""
+    ends = df.groupBy(*_NODE).agg(F.min("rest").alias("low"), F.max("rest").alias("high"))
+    same = F.zip_with("low", "high", lambda a, b: F.coalesce(a == b, F.lit(False)))
+    first = F.array_position(same, False)
+    common = F.when(first > 0, first - 1).otherwise(F.size("low")).cast("int")
+    ends = ends.select(*_NODE, common.alias("common"))
+    way = F.array_join(F.slice("rest", F.lit(1), F.col("common")), "")
+    rest = F.slice("rest", F.col("common") + 1, F.size("rest"))
+    return df.join(ends, _NODE).select(
+        "host", "parts", *_COUNTS, F.concat("template", way).alias("template"), rest.alias("rest")
+    )
+
+
+def _named(df: DataFrame) -> DataFrame:
+    """``host, template, step, token``: the children of all nodes, and what they are called."""
+    kids = df.groupBy(*_NODE, "step").agg(*[F.sum(c).alias(c) for c in _COUNTS])
+    # What ends here is no child.
+    kids = kids.where(F.col("step") != "").withColumn("labelled", F.col("bad") + F.col("good") > 0)
+    small = F.col("n") < FEW
+    kinds = kids.groupBy(*_NODE, "labelled").agg(
+        F.count(F.lit(1)).alias("kids"), F.count_if(small).alias("smalls"),
+        *[F.sum(c).alias(f"p_{c}") for c in _COUNTS],
+    )
+    variable = small & (F.col("smalls") >= MANY)
+    alike = F.col("labelled") & (F.col("kids") > 1) & (F.col("p_n") >= LEAST) & (chi_square() < ALIKE)
+    wildcard = F.when(F.col("labelled"), "/?").otherwise("/??")
+    return kids.join(kinds, [*_NODE, "labelled"]).select(
+        *_NODE, "step", F.when(variable | alike, wildcard).otherwise(F.col("step")).alias("token")
+    )
+
+
 def templates(counted: DataFrame) -> DataFrame:
     """``host, parts, template, bad, good`` (the template's) of all shapes.
 
     ``counted``: ``host, parts, n, bad, good``, one row a shape.
     """
-    df = counted.withColumn("open", F.col("n") - F.col("bad") - F.col("good")).withColumn(
-        "template", F.lit("")
-    )
-    sums = [F.sum(c).alias(c) for c in ("n", "bad", "good", "open")]
-    done, level = None, 0
-    while done is None or not df.isEmpty():
-        level += 1
+    spark = counted.sparkSession
+    df = counted.select(
+        "host", "parts", *_COUNTS[:3], (F.col("n") - F.col("bad") - F.col("good")).alias("open"),
+        F.lit("").alias("template"), F.col("parts").alias("rest"),
+    )
+    folder = new_folder(spark, "shapes")
+    done = ["host", "parts", "template", "bad", "good"]
+    # An empty first part, so that a table without pages has a result as well.
+    df.limit(0).select(*done).write.parquet(folder)
+    while True:
         # An absent segment and an empty one differ: "" and "/".
-        df = df.withColumn("step", F.coalesce(F.get("parts", F.lit(level - 1)), F.lit("")))
-        kids = df.groupBy("host", "template", "step").agg(F.count(F.lit(1)).alias("shapes"), *sums)
-        parents = kids.groupBy("host", "template").agg(
-            F.count(F.lit(1)).alias("kids"), F.sum("shapes").alias("p_shapes"),
-            *[F.sum(c).alias(f"p_{c}") for c in ("n", "bad", "good", "open")],
-        )
-        variable = (F.col("kids") >= MANY) & (F.col("p_n") < FEW * F.col("kids"))
-        alike = (F.col("kids") > 1) & (chi_square() < ALIKE)
-        named = kids.join(parents, ["host", "template"]).select(
-            "host", "template", "step", "p_shapes",
-            F.when((F.col("step") != "") & (variable | alike), "/*").otherwise(F.col("step")).alias("token"),
-        )
-        df = stored(
-            df.join(named, ["host", "template", "step"])
-            .withColumn("template", F.concat("template", "token")).drop("token", "step"),
-            "tree",
+        df = stored(_passed(df).withColumn("step", F.coalesce(F.get("rest", F.lit(0)), F.lit(""))), "tree")
+        df.where(F.col("step") == "").select(*done).write.mode("append").parquet(folder)
+        df = df.where(F.col("step") != "")
+        if df.isEmpty():
+            break
+        df = df.join(_named(df), [*_NODE, "step"]).select(
+            "host", "parts", *_COUNTS, F.concat("template", "token").alias("template"),
+            F.slice("rest", F.lit(2), F.size("rest")).alias("rest"),
         )
-        # A path that ends here is still a child of its node on the next level.
-        ended = (F.size("parts") < level) | (F.col("p_shapes") == 1)
-        rest = F.array_join(F.slice("parts", level + 1, F.size("parts")), "")
-        now = df.where(ended).select("host", "parts", "bad", "good", F.concat("template", rest).alias("template"))
-        done = now if done is None else done.union(now)
-        df = df.where(~ended).drop("p_shapes")
-    stats = done.groupBy("host", "template").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-    return done.drop("bad", "good").join(stats, ["host", "template"])
+    every = spark.read.parquet(folder)
+    stats = every.groupBy(*_NODE).agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    return every.drop("bad", "good").join(stats, _NODE)
 
 
 def judged(pages: DataFrame, rules: DataFrame, labels: DataFrame | None = None) -> DataFrame:
@@ -180,13 +211,20 @@ def allowed(pages: DataFrame, rules: DataFrame, labels: DataFrame | None = None)
 
 
 def sql(rules: list[tuple[str, str, str]]) -> str:
-    """The same in SQL for a short list of rules, labels from the rules."""
+    """The same in SQL for a short list of rules, labels from the rules: one segment at a time."""
     values = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in rules)
     lower = f"translate({{}}, '{UPPER}', '{LOWER}')"
-    steps = [f"t{d}" for d in range(1, LEVELS + 1)]
-    keys = ", ".join(["host", *steps, "tail"])
-    out = [f"""
-with rules(r_host, r_path, r_verdict) as (values {values}),
+    chi = " + ".join(
+        f"case when p_{k} * k_n > 0 and p_{k} * (p_n - k_n) > 0 then "
+        f"((k_{k} - p_{k} * k_n / p_n) * (k_{k} - p_{k} * k_n / p_n)) / (p_{k} * k_n / p_n) + "
+        f"((k_{k} - p_{k} * k_n / p_n) * (k_{k} - p_{k} * k_n / p_n)) / (p_{k} * (p_n - k_n) / p_n) else 0.0 end"
+        for k in ("bad", "good", "open")
+    )
+    kid = "partition by host, template, step"
+    kind = "partition by host, template, step = '', k_bad + k_good > 0"
+    counts = ("n", "bad", "good", "open")
+    return f"""
+with recursive rules(r_host, r_path, r_verdict) as (values {values}),
 rest as (
   select page_id, case when strpos(coalesce(url, ''), '://') > 0
     then substr(url, strpos(url, '://') + 3) else '' end r from pages),
@@ -200,51 +238,40 @@ fits as (
       order by length(r_host || r_path) desc, length(r_host) desc, r_verdict desc, r_host || r_path desc) k
   from urls join rules on (host = r_host or ends_with(host, '.' || r_host)) and starts_with(path, r_path)),
 fixed as (select host, path, rule, r_verdict verdict from fits where k = 1),
-parts as (
+shaped as (
   select host, path, n, verdict, rule,
     list_transform(string_split(regexp_replace(path, '^/', ''), '/'),
-      lambda s: regexp_replace(s, '[0-9]+', '#', 'g')) p
+      lambda s: '/' || regexp_replace(s, '[0-9]+', '#', 'g')) p
   from urls left join fixed using (host, path)),
-shaped as (
-  select host, path, n, rule, verdict,
-    {", ".join(f"case when len(p) >= {d} then '/' || p[{d}] else '' end t{d}" for d in range(1, LEVELS + 1))},
-    case when len(p) > {LEVELS} then '/**' else '' end tail from parts),
-tree0 as (
-  select {keys}, sum(n)::double n, sum(case when verdict = 'block' then n else 0 end)::double bad,
+counted as (
+  select host, p, sum(n)::double n, sum(case when verdict = 'block' then n else 0 end)::double bad,
     sum(case when verdict = 'allow' then n else 0 end)::double good,
-    sum(case when verdict is null then n else 0 end)::double open, '' template
-  from shaped group by {keys})"""]
-    for d, step in enumerate(steps):
-        chi = " + ".join(
-            f"case when p_{k} * n > 0 and p_{k} * (p_n - n) > 0 then "
-            f"(({k} - p_{k} * n / p_n) * ({k} - p_{k} * n / p_n)) / (p_{k} * n / p_n) + "
-            f"(({k} - p_{k} * n / p_n) * ({k} - p_{k} * n / p_n)) / (p_{k} * (p_n - n) / p_n) else 0.0 end"
-            for k in ("bad", "good", "open")
-        )
-        out.append(f"""
-kids{d} as (
-  select host, template, {step}, sum(n) n, sum(bad) bad, sum(good) good, sum(open) open
-  from tree{d} group by all),
-parents{d} as (
-  select host, template, count(*) kids, sum(n) p_n, sum(bad) p_bad, sum(good) p_good, sum(open) p_open
-  from kids{d} group by all),
-named{d} as (
-  select host, template, {step}, case when {step} <> '' and
-    ((kids >= {MANY} and p_n < {FEW} * kids) or (kids > 1 and {chi} < {ALIKE})) then '/*' else {step} end token
-  from kids{d} join parents{d} using (host, template)),
-tree{d + 1} as (
-  select {keys}, n, bad, good, open, template || token template
-  from tree{d} join named{d} using (host, template, {step}))""")
-    out.append(f"""
-done as (select {keys}, bad, good, template || tail template from tree{LEVELS}),
+    sum(case when verdict is null then n else 0 end)::double open
+  from shaped group by host, p),
+tree as (
+  select host, p, n, bad, good, open, '' template, 1 at from counted
+  union all
+  select host, p, n, bad, good, open,
+    template || case when step <> '' and (
+        (k_n < {FEW} and round(smalls) >= {MANY})
+        or (k_bad + k_good > 0 and round(kids) > 1 and p_n >= {LEAST} and {chi} < {ALIKE}))
+      then case when k_bad + k_good > 0 then '/?' else '/??' end else step end,
+    at + 1
+  from (
+    select *, sum(1.0 / shapes) over ({kind}) kids,
+      sum(case when k_n < {FEW} then 1.0 / shapes else 0.0 end) over ({kind}) smalls,
+      {", ".join(f"round(sum({c}) over ({kind})) p_{c}" for c in counts)}
+    from (
+      select *, count(*) over ({kid}) shapes, {", ".join(f"sum({c}) over ({kid}) k_{c}" for c in counts)}
+      from (select *, case when at <= len(p) then p[at] else '' end step from tree where at <= len(p) + 1)))),
+done as (select host, p, bad, good, template from tree where at = len(p) + 2),
 stats as (
   select host, template, (sum(bad) + 1) / (sum(bad) + sum(good) + 2) purity from done group by all),
 verdicts as (
   select host, path, rule, template, purity,
     coalesce(verdict, case when purity >= {REJECT} then 'block' else 'allow' end) verdict
-  from shaped join done using ({keys}) join stats using (host, template))
-select page_id, host, path, rule, verdict, template, purity from flat join verdicts using (host, path)""")
-    return ",".join(out)
+  from shaped join done using (host, p) join stats using (host, template))
+select page_id, host, path, rule, verdict, template, purity from flat join verdicts using (host, path)"""
 
 
 def rules_table(spark, rules: list[tuple[str, str, str]]) -> DataFrame:
