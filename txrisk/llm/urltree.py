@@ -249,22 +249,22 @@ counted as (
     sum(case when verdict is null then n else 0 end)::double open
   from shaped group by host, p),
 tree as (
-  select host, p, n, bad, good, open, '' template, 1 at from counted
+  select host, p, n, bad, good, open, '' template, 1 depth from counted
   union all
   select host, p, n, bad, good, open,
     template || case when step <> '' and (
         (k_n < {FEW} and round(smalls) >= {MANY})
         or (k_bad + k_good > 0 and round(kids) > 1 and p_n >= {LEAST} and {chi} < {ALIKE}))
       then case when k_bad + k_good > 0 then '/?' else '/??' end else step end,
-    at + 1
+    depth + 1
   from (
     select *, sum(1.0 / shapes) over ({kind}) kids,
       sum(case when k_n < {FEW} then 1.0 / shapes else 0.0 end) over ({kind}) smalls,
       {", ".join(f"round(sum({c}) over ({kind})) p_{c}" for c in counts)}
     from (
       select *, count(*) over ({kid}) shapes, {", ".join(f"sum({c}) over ({kid}) k_{c}" for c in counts)}
-      from (select *, case when at <= len(p) then p[at] else '' end step from tree where at <= len(p) + 1)))),
-done as (select host, p, bad, good, template from tree where at = len(p) + 2),
+      from (select *, case when depth <= len(p) then p[depth] else '' end step from tree where depth <= len(p) + 1)))),
+done as (select host, p, bad, good, template from tree where depth = len(p) + 2),
 stats as (
   select host, template, (sum(bad) + 1) / (sum(bad) + sum(good) + 2) purity from done group by all),
 verdicts as (
