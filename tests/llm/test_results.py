@@ -29,7 +29,6 @@ def tokens(texts, name, end):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(queries._vocabulary(name))
-    t.encode_special_tokens = True
     return {i: [*t.encode(x, add_special_tokens=False).ids, end] for i, x in texts.items()}
 
 

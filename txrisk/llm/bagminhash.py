@@ -23,7 +23,9 @@ of the larger ones.
 4. The classes are what the links hold together.
 
 Rows with the same doc_id and text are one document; rows with the same doc_id
-and other texts belong to one class. A null doc_id is a class of its own and is null.
+and other texts belong to one class. A null doc_id is a class of its own and is null. Null
+texts are empty, texts have any length, an empty table gives an empty result, and other columns
+are not looked at.
 """
 
 from __future__ import annotations
@@ -32,11 +34,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from txrisk.llm.common import stored, texts
+from txrisk.llm.common import at_most, stored, texts
 from txrisk.llm.components import components
-from txrisk.llm.idfilter import id_filter, without
 from txrisk.llm.words import batches, mix, shingles
 
+#: Ids that are broadcast, a few megabytes.
+LISTED = 200_000
 WORDS = 5
 SIMILARITY = 0.8
 #: At similarity 0.8 a pair shares no band with a probability of 5e-5.
@@ -137,22 +140,10 @@ def _signed(bands: int, rows: int):
     return run
 
 
-def _bagged(shared):
-    """Bags as bytes: for each shingle as many distinct hashes as its count, sorted.
-
-    Only of documents that the shared filter marks.
-    """
-
-    def run(parts):
-        import pyarrow as pa
-
-        for batch in parts:
-            ids = batch.column("doc_id")
-            wanted = shared.value.maybe(ids.fill_null(0).to_numpy(zero_copy_only=False))
-            batch = batch.filter(pa.array(wanted & ids.is_valid().to_numpy(zero_copy_only=False)))
-            yield from _bags_of(batch)
-
-    return run
+def _bagged(parts):
+    """Bags as bytes: for each shingle as many distinct hashes as its count, sorted."""
+    for batch in parts:
+        yield from _bags_of(batch)
 
 
 def _bags_of(batch):
@@ -225,10 +216,16 @@ def _verified(pairs: DataFrame, bags: DataFrame, least: float) -> DataFrame:
     return joined.mapInArrow(_similar(least), "a long, b long")
 
 
+def _listed(ids: DataFrame) -> DataFrame:
+    """Ids for a join: broadcast if they are counted to be few, else shuffled."""
+    return F.broadcast(ids) if at_most(ids, LISTED) else ids
+
+
 def _bags(plain: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``doc, bag`` of the ``wanted`` documents and a few others, made where the texts are."""
-    shared = plain.sparkSession.sparkContext.broadcast(id_filter(stored(wanted.distinct(), "wanted")))
-    return stored(plain.mapInArrow(_bagged(shared), "doc long, bag binary"), "bags")
+    """``doc, bag`` of the ``wanted`` documents."""
+    ids = stored(wanted.select(F.col("doc").alias("doc_id")).distinct(), "wanted")
+    some = plain.join(_listed(ids), "doc_id", "left_semi")
+    return stored(some.mapInArrow(_bagged, "doc long, bag binary"), "bags")
 
 
 def _joining(rows: list, least: float):
@@ -367,4 +364,5 @@ def one_of_each(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     Rows that share that doc_id all stay, and so do rows with a null doc_id.
     """
     gone = near_copies(docs, least).where("doc_id <> class_id").select("doc_id")
-    return without(docs, stored(gone.distinct(), "copies"))
+    gone = stored(gone.select(F.col("doc_id").alias("__gone")).distinct(), "copies")
+    return docs.join(_listed(gone), F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")

@@ -9,13 +9,14 @@ codes ``q``, scale ``s`` and rest ``e`` the product of two vectors is
 so each pair has a lower and an upper bound. Pairs whose upper bound is below the
 k-th largest lower bound of their query cannot be among its k nearest; the others are
 computed again in double precision on the original vectors, and the k best of the
-tile go on. The tiles' lists are merged per query.
+tile go on. The tiles' lists are merged per query, by a heap of k.
 
 Tiles are bounded by ``ROWS`` vectors and ``QUERIES`` queries of one length, whatever the table
 holds. Nearness ties go to the smaller id. Null or empty vectors, zero vectors, vectors with
 null or non-finite components and rows with a null id take no part; vectors of
 different lengths do not meet. Rows that share an id are vectors of their own,
-told apart by their components; a query's own id is no candidate.
+told apart by their components; a query's own id is no candidate. Empty tables on either side
+give an empty result; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -40,7 +41,6 @@ def _codes(x):
     """Codes, scales, norms of the coded parts, of the rests and of the whole vectors."""
     import numpy as np
 
-    # A power of two out of the way first, so that squares neither overflow nor vanish.
     top = np.abs(x).max(axis=1)
     scale = top / 127.0
     scale = np.where(scale > 0, scale, np.finfo(float).tiny)
@@ -162,12 +162,46 @@ def nearest(
 
 
 def merged(lists: DataFrame, k: int) -> DataFrame:
-    """The ``k`` best of each query over the tiles' lists, with their ranks."""
-    best = lists.groupBy("query_id").agg(
-        F.slice(
-            F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id", "score"))), 1, k
-        ).alias("best")
-    )
-    return best.select("query_id", F.posexplode("best").alias("at", "b")).select(
-        "query_id", (F.col("at") + 1).cast("int").alias("rank"), "b.vec_id", "b.score"
-    )
+    """The ``k`` best of each query over the tiles' lists, with their ranks.
+
+    The entries of a query pass through a heap of ``k``, the worst one on top.
+    """
+
+    def run(batches):
+        import heapq
+
+        import pyarrow as pa
+
+        names = ["query_id", "rank", "vec_id", "score"]
+        types = [pa.int64(), pa.int32(), pa.int64(), pa.float64()]
+        done: list[tuple] = []
+
+        def out():
+            columns = zip(*done) if done else [()] * 4
+            batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
+            done.clear()
+            return batch
+
+        def close():
+            for rank, (score, vec) in enumerate(sorted(heap, reverse=True), 1):
+                done.append((query, rank, -vec, score))
+
+        query, heap = None, []
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("query_id", "vec_id", "score")]
+            for q, vec, score in zip(*columns):
+                if q != query:
+                    close()
+                    query, heap = q, []
+                entry = (score, -vec)  # ties go to the smaller id
+                if len(heap) < k:
+                    heapq.heappush(heap, entry)
+                elif entry > heap[0]:
+                    heapq.heapreplace(heap, entry)
+            if len(done) > 10_000:
+                yield out()
+        close()
+        yield out()
+
+    rows = lists.repartition("query_id").sortWithinPartitions("query_id")
+    return rows.mapInArrow(run, "query_id long, rank int, vec_id long, score double")

@@ -2,8 +2,8 @@
 
 All ids of the documents in ascending doc_id order form one stream. Windows are
 runs of at most ``window`` ids; a cut may be at the end of a document, at the end of
-a sentence, or, for a higher price, at a place of a grid inside a sentence. Dynamic
-programming finds the cuts with the least sum of padding and prices:
+a sentence, or, for a much higher price, at a place of a grid inside a sentence, where no end of a
+sentence is near. Dynamic programming finds the cuts with the least sum of padding and prices:
 
     cost[i] = price[i] + window - at[i] + min(cost[j] + at[j])   for at[i] - at[j] <= window
 
@@ -15,8 +15,9 @@ partition is split into powers of two, which need no padding, where that is chea
 Which documents share a partition is up to the sampling of Spark's range partitioning, so
 two runs may cut differently where partitions meet; each is a whole packing.
 
-A null or empty text is the end id alone. Rows with the same doc_id stand side by side in
-the order of their texts; a null doc_id comes first.
+A null or empty text is the end id alone, texts have any length. Rows with the same doc_id stand
+side by side in the order of their texts, repeated rows each with pieces of its own; a null doc_id comes
+first. An empty table gives an empty result; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ WINDOW = 2048
 #: Places inside sentences where a cut is allowed; divides the window.
 GRID = 32
 #: Price of a cut, in ids of padding: inside a document after a sentence, and inside a sentence.
-SENTENCE, INSIDE = 4, 12
+SENTENCE, INSIDE = 4, 128
 #: Ids planned together, at least.
 BLOCK = 1 << 19
 

@@ -15,8 +15,10 @@ reserved numbers) and context (words before the candidate).
 4. A second pass reports base spans and the candidates the classifier accepts that
    do not overlap a base span or an accepted one before it.
 
-Null texts count as empty. Positions are code points, ends exclusive. Kinds are
-ordered email, ip, card, phone, ssn.
+Null texts count as empty, texts have any length. Positions are code points, ends exclusive. Kinds
+are ordered email, ip, card, phone, ssn; of candidates that overlap, the first by place and then the shorter
+one is taken. Repeated rows are counted and judged one by one. An empty table gives an empty
+result and a model that takes nothing; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -36,11 +38,12 @@ from txrisk.llm.common import texts
 KINDS = ("email", "ip", "card", "phone", "ssn")
 BASE = {"email": base.emails, "ip": base.ips, "card": base.cards, "phone": base.phones}
 
-# Looser shapes than the base patterns, all linear in the text.
+# Looser shapes than the base patterns, all linear in the text. Names and hosts are of any
+# length; the other numbers are those of the formats.
 _LOOSE = {
     "email": re.compile(
-        r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?(?:\(at\)|\[at\]| at ) ?[A-Za-z0-9-]{1,63}+"
-        r"(?:(?:\.| ?\(dot\) ?| ?\[dot\] ?| dot )[A-Za-z0-9-]{2,63}+){1,4}"
+        r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?(?:\(at\)|\[at\]| at ) ?[A-Za-z0-9-]++"
+        r"(?:(?:\.| ?\(dot\) ?| ?\[dot\] ?| dot )[A-Za-z0-9-]{2,}+)++"
     ),
     "ip": re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){3,7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])"),
     "card": re.compile(r"(?<![0-9])[0-9]{4}([ .-]?)[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}(?![0-9])"),

@@ -6,9 +6,10 @@ toxic one of low quality. One weight vector serves all thresholds:
 expected grade and a flag. Features are the hashed words of a whole text, each
 counted once; only words whose share differs between the classes get a weight.
 
-Fitting takes at most ``most_labels`` labelled documents, chosen by a hash of
-their ids, so that the sample does not depend on the order of files. Everything else
-covers all documents. A null or empty text has no words and
+Fitting takes at most ``most`` labelled documents (``MOST_LABELS``), chosen by a hash of
+ids and texts, each pair of these once, so that the sample is bounded and does not depend on the order of
+files. Everything else covers all documents, texts of any length. Several labels of an id count as the worst one;
+repeated rows are scored one by one; other columns are not looked at. A null or empty text has no words and
 severity by the thresholds alone; it is never flagged. Labels that are null or whose
 document is missing are left out; if no label of either kind is left, nothing
 is flagged and the severity is 0.
@@ -23,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from txrisk.llm.common import texts
+from txrisk.llm.common import stored, texts
 from txrisk.llm.words import batches
 
 #: Word hashes are folded into this many features.
@@ -31,8 +32,8 @@ FEATURES = 1 << 18
 GRADES = 3
 #: Labelled documents that a model is fitted on, at most.
 MOST_LABELS = 20_000
-#: Words are features from this many standard deviations on, at most so many of them.
-CHANCE, MOST_WORDS = 4.0, 8_192
+#: Words are features from this many standard deviations on.
+CHANCE = 4.0
 
 
 @dataclass
@@ -55,16 +56,30 @@ def features(column):
 
 
 def labelled(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELS) -> DataFrame:
-    """``grade`` and ``features`` of at most ``most`` labelled documents."""
+    """``grade`` and ``features`` of at most ``most`` labelled documents.
+
+    Documents are chosen by a hash of id and text, each pair of these once, however many rows or
+    labels share an id.
+    """
     import pyarrow as pa
 
     grade = F.when(F.col("toxic") == 0, 0).otherwise(F.when(F.col("quality") == 0, 2).otherwise(1))
-    chosen = (
+    graded = (
         labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull())
         .select(F.col("doc_id").cast("long").alias("doc_id"), grade.alias("grade"))
         .groupBy("doc_id").agg(F.max("grade").alias("grade"))
+        # No document beyond these could be chosen.
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     )
+    rows = texts(docs).withColumn("h", F.xxhash64("text"))
+    chosen = (
+        rows.select("doc_id", "h").join(F.broadcast(graded), "doc_id").distinct()
+        .orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("h"), "h").limit(most)
+    )
+    chosen = stored(chosen, "chosen")
+    # Equal rows meet here, cut to one by the tasks that read them.
+    rows = rows.join(F.broadcast(chosen), ["doc_id", "h"])
+    sample = rows.groupBy("doc_id", "h").agg(F.first("grade").alias("grade"), F.first("text").alias("text"))
 
     def run(parts):
         for batch in parts:
@@ -78,10 +93,7 @@ def labelled(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELS) -> Dat
                     ], pa.list_(pa.int32())),
                 })
 
-    return (
-        texts(docs).join(F.broadcast(chosen), "doc_id").select("grade", "text")
-        .mapInArrow(run, "grade int, features array<int>")
-    )
+    return sample.select("grade", "text").mapInArrow(run, "grade int, features array<int>")
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELS, rounds: int = 300) -> OrdinalModel:
@@ -102,8 +114,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELS, rounds: int
     share = np.bincount(flat, minlength=FEATURES) / len(grade)
     spread = share * (1 - share) * (1 / bad.sum() + 1 / (~bad).sum())
     z = np.abs(in_bad - in_good) / np.sqrt(np.maximum(spread, 1e-12))
-    order = np.argsort(-z, kind="stable")[:MOST_WORDS]
-    used = np.sort(order[z[order] >= CHANCE])
+    used = np.flatnonzero(z >= CHANCE)
     keep = np.isin(flat, used)
     column, row, n = np.searchsorted(used, flat[keep]), owner[keep], len(grade)
     over = (grade[:, None] > np.arange(GRADES - 1)).astype(float)
