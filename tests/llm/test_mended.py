@@ -233,7 +233,7 @@ def test_pieces_equal_whole_texts(name, drops):
     parts = ["a", "B", " ", "\n", ".", ",", "é", "日", "<|endoftext|>", "1", "  ", "\t", "'s", "word", " The", "!?", "x" * 70]
     texts = ["".join(random.choices(parts, k=random.randrange(12))) for _ in range(4000)]
     coder = Encoder(queries._vocabulary(name), drops, limit=50)
-    assert list(coder.ids(texts, 300)) == [coder.whole(x) for x in texts]
+    assert list(coder.ids(texts)) == [coder.whole(x) for x in texts]
     assert list(coder.ids([])) == []
 
 

@@ -16,7 +16,7 @@ Which documents share a partition is up to the sampling of Spark's range partiti
 two runs may cut differently where partitions meet; each is a whole packing.
 
 A null or empty text is the end id alone, texts have any length. Rows with the same doc_id stand
-side by side in the order of their texts, repeated rows each with pieces of its own; a null doc_id comes
+side by side in the order of a hash of their texts, repeated rows each with pieces of its own; a null doc_id comes
 first. An empty table gives an empty result; other columns are not looked at.
 """
 
@@ -166,10 +166,13 @@ def _packed(path: str, end_id: int, window: int, drops_space: bool):
 
 
 def in_order(docs: DataFrame) -> DataFrame:
-    """``doc_id, text`` in ascending order over as many partitions as the input has."""
-    plain = texts(docs)
+    """``doc_id, text`` in ascending order over as many partitions as the input has.
+
+    The texts of one id are ordered by a hash, so very many of them are several partitions.
+    """
+    plain = texts(docs).withColumn("h", F.xxhash64("text"))
     n = max(1, docs.rdd.getNumPartitions())
-    return plain.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    return plain.repartitionByRange(n, "doc_id", "h").sortWithinPartitions("doc_id", "h", "text").drop("h")
 
 
 def pack(

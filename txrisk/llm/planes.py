@@ -16,7 +16,7 @@ so that a reader finds documents by the index without decoding other blocks, and
 no reader needs more than a block at once.
 
 A null or empty text is the end id alone; a text of any length goes through as many blocks as it
-needs. Rows with the same doc_id stand side by side in the order of their texts, repeated rows each
+needs. Rows with the same doc_id stand side by side in the order of a hash of their texts, repeated rows each
 with ids of its own; a null doc_id comes first. An empty table gives files without blocks; other
 columns are not looked at.
 """

@@ -16,10 +16,15 @@ import os
 import re
 import struct
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 #: White space that may not be cut: a run, or anything but a blank or a line end.
 _RUNS = re.compile("[\\s᠎](?:[\\s᠎]|(?<![ \\n]))")
+#: The same for ASCII texts: neighbours, and single characters.
+_DOUBLE = ("  ", " \n", "\n ", "\n\n")
+_OTHER = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f"
+#: ASCII marks, which are neither letters nor numbers nor white space.
+_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: What byte-level vocabularies show for each byte: itself if it is a visible
 #: Latin-1 character, else the next character from U+0100 on.
 _VISIBLE = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
@@ -36,101 +41,95 @@ def encoder(path: str, drops_space: bool) -> "Encoder":
     return _ENCODERS[key]
 
 
-class Encoder:
+def _plain_spaces(text: str) -> bool:
+    """Whether white space is single blanks and line ends only, as far as a quick look tells."""
+    if not text.isascii():
+        return not _RUNS.search(text)
+    return not any(x in text for x in _DOUBLE) and not any(c in text for c in _OTHER)
+
+
+class Encoder(dict):
     """``ids(texts)``: little-endian unsigned 32-bit ids as bytes, one value a text.
 
     ``drops_space`` says that the vocabulary removes white space and capitals.
-    Pieces and their ids are kept in two generations of ``limit`` pieces: a full one
-    becomes the older one, and what is met again comes back from it. Pieces over
-    ``longest`` are not kept.
+    The object is itself the cache from pieces to ids, in two generations of ``limit``
+    pieces: a full one becomes the older one, and what is met again comes back from it.
+    Pieces over ``longest`` are not kept.
     """
 
     def __init__(self, path: str, drops_space: bool, limit: int = 400_000, longest: int = 64):
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.drops_space = drops_space
         self.limit, self.longest = limit, longest
-        self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
         self.merges = self.tokenizer.model.tokenize
         self.tokenizer.model._resize_cache(0)  # this object is the cache
         self.pack = [struct.Struct(f"<{n}I").pack for n in range(self.longest * 4)]
-        self.marks = {x: self.whole(x) for x in ",.;:!?"}
         self.line = b"" if drops_space else self.whole("\n")
         self.blank = "" if drops_space else chr(_SHOWN[32])
 
     def whole(self, text: str) -> bytes:
-        return self.wholes([text])[0]
+        (coded,) = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)
+        return array("I", coded.ids).tobytes()
 
-    def wholes(self, texts: list[str]) -> list[bytes]:
-        """Ids of whole texts by one call of the library."""
-        coded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [array("I", c.ids).tobytes() for c in coded]
-
-    def ids(self, texts: list[str], most: int = 1 << 20) -> Iterator[bytes]:
-        """Ids of texts in their order, encoded in runs of about ``most`` characters."""
-        run, size = [], 0
+    def ids(self, texts: Iterable[str]) -> Iterator[bytes]:
+        skip, known = len(self.line), self.__getitem__
         for text in texts:
-            run.append(text)
-            size += len(text)
-            if size >= most:
-                yield from self._run(run)
-                run, size = [], 0
-        if run:
-            yield from self._run(run)
-
-    def _run(self, texts: list[str]) -> Iterator[bytes]:
-        cut = [None if _RUNS.search(x) else self._pieces(x) for x in texts]
-        self._learn(set().union(*[c for c in cut if c]).difference(self.known))
-        skip, known = len(self.line), self.known.__getitem__
-        for text, pieces in zip(texts, cut):
-            yield self.whole(text) if pieces is None else b"".join(map(known, pieces))[skip:]
-        if len(self.known) > self.limit:
-            self.known, self.older = {}, self.known
-        for piece in self.long:
-            self.known.pop(piece, None)
-
-    @staticmethod
-    def _pieces(text: str) -> list[str]:
-        # A piece after a line end keeps it; only the first has neither sign.
-        pieces = text.replace("\n", " \n").split(" ")
-        pieces[0] = "\n" + pieces[0]
-        return pieces
-
-    def _learn(self, unknown: set[str]) -> None:
-        """Ids of pieces that follow a blank, or a line end if they begin with one."""
-        known, older, marks, odd = self.known, self.older, self.marks, []
-        self.long = [p for p in unknown if len(p) > self.longest]
-        for piece in unknown:
-            coded = older.get(piece)
-            if coded is None:
-                begins = piece[:1] == "\n"
-                word = piece[1:] if begins else piece
-                end = marks.get(word[-1:])
-                head = word if end is None else word[:-1]
-                if not (head.isalpha() and len(head) <= self.longest and (head.isascii() or max(head) < "Ā")):
-                    # Not plain letters: the vocabulary's own splits are needed.
-                    odd.append(piece)
-                    continue
-                # Plain letters are one piece, so the merges can run on them at once;
-                # an ASCII mark behind them is a piece of its own.
-                coded = None if begins or end is None else known.get(head) or older.get(head)
-                if coded is None:
-                    coded = self._letters(head, begins)
-                if end is not None:
-                    coded += end
-            known[piece] = coded
-        if odd:
-            said = [p if p[:1] == "\n" or self.drops_space else " " + p for p in odd]
-            known.update(zip(odd, self.wholes(said)))
-
-    def _letters(self, head: str, begins: bool) -> bytes:
+            if not _plain_spaces(text):
+                yield self.whole(text)
+                continue
+            # A piece after a line end keeps it; only the first has neither sign.
+            pieces = text.replace("\n", " \n").split(" ")
+            pieces[0] = "\n" + pieces[0]
+            yield b"".join(map(known, pieces))[skip:]
+            if len(self) > self.limit:
+                self.older = dict(self)
+                self.clear()
+
+    def __missing__(self, piece: str) -> bytes:
+        """Ids of a piece that follows a blank, or a line end if it begins with one."""
+        coded = self.older.get(piece)
+        if coded is None:
+            coded = self._coded(piece)
+        if len(piece) <= self.longest:
+            self[piece] = coded
+        return coded
+
+    def _coded(self, piece: str) -> bytes:
+        begins = piece[:1] == "\n"
+        word = piece[1:] if begins else piece
+        head, end = word, b""
+        if not word.isalpha():
+            # Marks behind letters are a piece of their own, all of them together.
+            head = word.rstrip(_MARKS)
+            if head and head is not word:
+                end = self.tails.get(word[len(head) :])
+                if end is None:
+                    end = self._tail(word[len(head) :])
+        if not (head.isalpha() and len(head) <= self.longest and (head.isascii() or max(head) < "Ā")):
+            # Not plain letters: the vocabulary's own splits are needed.
+            return self.whole(piece if begins or self.drops_space else " " + piece)
+        if end and not begins:
+            known = self.get(head)
+            if known is not None:
+                return known + end
+        # Plain letters are one piece, so the merges can run on them at once.
         if self.drops_space:
             head = head.lower()
         if not head.isascii():
             head = head.encode().decode("latin-1").translate(_SHOWN)
         got = self.merges(head if begins else self.blank + head)
-        coded = self.pack[len(got)](*[t.id for t in got])
+        coded = self.pack[len(got)](*[t.id for t in got]) + end
         return self.line + coded if begins else coded
+
+    def _tail(self, marks: str) -> bytes:
+        """Ids of marks behind letters."""
+        coded = self.whole("a" + marks)[len(self.whole("a")) :]
+        if len(marks) <= 16 and len(self.tails) < 100_000:
+            self.tails[marks] = coded
+        return coded
