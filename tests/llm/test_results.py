@@ -35,7 +35,7 @@ def tokens(texts, name, end):
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "pages", "embeddings"):
+    for t in ("documents", "benchmark", "pages", "embeddings", "conversations"):
         con.sql(f"create view {t} as select * from '{SMALL}/{t}.parquet'")
     want = con.sql(queries.SQL[name])
     names = sorted(want.columns)

@@ -126,6 +126,8 @@ _WORDS = "regexp_extract_all(" + _LOWER + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')
 
 SQL = {
     "op9_template_tree": urltree.sql(RULES),
+    "op11_spelling_tiles": spelling.SQL,
+    "op13_hirschberg_repair": turns.sql(),
     "op7_block_join": """
 with v as (
   select vec_id, cast(embedding as double[]) e from embeddings

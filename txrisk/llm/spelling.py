@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from txrisk.llm.common import at_most, stored
+from txrisk.llm.sqlparts import CRC_TABLE, crc32
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Runs of letters, A-Z being lower case by then.
@@ -120,7 +121,6 @@ def _compared(pieces: int):
     """The comparison of all tiles of a partition, sorted by ``size, piece, key, tile``."""
 
     def run(batches: Iterator) -> Iterator:
-        import numpy as np
         import pyarrow as pa
 
         held = None
@@ -292,3 +292,43 @@ def variants(words: DataFrame, factor: int = 10, **how) -> DataFrame:
     return table.join(roots(table), "word", "left").select(
         "word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n"
     )
+
+
+#: The query in SQL: words are near that are the same without one code point each, in the same
+#: place, or of which one is the other without one.
+SQL = f"""
+with recursive {CRC_TABLE},
+runs as (
+  select coalesce(cast(doc_id as varchar), '') id,
+    unnest(regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[a-zÀ-ÿ]+')) run
+  from documents),
+hashed as (select run, {crc32("id || ':' || run")} h from runs, crc_table where length(run) >= 7),
+typed as (
+  select case when h % 31 = 0
+    then left(run, cast(h % length(run) as bigint)) || substr(run, cast(h % length(run) as bigint) + 2)
+    else run end word
+  from hashed),
+words as (select word, count(*) n from typed where length(word) >= 7 group by word having count(*) >= 2),
+cut as (
+  select word, i, left(word, i) || substr(word, i + 2) rest
+  from (select word, unnest(range(length(word))) i from words)),
+near as (
+  select a.word, b.word other from cut a join cut b using (i, rest) where a.word <> b.word
+  union select word, rest from cut where rest in (select word from words)
+  union select rest, word from cut where rest in (select word from words)),
+weighed as (
+  select near.word, other, o.n, max(o.n) over (partition by near.word) most
+  from near join words o on o.word = other),
+best as (
+  select word, count(*) n_near, max(n) best_n, min(other) filter (where n = most) best from weighed group by word),
+forms as (
+  select w.word, w.n, coalesce(n_near, 0) n_near, case when best_n >= 10 * w.n then best end form,
+    case when best_n >= 10 * w.n then best_n end form_n
+  from words w left join best using (word)),
+ways as (
+  select word, word root from forms
+  union all
+  select ways.word, forms.form from ways join forms on forms.word = ways.root where forms.form is not null),
+ends as (select ways.word, root from ways join forms f on f.word = ways.root where f.form is null)
+select forms.word, form, root, n, n_near, form_n from forms join ends using (word)
+"""

@@ -41,6 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from txrisk.llm.common import stored
+from txrisk.llm.sqlparts import CRC_TABLE, crc32
 
 #: Rows of a block, as a power of two.
 BLOCK_BITS = 12
@@ -453,3 +454,77 @@ def report(conversations: DataFrame, rows: DataFrame, block_bits: int = BLOCK_BI
         F.coalesce("audit", F.lit("")).alias("audit"),
         F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"),
     )
+
+
+def sql() -> str:
+    """The query in SQL: each state carries its cheapest and then least audit and all it wrote, one
+    row at a time."""
+    far = 1_000_000
+    kept = f"case when fault = 0 then 0 when fault = 1 then {TRUNCATED} else {far} end"
+
+    def moved(i: int, cost: str | int, audit: str, *said: str) -> str:
+        text = f"s{i}.t"
+        for line in said:
+            text = f"({text} || case when {text} = '' then '' else chr(10) end || {line})"
+        return f"{{'c': s{i}.c + {cost}, 'a': s{i}.a || '{audit}', 't': {text}}}"
+
+    def keep(i: int, letter: str) -> str:
+        return moved(i, f"case when initial = '{letter}' then {kept} else {far} end", "K", "role || ':' || text")
+
+    def rerole(i: int, name: str) -> str:
+        return moved(i, f"{REROLE} + {kept}", "R", f"'{name}:' || text")
+
+    def insert(i: int, *names: str) -> str:
+        return moved(i, INSERT * len(names), "I" * len(names), *[f"'{name}:'" for name in names])
+
+    never = f"{{'c': {far}, 'a': '', 't': ''}}"
+    users = ", ".join(x for b in (0, 1, 3) for x in (keep(b, "u"), rerole(b, "user")))
+    return f"""
+with recursive {CRC_TABLE},
+given as (
+  select conv_id, turn, coalesce(role, ' ') role, coalesce(text, ' ') text,
+    coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' ') key from conversations),
+kinds as (select *, {crc32("key")} % 20 kind from given, crc_table),
+damaged as (
+  select conv_id, turn, case when kind = 4 then 'user' else role end as role,
+    case when kind = 1 then '' when kind = 2 then translate(text, '.!?', '') else text end as text,
+    unnest(range(case when kind = 3 then 2 else 1 end)) copy
+  from kinds where kind <> 0),
+placed as (
+  select conv_id, turn, role, text,
+    row_number() over (partition by conv_id order by turn nulls first, role, md5(text)) i,
+    regexp_replace(text, '[\\x20\\x09-\\x0D]+$', '') bare, left(role, 1) initial
+  from damaged),
+marked as (
+  select *, case when bare = '' then 2
+      when row_number() over (partition by conv_id, role, text order by i) > 1 then 3
+      when right(bare, 1) not in ('.', '!', '?') then 1 else 0 end fault,
+    lag(initial) over (partition by conv_id order by i) || initial pair
+  from placed),
+states as (
+  select conv_id, 0::bigint i, {{'c': 0, 'a': '', 't': ''}} s0, {never} s1, {never} s2, {never} s3
+  from (select distinct conv_id from marked)
+  union all
+  select conv_id, i, {moved(0, DELETE, "D")}, least({moved(1, DELETE, "D")}, {keep(0, "s")}),
+    least({moved(2, DELETE, "D")}, {users}),
+    least({moved(3, DELETE, "D")}, {keep(2, "a")}, {rerole(2, "assistant")})
+  from (
+    select s.conv_id, r.i, r.role, r.text, r.initial, r.fault, s0, s1,
+      least(s2, {", ".join(insert(b, "user") for b in (0, 1, 3))}) s2, least(s3, {insert(2, "assistant")}) s3
+    from states s join marked r on r.conv_id is not distinct from s.conv_id and r.i = s.i + 1)),
+lengths as (select conv_id, max(i) i from marked group by conv_id),
+ends as (
+  select s.conv_id, least(s0, {insert(1, "user", "assistant")}, {insert(2, "assistant")}, s3) e
+  from states s join lengths l on l.conv_id is not distinct from s.conv_id and l.i = s.i),
+counted as (
+  select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) gaps,
+    count(*) filter (where fault = 2) blank, count(*) filter (where fault = 3) duplicate,
+    count(*) filter (where fault = 1) truncated, count(*) filter (where pair not in ('su', 'ua', 'au')) illegal
+  from marked group by conv_id)
+select o.conv_id, coalesce(gaps, 0) gaps, coalesce(blank, 0) blank, coalesce(duplicate, 0) duplicate,
+  coalesce(truncated, 0) truncated, coalesce(illegal, 0) illegal, coalesce(cast(e.c as bigint), 0) as cost,
+  coalesce(e.a, '') audit, sha256(coalesce(e.t, '')) repaired_sha256
+from (select distinct conv_id from conversations) o
+left join counted c on c.conv_id is not distinct from o.conv_id
+left join ends on ends.conv_id is not distinct from o.conv_id
+"""
