@@ -57,7 +57,7 @@ class Encoder(dict):
     Pieces over ``longest`` are not kept.
     """
 
-    def __init__(self, path: str, drops_space: bool, limit: int = 400_000, longest: int = 64):
+    def __init__(self, path: str, drops_space: bool, limit: int = 600_000, longest: int = 64):
         super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -119,13 +119,19 @@ class Encoder(dict):
             if known is not None:
                 return known + end
         # Plain letters are one piece, so the merges can run on them at once.
+        letters = head
         if self.drops_space:
             head = head.lower()
         if not head.isascii():
             head = head.encode().decode("latin-1").translate(_SHOWN)
         got = self.merges(head if begins else self.blank + head)
-        coded = self.pack[len(got)](*[t.id for t in got]) + end
-        return self.line + coded if begins else coded
+        coded = self.pack[len(got)](*[t.id for t in got])
+        if begins:
+            return self.line + coded + end
+        if end:
+            # The same letters may come without marks, or with others.
+            self[letters] = coded
+        return coded + end
 
     def _tail(self, marks: str) -> bytes:
         """Ids of marks behind letters."""
