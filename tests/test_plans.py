@@ -50,6 +50,7 @@ def test_rankings_stop_early(views):
     # Whole jobs, with models, streams and files between their plans.
     "train_and_score", "score_static_only", "batch_scan", "scan_stream", "model_quality", "bulk_model",
     "model_predictions", "stream_failures", "saved_model", "feature_catalog", "model_info",
+    "trained_weights", "model_evaluation", "newest_stream",
 }))
 def test_no_python_no_expand_no_cross_join(spark, name):
     text = plan(QUERIES[name](spark, SMALL))
