@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from txrisk.operators.skew import Hot
+from txrisk.operators.skew import Hot, settled
 from txrisk.plans.model import RiskModel
 from txrisk.plans.scan import check_requests, scan
 
@@ -41,6 +41,9 @@ def scan_stream(
     of hub accounts, saves counting them in every batch.
     """
 
+    # Counted once, not by every batch.
+    hot = None if hot is None else settled(hot)
+
     def answer(batch: DataFrame, batch_id: int) -> None:
         good, failed = check_requests(batch, strict)
         rows = tx(good) if callable(tx) else tx
