@@ -17,7 +17,8 @@ lower case. Keys of at least ``least`` code points that stand in at least
 
 A null or empty text is one empty line. Each row is a document; rows with the
 same doc_id count one by one, and all rows of the largest doc_id keep their lines.
-A null doc_id is smaller than all others.
+A null doc_id is smaller than all others. Texts and lines have any length, an empty table gives an
+empty result, and other columns stay as they are.
 """
 
 from __future__ import annotations

@@ -14,7 +14,9 @@ Parts meet by document and by bins of the scope's width, and a semi join keeps t
 candidates, so no pairs are written and a bin holds no more parts than fit into it.
 
 Null texts count as empty. Positions are code points, ends exclusive. Equal rows get
-equal results; rows that share only the doc_id are scanned one by one.
+equal results; rows that share only the doc_id are scanned one by one. Texts and parts have any length; of
+candidates that overlap, the first by place is taken. An empty table gives an empty result; other
+columns are not looked at.
 """
 
 from __future__ import annotations

@@ -23,7 +23,8 @@ The tree is built on counts of distinct shapes, so a host with very many pages i
 What all shapes of a node have in common is passed in one step, so there is one round of
 jobs per level at which paths part, however long they are.
 
-Repeated page_ids and urls are judged one by one, alike if the urls are; an empty table gives an
+Ties between rules go to the longer host, then to block. Repeated page_ids and urls are judged one
+by one, alike if the urls are; paths have any length; an empty table gives an
 empty result; other columns are not looked at.
 """
 
