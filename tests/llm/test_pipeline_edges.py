@@ -7,7 +7,7 @@ from txrisk.llm.common import stored
 
 SCHEMA = (
     "doc_id long, text string, lang string, source string, n_chars long, row string, n int, h string, "
-    "bucket int, sequence string, start string, toxic string, __gone string, __row string"
+    "bucket int, sequence string, start string, toxic string, gone string, kept string, lost string, doc string"
 )
 PASSAGE = " ".join(f"word{i}" for i in range(40))
 LINE = "a line that many documents share, long enough"
@@ -15,7 +15,8 @@ ROWS = [
     (0, None), (1, ""), (2, " \n\t\n "), (3, "one two"), (3, "one two"), (None, "no id here"), (None, None),
     (4, "long words without end " * 5_000), (5, "é ü 日本語 \x1c x\x85y 𝒳"),
     *[(10 + i, f"{LINE}\nown words of number {'abcdefgh'[i]} " + f"filler{i} " * 9) for i in range(5)],
-    *[(20 + i, " ".join(f"copy{j}" for j in range(60))) for i in range(4)],
+    # Copies that break their lines in other places.
+    *[(20 + i, " ".join(f"copy{j}" + "\n" * (j == 9 * i + 5) for j in range(60))) for i in range(4)],
     (30, f"{PASSAGE} and a tail"), (30, "another text under the same id"),
 ]
 
@@ -24,7 +25,7 @@ ROWS = [
 def folder(spark, tmp_path_factory):
     def write(name, rows, benchmark, labels):
         path = str(tmp_path_factory.mktemp(name))
-        full = [(*r, "en", "s", 1, "r", 2, "h", 3, "q", "b", "t", "g", "w") for r in rows]
+        full = [(*r, "en", "s", 1, "r", 2, "h", 3, "q", "b", "t", "g", "k", "l", "d") for r in rows]
         spark.createDataFrame(full, SCHEMA).write.parquet(f"{path}/documents.parquet")
         spark.createDataFrame(benchmark, "item_id string, text string").write.parquet(f"{path}/benchmark.parquet")
         spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")

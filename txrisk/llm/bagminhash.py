@@ -34,7 +34,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from txrisk.llm.common import at_most, stored, texts
+from txrisk.llm.common import at_most, free, stored, texts
 from txrisk.llm.components import components
 from txrisk.llm.words import batches, mix, shingles
 
@@ -364,5 +364,6 @@ def one_of_each(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     Rows that share that doc_id all stay, and so do rows with a null doc_id.
     """
     gone = near_copies(docs, least).where("doc_id <> class_id").select("doc_id")
-    gone = stored(gone.select(F.col("doc_id").alias("__gone")).distinct(), "copies")
-    return docs.join(_listed(gone), F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+    name = free(docs, "gone")
+    gone = stored(gone.select(F.col("doc_id").alias(name)).distinct(), "copies")
+    return docs.join(_listed(gone), F.col("doc_id").cast("long") == F.col(name), "left_anti")

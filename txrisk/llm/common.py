@@ -34,6 +34,14 @@ def texts(docs: DataFrame) -> DataFrame:
     )
 
 
+def free(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one, that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def at_most(df: DataFrame, rows: int) -> bool:
     """Whether ``df`` has at most ``rows`` rows, without counting all of a larger one."""
     return df.limit(rows + 1).count() <= rows

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from txrisk.llm.common import stored, texts
+from txrisk.llm.common import free, stored, texts
 
 #: Bits of a filter, at least and at most (128 MB), and of a segment.
 LEAST_BITS, MOST_BITS = 1 << 21, 1 << 30
@@ -224,15 +224,15 @@ def _kept(least: int):
     return kept
 
 
-def _applied(docs: DataFrame, least: int, documents: int, bits: int | None) -> DataFrame:
-    """``docs`` with ``__kept``, a struct of text, n_lines and n_dropped."""
-    lost = losses(docs, least, documents, bits).select(F.col("doc_id").alias("__doc"), "lost")
-    lost = lost.withColumnRenamed("lost", "__lost").hint("shuffle_hash")
+def _applied(docs: DataFrame, name: str, least: int, documents: int, bits: int | None) -> DataFrame:
+    """``docs`` with ``name``, a struct of text, n_lines and n_dropped."""
+    doc, gone = free(docs, "doc"), free(docs, "lost")
+    lost = losses(docs, least, documents, bits).select(F.col("doc_id").alias(doc), F.col("lost").alias(gone))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     return (
-        docs.join(lost, F.col("doc_id").cast("long").eqNullSafe(F.col("__doc")), "left")
-        .withColumn("__kept", _kept(least)(text, "__lost"))
-        .drop("__doc", "__lost")
+        docs.join(lost.hint("shuffle_hash"), F.col("doc_id").cast("long").eqNullSafe(F.col(doc)), "left")
+        .withColumn(name, _kept(least)(text, gone))
+        .drop(doc, gone)
     )
 
 
@@ -242,21 +242,22 @@ def clean(docs: DataFrame, least: int = 20, documents: int = 3, bits: int | None
     A text that loses nothing stays as it is, null too. A column ``n_chars``
     gets the new length.
     """
-    new = _applied(docs, least, documents, bits)
-    changed = F.col("__kept.n_dropped") > 0
-    out = new.withColumn("text", F.when(changed, F.col("__kept.text")).otherwise(F.col("text")))
+    name = free(docs, "kept")
+    new = _applied(docs, name, least, documents, bits)
+    changed, left = F.col(name)["n_dropped"] > 0, F.col(name)["text"]
+    out = new.withColumn("text", F.when(changed, left).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         out = out.withColumn(
             "n_chars",
-            F.when(changed, F.length("__kept.text").cast(kind)).otherwise(F.col("n_chars")),
+            F.when(changed, F.length(left).cast(kind)).otherwise(F.col("n_chars")),
         )
     return out.select(*docs.columns)
 
 
 def summary(docs: DataFrame, least: int = 20, documents: int = 3, bits: int | None = None) -> DataFrame:
     """Per document: ``doc_id, n_lines`` before, ``n_dropped, kept_sha256``."""
-    return _applied(docs.select("doc_id", "text"), least, documents, bits).select(
-        F.col("doc_id").cast("long").alias("doc_id"), "__kept.n_lines", "__kept.n_dropped",
-        F.sha2("__kept.text", 256).alias("kept_sha256"),
+    return _applied(docs.select("doc_id", "text"), "kept", least, documents, bits).select(
+        F.col("doc_id").cast("long").alias("doc_id"), "kept.n_lines", "kept.n_dropped",
+        F.sha2("kept.text", 256).alias("kept_sha256"),
     )

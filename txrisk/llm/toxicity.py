@@ -11,8 +11,8 @@ ids and texts, each pair of these once, so that the sample is bounded and does n
 files. Everything else covers all documents, texts of any length. Several labels of an id count as the worst one;
 repeated rows are scored one by one; other columns are not looked at. A null or empty text has no words and
 severity by the thresholds alone; it is never flagged. Labels that are null or whose
-document is missing are left out; if no label of either kind is left, nothing
-is flagged and the severity is 0.
+document is missing are left out; if no label of either kind is left, or no word tells the
+kinds apart, nothing is flagged and the severity is 0.
 """
 
 from __future__ import annotations
@@ -115,6 +115,8 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELS, rounds: int
     spread = share * (1 - share) * (1 / bad.sum() + 1 / (~bad).sum())
     z = np.abs(in_bad - in_good) / np.sqrt(np.maximum(spread, 1e-12))
     used = np.flatnonzero(z >= CHANCE)
+    if not len(used):
+        return empty
     keep = np.isin(flat, used)
     column, row, n = np.searchsorted(used, flat[keep]), owner[keep], len(grade)
     over = (grade[:, None] > np.arange(GRADES - 1)).astype(float)

@@ -33,7 +33,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from txrisk.llm.common import new_folder, stored
+from txrisk.llm.common import free, new_folder, stored
 
 #: Small children from which a segment is variable, and pages below which a child is small.
 MANY, FEW = 20, 3
@@ -206,9 +206,10 @@ def judged(pages: DataFrame, rules: DataFrame, labels: DataFrame | None = None)
 def allowed(pages: DataFrame, rules: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     """``pages``, all columns, without those that are blocked."""
     blocked = judged(pages, rules, labels).where(F.col("verdict") == "block")
-    blocked = stored(blocked.select(F.col("host").alias("__h"), F.col("path").alias("__p")).distinct(), "blocked")
+    h, p = free(pages, "host"), free(pages, "path")
+    blocked = stored(blocked.select(F.col("host").alias(h), F.col("path").alias(p)).distinct(), "blocked")
     host, path = host_and_path("url")
-    return pages.join(blocked, (host == F.col("__h")) & (path == F.col("__p")), "left_anti")
+    return pages.join(blocked, (host == F.col(h)) & (path == F.col(p)), "left_anti")
 
 
 def sql(rules: list[tuple[str, str, str]]) -> str:

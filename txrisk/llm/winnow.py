@@ -31,7 +31,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from txrisk.llm.common import at_most, stored
+from txrisk.llm.common import at_most, free, stored
 
 WORD = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 #: The same before A-Z became lower case.
@@ -289,8 +289,7 @@ def _judged(rows: DataFrame, benchmark: DataFrame, span: int) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame, span: int = 13) -> DataFrame:
     """``docs``, all columns, without the contaminated documents."""
-    bad = _judged(rows_of(docs), benchmark, span).where("contaminated").select(
-        F.col("row").alias("__row")
-    )
+    name = free(docs, "row")
+    bad = _judged(rows_of(docs), benchmark, span).where("contaminated").select(F.col("row").alias(name))
     bad = stored(bad.distinct(), "contaminated")
-    return docs.join(bad, _row() == F.col("__row"), "left_anti")
+    return docs.join(bad, _row() == F.col(name), "left_anti")
