@@ -37,6 +37,9 @@ WINDOW = 2048
 GRID = 32
 #: Price of a cut, in ids of padding: inside a document after a sentence, and inside a sentence.
 SENTENCE, INSIDE = 4, 128
+#: Pieces that a worker keeps the ids of, in each of two generations (some 80 MB in all, which the
+#: stages of a pipeline that follow in the same workers have to do without).
+PIECES = 200_000
 #: Ids planned together, at least.
 BLOCK = 1 << 19
 
@@ -138,7 +141,7 @@ def _packed(path: str, end_id: int, window: int, drops_space: bool):
         import pyarrow as pa
         from pyspark import TaskContext
 
-        coder = encoder(path, drops_space)
+        coder = encoder(path, drops_space, PIECES)
         ends = [np.frombuffer(coder.whole(x), "<u4") for x in ".!?"]
         packer = Packer(np.array([x[0] for x in ends if len(x) == 1], np.uint32), window)
         shard = TaskContext.get().partitionId()

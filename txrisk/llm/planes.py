@@ -35,6 +35,8 @@ from txrisk.llm.packing import in_order
 from txrisk.llm.tokens import encoder
 
 BLOCK_IDS = 1 << 16
+#: Pieces that a worker keeps the ids of, in each of two generations (some 250 MB in all).
+PIECES = 600_000
 SCHEMA = (
     "shard int, block int, n_ids int, width int, planes array<binary>, "
     "index array<struct<doc_id: long, first: long, `from`: int, `to`: int>>"
@@ -63,7 +65,7 @@ def _encoded(path: str, end_id: int, block: int, bits: bool, level: int, drops_s
         import zstandard
         from pyspark import TaskContext
 
-        coder, pack = encoder(path, drops_space), zstandard.ZstdCompressor(level).compress
+        coder, pack = encoder(path, drops_space, PIECES), zstandard.ZstdCompressor(level).compress
         shard, end = TaskContext.get().partitionId(), np.array([end_id], "<u4").tobytes()
         kind = pa.list_(pa.struct(
             [("doc_id", pa.int64()), ("first", pa.int64()), ("from", pa.int32()), ("to", pa.int32())]

@@ -30,14 +30,14 @@ _MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _VISIBLE = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
 _SHOWN = {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(_VISIBLE)))}
 
-_ENCODERS: dict[tuple[str, bool], "Encoder"] = {}
+_ENCODERS: dict[tuple[str, bool, int], "Encoder"] = {}
 
 
-def encoder(path: str, drops_space: bool) -> "Encoder":
-    """The encoder of a vocabulary file, one per worker process."""
-    key = (path, drops_space)
+def encoder(path: str, drops_space: bool, limit: int) -> "Encoder":
+    """The encoder of a vocabulary file, one per worker process, which keeps it with its pieces."""
+    key = (path, drops_space, limit)
     if key not in _ENCODERS:
-        _ENCODERS[key] = Encoder(path, drops_space)
+        _ENCODERS[key] = Encoder(path, drops_space, limit)
     return _ENCODERS[key]
 
 
@@ -57,7 +57,7 @@ class Encoder(dict):
     Pieces over ``longest`` are not kept.
     """
 
-    def __init__(self, path: str, drops_space: bool, limit: int = 600_000, longest: int = 64):
+    def __init__(self, path: str, drops_space: bool, limit: int = 200_000, longest: int = 64):
         super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
