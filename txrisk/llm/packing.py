@@ -36,7 +36,7 @@ WINDOW = 2048
 #: Places inside sentences where a cut is allowed; divides the window.
 GRID = 32
 #: Price of a cut, in ids of padding: inside a document after a sentence, and inside a sentence.
-SENTENCE, INSIDE = 4, 128
+SENTENCE, INSIDE = 4, 48
 #: Pieces that a worker keeps the ids of, in each of two generations (some 80 MB in all, which the
 #: stages of a pipeline that follow in the same workers have to do without).
 PIECES = 200_000
