@@ -72,8 +72,9 @@ def shingles(found: np.ndarray, owner: np.ndarray, texts: int, k: int = 5):
     """
     n = np.bincount(owner, minlength=texts)
     total = np.zeros(len(found), np.uint64)
+    steps = np.arange(1, k + 1, dtype=np.uint64) * _STEP
     for j in range(k):
-        part = mix(found + np.uint64(j + 1) * _STEP)
+        part = mix(found + steps[j])
         total[: len(found) - j] += part[j:]
     begin = np.cumsum(n) - n
     place = np.arange(len(found)) - begin[owner]
