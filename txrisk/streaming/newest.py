@@ -11,10 +11,11 @@ State needs the RocksDB provider: ``spark.sql.streaming.stateStore.providerClass
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import heapq
+from collections.abc import Callable, Iterable, Iterator
+from itertools import islice
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
@@ -27,22 +28,27 @@ from txrisk.sources.checkpoints import kept_rows
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-_ORDER = {"order_ts": False, "order_block": False, "order_index": False, "hash": True, "pos": True}
+#: Arriving rows that are held at once before the newest are kept.
+_CHUNK = 10_000
+#: What is kept of a row: its number, its place in the order, and its fields as one JSON text,
+#: which passes Python as it is.
 _KEPT = T.StructType(
     [T.StructField("pos", T.LongType())]
-    + [T.StructField(c, T.StringType()) for c in HISTORY_COLUMNS]
     + [T.StructField(c, T.LongType()) for c in ("order_ts", "order_block", "order_index")]
+    + [T.StructField(c, T.StringType()) for c in ("order_hash", "fields")]
 )
 _OUT = T.StructType(
-    [T.StructField("address", T.StringType()), T.StructField("request", T.StringType())]
-    + [T.StructField("asked", T.StringType()), *_KEPT.fields[: 1 + len(HISTORY_COLUMNS)]]
+    [T.StructField(c, T.StringType()) for c in ("address", "request", "asked")]
+    + [T.StructField("pos", T.LongType()), T.StructField("fields", T.StringType())]
 )
+_FIELDS = T.StructType([T.StructField(c, T.StringType()) for c in HISTORY_COLUMNS])
 
 
-def _plain(frame: pd.DataFrame) -> pd.DataFrame:
-    """Columns of plain objects, None where there is nothing: pieces of Arrow strings would not go out."""
-    frame = frame.astype(object)
-    return frame.where(frame.notna(), None)
+def _newest_first(row: tuple) -> tuple:
+    """The order of ``newest_first`` for a kept row; nulls come last."""
+    pos, *numbers, hashed, _ = row
+    known = [(n is None, -(n or 0)) for n in numbers]
+    return (*known, (hashed is None, hashed or ""), (pos is None, pos or 0))
 
 
 class _Newest(StatefulProcessor):
@@ -54,32 +60,31 @@ class _Newest(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.rows = handle.getListState("newest", _KEPT)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         names, asks, new, held = _KEPT.names, [], False, None
-        for frame in rows:
-            asks.append(frame.loc[frame["request"].notna(), ["address", "request", "asked"]])
-            arrived = frame.loc[frame["request"].isna(), names]
-            if len(arrived):
-                held, new = self._cut(held if held is not None else self._state(), arrived), True
+        rows = iter(rows)
+        while chunk := list(islice(rows, _CHUNK)):
+            asks += [(r["request"], r["asked"]) for r in chunk if r["request"] is not None]
+            arrived = [tuple(r[c] for c in names) for r in chunk if r["request"] is None]
+            if arrived:
+                held, new = self._cut([*(self.rows.get() if held is None else held), *arrived]), True
         if new:
-            self.rows.put(list(_plain(held).itertuples(index=False, name=None)))
-        asked = pd.concat(asks)
-        if not len(asked):
+            self.rows.put(held)
+        if not asks:
             return
-        held = self._state() if held is None else held
         # The other pieces of an account send rows only.
         if key[1] == 0:
-            yield _plain(asked.reindex(columns=_OUT.names))
-        yield _plain(held.assign(address=key[0], request=None, asked=None)[_OUT.names])
-
-    def _state(self) -> pd.DataFrame:
-        return pd.DataFrame([tuple(r) for r in self.rows.get()], columns=_KEPT.names)
-
-    def _cut(self, held: pd.DataFrame, arrived: pd.DataFrame) -> pd.DataFrame:
-        """The newest rows of both, each once: a replayed file brings known rows again."""
-        both = pd.concat([held, arrived]) if len(held) else arrived
-        both = both.drop_duplicates("pos")
-        return both.sort_values(list(_ORDER), ascending=list(_ORDER.values())).head(self.k)
+            for request, asked in asks:
+                yield Row(address=key[0], request=request, asked=asked, pos=None, fields=None)
+        for row in self.rows.get() if held is None else held:
+            yield Row(address=key[0], request=None, asked=None, pos=row[0], fields=row[-1])
+
+    def _cut(self, rows: Iterable[tuple]) -> list[tuple]:
+        """The newest rows, each once: a replayed file brings known rows again."""
+        once: dict = {}
+        for row in rows:
+            once.setdefault(row[0], row)
+        return heapq.nsmallest(self.k, once.values(), key=_newest_first)
 
     def close(self) -> None:
         pass
@@ -96,9 +101,9 @@ def newest_rows(tx: DataFrame, requests: DataFrame, k: int = 1000, pieces: int =
     rows = history.select(
         "address", F.pmod(F.xxhash64("pos"), F.lit(pieces)).cast("int").alias("piece"),
         F.lit(None).cast("string").alias("request"), F.lit(None).cast("string").alias("asked"), "pos",
-        *[F.col(c).cast("string").alias(c) for c in HISTORY_COLUMNS],
         safe_int("time_stamp").alias("order_ts"), safe_int("block_number").alias("order_block"),
-        safe_int("transaction_index").alias("order_index"),
+        safe_int("transaction_index").alias("order_index"), F.col("hash").cast("string").alias("order_hash"),
+        F.to_json(F.struct(*[F.col(c).cast("string").alias(c) for c in HISTORY_COLUMNS])).alias("fields"),
     )
     named = requests.select(
         F.coalesce(F.lower("address"), F.lit("")).alias("address"),
@@ -107,9 +112,14 @@ def newest_rows(tx: DataFrame, requests: DataFrame, k: int = 1000, pieces: int =
         F.col("address").alias("asked"),
     )
     named = named.select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in _KEPT.fields])
-    return rows.unionByName(named).groupBy("address", "piece").transformWithStateInPandas(
+    # Few rows have the same key, so rows are handed over as they are, without a frame per key.
+    kept = rows.unionByName(named).groupBy("address", "piece").transformWithState(
         statefulProcessor=_Newest(k), outputStructType=_OUT, outputMode="Append", timeMode="None"
     )
+    fields = F.from_json("fields", _FIELDS)
+    return kept.withColumn("fields", fields).select(
+        "address", "request", "asked", "pos", *[F.col("fields").getField(c).alias(c) for c in HISTORY_COLUMNS]
+    )
 
 
 def deduplicated(requests: DataFrame, asked_at: str = "asked_at", within: str = "1 hour") -> DataFrame:
