@@ -27,7 +27,7 @@ from txrisk.schemas import (
     SEQUENCE_FIELDS,
 )
 from txrisk.sources import explorer, tables
-from txrisk.sources.checkpoints import new_path
+from txrisk.sources.checkpoints import kept_rows, new_path
 from txrisk.streaming import newest, requests
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -636,12 +636,21 @@ def visible_explanations(spark: SparkSession, d: str) -> DataFrame:
 def _responses(accounts: DataFrame, rows: DataFrame, kind: str) -> DataFrame:
     """Responses about ranked transactions of accounts, the way an explorer answers; an
     account without any gets an error response."""
+    return _answered(_listed(accounts, rows, kind))
+
+
+def _listed(accounts: DataFrame, rows: DataFrame, kind: str) -> DataFrame:
+    """Accounts with their ranked records in one list, null without any."""
     fields = KIND_FIELDS[kind]
     record = F.struct(*[F.col(c).alias(f) for f, c in fields.items()])
     lists = rows.groupBy("address").agg(
         F.sort_array(F.collect_list(F.struct("rank", record.alias("record")))).alias("ranked")
     )
-    given = accounts.select("address").join(lists, "address", "left")
+    return accounts.select("address").join(lists, "address", "left")
+
+
+def _answered(given: DataFrame) -> DataFrame:
+    """Responses out of ``_listed``."""
     return given.select(
         "address",
         F.when(F.col("ranked").isNull(), "0").otherwise("1").alias("status"),
@@ -714,9 +723,12 @@ def explorer_strict(spark: SparkSession, d: str) -> DataFrame:
 def explorer_landed_again(spark: SparkSession, d: str) -> DataFrame:
     """S3: accounts that landed several times: an old list, a new one twice, then a refusal."""
     folder = new_path(spark, "landed")
-    now = _envelopes(spark, d).withColumn("page", F.lit(1))
-    accounts, recent = proxy.accounts(spark, d), _recent(spark, d)
-    old = _responses(accounts, recent.where("rank > 40"), "txlist").withColumn("page", F.lit(1))
+    # Histories are ranked and gathered once; every batch is made of the same lists.
+    listed = kept_rows(_listed(proxy.accounts(spark, d), _recent(spark, d), "txlist"), "listed")
+    now = _answered(listed).withColumn("page", F.lit(1))
+    older = F.filter("ranked", lambda t: t["rank"] > 40)
+    older = listed.withColumn("ranked", F.when(F.size(older) > 0, older))
+    old = _answered(older).withColumn("page", F.lit(1))
     refused = now.withColumns({"status": F.lit("0"), "result": F.lit("Max rate limit reached")})
     for batch, rows in enumerate([old, now, now, refused]):
         explorer.land(rows.withColumn("landed_at", F.lit(batch).cast("bigint")), folder, "txlist", str(batch))
