@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -105,16 +107,32 @@ def rows_between(rows: DataFrame, low: int, high: int, descending: bool, most: i
     """The rows of ranks ``low`` to ``high`` of every account, in ``rank``.
 
     An order-statistics table per account finds them: rows are counted per slice of the
-    order, a running total over these counts tells which slices hold wanted ranks, and
-    only their rows go on, to be counted in finer slices, until no slice has more than
-    ``most`` rows.  Then each slice is ranked by itself, from the total before it on.
-    Tables of counts are written to the shared folder; rows are read again, not kept.
+    order, and a running total over these counts tells which slices hold wanted ranks.
+    Slices of up to ``most`` rows are ranked by themselves, from the total before them on; only the
+    rows of larger ones go on, to be counted in finer slices.  There are two of these an account at most
+    where ``most`` is a page, so their rows are written to the shared folder, as tables of counts are,
+    and however many levels there are, ``rows`` is read three times.
     """
     order = newest_first() if descending else oldest_first()
     columns = rows.columns
     # Slices so far, as one text per row, and the rows of the account before the slice.
     now = rows.withColumn("_slice", F.lit("")).withColumn("_before", F.lit(0).cast("bigint"))
-    for value in _levels(descending):
+
+    def within(held: DataFrame, value: Column) -> DataFrame:
+        inside = held.select(
+            F.col("address").alias("_address"), F.col("_slice").alias("_of"), "_held", "_first", "_next"
+        )
+        inside = F.broadcast(inside) if fits_broadcast(inside) else inside
+        return (
+            now.withColumn("_value", value)
+            .join(inside, (F.col("address") == F.col("_address")) & (F.col("_slice") == F.col("_of"))
+                  & F.col("_value").eqNullSafe(F.col("_held")))
+            .select(*columns, F.col("_next").alias("_slice"), F.col("_first").alias("_before"))
+        )
+
+    found = []
+    levels = _levels(descending)
+    for value in levels:
         counts = now.withColumn("_value", value).groupBy("address", "_slice", "_before", "_value").agg(
             F.count(F.lit(1)).alias("_rows")
         )
@@ -131,19 +149,15 @@ def rows_between(rows: DataFrame, low: int, high: int, descending: bool, most: i
             ),
             "page",
         )
-        inside = held.select("address", "_slice", "_held", "_first", "_next")
-        inside = F.broadcast(inside) if fits_broadcast(inside) else inside
-        now = (
-            now.withColumn("_value", value)
-            .join(inside.withColumnRenamed("_slice", "_of").withColumnRenamed("address", "_address"),
-                  (F.col("address") == F.col("_address")) & (F.col("_slice") == F.col("_of"))
-                  & F.col("_value").eqNullSafe(F.col("_held")))
-            .select(*columns, F.col("_next").alias("_slice"), F.col("_first").alias("_before"))
-        )
-        if held.where(F.col("_rows") > most).isEmpty():
+        large = held.where(F.col("_rows") > most)
+        if value is levels[-1] or large.isEmpty():
+            found.append(within(held, value))
             break
+        found.append(within(held.where(F.col("_rows") <= most), value))
+        now = kept_rows(within(large, value), "sliced")
     ranked = Window.partitionBy("address", "_slice").orderBy(*order)
-    out = now.withColumn("rank", (F.col("_before") + F.row_number().over(ranked)).cast("int"))
+    out = reduce(DataFrame.unionByName, found)
+    out = out.withColumn("rank", (F.col("_before") + F.row_number().over(ranked)).cast("int"))
     return out.where(F.col("rank").between(low, high)).select(*columns, "rank")
 
 
