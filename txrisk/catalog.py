@@ -835,7 +835,8 @@ def _quality(rows: DataFrame) -> DataFrame:
 
 def train_and_score(spark: SparkSession, d: str) -> DataFrame:
     """M1-M3: train on all registered accounts, then score them."""
-    rows = _prepared(spark, d)
+    # Training and scoring read what was made of the histories once.
+    rows = tables.kept(_prepared(spark, d))
     fitted, _ = training.fit(rows)
     return model.score(rows, fitted).select(
         "address", "flag", "prediction.features_used", "prediction.sequence_length", *_sound()
