@@ -23,7 +23,6 @@ first. An empty table gives an empty result; other columns are not looked at.
 from __future__ import annotations
 
 import zlib
-from collections import deque
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -51,26 +50,29 @@ SCHEMA = (
 
 def cuts(n: int, doc_ends: np.ndarray, sentence_ends: np.ndarray, window: int = WINDOW) -> list[int]:
     """The cheapest cuts of ``n`` ids, from 0 to ``n``; the last window costs no padding."""
-    grid = np.arange(GRID, n, GRID)
-    at = np.unique(np.concatenate([grid, sentence_ends, doc_ends, [n]]))
-    at = at[(at > 0) & (at <= n)]
-    price = np.full(len(at), INSIDE, np.int64)
-    price[np.isin(at, sentence_ends)] = SENTENCE
-    price[np.isin(at, doc_ends)] = 0
-    price[-1] = 0
+    # Per place: no cut, or the kind of it that costs least.
+    kind = np.zeros(n + 1, np.int8)
+    kind[GRID:n:GRID] = 1
+    kind[sentence_ends[sentence_ends <= n]] = 2
+    kind[doc_ends[doc_ends <= n]] = 3
+    kind[0], kind[n] = 0, 3
+    at = np.flatnonzero(kind)
+    price = np.array([0, INSIDE, SENTENCE, 0])[kind[at]] + window
     places, prices = [0, *at.tolist()], [0, *price.tolist()]
-    # A queue of (cost + place, number), rising in the first.
-    queue = deque([(0, 0)])
-    back = [0] * len(places)
+    # A queue of places from ``first`` on, rising in cost + place.
+    queue, first = [0], 0
+    back, values = [0] * len(places), [0] * len(places)
     for i in range(1, len(places)):
-        here = places[i]
-        while places[queue[0][1]] < here - window:
-            queue.popleft()
-        best, back[i] = queue[0]
-        value = prices[i] + window + best
-        while queue and queue[-1][0] >= value:
+        least = places[i] - window
+        j = queue[first]
+        while places[j] < least:
+            first += 1
+            j = queue[first]
+        back[i] = j
+        values[i] = value = prices[i] + values[j]
+        while len(queue) > first and values[queue[-1]] >= value:
             queue.pop()
-        queue.append((value, i))
+        queue.append(i)
     out, i = [n], len(places) - 1
     while i:
         i = back[i]

@@ -17,6 +17,7 @@ import re
 import struct
 from array import array
 from collections.abc import Iterable, Iterator
+from operator import attrgetter
 
 #: White space that may not be cut: a run, or anything but a blank or a line end.
 _RUNS = re.compile("[\\s᠎](?:[\\s᠎]|(?<![ \\n]))")
@@ -30,6 +31,8 @@ _MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _VISIBLE = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
 _SHOWN = {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(_VISIBLE)))}
 
+_ID = attrgetter("id")
+
 _ENCODERS: dict[tuple[str, bool, int], "Encoder"] = {}
 
 
@@ -104,14 +107,16 @@ class Encoder(dict):
         begins = piece[:1] == "\n"
         word = piece[1:] if begins else piece
         head, end = word, b""
-        if not word.isalpha():
+        letters_only = word.isalpha()
+        if not letters_only:
             # Marks behind letters are a piece of their own, all of them together.
             head = word.rstrip(_MARKS)
             if head and head is not word:
                 end = self.tails.get(word[len(head) :])
                 if end is None:
                     end = self._tail(word[len(head) :])
-        if not (head.isalpha() and len(head) <= self.longest and (head.isascii() or max(head) < "Ā")):
+                letters_only = head.isalpha()
+        if not (letters_only and len(head) <= self.longest and (head.isascii() or max(head) < "Ā")):
             # Not plain letters: the vocabulary's own splits are needed.
             return self.whole(piece if begins or self.drops_space else " " + piece)
         if end and not begins:
@@ -125,7 +130,7 @@ class Encoder(dict):
         if not head.isascii():
             head = head.encode().decode("latin-1").translate(_SHOWN)
         got = self.merges(head if begins else self.blank + head)
-        coded = self.pack[len(got)](*[t.id for t in got])
+        coded = self.pack[len(got)](*map(_ID, got))
         if begins:
             return self.line + coded + end
         if end:
