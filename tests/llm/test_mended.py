@@ -237,6 +237,29 @@ def test_pieces_equal_whole_texts(name, drops):
     assert list(coder.ids([])) == []
 
 
+def test_op4_a_word_is_merged_once_however_it_is_written():
+    """Capitals, marks and line ends once made other pieces of a word, and each was merged anew."""
+    coder = Encoder(queries._vocabulary("word_bpe_49k.json"), True)
+    merges, met = coder.merges, []
+    coder.merges = lambda letters: met.append(letters) or merges(letters)
+    texts = ["Zorbling\nzorbling, ZORBLING?! (zorbling) \"Zorbling\"; zorbling... québrox", "QUÉBROX. Zorbling"]
+    assert list(coder.ids(texts)) == [coder.whole(x) for x in texts]
+    assert len(met) == 2 and met[0] == "zorbling"
+
+
+def test_op4_latin_1_pieces_equal_whole_texts():
+    """Every character beside letters, marks, numbers and apostrophes, and mixtures of them."""
+    import random
+
+    random.seed(4)
+    every = [chr(i) for i in range(256)]
+    texts = [a + c + b for c in every for a, b in (("x", "Yz"), ("x.", "x"), ("'", "s"), ("", "'s, d"), ("1", "2"))]
+    parts = [*every[:48], *every[160:192], "It's", "'", "don't", "'re", "..", "<|EndOfText|>", "<|endoftext|>", "Ñandú", "×", "\u0301", "’", "Σ", "İ"]
+    texts += ["".join(random.choices(parts, k=random.randrange(12))) for _ in range(3000)]
+    coder = Encoder(queries._vocabulary("word_bpe_49k.json"), True, limit=50)
+    assert list(coder.ids(texts)) == [coder.whole(x) for x in texts]
+
+
 def test_op4_cuts_at_sentences_where_they_fit():
     """With an end of a sentence every thirty ids, hardly a cut lies inside a sentence."""
     n = 400_000

@@ -6,6 +6,11 @@ space are therefore cut at blanks and line ends, every distinct piece is
 encoded once per worker, and the ids of a text are the ids of its pieces. All
 other texts are encoded whole. Either way the ids equal those of the whole text.
 
+Vocabularies that drop white space and capitals lower-case before they split, and split marks
+from letters and numbers. Texts of Latin-1 characters are lower-cased before they are cut there, and
+marks are pieces of their own, so a word is encoded once, however it is written and
+whatever stands around it.
+
 Added tokens written out in a text, such as ``<|endoftext|>``, get their own ids, as in the
 library's plain encode. They hold no white space, so no cut falls into one.
 """
@@ -16,6 +21,7 @@ import os
 import re
 import struct
 from array import array
+from codecs import charmap_decode
 from collections.abc import Iterable, Iterator
 from operator import attrgetter
 
@@ -29,7 +35,14 @@ _MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: What byte-level vocabularies show for each byte: itself if it is a visible
 #: Latin-1 character, else the next character from U+0100 on.
 _VISIBLE = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
-_SHOWN = {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(_VISIBLE)))}
+_HIDDEN = sorted(set(range(256)) - set(_VISIBLE))
+_SHOWN = "".join(chr(b if b in _VISIBLE else 256 + _HIDDEN.index(b)) for b in range(256))
+
+#: Latin-1 in lower case with blanks for all white space, and what of it is no mark.
+_SPACES = "\t\n\x0b\x0c\r \x85\xa0"
+_LOWER = "".join(" " if c in _SPACES else c.lower() for c in map(chr, range(256))).encode("latin-1")
+_UNMARKED = bytes(b for b in range(256) if b == 32 or chr(b).isalnum())
+_APOSTROPHE = ord("'")
 
 _ID = attrgetter("id")
 
@@ -51,10 +64,25 @@ def _plain_spaces(text: str) -> bool:
     return not any(x in text for x in _DOUBLE) and not any(c in text for c in _OTHER)
 
 
+def _parts(low: bytes) -> list[bytes]:
+    """Runs of marks, and of letters and numbers, of a text that ``_LOWER`` has been through.
+
+    An apostrophe may take letters along, so it stays with those beside it; where it
+    stands beside other marks, the text is cut at white space only.
+    """
+    marks, apart = set(low.translate(None, _UNMARKED)), low
+    for mark in marks - {_APOSTROPHE}:
+        apart = apart.replace(b"%c" % mark, b"\t%c\n" % mark)
+    if _APOSTROPHE in marks and (b"\n'" in apart or b"'\t" in apart):
+        return low.split()
+    return apart.replace(b"\n\t", b"").split()
+
+
 class Encoder(dict):
     """``ids(texts)``: little-endian unsigned 32-bit ids as bytes, one value a text.
 
-    ``drops_space`` says that the vocabulary removes white space and capitals.
+    ``drops_space`` says that the vocabulary removes white space and capitals, and splits
+    letters, numbers and runs of other marks, ``'`` and letters behind it aside.
     The object is itself the cache from pieces to ids, in two generations of ``limit``
     pieces: a full one becomes the older one, and what is met again comes back from it.
     Pieces over ``longest`` are not kept.
@@ -68,13 +96,15 @@ class Encoder(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.drops_space = drops_space
         self.limit, self.longest = limit, longest
-        self.older: dict[str, bytes] = {}
+        self.older: dict[str | bytes, bytes] = {}
         self.tails: dict[str, bytes] = {}
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.added = [t.content.encode("latin-1", "replace").translate(_LOWER) for t in added]
         self.merges = self.tokenizer.model.tokenize
         self.tokenizer.model._resize_cache(0)  # this object is the cache
         self.pack = [struct.Struct(f"<{n}I").pack for n in range(self.longest * 4)]
         self.line = b"" if drops_space else self.whole("\n")
-        self.blank = "" if drops_space else chr(_SHOWN[32])
+        self.blank = "" if drops_space else _SHOWN[32]
 
     def whole(self, text: str) -> bytes:
         (coded,) = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)
@@ -83,26 +113,54 @@ class Encoder(dict):
     def ids(self, texts: Iterable[str]) -> Iterator[bytes]:
         skip, known = len(self.line), self.__getitem__
         for text in texts:
-            if not _plain_spaces(text):
+            pieces = self._pieces(text)
+            if pieces is None:
                 yield self.whole(text)
                 continue
-            # A piece after a line end keeps it; only the first has neither sign.
-            pieces = text.replace("\n", " \n").split(" ")
-            pieces[0] = "\n" + pieces[0]
             yield b"".join(map(known, pieces))[skip:]
             if len(self) > self.limit:
                 self.older = dict(self)
                 self.clear()
 
-    def __missing__(self, piece: str) -> bytes:
+    def _pieces(self, text: str) -> list | None:
+        """What ``text`` is cut into, bytes of Latin-1 in lower case or plain; None if it may not be cut."""
+        if self.drops_space:
+            try:
+                low = text.encode("latin-1").translate(_LOWER)
+            except UnicodeEncodeError:
+                pass
+            else:
+                # An added token counts as written, and its marks are not apart.
+                return None if any(t in low for t in self.added) else _parts(low)
+        if not _plain_spaces(text):
+            return None
+        # A piece after a line end keeps it; only the first has neither sign.
+        pieces = text.replace("\n", " \n").split(" ")
+        pieces[0] = "\n" + pieces[0]
+        return pieces
+
+    def __missing__(self, piece: str | bytes) -> bytes:
         """Ids of a piece that follows a blank, or a line end if it begins with one."""
         coded = self.older.get(piece)
         if coded is None:
-            coded = self._coded(piece)
+            coded = self._coded(piece) if isinstance(piece, str) else self._lower(piece.decode("latin-1"))
         if len(piece) <= self.longest:
             self[piece] = coded
         return coded
 
+    def _lower(self, word: str) -> bytes:
+        """Ids of a piece of Latin-1 in lower case, where blanks are dropped."""
+        if len(word) > self.longest or not word.isalpha():
+            return self._coded(word)
+        return self._merged("", word)
+
+    def _merged(self, blank: str, letters: str) -> bytes:
+        """Ids of a blank, as shown, and letters that are one piece with it."""
+        if not letters.isascii():
+            letters, _ = charmap_decode(letters.encode(), "strict", _SHOWN)
+        got = self.merges(blank + letters)
+        return self.pack[len(got)](*map(_ID, got))
+
     def _coded(self, piece: str) -> bytes:
         begins = piece[:1] == "\n"
         word = piece[1:] if begins else piece
@@ -124,18 +182,12 @@ class Encoder(dict):
             if known is not None:
                 return known + end
         # Plain letters are one piece, so the merges can run on them at once.
-        letters = head
-        if self.drops_space:
-            head = head.lower()
-        if not head.isascii():
-            head = head.encode().decode("latin-1").translate(_SHOWN)
-        got = self.merges(head if begins else self.blank + head)
-        coded = self.pack[len(got)](*map(_ID, got))
+        coded = self._merged("" if begins else self.blank, head.lower() if self.drops_space else head)
         if begins:
             return self.line + coded + end
         if end:
             # The same letters may come without marks, or with others.
-            self[letters] = coded
+            self[head] = coded
         return coded + end
 
     def _tail(self, marks: str) -> bytes:
