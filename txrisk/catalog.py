@@ -985,7 +985,8 @@ def newest_stream(spark: SparkSession, d: str) -> DataFrame:
     folder = new_path(spark, "stream")
     columns = ["pos", *HISTORY_COLUMNS]
     tx = proxy.transactions(spark, d).select(*columns)
-    tx.repartitionByRange(4, "pos").write.parquet(f"{folder}/tx")
+    # Small row groups: a micro-batch has one file, and a task reads a row group at least.
+    tx.repartitionByRange(4, "pos").write.option("parquet.block.size", 8 << 20).parquet(f"{folder}/tx")
     accounts = proxy.accounts(spark, d)
     asked = accounts.select(
         F.col("key").cast("string").alias("request"), "address",
