@@ -6,8 +6,8 @@ An account has pieces: the rows of a hub account go to several tasks, each of wh
 newest ``k``, and the scan that follows takes the newest of these.
 
 State is keyed by bucket, a hash of account and piece, because every key costs some calls between Spark and
-Python.  What a micro-batch brings a bucket is added to its state as one packed value; all are merged when there
-are ``_VALUES`` of them.
+Python.  What a micro-batch brings a bucket is added to its state as one packed value.  When there are ``_VALUES`` of
+them, the last ones are merged, as far back as they are not much smaller than what they are merged into.
 
 State needs the RocksDB provider: ``spark.sql.streaming.stateStore.providerClass`` set to
 ``PROVIDER``.
@@ -38,7 +38,7 @@ PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProv
 
 #: Arriving rows that are held at once before the newest are kept.
 _CHUNK = 10_000
-#: Values that a bucket's state may have before they are merged into one.
+#: Values that a bucket's state may have before some are merged.
 _VALUES = 8
 #: What is kept of a row: its number, its place in the order, and its fields as one JSON text,
 #: which passes Python as it is.
@@ -52,10 +52,11 @@ _OUT = T.StructType(
     + [T.StructField("pos", T.LongType()), T.StructField("fields", T.StringType())]
 )
 _Answer = namedtuple("_Answer", _OUT.names)
+_NUMBER = T.StructType([T.StructField("number", T.IntegerType())])
 _PACKED = T.StructType([T.StructField("packed", T.BinaryType())])
+_SIZES = T.StructType([T.StructField("rows", T.StringType())])
 #: What a bucket is handed of a row; nothing in it is null.
 _IN = ["address", "piece", "request", "asked", "pos", "order_ts", "order_block", "order_index", "order_hash", "fields"]
-_COUNT = T.StructType([T.StructField("values", T.IntegerType())])
 
 
 def _newest_first(row: tuple) -> tuple:
@@ -132,8 +133,9 @@ class _Bucket(StatefulProcessor):
         self.k = k
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.values = handle.getListState("newest", _PACKED)
-        self.count = handle.getValueState("values", _COUNT)
+        # Every value is an entry of its own, so the others stay as they are when one is added.
+        self.values = handle.getMapState("newest", _NUMBER, _PACKED)
+        self.sizes = handle.getValueState("sizes", _SIZES)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         waiting, asks, new = {}, {}, {}
@@ -153,18 +155,12 @@ class _Bucket(StatefulProcessor):
                     self._feed(of, new.setdefault(of, _Rows()), waiting.pop(of))
         for of, some in waiting.items():
             self._feed(of, new.setdefault(of, _Rows()), some)
-        count = (self.count.get() or (0,))[0]
-        full = bool(new) and count + 1 >= _VALUES
-        held = self._held(None if full else asks) if full or asks else {}
-        for of, kept in new.items():
-            if full or of in asks:
-                self._feed(of, held.setdefault(of, _Rows()), ((None, None, *row) for row in kept.get()))
-        if full:
-            self.values.put([(_packed(held),)])
-        elif new:
-            self.values.appendValue((_packed(new),))
+        sizes = [int(n) for n in (self.sizes.get() or ("",))[0].split()]
+        held = self._held(range(len(sizes)), asks) if asks else {}
+        for of in asks.keys() & new.keys():
+            self._add(held, of, new[of].rows)
         if new:
-            self.count.update((1 if full else count + 1,))
+            self._keep(new, sizes)
         out = []
         for of, some in asks.items():
             out += self._feed(of, held.get(of, _Rows()), some)
@@ -180,22 +176,45 @@ class _Bucket(StatefulProcessor):
         piece.init(kept)
         return list(piece.handleInputRows(of, iter(rows), None))
 
-    def _held(self, wanted: Container | None) -> dict[tuple, _Rows]:
-        """What the bucket keeps, of some pieces or of all: its values, oldest first, each added to those before."""
+    def _add(self, held: dict[tuple, _Rows], of: tuple, rows: list[tuple]) -> None:
+        if of in held:
+            self._feed(of, held[of], ((None, None, *row) for row in rows))
+        else:
+            held[of] = _Rows(rows)
+
+    def _held(self, numbers: range, wanted: Container | None = None) -> dict[tuple, _Rows]:
+        """What values of the state, oldest first, keep of the ``wanted`` pieces or of all."""
         held: dict[tuple, _Rows] = {}
-        for (packed,) in self.values.get():
+        for number in numbers:
+            packed = self.values.getValue((number,))[0]
             for of, rows in pickle.loads(zlib.decompress(packed)).items():
                 if wanted is None or of in wanted:
-                    if of in held:
-                        self._feed(of, held[of], ((None, None, *row) for row in rows))
-                    else:
-                        held[of] = _Rows(rows)
+                    self._add(held, of, rows)
         return held
 
+    def _keep(self, new: dict[tuple, _Rows], sizes: list[int]) -> None:
+        """Adds ``new`` to values of ``sizes`` rows each."""
+        first, size = len(sizes), _size(new)
+        if first + 1 >= _VALUES:
+            while first and sizes[first - 1] <= 2 * size:
+                first -= 1
+                size += sizes[first]
+        merged = self._held(range(first, len(sizes)))
+        for of, kept in new.items():
+            self._add(merged, of, kept.rows)
+        self.values.updateValue((first,), (_packed(merged),))
+        for number in range(first + 1, len(sizes)):
+            self.values.removeKey((number,))
+        self.sizes.update((" ".join(map(str, [*sizes[:first], _size(merged)])),))
+
     def close(self) -> None:
         pass
 
 
+def _size(kept: dict[tuple, _Rows]) -> int:
+    return sum(len(rows.rows) for rows in kept.values())
+
+
 def _packed(kept: dict[tuple, _Rows]) -> bytes:
     return zlib.compress(pickle.dumps({of: rows.rows for of, rows in kept.items()}), 1)
 
